@@ -55,3 +55,32 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row, also inside higher-order functions."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with the column value, evaluated once a row.
+
+    A filter above a plain withColumn is pushed below it together with the
+    expression, which then runs twice, or inside a loop of another expression
+    for each element. A generator's output stays where it is.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names compare without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def labelled(labels: DataFrame, most: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(id, label) of at most `most` labelled ids, drawn by hash; several labels of an id give their rounded mean.
+
+    Rows with a null id or label take no part.
+    """
+    rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
+    rows = rows.where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
+    rows = rows.groupBy("id").agg(F.round(F.avg("label")).cast("int").alias("label"))
+    return rows.orderBy(F.xxhash64("id"), "id").limit(most)

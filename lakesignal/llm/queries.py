@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from .knn_join import OP3_SQL, op3_knn_join
+from .quality_rules import op1_quality_rules
 from .url_filter import OP7_SQL, op7_url_filter
 from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op3_knn_join": op3_knn_join,
     "op5_warc": op5_warc,
     "op7_url_filter": op7_url_filter,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bpe import op6_bpe
 from .knn_join import OP3_SQL, op3_knn_join
+from .near_dup import OP8_SQL, op8_near_dup
 from .quality_rules import op1_quality_rules
 from .url_filter import OP7_SQL, op7_url_filter
 from .warc import OP5_SQL, op5_warc
@@ -11,10 +13,13 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_knn_join": op3_knn_join,
     "op5_warc": op5_warc,
+    "op6_bpe": op6_bpe,
     "op7_url_filter": op7_url_filter,
+    "op8_near_dup": op8_near_dup,
 }
 SQL = {
     "op3_knn_join": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op7_url_filter": OP7_SQL,
+    "op8_near_dup": OP8_SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -52,6 +53,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ascii_words(text: str) -> list[str]:
+    """Lower-cased runs of ASCII letters and digits, for text on the driver."""
+    return re.findall("[a-z0-9]+", text.lower())
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once a row, also inside higher-order functions."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op6_bpe
 from .html_text import op10_html_text
 from .knn_join import OP3_SQL, op3_knn_join
+from .license_scan import op2_license_scan
 from .near_dup import OP8_SQL, op8_near_dup
 from .packing import op4_packing
 from .quality_cnn import op9_quality_cnn
@@ -14,6 +15,7 @@ from .warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_license_scan": op2_license_scan,
     "op3_knn_join": op3_knn_join,
     "op4_packing": op4_packing,
     "op5_warc": op5_warc,

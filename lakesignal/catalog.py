@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from .plans import detection, tables
+
+MODULES = (detection, tables)
+
 
 def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return detection.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: q for m in MODULES for name, q in m.SQL.items()}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import detection, tables
+from .plans import causes, detection, tables
 
-MODULES = (detection, tables)
+MODULES = (detection, tables, causes)
 
 
 def flagship(spark, sf_dir: str):

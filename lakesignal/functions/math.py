@@ -83,8 +83,13 @@ def student_p(t: float, df: float) -> float:
     return min(1.0, max(0.0, 1 - front * _beta_fraction(b, a, 1 - x) / b))
 
 
-@F.pandas_udf("double")
-def student_p_value(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Two-sided p of (t, degrees of freedom); null where either is."""
-    for t, df in batches:
-        yield pd.Series([None if pd.isna(a) or pd.isna(b) else student_p(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
+def student_p_value(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t with df degrees of freedom; null where either is."""
+
+    @F.pandas_udf("double")
+    def p(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for t, df in batches:
+            pairs = zip(t, df, strict=True)
+            yield pd.Series([None if pd.isna(a) or pd.isna(b) else student_p(a, b) for a, b in pairs], dtype="float64")
+
+    return p(t, df)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import causes, detection, tables
+from .plans import causes, detection, documents, records, tables
 
-MODULES = (detection, tables, causes)
+MODULES = (detection, tables, causes, documents, records)
 
 
 def flagship(spark, sf_dir: str):

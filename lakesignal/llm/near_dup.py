@@ -2,14 +2,18 @@
 
 Every distinct shingle set gets minhash signatures for several trees; a tree's
 key is its signature, read from the first value on. Sorting a tree by key puts
-sets with long common prefixes side by side: the next NEIGHBOURS sets of the
-order that share MIN_DEPTH values at least are candidates, so a crowded region
-is searched at the depth that its own order gives, a sparse one at MIN_DEPTH.
-Candidates that signatures don't rule out are confirmed on the full sets. A
-first round over a few trees joins most copies into classes, after which only
-candidates between different classes are looked at. Regions with more members
-than NEIGHBOURS may hide links between distant members: for those, all members
-of different classes meet in a last round.
+sets with long common prefixes side by side. Neighbours in that order that share
+MIN_DEPTH values at least are candidates: all pairs of a region of up to
+NEIGHBOURS + 1 sets, in a crowded region those next to each other, which are the
+ones that share the deepest prefix there. Signatures rule out most chance
+candidates, the full sets confirm the rest.
+
+Direct neighbours in a few trees join most copies into classes; from then on only
+candidates of different classes count. A crowded region that still holds
+several classes may hide links between distant members. There, every member
+outside the largest class meets all members of other classes in blocks, and
+members are checked by falling agreement of their signatures until one link to
+each class is found or none is left.
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ import hashlib
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, settle
+from .common import settle
 
 TREES, DEPTH, MIN_DEPTH = 16, 8, 3
 NEIGHBOURS = 8
@@ -31,6 +36,8 @@ FIRST_TREES = 3
 #: Candidates whose signatures agree in less than this share are ruled out: at a similarity of 0.8
 #: (128 values) one in 10^8 is.
 LEAST_AGREEMENT = 0.6
+#: Members of crowded regions in one block: outside the largest class, and of all classes.
+OUTSIDE_ROWS, ALL_ROWS = 256, 1024
 SIGNATURE = np.dtype(">u2")
 
 
@@ -143,76 +150,69 @@ def components(edges: DataFrame) -> DataFrame:
     those roots, a far smaller graph, which is solved the same way.
     """
     local = settle(edges.mapInArrow(_local_roots, "node long, root long"), "cc-local")
-    least = settle(local.groupBy("node").agg(F.min("root").alias("label")), "cc-least")
+    least = local.groupBy("node").agg(F.min("root").alias("label"))
     between = local.join(least, "node").where(F.col("root") != F.col("label"))
     between = settle(between.select(F.col("root").alias("a"), F.col("label").alias("b")).distinct(), "cc-edges")
     if between.isEmpty():
         return least
     above = components(between).select(F.col("node").alias("label"), F.col("label").alias("top"))
-    return settle(least.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "cc")
+    return least.join(above, "label", "left").select("node", F.coalesce("top", "label").alias("label"))
 
 
 # --- candidates -----------------------------------------------------------------------------------------------
 
 
 def forest(reps: DataFrame) -> DataFrame:
-    """(tree, key, id): every set of reps (id, sig) once for each tree."""
+    """(tree, key, id, label): every set of reps (id, sig, label) once for each tree."""
     size = DEPTH * SIGNATURE.itemsize
     tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
-    rows = reps.select("id", "sig", tree.alias("tree"))
-    return rows.select("tree", F.substring("sig", F.col("tree") * size + 1, F.lit(size)).alias("key"), "id")
+    rows = reps.select("id", "sig", "label", tree.alias("tree"))
+    return rows.select("tree", F.substring("sig", F.col("tree") * size + 1, F.lit(size)).alias("key"), "id", "label")
 
 
-def _pairs_of_run(batches, depth: int, most: int):
-    """Neighbours within sorted rows (tree, key, id): (a, b, tree, gap); the task's first and last rows with gap 0."""
-    size = depth * SIGNATURE.itemsize
+PREFIX = MIN_DEPTH * SIGNATURE.itemsize
+PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("key", pa.binary()), ("label", pa.int64())])
+PAIR_DDL = "a long, b long, tree int, key binary, label long"
+
+
+def _neighbours(batches, reach: int):
+    """Pairs (a, b, tree) of different labels in sorted rows; then the task's first and last rows, with their keys."""
     recent: list[tuple] = []
     head: list[tuple] = []
+    place = 0
     for batch in batches:
         out = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "id")), strict=True):
-            if len(head) < most:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("tree", "key", "id", "label")), strict=True):
+            if len(head) < reach:
                 head.append(row)
-            tree, key, i = row
-            for gap, (t, k, j) in enumerate(reversed(recent), 1):
-                if t != tree or k[:size] != key[:size]:
-                    break
-                if i != j:
-                    out.append((min(i, j), max(i, j), tree, gap, None))
-            recent = [*recent[-(most - 1) :], row]
+            tree, key, i, label = row
+            place = place + 1 if recent and recent[-1][0] == tree and recent[-1][1][:PREFIX] == key[:PREFIX] else 0
+            for t, _, j, other in recent[-min(place, reach if place <= reach else 1) :] if place else ():
+                if other != label:
+                    out.append((min(i, j), max(i, j), t, None, None))
+            recent = [*recent[-(reach - 1) :], row] if reach > 1 else [row]
         yield _pair_batch(out)
-    yield _pair_batch([(i, i, t, 0, k) for t, k, i in [*head, *recent]])
+    yield _pair_batch([(i, i, t, k, label) for t, k, i, label in [*head, *recent]])
 
 
 def _pair_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [("a", pa.int64()), ("b", pa.int64()), ("tree", pa.int32()), ("gap", pa.int32()), ("key", pa.binary())]
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, (_, t) in zip(cols, kinds, strict=True)], [n for n, _ in kinds])
-
-
-PAIR_DDL = "a long, b long, tree int, gap int, key binary"
+    cols = list(zip(*rows, strict=True)) or [[]] * len(PAIR)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, PAIR, strict=True)], schema=PAIR)
 
 
-def neighbours(trees: DataFrame) -> DataFrame:
-    """(a, b, tree, gap): pairs at most NEIGHBOURS apart in a tree's order that share MIN_DEPTH values.
+def neighbours(trees: DataFrame, reach: int) -> DataFrame:
+    """(a, b, tree): candidates of different labels, at most `reach` apart in a tree's order.
 
     The order is cut into ranges, so a crowded region spreads over tasks; the
     rows at the cuts meet in a second pass over those alone.
     """
     n = int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     run = trees.repartitionByRange(n, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    found = settle(run.mapInArrow(lambda b: _pairs_of_run(b, MIN_DEPTH, NEIGHBOURS), PAIR_DDL), "nd-pairs")
-    cuts = found.where("gap = 0").select("tree", "key", F.col("a").alias("id")).distinct()
+    found = settle(run.mapInArrow(lambda b: _neighbours(b, reach), PAIR_DDL), "nd-pairs")
+    cuts = found.where("key is not null").select("tree", "key", F.col("a").alias("id"), "label").distinct()
     cuts = cuts.repartitionByRange(1, "tree").sortWithinPartitions("tree", "key", "id")
-    across = cuts.mapInArrow(lambda b: _pairs_of_run(b, MIN_DEPTH, NEIGHBOURS), PAIR_DDL)
-    return found.where("gap > 0").union(across.where("gap > 0")).drop("key")
-
-
-def crowded(trees: DataFrame) -> DataFrame:
-    """(tree, part, id) of the regions that have more members than NEIGHBOURS reaches."""
-    rows = trees.withColumn("part", F.substring("key", 1, MIN_DEPTH * SIGNATURE.itemsize))
-    full = rows.groupBy("tree", "part").count().where(F.col("count") > NEIGHBOURS + 1).drop("count")
-    return rows.join(full, ["tree", "part"]).select("tree", "part", "id")
+    across = cuts.mapInArrow(lambda b: _neighbours(b, reach), PAIR_DDL)
+    return found.where("key is null").union(across.where("key is null")).select("a", "b", "tree")
 
 
 # --- confirmation ---------------------------------------------------------------------------------------------
@@ -255,10 +255,57 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(check, "a long, b long")
 
 
-def between_classes(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different classes; without a label an id is a class of its own."""
-    out = pairs.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left")
-    return out.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+def crowded_links(trees: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of crowded regions, whatever lies between them in the order.
+
+    Classes that meet in a crowded region are a group. Its members outside the
+    largest class are asked, in blocks, against blocks of all its members.
+    """
+    rows = trees.withColumn("part", F.substring("key", 1, PREFIX))
+    regions = rows.groupBy("tree", "part").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = regions.where((F.col("n") > NEIGHBOURS + 1) & (F.col("x") != F.col("y"))).select("tree", "part", "x")
+    inside = settle(rows.join(mixed, ["tree", "part"]).select("id", "label", "x").distinct(), "nd-crowded")
+    meets = components(inside.select(F.col("label").alias("a"), F.col("x").alias("b")).distinct())
+    members = inside.select("id", "label").distinct().join(meets.toDF("label", "grp"), "label")
+    sizes = members.groupBy("grp", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    blocks = sizes.select(
+        "grp", "main",
+        F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("n_all"),
+        F.ceil(F.greatest(F.col("n") - F.col("most"), F.lit(1)) / OUTSIDE_ROWS).cast("int").alias("n_out"),
+    )
+    members = settle(members.join(blocks, "grp").join(texts, "id"), "nd-members")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    everyone = members.select("grp", of("n_all").alias("blk"), F.explode(upto("n_out")).alias("out_blk"), "id", "label", "text")
+    outside = members.where(F.col("label") != F.col("main"))
+    outside = outside.select("grp", F.explode(upto("n_all")).alias("blk"), of("n_out").alias("out_blk"), "id", "label", "text")
+
+    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            sets = [shingles(t, width) for t in right["text"]]
+            sizes = np.array([len(x) for x in sets])
+            sigs = np.stack([np.frombuffer(signature(x), SIGNATURE) for x in sets])
+            ids, labels = right["id"].to_numpy(), right["label"].to_numpy()
+            for i, label, text in zip(left["id"], left["label"], left["text"], strict=True):
+                own = shingles(text, width)
+                least, most = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
+                near = np.nonzero((labels != label) & (100 * least >= percent * most))[0]
+                share = (sigs[near] == np.frombuffer(signature(own), SIGNATURE)).mean(axis=1)
+                order = np.argsort(-share, kind="stable")
+                linked = set()
+                for k in near[order[: np.count_nonzero(share >= LEAST_AGREEMENT)]]:
+                    if labels[k] in linked:
+                        continue
+                    common = len(np.intersect1d(own, sets[k], assume_unique=True))
+                    if 100 * common >= percent * (len(own) + len(sets[k]) - common):
+                        linked.add(labels[k])
+                        found.append((i, ids[k]))
+        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
+
+    keys = ["grp", "blk", "out_blk"]
+    return outside.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -278,35 +325,29 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, id_col: str
     reps = classed.groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
     reps = settle(reps, "nd-reps")
 
-    trees = forest(reps)
-    near = settle(neighbours(trees), "nd-near")
-    pairs = settle(plausible(near.select("a", "b").distinct(), reps), "nd-plausible")
-    known = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bodies = settle(texts.join(known, "id", "left_semi").dropDuplicates(["id"]), "nd-texts")
-
-    early = near.where((F.col("tree") < FIRST_TREES) & (F.col("gap") == 1)).select("a", "b").distinct()
-    links = settle(confirmed(pairs.join(early, ["a", "b"], "left_semi"), bodies, width, percent), "nd-links")
-    labels = components(links)
-    more = settle(confirmed(between_classes(pairs, labels), bodies, width, percent), "nd-links")
-    links = links.union(more)
-    labels = components(links)
-
-    # Members of crowded regions in different classes, whatever lies between them.
-    inside = crowded(trees).join(labels.toDF("id", "label"), "id", "left")
-    inside = inside.select("tree", "part", "id", F.coalesce("label", "id").alias("label"))
-    mixed = inside.groupBy("tree", "part").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed = mixed.where(F.col("x") != F.col("y")).select("tree", "part")
-    inside = settle(inside.join(mixed, ["tree", "part"]), "nd-crowded")
-    far = inside.alias("l").join(inside.alias("r"), ["tree", "part"]).where(F.col("l.label") < F.col("r.label"))
-    far = far.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    far = settle(plausible(far.join(pairs, ["a", "b"], "left_anti"), reps), "nd-far")
+    # Sets with a neighbour in any tree; the others take no further part.
+    near = settle(neighbours(forest(reps.withColumn("label", F.col("id"))), reach=1), "nd-near")
+    known = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = settle(reps.join(known, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]), "nd-held")
+    bodies = settle(texts.join(held.select("id"), "id", "left_semi").dropDuplicates(["id"]), "nd-texts")
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return settle(confirmed(plausible(pairs, held), bodies, width, percent), "nd-links")
+
+    def grow(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        labels = components(links).toDF("id", "label")
+        labels = settle(labels, "nd-labels")
+        return labels, forest(held.join(labels, "id", "left").select("id", "sig", F.coalesce("label", "id").alias("label")))
+
+    links = check(near.where(F.col("tree") < FIRST_TREES).select("a", "b").distinct())
+    labels, trees = grow(links)
+    links = links.union(check(neighbours(trees, NEIGHBOURS).select("a", "b").distinct()))
+    labels, trees = grow(links)
+    far = settle(crowded_links(trees, bodies, width, percent), "nd-far")
     if not far.isEmpty():
-        known = far.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        bodies = settle(texts.join(known, "id", "left_semi").dropDuplicates(["id"]), "nd-texts")
-        links = links.union(settle(confirmed(far, bodies, width, percent), "nd-links"))
-        labels = components(links)
+        labels, _ = grow(links.union(far))
 
-    classes = reps.select("digest", "id").join(labels.toDF("id", "label"), "id", "left")
+    classes = reps.select("digest", "id").join(labels, "id", "left")
     classes = classes.select("digest", F.coalesce("label", "id").alias("component_id"))
     out = prints.select("id", "n", "digest").join(classes, "digest", "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id"))

@@ -67,7 +67,7 @@ def infer_types(df: DataFrame, order: str, columns: list[str]) -> DataFrame:
         F.coalesce(F.bool_and(v.rlike(r"^[+-]?\d+$")), F.lit(False)).alias("all_int"),
         F.coalesce(F.bool_and(v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), F.lit(False)).alias("all_float"),
     )
-    share = F.col("d") / F.col("n")
+    share = F.try_divide("d", "n")
     inferred = (
         F.when(F.col("n") == 0, "unknown")
         .when(F.col("column").isin(*timely) & (F.col("time_share") > 0.7), "datetime")
@@ -117,7 +117,7 @@ def quality_metrics(df: DataFrame) -> DataFrame:
         "rows",
         F.lit(len(cols)).alias("columns"),
         nulls.alias("missing"),
-        F.round(100 * nulls / (F.col("rows") * len(cols)), 2).alias("missing_percent"),
+        F.round(F.try_divide(100 * nulls, F.col("rows") * len(cols)), 2).alias("missing_percent"),
         "duplicates",
         add(flag(F.col(f"nulls_{c}") > 0) for c in cols).alias("columns_with_nulls"),
         add(flag(2 * F.col(f"nulls_{c}") >= F.col("rows")) for c in cols).alias("half_null_columns"),
@@ -149,24 +149,29 @@ DEFAULT_RULES = (
 TYPE_PATTERNS = {"integer": r"^[+-]?\d+$", "float": r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$", "boolean": r"(?i)^(true|false|0|1|yes|no)$"}
 
 
+def _share(part: Column, whole: Column) -> Column:
+    """part / whole; of nothing, nothing."""
+    return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+
+
 def _measure(df: DataFrame, r: Rule) -> Column:
     rows, c = F.count("*"), F.col(r.column) if r.column else None
     if r.kind == "missing":
         names = [r.column] if r.column else df.columns
-        return sum((F.count_if(F.col(x).isNull()) for x in names), F.lit(0)) / (rows * len(names))
+        return _share(sum((F.count_if(F.col(x).isNull()) for x in names), F.lit(0)), rows * len(names))
     if r.kind == "duplicates":
-        return duplicate_rows(df) / rows
+        return _share(duplicate_rows(df), rows)
     if r.kind == "constant":
         return sum(((F.count_distinct(x) <= 1).cast("int") for x in df.columns), F.lit(0)).cast("double")
     if r.kind == "min_rows":
         return rows.cast("double")
     if r.kind == "type":
-        return F.count_if(~c.cast("string").rlike(TYPE_PATTERNS[r.pattern])) / F.count(c)
+        return _share(F.count_if(~c.cast("string").rlike(TYPE_PATTERNS[r.pattern])), F.count(c))
     if r.kind == "range":
-        return F.count_if(~c.between(r.low, r.high)) / rows
+        return _share(F.count_if(~c.between(r.low, r.high)), rows)
     if r.kind == "pattern":  # anchored at the start; null counts as the text 'nan'
-        return F.count_if(~F.coalesce(c.cast("string"), F.lit("nan")).rlike(f"^(?:{r.pattern})")) / rows
-    return F.count_if(~F.coalesce(F.expr(r.pattern), F.lit(False))) / rows
+        return _share(F.count_if(~F.coalesce(c.cast("string"), F.lit("nan")).rlike(f"^(?:{r.pattern})")), rows)
+    return _share(F.count_if(~F.coalesce(F.expr(r.pattern), F.lit(False))), rows)
 
 
 def validate(df: DataFrame, rules=DEFAULT_RULES) -> DataFrame:

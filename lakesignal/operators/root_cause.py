@@ -108,7 +108,7 @@ def segment_significance(seg: DataFrame) -> DataFrame:
 def attribution(seg: DataFrame, least: float = 1.0) -> DataFrame:
     """Drivers: deviation as a signed percentage of all absolute deviations of the dimension; under `least` left out, the rest scaled to 100."""
     w = Window.partitionBy("anomaly_id", "dimension")
-    out = seg.withColumn("pct", 100 * F.col("deviation") / F.sum(F.abs("deviation")).over(w))
+    out = seg.withColumn("pct", F.try_divide(100 * F.col("deviation"), F.sum(F.abs("deviation")).over(w)))
     out = out.where(F.abs(F.round("pct", 6)) >= least)
     return out.withColumn("share", 100 * F.abs("pct") / F.sum(F.abs("pct")).over(w))
 
@@ -214,7 +214,7 @@ def lagged(wide: DataFrame, a: str, b: str, most: int = 24) -> DataFrame:
         F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.stddev_pop(a).alias("sa"), F.stddev_pop(b).alias("sb"), F.count("*").alias("_n")
     )
     z = wide.crossJoin(F.broadcast(stats)).select(
-        "idx", "_n", ((F.col(a) - F.col("ma")) / F.col("sa")).alias("x"), ((F.col(b) - F.col("mb")) / F.col("sb")).alias("y")
+        "idx", "_n", F.try_divide(F.col(a) - F.col("ma"), "sa").alias("x"), F.try_divide(F.col(b) - F.col("mb"), "sb").alias("y")
     )
     lags = F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag")
     left = z.select("_n", "x", "idx", lags).withColumn("at", F.col("idx") + F.col("lag"))

@@ -13,21 +13,27 @@ from pyspark.sql import functions as F
 from ..functions.math import average_rank
 
 MIN_PERIODS = 10
-BY_KEY = Window.partitionBy("key")
-IN_TIME = BY_KEY.orderBy("idx")
 EDGE = 9  # digits that thresholds are compared at, so that engines agree on them
 
 
+def by_key():
+    return Window.partitionBy("key")
+
+
+def in_time():
+    return by_key().orderBy("idx")
+
+
 def prepare(df: DataFrame, key: Column, time: Column, value: Column) -> DataFrame:
     """(key, t, idx, v): one point for each key and time (values of equal times are summed), nulls dropped."""
     rows = df.select(key.alias("key"), time.alias("t"), value.cast("double").alias("v")).where("t is not null and v is not null")
     points = rows.groupBy("key", "t").agg(F.round(F.sum("v"), 2).alias("v"))
-    return points.withColumn("idx", F.row_number().over(BY_KEY.orderBy("t")) - 1)
+    return points.withColumn("idx", F.row_number().over(by_key().orderBy("t")) - 1)
 
 
 def long_series(s: DataFrame, least: int = MIN_PERIODS) -> DataFrame:
     """The series with at least so many points."""
-    return s.withColumn("_n", F.count("v").over(BY_KEY)).where(F.col("_n") >= least).drop("_n")
+    return s.withColumn("_n", F.count("v").over(by_key())).where(F.col("_n") >= least).drop("_n")
 
 
 def _direction(score: Column, prefix: str = "") -> Column:
@@ -41,13 +47,13 @@ def _flag(s: DataFrame, score: Column, threshold: float, prefix: str = "") -> Da
 
 def zscore(s: DataFrame, threshold: float = 3.0) -> DataFrame:
     """Distance from the series' mean in sample standard deviations; constant series flag nothing."""
-    sd = F.stddev_samp("v").over(BY_KEY)
-    return _flag(long_series(s), F.when(sd > 0, (F.col("v") - F.avg("v").over(BY_KEY)) / sd), threshold)
+    sd = F.stddev_samp("v").over(by_key())
+    return _flag(long_series(s), F.when(sd > 0, (F.col("v") - F.avg("v").over(by_key())) / sd), threshold)
 
 
 def rolling_zscore(s: DataFrame, window: int = 24, threshold: float = 3.0, min_periods: int = MIN_PERIODS) -> DataFrame:
     """The same against the window before each point, the point itself left out."""
-    past = IN_TIME.rowsBetween(-window, -1)
+    past = in_time().rowsBetween(-window, -1)
     mean, sd, n = F.avg("v").over(past), F.stddev_samp("v").over(past), F.count("v").over(past)
     score = F.when(n >= min(min_periods, window), (F.col("v") - mean) / F.greatest(sd, F.lit(1e-9)))
     return _flag(long_series(s), score, threshold)
@@ -60,7 +66,7 @@ def moving_average(s: DataFrame, window: int = 7, threshold: float = 3.0, min_pe
 
 def iqr(s: DataFrame, multiplier: float = 1.5) -> DataFrame:
     """Points outside the quartile fences; the score is the distance past the fence in IQRs, drops are negative."""
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).over(BY_KEY)
+    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).over(by_key())
     rows = long_series(s).withColumn("q", q)
     span = F.col("q")[1] - F.col("q")[0]
     low, high = F.col("q")[0] - multiplier * span, F.col("q")[1] + multiplier * span
@@ -71,7 +77,7 @@ def iqr(s: DataFrame, multiplier: float = 1.5) -> DataFrame:
 def seasonal_residual(s: DataFrame, period: int = 7) -> DataFrame:
     """s with trend (centred rolling median over max(3, period) points) and residual."""
     w = max(3, period)
-    around = IN_TIME.rowsBetween(-(w // 2), (w - 1) // 2)
+    around = in_time().rowsBetween(-(w // 2), (w - 1) // 2)
     out = s.withColumn("trend", F.percentile("v", F.lit(0.5)).over(around))
     return out.withColumn("residual", F.col("v") - F.col("trend"))
 
@@ -79,8 +85,8 @@ def seasonal_residual(s: DataFrame, period: int = 7) -> DataFrame:
 def seasonal(s: DataFrame, period: int = 7, threshold: float = 3.5) -> DataFrame:
     """Z-score of the residual."""
     rows = seasonal_residual(long_series(s, max(MIN_PERIODS, 2 * period)), period)
-    sd = F.stddev_samp("residual").over(BY_KEY)
-    return _flag(rows, F.when(sd > 0, (F.col("residual") - F.avg("residual").over(BY_KEY)) / sd), threshold)
+    sd = F.stddev_samp("residual").over(by_key())
+    return _flag(rows, F.when(sd > 0, (F.col("residual") - F.avg("residual").over(by_key())) / sd), threshold)
 
 
 def contextual(s: DataFrame, group: Column, threshold: float = 2.0) -> DataFrame:
@@ -95,7 +101,7 @@ def contextual(s: DataFrame, group: Column, threshold: float = 2.0) -> DataFrame
 def collective(s: DataFrame, window: int = 5, threshold: float = 2.5, least: int = 2) -> DataFrame:
     """Runs of at least `least` consecutive points that deviate from the past window; a run's score is its highest."""
     hits = moving_average(s, window, threshold, min_periods=window)
-    hits = hits.withColumn("island", F.col("idx") - F.row_number().over(IN_TIME))
+    hits = hits.withColumn("island", F.col("idx") - F.row_number().over(in_time()))
     run = Window.partitionBy("key", "island")
     hits = hits.withColumn("n", F.count("*").over(run)).withColumn("score", F.max(F.abs("score")).over(run))
     return hits.where(F.col("n") >= least).select("key", "idx", "v", "score", F.lit("collective").alias("kind"))
@@ -107,9 +113,9 @@ def cusum(s: DataFrame, slack: float = 0.5, limit: float = 5.0, head: int = 10)
     S+ at i is C_i - min(0, lowest C up to i), C being the running sum of deviation - slack: two windows, no loop.
     """
     base = F.when(F.col("idx") < head, F.col("v"))
-    rows = long_series(s, 2 * head).withColumn("m", F.avg(base).over(BY_KEY)).withColumn("sd", F.stddev_pop(base).over(BY_KEY))
+    rows = long_series(s, 2 * head).withColumn("m", F.avg(base).over(by_key())).withColumn("sd", F.stddev_pop(base).over(by_key()))
     rows = rows.where("sd > 0").withColumn("d", F.when(F.col("idx") > 0, (F.col("v") - F.col("m")) / F.col("sd")).otherwise(0.0))
-    upto = IN_TIME.rowsBetween(Window.unboundedPreceding, 0)
+    upto = in_time().rowsBetween(Window.unboundedPreceding, 0)
     live = (F.col("idx") > 0).cast("double")
     rows = rows.withColumn("up", F.sum(F.col("d") - slack * live).over(upto)).withColumn("down", F.sum(-F.col("d") - slack * live).over(upto))
     clamp = lambda c: F.col(c) - F.least(F.lit(0.0), F.min(c).over(upto))
@@ -125,9 +131,9 @@ def pettitt(s: DataFrame, margin: int = 10) -> DataFrame:
     p = 2 exp(-6 K^2 / (n^3 + n^2)) with K = 2 |U|, at most 1; candidates leave `margin` points on both sides.
     """
     rows = long_series(s, 2 * margin).withColumn("r", average_rank("v", ["key"]))
-    rows = rows.withColumn("n", F.count("*").over(BY_KEY).cast("double"))
+    rows = rows.withColumn("n", F.count("*").over(by_key()).cast("double"))
     t = F.col("idx") + 1
-    u = 2 * F.sum("r").over(IN_TIME.rowsBetween(Window.unboundedPreceding, 0)) - t * (F.col("n") + 1)
+    u = 2 * F.sum("r").over(in_time().rowsBetween(Window.unboundedPreceding, 0)) - t * (F.col("n") + 1)
     rows = rows.withColumn("u", u).where((t >= margin) & (t <= F.col("n") - margin))
     best = rows.groupBy("key").agg(F.max_by(F.struct("idx", "u", "n"), F.struct(F.abs("u"), -F.col("idx"))).alias("b"))
     p = F.least(F.lit(1.0), 2 * F.exp(-6 * F.pow(F.col("b.u"), 2) / (F.pow("b.n", F.lit(3)) + F.pow("b.n", F.lit(2)))))
@@ -143,7 +149,7 @@ def change_points(s: DataFrame, significance: float = 0.05, reach: int = 2) -> D
 
 def fill(s: DataFrame, how: str = "linear") -> DataFrame:
     """Null values filled: 'forward', 'backward', or 'linear' between neighbours with the nearest beyond the ends."""
-    before, after = IN_TIME.rowsBetween(Window.unboundedPreceding, 0), IN_TIME.rowsBetween(0, Window.unboundedFollowing)
+    before, after = in_time().rowsBetween(Window.unboundedPreceding, 0), in_time().rowsBetween(0, Window.unboundedFollowing)
     last, first = F.last("v", True).over(before), F.first("v", True).over(after)
     if how == "forward":
         return s.withColumn("v", last)

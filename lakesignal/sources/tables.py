@@ -86,7 +86,7 @@ def read_documents(spark: SparkSession, path: str, suffix: str = "txt") -> DataF
     """(path, content, sha256) of text files: UTF-8, else Latin-1; markup stays as it is."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").load(path)
     raw = F.col("content")
-    text = F.when(F.is_valid_utf8(F.decode(raw, "UTF-8")) & (F.encode(F.decode(raw, "UTF-8"), "UTF-8") == raw), F.decode(raw, "UTF-8"))
+    text = F.try_validate_utf8(raw.cast("string"))
     return files.select("path", F.coalesce(text, F.decode(raw, "ISO-8859-1")).alias("content"), F.sha2(raw, 256).alias("sha256"))
 
 

@@ -266,15 +266,17 @@ def crowded_links(trees: DataFrame, texts: DataFrame, width: int, percent: int)
     mixed = regions.where((F.col("n") > NEIGHBOURS + 1) & (F.col("x") != F.col("y"))).select("tree", "part", "x")
     inside = settle(rows.join(mixed, ["tree", "part"]).select("id", "label", "x").distinct(), "nd-crowded")
     meets = components(inside.select(F.col("label").alias("a"), F.col("x").alias("b")).distinct())
-    members = inside.select("id", "label").distinct().join(meets.toDF("label", "grp"), "label")
-    sizes = members.groupBy("grp", "label").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    members = inside.select("id", "label").distinct()
+    # groups are laid out by class, so their members are never dealt by group
+    classes = members.groupBy("label").agg(F.count("*").alias("n")).join(meets.toDF("label", "grp"), "label")
+    sizes = classes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     blocks = sizes.select(
         "grp", "main",
         F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("n_all"),
         F.ceil(F.greatest(F.col("n") - F.col("most"), F.lit(1)) / OUTSIDE_ROWS).cast("int").alias("n_out"),
     )
-    members = settle(members.join(blocks, "grp").join(texts, "id"), "nd-members")
+    places = settle(classes.select("label", "grp").join(blocks, "grp"), "nd-places")
+    members = settle(members.join(places, "label").join(texts, "id"), "nd-members")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     everyone = members.select("grp", of("n_all").alias("blk"), F.explode(upto("n_out")).alias("out_blk"), "id", "label", "text")

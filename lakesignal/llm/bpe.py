@@ -30,7 +30,7 @@ HEAD_BYTES = 64
 #: Distinct words that a task counts before it passes them on.
 COUNT_WORDS = 400_000
 #: Rare words that a task remembers, bytes of output that it gathers.
-RARE_WORDS, OUT_BYTES = 400_000, 8_000_000
+RARE_WORDS, OUT_BYTES = 100_000, 8_000_000
 #: Fixed values of the public byte-level format: white space (Unicode's), contractions, the order of alternatives.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Letters and numbers below U+02B0, for a faster pattern on the texts that hold nothing above.
@@ -204,18 +204,12 @@ def head_words(texts: DataFrame, vocabulary, most: int) -> DataFrame:
     return settle(chosen.select("word").mapInArrow(table, "word string, ids binary"), "bpe-head")
 
 
-def encode(texts: DataFrame, vocabulary, head: int = HEAD_WORDS) -> DataFrame:
-    """(key, ids) of texts (key, text): the ids of each whole text, packed as little-endian unsigned 32-bit integers.
-
-    vocabulary is a broadcast Vocabulary. Null and empty texts give no ids.
-    Keys may be of any type, null or repeated; every row is encoded by itself.
-    Texts and words may be of any length. An empty table gives an empty table.
-    """
+def placer(texts: DataFrame, vocabulary, head: int):
+    """The Arrow function (key, text) -> (key, ids) for texts, whose frequent words are in a table by now."""
     rows = head_words(texts, vocabulary, head).toArrow()
     packed = dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
     known = texts.sparkSession.sparkContext.broadcast(packed)
     specials = vocabulary.value.specials
-    key = texts.schema["key"].dataType.simpleString()
 
     def place(batches):
         split, get, v = _splitter(specials), known.value.get, vocabulary.value
@@ -245,16 +239,11 @@ def encode(texts: DataFrame, vocabulary, head: int = HEAD_WORDS) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([keys[first:], pa.array(out, pa.binary())], ["key", "ids"])
 
-    return texts.select("key", "text").mapInArrow(place, f"key {key}, ids binary")
+    return place
 
 
-def decode(encoded: DataFrame, vocabulary) -> DataFrame:
-    """(key, ids, text) of (key, ids): every id joined with its piece, in order.
-
-    Special tokens give their text; bytes that are no UTF-8 become U+FFFD; null
-    ids give a null text. An id outside the vocabulary raises.
-    """
-    key = encoded.schema["key"].dataType.simpleString()
+def joiner(vocabulary):
+    """The Arrow function (key, ids) -> (key, ids, text)."""
 
     def join(batches):
         pieces = vocabulary.value.pieces
@@ -274,7 +263,35 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
                 part = b.slice(first)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], ["key", "ids", "text"])
 
-    return encoded.select("key", "ids").mapInArrow(join, f"key {key}, ids binary, text string")
+    return join
+
+
+def encode(texts: DataFrame, vocabulary, head: int = HEAD_WORDS) -> DataFrame:
+    """(key, ids) of texts (key, text): the ids of each whole text, packed as little-endian unsigned 32-bit integers.
+
+    vocabulary is a broadcast Vocabulary. Null and empty texts give no ids.
+    Keys may be of any type, null or repeated; every row is encoded by itself.
+    Texts and words may be of any length. An empty table gives an empty table.
+    """
+    key = texts.schema["key"].dataType.simpleString()
+    return texts.select("key", "text").mapInArrow(placer(texts, vocabulary, head), f"key {key}, ids binary")
+
+
+def decode(encoded: DataFrame, vocabulary) -> DataFrame:
+    """(key, ids, text) of (key, ids): every id joined with its piece, in order.
+
+    Special tokens give their text; bytes that are no UTF-8 become U+FFFD; null
+    ids give a null text. An id outside the vocabulary raises.
+    """
+    key = encoded.schema["key"].dataType.simpleString()
+    return encoded.select("key", "ids").mapInArrow(joiner(vocabulary), f"key {key}, ids binary, text string")
+
+
+def round_trip(texts: DataFrame, vocabulary, head: int = HEAD_WORDS) -> DataFrame:
+    """decode(encode(texts)) in one worker a task, where two would each hold tables."""
+    key = texts.schema["key"].dataType.simpleString()
+    place, join = placer(texts, vocabulary, head), joiner(vocabulary)
+    return texts.select("key", "text").mapInArrow(lambda batches: join(place(batches)), f"key {key}, ids binary, text string")
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:
@@ -286,8 +303,7 @@ def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None
     vocabulary = spark.sparkContext.broadcast(Vocabulary.load(vocabulary_path))
     docs = table(spark, sf_dir, "documents")
     texts = docs.select(F.col("doc_id").alias("key"), "text")
-    round_trip = decode(encode(texts, vocabulary), vocabulary)
-    return round_trip.select(
+    return round_trip(texts, vocabulary).select(
         F.col("key").alias("doc_id"),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

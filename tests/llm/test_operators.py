@@ -249,6 +249,8 @@ def test_bpe_equals_the_library(spark, head):
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids and r.text == lib.decode(ids, skip_special_tokens=False)
         n += 1
     assert n == len(texts) + 1
+    both = bpe.round_trip(df, v, head).collect()
+    assert Counter(map(tuple, both)) == Counter(map(tuple, bpe.decode(bpe.encode(df, v, head), v).collect()))
     assert bpe.encode(df.where("key < 0"), v).count() == 0
 
 

@@ -14,8 +14,8 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the byte-level network keeps."""
-    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"))
+    """Documents that the byte-level network keeps; it learns from all documents, also those the rules reject."""
+    return quality_cnn.keep_good(docs, table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"))
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ WIDTH, FILTERS, HIDDEN, SEGMENT = 6, 24, 24, 256
 #: Bytes convolved at a time.
 BLOCK = SEGMENT * 256
 PAD = 256
-#: Labelled documents of each class that the network is trained on, at most, and characters of each (from a place drawn by hash).
-CLASS_ROWS, TRAIN_CHARS = 2000, 12_000
+#: Labelled documents of each class that the network is trained on, at most.
+CLASS_ROWS = 2000
 STEPS, BATCH, RATE = 900, 32, 0.01
 THRESHOLD = 0.3
 FOLDS = 5
@@ -167,18 +167,15 @@ def is_held_out(id_col: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Network:
-    """Train on at most CLASS_ROWS labelled documents of each class that are not held out, texts alone.
+    """Train on at most CLASS_ROWS labelled documents of each class that are not held out, whole texts alone.
 
-    Of a long text TRAIN_CHARS characters from a place drawn by hash are used.
+    The rows of a class are drawn among the labels of docs, so labels of other documents take no place.
     """
-    usable = labels.where(~is_held_out(F.col("doc_id")))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    usable = labels.where(~is_held_out(F.col("doc_id"))).join(texts.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     parts = [labelled(usable.where(F.col("quality") == c), CLASS_ROWS) for c in (0, 1)]
     sample = parts[0].union(parts[1])
-    size = F.length("text")
-    place = 1 + F.pmod(F.xxhash64("id"), F.greatest(size - TRAIN_CHARS + 1, F.lit(1))).cast("int")
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(sample), "id").where(F.col("text").isNotNull())
-    rows = rows.select("id", F.substring("text", place, F.lit(TRAIN_CHARS)).alias("text"), "label")
+    rows = texts.join(F.broadcast(sample), "id").select("id", "text", "label")
     got = sorted((r.id, r.text, r.label) for r in rows.dropDuplicates(["id"]).collect())
     return train([t for _, t, _ in got], [y for _, _, y in got])
 
@@ -195,13 +192,16 @@ def score(docs: DataFrame, net: Network, text_col: str = "text") -> Column:
     return run(F.col(text_col))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, source: DataFrame | None = None) -> DataFrame:
     """The documents that the network trained on labels scores THRESHOLD or more, with their own columns.
 
+    The network is fitted on the labelled documents of source, or of docs without one. Where an earlier
+    filter has taken bad documents out of docs, source is the table before it.
     Rows are judged one by one; columns of any name pass through.
     """
     name = fresh(docs, "score")
-    return docs.withColumn(name, score(docs, fit(docs, labels))).where(F.col(name) >= THRESHOLD).drop(name)
+    net = fit(docs if source is None else source, labels)
+    return docs.withColumn(name, score(docs, net)).where(F.col(name) >= THRESHOLD).drop(name)
 
 
 def op9_quality_cnn(spark, sf_dir: str) -> DataFrame:

@@ -11,12 +11,12 @@ confirmed if enough of one of the family's templates stands in the paragraph.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from math import exp
+from math import exp, inf, log
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_words
+from .common import ascii_words, computed, let
 
 #: Short notices by family; the first of each is a template that is used most.
 NOTICES = {
@@ -86,8 +86,11 @@ OTHERS = [
     "The committee may license new commercial stations under the act.",
     "No part of the city was spared by the storm.",
 ]
-#: A paragraph without any of these has no licence; they make documents and paragraphs cheap to rule out.
+#: A line with one of these, or with a licence's short name, is unknown if it reaches no family.
 ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "proprietary")
+NAMES = r"(?i:\b(?:[al]?gpl(?:v?[0-9.]+)?|cc[ -]by|cc0|bsd|apache|spdx)\b)|\bMIT\b"
+#: Words that decide nothing; needed_words puts n-grams on their other words.
+COMMON = frozenset("a an and any as at be been by for from has in into is it may no not of on only or that the this to under with without you".split())
 NGRAMS = 3
 EPOCHS, RATE, DECAY = 40, 0.5, 1e-4
 #: Share of unseen notices whose probability a family's least probability may exceed.
@@ -171,13 +174,99 @@ def has_anchor(text: Column) -> Column:
     return out
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, words) of the lines that hold an anchor."""
-    held = docs.where(has_anchor(F.col(text_col))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    lines = held.select("id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    lines = lines.where(has_anchor(F.col("line")))
-    words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda x: x != "")
-    return lines.select("id", "place", words.alias("words"))
+def is_named(text: Column) -> Column:
+    return has_anchor(text) | text.rlike(NAMES)
+
+
+def bounds(model: Model) -> list[tuple[float, dict[str, float]]]:
+    """For each family the sum that its least probability takes, and what lies on each word.
+
+    Each n-gram of positive weight is put on one of its words, so a paragraph's
+    sum is at most the sum over its distinct words of what lies on them.
+    """
+    out = []
+    for f, least in enumerate(model.least):
+        need = log(least / (1 - least)) - model.bias[f] - 1e-3 if least < 1 else inf  # weights and chances are rounded
+        lies: dict[str, float] = {}
+        for g, v in model.weights.items():
+            if v[f] > 0:
+                w = max(g.split(), key=lambda x: (x not in COMMON, model.weights.get(x, v)[f], x))
+                lies[w] = lies.get(w, 0.0) + v[f]
+        out.append((need, lies))
+    return out
+
+
+def needed_words(model: Model) -> list[str] | None:
+    """Words of which a paragraph holds one at least if any family reaches its least probability; None if it needs none.
+
+    For each family the words that together stay below the needed sum are left out.
+    """
+    out = set()
+    for need, lies in bounds(model):
+        if need <= 0:
+            return None
+        total = 0.0
+        for w in sorted(lies, key=lambda x: (x not in COMMON, lies[x], x)):
+            if total + lies[w] < need:
+                total += lies[w]
+            else:
+                out.add(w)
+    return sorted(out)
+
+
+def can_reach(words: Column, model: Model) -> Column:
+    """Whether the bound of any family comes up to its needed sum."""
+    limits = bounds(model)
+    known = sorted({w for _, lies in limits for w in lies})
+    if not known:
+        return F.lit(any(need <= 0 for need, _ in limits))
+    table = F.lit([[float(lies.get(w, 0.0)) for _, lies in limits] for w in known])
+    names = F.lit(known)
+
+    def any_reaches(found: Column) -> Column:
+        out = F.lit(False)
+        for f, (need, _) in enumerate(limits):
+            out = out | (F.aggregate(F.transform(found, lambda v: v[f]), F.lit(0.0), lambda t, x: t + x) >= need)  # noqa: B023
+        return out
+
+    held = F.transform(F.array_intersect(words, names), lambda w: F.element_at(table, F.array_position(names, w).cast("int")))
+    return let(held, any_reaches)
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, model: Model) -> DataFrame:
+    """(id, doc, place, n, words, named) of the lines, and runs of n wrapped lines, that may hold a licence.
+
+    A run holds no empty line, and its lines but the last have fewer words than the longest notice.
+    """
+    need, longest = needed_words(model), max(len(ascii_words(t)) for ts in NOTICES.values() for t in ts)
+    text = F.col(text_col)
+    held = docs.where(text.isNotNull())
+    held = held.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("doc"), F.split(text_col, "\n").alias("lines"))
+    words = F.transform("lines", lambda x: F.filter(F.split(F.lower(x), "[^a-z0-9]+"), lambda w: w != ""))
+    held = computed(held, "all", words)
+    held = computed(held, "sizes", F.transform("all", lambda w: F.size(w)))
+
+    def lengths(i: Column) -> Column:
+        """How many lines from line i on make a paragraph: one, and those of its runs."""
+        here = F.get("sizes", i)
+        counts = lambda n: F.slice("sizes", i + 1, n)
+        most = F.least(F.size("all") - i, F.lit(longest))
+        fits = lambda n: ~F.exists(counts(n), lambda c: c == 0) & (F.aggregate(counts(n - 1), F.lit(0), lambda t, c: t + c) < longest)
+        one = F.array(F.lit(1))
+        return F.when((here > 0) & (here < longest) & (most >= 2), F.concat(one, F.filter(F.sequence(F.lit(2), most), fits))).otherwise(one)
+
+    def cut(i: Column) -> Column:
+        run = lambda n: F.when(n == 1, F.get("all", i)).otherwise(F.flatten(F.slice("all", i + 1, n)))
+        line = lambda n: F.when(n == 1, F.get("lines", i))
+        return F.transform(lengths(i), lambda n: F.struct(i.alias("place"), n.alias("n"), run(n).alias("words"), line(n).alias("line")))
+
+    parts = F.flatten(F.transform(F.sequence(F.lit(0), F.size("all") - 1), cut))
+    out = held.select("id", "doc", F.explode(parts).alias("part")).select("id", "doc", "part.*")
+    out = computed(out, "named", F.coalesce(is_named(F.col("line")), F.lit(False)))
+    asked = F.lit(True)
+    if need is not None:
+        asked = F.arrays_overlap("words", F.array(*map(F.lit, need)).cast("array<string>")) & can_reach(F.col("words"), model)
+    return out.where(F.col("named") | asked).select("id", "doc", "place", "n", "words", "named")
 
 
 def gram_columns(words: Column) -> Column:
@@ -192,42 +281,61 @@ def gram_columns(words: Column) -> Column:
 
 
 def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence paragraphs: doc_id, place (line from 0), family, probability, confirmed.
-
-    Lines are the paragraphs. One row for each distinct (doc_id, place, words)
-    whose likeliest family reaches its least probability, or that holds an
-    anchor and reaches none: family 'unknown'. Equal probabilities go to the
-    family named first. Null and empty texts have no paragraphs. Rows that
-    repeat an id are scanned each; equal ones give one row. A null id stays
-    null. Extra columns are ignored.
+    """Licence paragraphs: doc_id, place (first line from 0), family, probability, confirmed.
+
+    Lines are the paragraphs, and runs of wrapped lines. One row for each
+    distinct (doc_id, place, words) of a line whose likeliest family reaches
+    its least probability, or that holds an anchor or a licence's name and
+    reaches none: family 'unknown'. A run gives a row if it is confirmed and
+    holds more of a notice than any line or run of that family that
+    overlaps it; its unconfirmed lines then give none. Equal
+    probabilities go to the family named first. Null and empty texts have no
+    paragraphs. Rows that repeat an id are scanned each; equal ones give one
+    row. A null id stays null. Extra columns are ignored.
     """
     spark = docs.sparkSession
     model = model or train()
     n = len(model.families)
-    lines = paragraphs(docs, id_col, text_col).distinct()
-    grams = lines.select("id", "place", "words", F.explode_outer(gram_columns(F.col("words"))).alias("gram"))
+    keys = ["id", "doc", "place", "n", "words", "named"]
+    lines = paragraphs(docs, id_col, text_col, model).distinct()
+    grams = lines.select(*keys, F.explode_outer(gram_columns(F.col("words"))).alias("gram"))
     table = F.broadcast(weight_table(spark, model))
-    parts = grams.join(table, "gram", "left").groupBy("id", "place", "words")
+    parts = grams.join(table, "gram", "left").groupBy(*keys)
     sums = parts.agg(*(F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in range(n)))
     chances = F.array(*(F.round(1 / (1 + F.exp(-(F.col(f"s{k}") + model.bias[k]))), 6) for k in range(n)))
-    scored = sums.select("id", "place", "words", chances.alias("p"))
+    scored = sums.select(*keys, chances.alias("p"))
     best = F.array_max("p")
     at = F.array_position("p", best).cast("int")
     least = F.element_at(F.array(*map(F.lit, model.least)), at)
-    held = F.lit(False)
+    shared = F.lit(0)  # the most words of a notice that confirms
     for k, f in enumerate(model.families):
         for notice in NOTICES.get(f, ()):
             own = sorted(set(ascii_words(notice)))
             common = F.size(F.array_intersect("words", F.array(*map(F.lit, own))))
-            held = held | ((at == k + 1) & (common >= TEMPLATE_SHARE * len(own)))
+            shared = F.greatest(shared, F.when((at == k + 1) & (common >= TEMPLATE_SHARE * len(own)), common).otherwise(0))
     known = best >= least
-    family = F.element_at(F.array(*map(F.lit, model.families)), at)
-    return scored.select(
+    family = F.when(known, F.element_at(F.array(*map(F.lit, model.families)), at)).otherwise("unknown")
+    hits = scored.where(known | F.col("named")).select(
+        *keys, family.alias("family"), best.alias("probability"), F.when(known, shared).otherwise(0).alias("shared")
+    )
+    hits = hits.where((F.col("n") == 1) | (F.col("shared") > 0))
+    # A run stays if it is the best of its family at each line that it covers.
+    covered = hits.withColumn("at", F.explode(F.sequence("place", F.col("place") + F.col("n") - 1)))
+    rank = F.row_number().over(Window.partitionBy("id", "doc", "family", "at").orderBy(F.desc("shared"), "n", "place"))
+    hit = [*keys, "family", "probability", "shared"]
+    covered = covered.withColumn("first", rank == 1)
+    wins = F.min("first").over(Window.partitionBy(*hit))
+    covered = covered.withColumn("stays", wins & (F.col("n") > 1))
+    covered = covered.withColumn("wrapped", F.max("stays").over(Window.partitionBy("id", "doc", "at")))
+    covered = covered.where(F.col("at") == F.col("place"))
+    alone = (F.col("n") == 1) & ((F.col("shared") > 0) | ~F.col("wrapped"))
+    out = covered.where(F.col("stays") | alone).select("id", "place", "n", "words", "family", "probability", "shared").distinct()
+    return out.select(
         F.col("id").alias("doc_id"),
         F.col("place").cast("long").alias("place"),
-        F.when(known, family).otherwise("unknown").alias("family"),
-        best.alias("probability"),
-        (known & held).alias("confirmed"),
+        "family",
+        "probability",
+        (F.col("shared") > 0).alias("confirmed"),
     )
 
 

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -110,6 +111,28 @@ def test_licence_scores_equal_the_model(spark):
         assert abs(max(p) - r.probability) < 1e-3
 
 
+def test_every_notice_is_found_whole_and_wrapped(spark):
+    notices = [(f, n) for f, ns in license_scan.NOTICES.items() for n in ns]
+    whole = {r.doc_id: r for r in license_scan.scan(docs_of(spark, [n for _, n in notices])).collect() if r.family != "unknown"}
+    assert {i: whole[i].family for i in whole} == {i: f for i, (f, _) in enumerate(notices)}
+    assert all(r.confirmed for r in whole.values())
+    wrapped = ["Some text.\n\n" + textwrap.fill(n, 30, break_on_hyphens=False) + "\n\nMore." for _, n in notices]
+    found = {(r.doc_id, r.family) for r in license_scan.scan(docs_of(spark, wrapped)).collect() if r.confirmed}
+    assert {(i, f) for i, (f, _) in enumerate(notices)} <= found
+    names = ["GPL v3", "CC0 1.0 Universal", "BSD", "MIT", "Apache", "CC BY"]
+    assert {r.doc_id for r in license_scan.scan(docs_of(spark, names)).collect()} == set(range(len(names)))
+
+
+def test_words_that_rule_lines_out_lose_none():
+    model = license_scan.train()
+    need, rng = set(license_scan.needed_words(model)), random.Random(1)
+    words = sorted({w for g in model.weights for w in g.split()} - need)
+    grams = sorted(g for g in model.weights if not set(g.split()) & need)
+    for texts in [grams, words] + [rng.sample(grams, 60) for _ in range(50)]:
+        p = model.probabilities(" ".join(texts).split())
+        assert all(x < least for x, least in zip(p, model.least, strict=True))
+
+
 # --- 3 kNN join -----------------------------------------------------------------------------------------------
 
 

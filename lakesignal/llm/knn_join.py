@@ -114,25 +114,32 @@ def knn_join(
 
     placed = rows.mapInArrow(assign, "id long, vec binary, cell int, gap double")
 
-    # Summaries: a row for each cell, from partial aggregates; at most MAX_PIVOTS rows of k + 1 distances.
+    # Summaries: a row for each cell, from partial aggregates; at most MAX_PIVOTS rows of k + 1 distances of distinct ids.
     def nearest_gaps(batches):
-        best: dict[int, np.ndarray] = {}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            cell, gap = b.column("cell").to_numpy(), b.column("gap").to_numpy()
+            ids, cell, gap = (b.column(c).to_numpy() for c in ("id", "cell", "gap"))
             for c in np.unique(cell):
-                best[c] = np.sort(np.concatenate([best.get(c, np.empty(0)), gap[cell == c]]))[: k + 1]
+                old_id, old_gap = best.get(c, (np.empty(0, np.int64), np.empty(0)))
+                all_id, all_gap = np.concatenate([old_id, ids[cell == c]]), np.concatenate([old_gap, gap[cell == c]])
+                order = np.argsort(all_gap, kind="stable")
+                first = order[np.sort(np.unique(all_id[order], return_index=True)[1])[: k + 1]]
+                best[c] = all_id[first], all_gap[first]
         if best:
-            out = [(int(c), float(g)) for c, gs in best.items() for g in gs]
+            out = [(int(c), int(i), float(g)) for c, (ids, gs) in best.items() for i, g in zip(ids, gs, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in out], pa.int32()), pa.array([g for _, g in out])], ["cell", "gap"]
+                [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out])],
+                ["cell", "id", "gap"],
             )
 
     placed = settle(placed, "knn-placed")
     sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
     near_rows = (
-        placed.select("cell", "gap")
-        .mapInArrow(nearest_gaps, "cell int, gap double")
-        .withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("gap")))
+        placed.select("cell", "id", "gap")
+        .mapInArrow(nearest_gaps, "cell int, id long, gap double")
+        .groupBy("cell", "id")
+        .agg(F.min("gap").alias("gap"))
+        .withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("gap", "id")))
         .where(F.col("r") <= k + 1)
         .collect()
     )
@@ -141,17 +148,19 @@ def knn_join(
     for r in sizes:
         count[r.cell], radius[r.cell] = r.n, r.radius
     for r in near_rows:
-        near[r.cell].append(r.gap)
+        near[r.cell].append((r.gap, r.id))
     near_cell = np.array([c for c in range(n_cells) for _ in near[c]], int)
-    near_gap = np.array([g for c in range(n_cells) for g in near[c]])
+    near_gap = np.array([g for c in range(n_cells) for g, _ in near[c]])
+    near_id = np.array([i for c in range(n_cells) for _, i in near[c]], np.int64)
 
-    def needed(q: np.ndarray) -> np.ndarray:
+    def needed(q: np.ndarray, q_id: np.ndarray) -> np.ndarray:
         """For each query and cell: can a member be among the k best? Bounds are widened by rounding's share."""
         norm, dot = np.sqrt((q**2).sum(1))[:, None], q @ pivots.T
         slack = 1e-9 * (norm * (np.sqrt((pivots**2).sum(1)).max() + radius.max()) + 1)
-        low = np.sort(dot[:, near_cell] - norm * near_gap[None, :], axis=1)
-        # one of the k + 1 may be the query's own row
-        sure = low[:, -(k + 1)][:, None] if low.shape[1] > k else np.full((len(q), 1), -np.inf)
+        low = dot[:, near_cell] - norm * near_gap[None, :]
+        # rows of the query's own id are no candidates
+        low = np.sort(np.where(near_id[None, :] == q_id[:, None], -np.inf, low), axis=1)
+        sure = low[:, -k][:, None] if low.shape[1] >= k else np.full((len(q), 1), -np.inf)
         return (dot + norm * radius[None, :] + slack >= sure - slack) & (count > 0)[None, :]
 
     # Query groups: whole cells side by side up to GROUP_ROWS; a cell with more is split by hash.
@@ -173,7 +182,7 @@ def knn_join(
         """A query goes to the blocks of the cells that it needs."""
         for b in batches:
             ids, packed, cell = (b.column(i).to_pylist() for i in range(3))
-            q_at, c_at = np.nonzero(needed(_matrix(packed, dim)))
+            q_at, c_at = np.nonzero(needed(_matrix(packed, dim), np.array(ids, np.int64)))
             rows_out = [
                 (int(first[cell[i]]) + ids[i] % int(parts[cell[i]]), int(c), blk, ids[i], packed[i])
                 for i, c in zip(q_at, c_at, strict=True)

@@ -162,6 +162,17 @@ def test_knn_join_equals_brute_force(spark, monkeypatch, cell_rows):
     assert knn_join.knn_join(df.where("vec_id < 0"), F.col("id") % 5 == 0).count() == 0
 
 
+def test_knn_join_with_hot_query_ids_and_several_pivots(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "CELL_ROWS", 2)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 120) if i % 5]
+    for i in range(0, 40, 5):  # each id on many rows, far from all others
+        rows += [(i, [8.0 if j == i // 5 else 0.0 for j in range(8)])] * 20
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in knn_join.knn_join(df, F.col("id") % 5 == 0, k=4).collect()}
+    assert got == brute_knn(rows, 4)
+
+
 # --- 4 packing ------------------------------------------------------------------------------------------------
 
 

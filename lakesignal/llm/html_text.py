@@ -2,7 +2,8 @@
 
 Markup is stripped to lines, one a block element; containers that never hold
 main text (menus, forms, scripts and so on) go with it, as markup does, and the
-edges of other containers leave empty lines. Text outside links is summed over
+edges of blocks of the page's layout leave empty lines. Inside article and main
+elements every line is kept. On pages without them, text outside links is summed over
 sliding windows of lines. Where the sums surge a run of text begins, where they
 dive to nothing it ends; the lines between are kept.
 """
@@ -21,18 +22,17 @@ from pyspark.sql import functions as F
 WINDOW, EDGE = 3, 2
 #: A window with this much text is a surge, or with half of the page's fullest window.
 SURGE = 80
-#: Besides the longest run, runs of this share of it are kept on pages without an article element.
-RUN_SHARE = 0.25
-
 TAG = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.S)
 RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe", "title", "xmp")
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
-DROPPED = frozenset("head nav footer aside form button select dialog menu object canvas map figcaption".split())
+DROPPED = frozenset("head nav footer aside form button select dialog menu object canvas map".split())
 CONTAINERS = frozenset(
     "body div section article main nav header footer aside form ul ol dl table tbody thead tr td th figure blockquote"
     " details fieldset center head button select dialog menu object canvas map figcaption address".split()
 )
+#: Containers inside a text: their edges end a line, but leave no empty ones.
+INNER = frozenset("section ul ol dl table tbody thead tr td th figure blockquote details figcaption address".split())
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre hr caption summary legend option label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 WORDS = frozenset(
@@ -56,7 +56,8 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
         return True
     if named.get("role") in ROLES:
         return True
-    words = set(re.split(r"[^a-z]+", f"{named.get('class', '')} {named.get('id', '')}"))
+    names = f"{named.get('class', '')} {named.get('id', '')}"
+    words = set(names.split() if in_article else re.split(r"[^a-z]+", names))  # whole names inside an article
     if in_article or tag == "article":  # parts of an article are often named after it
         words -= {"header", "tags", "banner"}
     return bool(words & WORDS)
@@ -107,7 +108,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
         if tag not in BLOCKS:
             continue
         if not dropped:
-            close_line(EDGE if tag in CONTAINERS else 0)
+            close_line(EDGE if tag in CONTAINERS and tag not in INNER else 0)
         links = 0
         if tag not in CONTAINERS or tag in VOID:
             continue
@@ -132,16 +133,14 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
 
 
 def main_text(page: str | None) -> str:
-    """The lines between surges and dives, joined by spaces."""
+    """All lines of articles and main elements, or else the lines between surges and dives, joined by spaces."""
     lines, sizes = lines_of(page or "")
-    articles = {a: n for a, n in sizes.items() if a}
-    if articles:  # the largest article; other lines count as markup
-        chosen = max(articles, key=lambda a: (articles[a], -a))
-        lines = [(t, n, a) if a == chosen else ("", 0, a) for t, n, a in lines]
+    if any(n for a, n in sizes.items() if a):
+        return " ".join(t for t, _, a in lines if t and a)
     weights = [n for _, n, _ in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     top = max(sums, default=0)
-    surge, runs, i = min(SURGE, top / 2), [], 0
+    surge, kept, i = min(SURGE, top / 2), [], 0
     while i < len(sums):
         if not sums[i]:
             i += 1
@@ -150,16 +149,9 @@ def main_text(page: str | None) -> str:
         while end < len(sums) and sums[end]:
             end += 1
         if max(sums[i:end]) >= surge:
-            runs.append((sum(weights[i:end]), i, end))
+            kept.append((i, end))
         i = end
-    if not runs:
-        return " ".join(t for t, _, _ in lines if t) if articles else ""
-    if articles:
-        kept = runs
-    else:
-        longest = max(n for n, _, _ in runs)
-        kept = [r for r in runs if r[0] >= RUN_SHARE * longest]
-    return " ".join(t for _, s, e in kept for t, _, _ in lines[s:e] if t)
+    return " ".join(t for s, e in kept for t, _, _ in lines[s:e] if t)
 
 
 def extract(pages: Column) -> Column:

@@ -438,6 +438,21 @@ def test_html_without_article_element():
     assert html_text.main_text(page) == f"{PARAGRAPH.strip()} {PARAGRAPH.strip()}"
 
 
+def test_html_keeps_every_line_of_all_articles():
+    cells = "<table><tr><td>A1</td><td>B1</td></tr><tr><td>A2</td><td>B2</td></tr></table>"
+    first = f"<article><header><div>Title</div></header><div><p>{PARAGRAPH}</p></div><div>Short.</div>{cells}<figure><figcaption>Caption</figcaption></figure></article>"
+    second = "<article><div class='comment-policy'>Second, small.</div><div class='share'>Share it</div><blockquote>Quote</blockquote></article>"
+    want = f"Title {PARAGRAPH.strip()} Short. A1 B1 A2 B2 Caption Second, small. Quote"
+    assert html_text.main_text(f"<body><nav>Menu</nav>{first}{second}<footer>End</footer></body>") == want
+
+
+def test_html_keeps_tables_and_short_sections_without_article():
+    long = f"<div>{f'<p>{PARAGRAPH}</p>' * 20}</div>"
+    table = "<table><tr><td>A1</td><td>B1</td></tr></table><section>Short.</section>"
+    page = f"<body>{long}<div><p>{PARAGRAPH}</p>{table}</div></body>"
+    assert html_text.main_text(page) == " ".join([PARAGRAPH.strip()] * 21 + ["A1 B1 Short."])
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<script>", "<!-- x", "<div><nav>a</nav>", "</p></div>", "<a b='c>"])
 def test_html_odd_pages_give_text(page):
     assert isinstance(html_text.main_text(page), str)

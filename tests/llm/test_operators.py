@@ -2,9 +2,11 @@
 
 import gzip
 import hashlib
+import html
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -453,6 +455,58 @@ def test_html_keeps_tables_and_short_sections_without_article():
     assert html_text.main_text(page) == " ".join([PARAGRAPH.strip()] * 21 + ["A1 B1 Short."])
 
 
+def test_html_line_blocks_decide(spark, sf_dir):
+    """Without the runs between surges and dives every page of the table would keep menus, adverts and footers."""
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    assert pages
+    for page in pages:
+        lines = [x for x in html_text.lines_of(page) if x[0]]
+        kept = html_text.main_text(page)
+        article = re.sub(r"<script.*?</script>|<style.*?</style>", " ", re.search("(?s)<article>(.*)</article>", page)[1], flags=re.S)
+        want = re.sub(r"\s+", "", html.unescape(re.sub("<[^>]*>", "", article)))
+        assert re.sub(r"\s+", "", kept) == want
+        assert " ".join(t for t, _, _ in lines) != kept
+    menu = "".join(f"<li><a href=x>Item {i}</a></li>" for i in range(40))
+    bare = f"<div><ul>{menu}</ul></div><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div><div><p>Sponsor.</p></div>"
+    assert html_text.main_text(bare) == f"{PARAGRAPH.strip()} {PARAGRAPH.strip()}"
+
+
+def brute_runs(weights, surge):
+    sums = [sum(weights[i : i + html_text.WINDOW]) for i in range(len(weights))]
+    out = []
+    for i in range(len(sums)):
+        if sums[i] and (i == 0 or not sums[i - 1]):
+            end = min((j for j in range(i, len(sums)) if not sums[j]), default=len(sums))
+            if any(x >= surge for x in sums[i:end]):
+                out.append((min(j for j in range(i, end) if weights[j]), end))
+    return out
+
+
+def test_html_runs_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        weights = [rng.choice([0, 0, 0, 1, 30, 90]) for _ in range(rng.randint(0, 30))]
+        surge = rng.choice([1, 40, 80])
+        assert html_text.runs(weights, surge) == brute_runs(weights, surge)
+
+
+def test_html_classes_of_paragraphs_and_lone_links_in_articles():
+    page = "<article><p>One</p><p class='advert'>BUY NOW</p><section class='related-work'>Related work</section><div></div><div><a href=x>Only a link</a></div><div></div><ul><li class=ad>x<li>y</ul></article><p>outside"
+    assert html_text.main_text(page) == "One Related work Only a link y"
+
+
+@pytest.mark.parametrize("bad", ['<a "', "<a b='", '<a b="x', "<p x=", "<!--", "<![", "<div>", "</div>", "<li>", "<", "a < b ", "<script>", "&", "<p>a</p>"])
+def test_html_broken_pages_of_a_megabyte_take_no_long_time(bad):
+    start = time.monotonic()
+    html_text.main_text("<p>" + bad * (1_000_000 // len(bad)))
+    assert time.monotonic() - start < 10  # seconds, with room for a busy machine; quadratic scans took minutes
+
+
+def test_html_long_page_is_read_whole():
+    body = "".join(f"<p>{PARAGRAPH}{i}</p>" for i in range(5000))
+    assert html_text.main_text(f"<body>{body}</body>") == " ".join(f"{PARAGRAPH}{i}" for i in range(5000))
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<script>", "<!-- x", "<div><nav>a</nav>", "</p></div>", "<a b='c>"])
 def test_html_odd_pages_give_text(page):
     assert isinstance(html_text.main_text(page), str)
@@ -462,3 +516,6 @@ def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", f"<article><p>{PARAGRAPH}</p></article>", "t"), (2, None, None, "t"), (1, "u", "", "t")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.n_chars) for r in html_text.html_text(df).collect())
     assert got == [(1, 0), (1, len(PARAGRAPH.strip())), (2, 0)]
+    twice = html_text.html_text(df.union(df).union(spark.createDataFrame([(None, None, "x", "t")], df.schema)))
+    assert twice.count() == 7 and twice.columns == ["page_id", "url", "text", "n_chars"]
+    assert html_text.html_text(df.where("page_id < 0")).count() == 0

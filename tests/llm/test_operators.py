@@ -302,10 +302,32 @@ def test_urls(spark):
         ("http://notexample.com/de/1", "notexample.com", "/de/1", "com/de/", "block"), ("ftp://x.net?q://y/", "x.net", "", None, "allow"),
         ("http://x.net/Porn-1", "x.net", "/Porn-1", None, "block"), ("http://x.net/pornographer", "x.net", "/pornographer", None, "allow"),
         ("http://x.net/casino/casino", "x.net", "/casino/casino", None, "allow"), ("http://x.net/casino?free", "x.net", "/casino", None, "block"),
+        ("http://x.net/?q=%20porn", "x.net", "/", None, "block"), ("http://x.net/%50orn%2fa", "x.net", "/%50orn%2fa", None, "block"),
+        ("http://x.net/adult_x", "x.net", "/adult_x", None, "block"), ("http://adult-x.net/", "adult-x.net", "/", None, "block"),
+        ("http://adultx.net/", "adultx.net", "/", None, "allow"), ("http://free-bets.net/", "free-bets.net", "/", None, "block"),
+        ("http://x.net/bet/bets", "x.net", "/bet/bets", None, "allow"), ("http://x.net/pornos", "x.net", "/pornos", None, "block"),
+        ("http://x.net/%ff%zzporn%", "x.net", "/%ff%zzporn%", None, "allow"), ("http://x.net/%ffporn", "x.net", "/%ffporn", None, "block"),
+        ("http://x.net/" + "a/" * 200_000 + "xxx", "x.net", "/" + "a/" * 200_000 + "xxx", None, "block"),
     ]
     df = spark.createDataFrame([(i, c[0], "h") for i, c in enumerate(cases)], "page_id long, url string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.url_filter(df, url_filter.OP7_RULES).collect()}
     assert got == {i: c[1:] for i, c in enumerate(cases)}
+    twice = url_filter.url_filter(df.union(df), url_filter.OP7_RULES)
+    assert twice.count() == 2 * len(cases) and url_filter.url_filter(df.where("page_id < 0")).count() == 0
+    assert {r.verdict for r in url_filter.url_filter(df, strict=(), soft=()).collect()} == {"allow"}
+
+
+def test_url_rules_of_equal_length(spark):
+    """The longer host wins, then block before allow."""
+    df = spark.createDataFrame([(1, "http://a.bc/xy")], "page_id long, url string")
+    rule = url_filter.Rule
+    for rules, want in (
+        ([rule("allow", "a.bc", "/"), rule("block", "bc", "/xy")], ("a.bc/", "allow")),
+        ([rule("allow", "a.bc", "/"), rule("block", "a.bc", "/")], ("a.bc/", "block")),
+    ):
+        for order in (rules, rules[::-1]):
+            (row,) = url_filter.url_filter(df, order).collect()
+            assert (row.rule, row.verdict) == want
 
 
 # --- 8 near-duplicates ----------------------------------------------------------------------------------------

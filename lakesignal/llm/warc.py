@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, settle
 
 CRLF = "\r\n"
 MARK = b"WARC/1."
@@ -44,18 +44,28 @@ RECORD_DDL = (
 )
 
 
-def with_roles(pages: DataFrame, id_col: str, html_col: str, least: int) -> DataFrame:
-    """pages with payload, payload_digest, payload_bytes and first_id, the page that holds an equal payload."""
-    payload = F.coalesce(F.col(html_col), F.lit(""))
-    rows = pages.where(F.col(id_col).isNotNull()).withColumn("payload", payload)
+def with_roles(pages: DataFrame, least: int) -> DataFrame:
+    """pages (id, url, html) with payload, payload_digest, payload_bytes, copies and first.
+
+    copies counts the rows of the same id and payload, null for one; first
+    (id, url, copies) is the page that holds the payload of a revisit, null for a response.
+    """
+    rows = pages.select("id", "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("payload_digest", F.sha2(F.encode("payload", "UTF-8"), 256))
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    light = rows.select(id_col, "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= least)
-    first = light.groupBy("payload_digest").agg(F.min(id_col).alias("first_id"), F.count("*").alias("copies"))
-    first = first.where(F.col("copies") > 1).drop("copies")
-    revisits = light.drop("payload_bytes").distinct().join(first, "payload_digest")
-    revisits = revisits.where(F.col(id_col) > F.col("first_id"))
-    return rows.join(revisits, [id_col, "payload_digest"], "left")
+    rows = rows.withColumn("key", F.coalesce(F.col("id").cast("string"), F.lit("")))
+    # Texts stay out of this: ids and digests are counted before the shuffle.
+    held = rows.groupBy("key", "payload_digest").agg(
+        F.first("id").alias("id"), F.min("url").alias("url"), F.min("payload_bytes").alias("size"), F.count("*").alias("copies")
+    )
+    named = held.where((F.col("size") >= least) & F.col("id").isNotNull())
+    first = named.groupBy("payload_digest").agg(F.min(F.struct("id", "url", "copies")).alias("first"))
+    revisit = F.col("first").isNotNull() & (F.col("size") >= least) & (F.col("id").isNull() | (F.col("id") > F.col("first.id")))
+    roles = held.join(first, "payload_digest", "left").select(
+        "key", "payload_digest", F.when(F.col("copies") > 1, F.col("copies")).alias("copies"), F.when(revisit, F.col("first")).alias("first")
+    )
+    roles = roles.where("copies is not null or first is not null")
+    return rows.join(roles, ["key", "payload_digest"], "left")
 
 
 def write_warc(
@@ -66,22 +76,32 @@ def write_warc(
     html_col: str = "html",
     least: int = REVISIT_BYTES,
 ) -> None:
-    """Write a request, a response or revisit, and a metadata record for each page to gzipped archives at path.
+    """Write a request, a response or revisit, and a metadata record for each row to gzipped archives at path.
 
     The payload is the html in UTF-8, null as empty. Of pages with equal
     payloads of at least `least` bytes the one with the smallest id is the
-    response that the others revisit. Rows without an id are left out; a row
-    repeated with id, url and payload writes the same capture again. A null url
-    writes no target; control characters in urls are percent-encoded. Extra
-    columns are ignored. An empty table writes no record.
+    response that the others revisit, also those without an id; rows that share
+    that smallest id are all responses, and so are all rows if none has an id.
+    Every row has records of its own, repeated ones too. A revisit names its
+    response in WARC-Refers-To (left out if that page's row is repeated), its
+    url and its date. A null url writes no target; control characters in urls
+    are percent-encoded. Payloads may be of any length. Extra columns are
+    ignored. An empty table writes no record.
     """
     needed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = with_roles(needed, "id", "html", least)
-    url = F.col("url")
-    for code in (0, 9, 10, 13):
-        url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    capture = F.format_string("urn:capture:%s:%s", F.col("id").cast("string"), _key(F.col("url"), F.col("payload_digest")))
-    revisit = F.col("first_id").isNotNull()
+    rows = with_roles(needed, least)
+    rows = rows.withColumn("nth", F.when(F.col("copies") > 1, F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))).otherwise(""))
+
+    def escaped(url: Column) -> Column:
+        for code in (0, 9, 10, 13):
+            url = F.replace(url, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+        return url
+
+    def name_of(key: Column) -> Column:
+        return F.concat(F.lit("urn:capture:"), key, F.lit(":"), F.substring("payload_digest", 1, 32))
+
+    url, capture, first = escaped(F.col("url")), F.concat(name_of(F.col("key")), F.col("nth")), F.col("first")
+    revisit = first.isNotNull()
 
     def record(kind: Column, name: str, head: list[Column], block: Column, media: str) -> Column:
         lines = [
@@ -100,6 +120,8 @@ def write_warc(
     digest = F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("payload_digest"))
     target = F.regexp_replace(F.regexp_extract(url, "://[^/?#]*([^#]*)", 1), r"^(?!/)", "/")
     host = F.regexp_extract(url, "://([^/?#]*)", 1)
+    held_by = F.when(revisit & (first["copies"] == 1), F.concat(F.lit("WARC-Refers-To: <"), name_of(first["id"].cast("string")), F.lit(":response>")))
+    held_at = F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), escaped(first["url"])))
     request = F.concat(F.lit("GET "), F.coalesce(target, F.lit("/")), F.lit(f" HTTP/1.1{CRLF}Host: "), F.coalesce(host, F.lit("")), F.lit(CRLF * 2))
     http = F.concat(
         F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
@@ -109,7 +131,7 @@ def write_warc(
     facts = F.concat_ws(
         CRLF,
         F.concat(F.lit("id: "), F.col("id").cast("string")),
-        F.concat(F.lit("refers-to-id: "), F.col("first_id").cast("string")),
+        F.concat(F.lit("refers-to-id: "), first["id"].cast("string")),
     )
     profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     text = F.concat(
@@ -118,7 +140,7 @@ def write_warc(
         record(
             F.when(revisit, "revisit").otherwise("response"),
             "response",
-            [digest, F.when(revisit, profile)],
+            [digest, F.when(revisit, profile), held_by, held_at, F.when(revisit, f"WARC-Refers-To-Date: {DATE}")],
             F.when(revisit, http).otherwise(F.concat(http, F.col("payload"))),
             "application/http;msgtype=response",
         ),
@@ -130,10 +152,6 @@ def write_warc(
     writer.option("maxRecordsPerFile", FILE_CAPTURES).text(path)
 
 
-def _key(url: Column, digest: Column) -> Column:
-    return F.hex(F.xxhash64(url, digest))
-
-
 def _fields(lines: list[bytes]) -> list[tuple[str, str]]:
     pairs = (line.partition(b":") for line in lines if line)
     return [(k.decode("utf-8", "replace").strip().lower(), v.decode("utf-8", "replace").strip()) for k, _, v in pairs]
@@ -225,7 +243,7 @@ def assemble(records: DataFrame) -> DataFrame:
     """
     main = F.col("type").isin("response", "revisit", "resource")
     parts = records.columns
-    anchors = records.where(main).withColumn("nth", F.lit(1))
+    anchors = records.where(main)
     named = records.select("record_id", "type", F.explode("concurrent_to").alias("other"))
     links = (
         named.where(~main).select("record_id", F.col("other").alias("capture"))
@@ -240,7 +258,7 @@ def assemble(records: DataFrame) -> DataFrame:
         return F.min_by(F.when(F.col("type") == kind, F.struct(*light)), F.when(F.col("type") == kind, order)).alias(kind)
 
     beside = beside.groupBy(F.col("capture").alias("record_id")).agg(first("request"), first("metadata"))
-    return anchors.drop("nth").dropDuplicates(["record_id"]).join(beside, "record_id", "left").select(
+    return anchors.dropDuplicates(["record_id"]).join(beside, "record_id", "left").select(
         F.col("record_id").alias("capture_id"), F.struct(*parts).alias("response"), "request", "metadata"
     )
 
@@ -251,10 +269,10 @@ def op5_warc(spark, sf_dir: str) -> DataFrame:
 
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    captures = assemble(read_warc(spark, path, keep_payload=False))
+    records = settle(read_warc(spark, path, keep_payload=False).drop("payload"), "warc-records")  # the archives are read once
     facts = F.col("metadata.fields")
-    return captures.select(
-        facts["id"].cast("long").alias("page_id"),
+    return assemble(records).select(
+        F.try_element_at(facts, F.lit("id")).cast("long").alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
@@ -271,7 +289,8 @@ WITH p AS (
   SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id <> first_id THEN first_id END AS refers_to
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id
+            THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {REVISIT_BYTES} AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM f
 """

@@ -229,18 +229,27 @@ def test_packed_pieces_cover_documents_and_fit(spark):
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 300 + "</p>"
     tricky = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc" + "y" * 200
-    rows = [(1, "http://a.org/x?q#f", big), (2, None, big), (3, "no scheme\r\nX: y", None), (4, "http://b/", ""), (5, "http://c", tricky), (6, "u", "s" * 50), (7, "u", "s" * 50), (None, "u", "z")]
-    df = spark.createDataFrame([(*r, "extra") for r in rows] + [(1, "http://a.org/x?q#f", big, "extra")], "page_id long, url string, html string, payload string")
+    long, other = "z" * 3_000_000, "o" * 200
+    rows = [
+        (1, "http://a.org/x?q#f", big), (2, None, big), (3, "no scheme\r\nX: y", None), (4, "http://b/", ""), (5, "http://c", tricky), (6, "u", "s" * 50),
+        (7, "u", "s" * 50), (None, "u", big), (None, "u", "z"), (8, "v", other), (8, "v", other), (9, "w", other), (9, "w", other), (10, "l", long),
+    ]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, payload string")
     warc.write_warc(df, f"{tmp_path}/w")
-    captures = {int(r.metadata.fields["id"]): r for r in warc.assemble(warc.read_warc(spark, f"{tmp_path}/w")).collect()}
-    assert set(captures) == {1, 2, 3, 4, 5, 6, 7}
-    assert bytes(captures[5].response.payload).decode() == tricky
-    assert captures[2].response.type == "revisit" and captures[2].metadata.fields["refers-to-id"] == "1"
-    assert {captures[i].response.type for i in (1, 3, 4, 5, 6, 7)} == {"response"}
-    for i, _, html in rows[:-1]:
-        payload = (html or "").encode()
-        assert captures[i].response.payload_bytes == len(payload) and captures[i].response.digest == hashlib.sha256(payload).hexdigest()
-    assert captures[1].request.type == "request" and captures[1].response.target_uri == "http://a.org/x?q#f"
+    captures = warc.assemble(warc.read_warc(spark, f"{tmp_path}/w")).collect()
+    assert len({r.capture_id for r in captures}) == len(rows)
+    got = Counter((r.metadata.fields.get("id"), r.response.type, r.metadata.fields.get("refers-to-id"), r.response.payload_bytes, r.response.digest) for r in captures)
+    want = Counter()
+    for i, _, body in rows:
+        payload = (body or "").encode()
+        first = min((j for j, _, other_body in rows if j is not None and other_body == body), default=None)
+        revisit = len(payload) >= 100 and first is not None and i != first
+        want[None if i is None else str(i), "revisit" if revisit else "response", str(first) if revisit else None, len(payload), hashlib.sha256(payload).hexdigest()] += 1
+    assert got == want
+    by_id = {r.metadata.fields.get("id"): r for r in captures}
+    assert bytes(by_id["5"].response.payload).decode() == tricky and bytes(by_id["10"].response.payload).decode() == long
+    assert by_id["1"].request.type == "request" and by_id["1"].response.target_uri == "http://a.org/x?q#f"
+    assert by_id["2"].response.refers_to == by_id["1"].capture_id and by_id["9"].response.refers_to is None  # page 8 stands twice
 
 
 def test_foreign_archive_with_links_either_way(spark, tmp_path):

@@ -178,28 +178,62 @@ def test_knn_join_with_hot_query_ids_and_several_pivots(spark, monkeypatch):
 # --- 4 packing ------------------------------------------------------------------------------------------------
 
 
-def brute_pack(sizes, lengths, overhead):
-    bins, place, total = [], [], sum(sizes)
-    for s in sizes:
-        fits = [b for b in range(len(bins)) if bins[b][0] - bins[b][1] >= s]
-        if fits:
-            b = min(fits, key=lambda b: (bins[b][0] - bins[b][1], b))
-        else:
-            n = min((x for x in lengths if x >= s), key=lambda x: ((x + overhead) / min(x, total), x))
-            bins.append([n, 0])
-            b = len(bins) - 1
-        place.append(b)
-        bins[b][1] += s
-        total -= s
-    return place, [min(x for x in lengths if x >= u) for _, u in bins]
+def brute_pack(sizes, lengths, overhead, double_at):
+    """The cheapest of best fit with each length and of best fit with the length of least cost for its possible contents."""
+    price = {n: overhead + n + n * n / double_at for n in lengths}
+
+    def worth(i, n):
+        room = n
+        for s in sizes[i:]:
+            room -= s if s <= room else 0
+        return price[n] / (n - room), n
+
+    def run(choose):
+        bins, place = [], []
+        for i, s in enumerate(sizes):
+            fits = [b for b in range(len(bins)) if bins[b][0] - bins[b][1] >= s]
+            if not fits:
+                bins.append([choose(i, s), 0])
+            b = min(fits, key=lambda b: (bins[b][0] - bins[b][1], b)) if fits else len(bins) - 1
+            place.append(b)
+            bins[b][1] += s
+        return place, [min(x for x in lengths if x >= u) for _, u in bins]
+
+    ways = [run(lambda i, s: min((n for n in lengths if n >= s), key=lambda n: worth(i, n)))]
+    ways += [run(lambda i, s, n=n: min(x for x in lengths if x >= max(n, s))) for n in lengths]
+    return min(ways, key=lambda w: sum(price[n] for n in w[1]))
 
 
 def test_packing_equals_brute_force():
     rng = random.Random(6)
-    for _ in range(30):
-        sizes = sorted((rng.randint(1, 64) for _ in range(rng.randint(1, 80))), reverse=True)
-        bins, offsets, lengths = packing.pack(sizes, (16, 32, 64), 4)
-        assert (bins, lengths) == brute_pack(sizes, (16, 32, 64), 4)
+    for _ in range(60):
+        top = rng.choice([12, 40, 64])
+        sizes = sorted((rng.randint(1, top) for _ in range(rng.randint(1, 80))), reverse=True)
+        double_at = rng.choice([64, 256, 100_000])
+        bins, offsets, lengths = packing.pack(sizes, (16, 32, 64), 4, double_at)
+        assert (bins, lengths) == brute_pack(sizes, (16, 32, 64), 4, double_at)
+
+
+def test_several_lengths_together_cost_less_than_any_alone():
+    sizes = [1000] * 3000 + [700] * 3000
+    _, _, lengths = packing.pack(sizes)
+    assert {1024, 4096} <= set(lengths)
+    for n in packing.LENGTHS:
+        _, _, used = packing.best_fit(sizes, lambda i, n=n: n)
+        alone = sum(packing.cost(min(x for x in packing.LENGTHS if x >= u)) for u in used)
+        assert sum(map(packing.cost, lengths)) < 0.98 * alone
+
+
+def test_packing_of_one_document_per_shard_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 1)
+    rows = [(i, "w " * n, 1, 2, 3, 4) for i, n in ((0, 40_000), (0, 40_000), (None, 3), (2, 0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int, shard int, piece int, rest int")
+    got = packing.best_fit_packing(df).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.n_tokens) for r in got) == Counter(
+        [(0, k, 8192 * k, min(8192, 40_000 - 8192 * k)) for k in range(5)] * 2 + [(None, 0, 0, 3), (2, 0, 0, 0)]
+    )
+    used = Counter((r.seq_id, r.seq_offset) for r in got if r.n_tokens)
+    assert max(used.values()) == 1 and {r.seq_len for r in got if r.n_tokens == 8192} == {8192}
 
 
 def test_packed_pieces_cover_documents_and_fit(spark):

@@ -1,14 +1,19 @@
 """Exact top-k search by inner product as a Voronoi kNN join.
 
-A bounded sample of vectors serves as pivots. Every vector goes to the cell of
-its nearest pivot; a summary of each cell (size, radius, the distances of its
-members nearest to the pivot) bounds every inner product q.x of a member from
-both sides, as |q.x - q.p| <= |q| * |x - p|. The summaries give each query a
-score that at least k candidates reach, so a cell is needed only if its upper
-bound comes up to it. Queries are grouped by cell, cells are cut into blocks of
-bounded size, and a block is sent only to the query groups that need its cell.
-Each (query group, block) pair is solved by one matrix product; a ranking over
-the few rows that come out gives the result.
+With M the greatest norm, a vector x gets the coordinate sqrt(M^2 - |x|^2) and a
+query the coordinate 0: their squared distance is then |q|^2 + M^2 - 2 q.x, so
+the highest products are the nearest neighbours. A bounded sample of vectors
+serves as pivots; every vector goes to the cell of its nearest pivot. A summary
+of each cell (size, least and greatest distance from the pivot) bounds its
+distance from a query: by the ring that holds its members, by the plane half way
+to the query's nearest pivot, and the products directly by |q| times the radius.
+
+A query is solved first in the cells of highest bounds that hold enough rows. Its
+k-th score there rules out every cell whose bound stays below it; the others
+are solved in a second round. Queries are grouped by cell, cells are cut into
+blocks of bounded size, and a block is sent only to the query groups that need
+its cell. Each (query group, block) pair is solved by one matrix product; a
+ranking over the few rows that come out gives the result.
 """
 
 from __future__ import annotations
@@ -23,17 +28,19 @@ from .common import settle
 
 MAX_PIVOTS = 256
 #: Vectors for one pivot at least.
-CELL_ROWS = 4096
+CELL_ROWS = 1024
 #: Candidates in one block, queries in one group, at most on average.
 BLOCK_ROWS = 8192
-GROUP_ROWS = 2048
+GROUP_ROWS = 8192
+#: Queries that are spread or scored at a time.
+SLICE = 512
 #: Integers up to here are exact in a double.
 EXACT = 2.0**53
 LONG_MIN, LONG_MAX = -(2**63), 2**63 - 1
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataFrame:
-    """(id, vec) of the rows that take part; vec holds floor(scale * x) as little-endian doubles."""
+    """(id, vec, square) of the rows that take part; vec holds floor(scale * x) as little-endian doubles, square its squared norm."""
     v = F.col(vec_col)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = vectors.where(F.col(id_col).isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(False)))
@@ -44,10 +51,11 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float) -> DataF
             raw = b.column("raw")
             flat = np.floor(scale * raw.flatten().to_numpy(zero_copy_only=False)).astype("<f8")
             ends = np.cumsum([0, *raw.value_lengths().to_pylist()])
-            packed = [flat[s:e].tobytes() for s, e in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(packed, pa.binary())], ["id", "vec"])
+            parts = [flat[s:e] for s, e in zip(ends[:-1], ends[1:], strict=True)]
+            packed, squares = pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([float(x @ x) for x in parts], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), packed, squares], ["id", "vec", "square"])
 
-    return rows.mapInArrow(pack, "id long, vec binary")
+    return rows.mapInArrow(pack, "id long, vec binary, square double")
 
 
 def _matrix(packed, dim: int) -> np.ndarray:
@@ -74,6 +82,37 @@ def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return cell, np.sqrt(((x - pivots[cell]) ** 2).sum(1))
 
 
+class Cells:
+    """Pivots (with the added coordinate) and summaries of their cells; at most MAX_PIVOTS of each."""
+
+    def __init__(self, pivots: np.ndarray, square: float, count: np.ndarray, nearest: np.ndarray, radius: np.ndarray):
+        self.pivots, self.square, self.count, self.nearest, self.radius = pivots, square, count, nearest, radius
+        self.apart = np.sqrt(((pivots[:, None] - pivots[None]) ** 2).sum(2))
+
+    def highest(self, q: np.ndarray) -> np.ndarray:
+        """For each query and cell a product that no member exceeds, -inf for an empty cell; rounding's share is added."""
+        q = np.hstack([q, np.zeros((len(q), 1))])
+        norm = (q**2).sum(1)[:, None]
+        away = np.sqrt(((q[:, None] - self.pivots[None]) ** 2).sum(2)) if len(q) else np.zeros((0, len(self.pivots)))
+        own = away.argmin(1) if len(q) else np.zeros(0, int)
+        near = away[np.arange(len(q)), own][:, None]
+        apart = self.apart[own]
+        plane = np.divide(away**2 - near**2, 2 * apart, out=np.zeros_like(away), where=apart > 0)
+        least = np.maximum.reduce([away - self.radius, self.nearest - away, plane, np.zeros_like(away)])
+        by_distance = (norm + self.square - least**2) / 2
+        by_radius = q @ self.pivots.T + np.sqrt(norm) * self.radius
+        slack = 1e-9 * (norm + self.square + 1)
+        return np.where(self.count > 0, np.minimum(by_distance, by_radius) + slack, -np.inf)
+
+    def first_round(self, highest: np.ndarray, least: int) -> np.ndarray:
+        """The cells of highest bounds that together hold `least` rows, or all."""
+        order = np.argsort(-highest, axis=1, kind="stable")
+        before = np.cumsum(self.count[order], axis=1) - self.count[order]
+        taken = np.zeros(highest.shape, bool)
+        np.put_along_axis(taken, order, before < least, axis=1)
+        return taken & (self.count > 0)
+
+
 def knn_join(
     vectors: DataFrame,
     is_query,
@@ -81,6 +120,7 @@ def knn_join(
     id_col: str = "vec_id",
     vec_col: str = "embedding",
     scale: float = 256.0,
+    report: dict | None = None,
 ) -> DataFrame:
     """Each query's k highest inner products over all other rows, exactly.
 
@@ -88,84 +128,44 @@ def knn_join(
     1), id and score; ties go to the smaller id. Vectors that are null or hold
     null, NaN or infinite components take no part, nor do rows without an id.
     Vectors of unequal length compare as if padded with zeros; an empty vector
-    scores 0. Rows that share the query's id are never its candidates; repeated
-    ids among candidates each count, repeated query ids are asked once (the
-    least vector in byte order). Fewer than k candidates give fewer rows. Scores beyond a long
-    end at its limits. Extra columns are ignored.
+    scores 0. Rows that repeat an id are queries and candidates each; only a
+    query's own row is none of its candidates. Fewer than k candidates give
+    fewer rows. Scores beyond a long end at its limits. Extra columns are
+    ignored. An empty table gives an empty table. A report, if given, gets the
+    share of (query, row) pairs that were scored.
     """
     spark = vectors.sparkSession
-    rows = settle(usable(vectors, id_col, vec_col, scale), "knn-rows")
-    n, bytes_most = rows.agg(F.count("*"), F.max(F.length("vec"))).first()
-    dim = (bytes_most or 0) // 8
+    rows = settle(usable(vectors, id_col, vec_col, scale).withColumn("uid", F.monotonically_increasing_id()), "knn-rows")
+
+    n, bytes_most, square = rows.agg(F.count("*"), F.max(F.length("vec")), F.max("square")).first()
     schema = "query_id long, rank int, id long, score long"
     if not n:
         return spark.createDataFrame([], schema)
+    dim = bytes_most // 8
+
+    def lifted(x: np.ndarray) -> np.ndarray:
+        return np.hstack([x, np.sqrt(np.maximum(square - (x**2).sum(1), 0))[:, None]])
 
     n_pivots = int(min(MAX_PIVOTS, max(1, round(n / CELL_ROWS))))
     sample = rows.orderBy(F.xxhash64("id"), "id", "vec").limit(n_pivots).collect()
-    pivots = np.unique(_matrix([r.vec for r in sample], dim), axis=0)
+    pivots = np.unique(lifted(_matrix([r.vec for r in sample], dim)), axis=0)
 
     def assign(batches):
         for b in batches:
-            cell, gap = _nearest(_matrix(b.column("vec").to_pylist(), dim), pivots)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(cell.astype("int32")), pa.array(gap)], ["id", "vec", "cell", "gap"]
-            )
-
-    placed = rows.mapInArrow(assign, "id long, vec binary, cell int, gap double")
-
-    # Summaries: a row for each cell, from partial aggregates; at most MAX_PIVOTS rows of k + 1 distances of distinct ids.
-    def nearest_gaps(batches):
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for b in batches:
-            ids, cell, gap = (b.column(c).to_numpy() for c in ("id", "cell", "gap"))
-            for c in np.unique(cell):
-                old_id, old_gap = best.get(c, (np.empty(0, np.int64), np.empty(0)))
-                all_id, all_gap = np.concatenate([old_id, ids[cell == c]]), np.concatenate([old_gap, gap[cell == c]])
-                order = np.argsort(all_gap, kind="stable")
-                first = order[np.sort(np.unique(all_id[order], return_index=True)[1])[: k + 1]]
-                best[c] = all_id[first], all_gap[first]
-        if best:
-            out = [(int(c), int(i), float(g)) for c, (ids, gs) in best.items() for i, g in zip(ids, gs, strict=True)]
+            cell, gap = _nearest(lifted(_matrix(b.column("vec").to_pylist(), dim)), pivots)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out])],
-                ["cell", "id", "gap"],
+                [*b.columns, pa.array(cell.astype("int32")), pa.array(gap)], ["id", "vec", "uid", "cell", "gap"]
             )
 
-    placed = settle(placed, "knn-placed")
-    sizes = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()
-    near_rows = (
-        placed.select("cell", "id", "gap")
-        .mapInArrow(nearest_gaps, "cell int, id long, gap double")
-        .groupBy("cell", "id")
-        .agg(F.min("gap").alias("gap"))
-        .withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("gap", "id")))
-        .where(F.col("r") <= k + 1)
-        .collect()
-    )
+    placed = settle(rows.drop("square").mapInArrow(assign, "id long, vec binary, uid long, cell int, gap double"), "knn-placed")
     n_cells = len(pivots)
-    count, radius, near = np.zeros(n_cells, int), np.full(n_cells, -1.0), [[] for _ in range(n_cells)]
-    for r in sizes:
-        count[r.cell], radius[r.cell] = r.n, r.radius
-    for r in near_rows:
-        near[r.cell].append((r.gap, r.id))
-    near_cell = np.array([c for c in range(n_cells) for _ in near[c]], int)
-    near_gap = np.array([g for c in range(n_cells) for g, _ in near[c]])
-    near_id = np.array([i for c in range(n_cells) for _, i in near[c]], np.int64)
-
-    def needed(q: np.ndarray, q_id: np.ndarray) -> np.ndarray:
-        """For each query and cell: can a member be among the k best? Bounds are widened by rounding's share."""
-        norm, dot = np.sqrt((q**2).sum(1))[:, None], q @ pivots.T
-        slack = 1e-9 * (norm * (np.sqrt((pivots**2).sum(1)).max() + radius.max()) + 1)
-        low = dot[:, near_cell] - norm * near_gap[None, :]
-        # rows of the query's own id are no candidates
-        low = np.sort(np.where(near_id[None, :] == q_id[:, None], -np.inf, low), axis=1)
-        sure = low[:, -k][:, None] if low.shape[1] >= k else np.full((len(q), 1), -np.inf)
-        return (dot + norm * radius[None, :] + slack >= sure - slack) & (count > 0)[None, :]
+    count, nearest, radius = np.zeros(n_cells, int), np.zeros(n_cells), np.full(n_cells, -1.0)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.min("gap").alias("low"), F.max("gap").alias("high")).collect():
+        count[r.cell], nearest[r.cell], radius[r.cell] = r.n, r.low, r.high
+    cells = Cells(pivots, square, count, nearest, radius)
 
     # Query groups: whole cells side by side up to GROUP_ROWS; a cell with more is split by hash.
-    queries = placed.where(is_query).groupBy("id").agg(F.min(F.struct("vec", "cell")).alias("q"))
-    queries = settle(queries.select("id", "q.vec", "q.cell"), "knn-queries")
+    queries = placed.where(is_query).select("uid", "id", "vec", "cell")
     q_sizes = dict(queries.groupBy("cell").count().collect())
     first, parts, at, filled = np.zeros(n_cells, int), np.ones(n_cells, int), -1, GROUP_ROWS
     for c in sorted(q_sizes):
@@ -177,56 +177,71 @@ def knn_join(
             at, filled = at + 1, 0
         first[c], filled = at, filled + q_sizes[c]
     blocks = np.maximum(1, -(-count // BLOCK_ROWS))
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["grp", "cell", "block", "uid", "id", "vec"]
+
+    def spread(batches, second: bool):
+        """A query goes to the blocks of the first round's cells, or of the others that its k-th score does not rule out."""
+        for whole in batches:
+            for s in range(0, len(whole), SLICE):
+                b = whole.slice(s, SLICE)
+                highest = cells.highest(_matrix(b.column("vec").to_pylist(), dim))
+                taken = cells.first_round(highest, 2 * k + 1)
+                if second:
+                    kth = np.array([-np.inf if x is None else float(x) for x in b.column("kth").to_pylist()])
+                    taken = ~taken & (highest >= kth[:, None]) & (count > 0)
+                q_at, c_at = np.nonzero(taken)
+                times = blocks[c_at]
+                blk = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                q_at, c_at = np.repeat(q_at, times), np.repeat(c_at, times)
+                uid, home = b.column("uid").to_numpy(), b.column("cell").to_numpy()[q_at]
+                grp = first[home] + uid[q_at] % parts[home]
+                picked = pa.array(q_at)
+                columns = [pa.array(grp), pa.array(c_at), pa.array(blk), *(b.column(x).take(picked) for x in ("uid", "id", "vec"))]
+                yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(columns, types, strict=True)], names)
 
-    def spread(batches):
-        """A query goes to the blocks of the cells that it needs."""
-        for b in batches:
-            ids, packed, cell = (b.column(i).to_pylist() for i in range(3))
-            q_at, c_at = np.nonzero(needed(_matrix(packed, dim), np.array(ids, np.int64)))
-            rows_out = [
-                (int(first[cell[i]]) + ids[i] % int(parts[cell[i]]), int(c), blk, ids[i], packed[i])
-                for i, c in zip(q_at, c_at, strict=True)
-                for blk in range(int(blocks[c]))
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(x), t) for x, t in zip(zip(*rows_out, strict=True), types, strict=True)]
-                if rows_out
-                else [pa.array([], t) for t in types],
-                names,
-            )
-
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    names = ["grp", "cell", "block", "id", "vec"]
-    asked = settle(queries.mapInArrow(spread, "grp long, cell int, block int, id long, vec binary"), "knn-asked")
-    pairs = asked.select(*(F.col(c).alias(c) for c in ("grp", "cell", "block"))).distinct()
     n_blocks = F.element_at(F.lit([int(x) for x in blocks]), F.col("cell") + 1)
-    held = placed.select("cell", F.pmod(F.xxhash64("id", "vec"), n_blocks).cast("int").alias("block"), "id", "vec")
-    sent = held.join(pairs, ["cell", "block"]).select("grp", "cell", "block", "id", "vec")
+    held = placed.select("cell", F.pmod(F.xxhash64("uid"), n_blocks).cast("int").alias("block"), "uid", "id", "vec")
 
     def solve(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            x, x_id = _matrix(right["vec"].tolist(), dim), right["id"].to_numpy()
-            for s in range(0, len(left), 512):
-                q_id = left["id"].to_numpy()[s : s + 512]
-                score = _scores(_matrix(left["vec"].tolist()[s : s + 512], dim), x)
-                for i, q in enumerate(q_id):
-                    row = score[i]
-                    other = np.nonzero(x_id != q)[0]
+            right = right.sort_values(["id", "uid"])
+            x, x_id, x_uid = _matrix(right["vec"].tolist(), dim), right["id"].to_numpy(), right["uid"].to_numpy()
+            for s in range(0, len(left), SLICE):
+                part = left.iloc[s : s + SLICE]
+                score = _scores(_matrix(part["vec"].tolist(), dim), x)
+                for uid, q, row in zip(part["uid"], part["id"], score, strict=True):
+                    other = np.nonzero(x_uid != uid)[0]
                     if len(other) > k:
                         cut = np.partition(row[other], len(other) - k)[len(other) - k]
                         other = other[row[other] >= cut]
-                    best = other[np.lexsort((x_id[other], -row[other].astype(object)))][:k]
-                    out += [(q, x_id[j], row[j]) for j in best]
-        return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
-
-    keys = ["grp", "cell", "block"]
-    found = (
-        asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(solve, "query_id long, id long, score long")
-    )
-    best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                    best = other[np.lexsort((other, -row[other].astype(object)))][:k]  # equal scores in the order of ids
+                    out += [(uid, q, x_id[j], x_uid[j], row[j]) for j in best]
+        return pd.DataFrame(out, columns=["uid", "query_id", "id", "other", "score"]).astype("int64")
+
+    def solved(asked: DataFrame) -> DataFrame:
+        keys = ["grp", "cell", "block"]
+        pairs = asked.select(*(F.col(c).alias(c) for c in keys)).distinct()
+        sent = held.join(pairs, ["cell", "block"]).select(*names)
+        ddl = "uid long, query_id long, id long, other long, score long"
+        return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(solve, ddl)
+
+    ddl = "grp long, cell int, block int, uid long, id long, vec binary"
+    asked = settle(queries.mapInArrow(lambda b: spread(b, False), ddl), "knn-asked")
+    found = settle(solved(asked), "knn-first")
+    scores = F.reverse(F.array_sort(F.collect_list("score")))
+    kth = found.groupBy("uid").agg(F.try_element_at(scores, F.lit(k)).alias("kth"))
+    rest = queries.join(kth, "uid", "left").mapInArrow(lambda b: spread(b, True), ddl)
+    rest = settle(rest, "knn-rest")
+    if report is not None:
+        sizes = held.groupBy("cell", "block").agg(F.count("*").alias("rows"))
+        scored = asked.union(rest).join(F.broadcast(sizes), ["cell", "block"]).agg(F.sum("rows")).first()[0]
+        report["scored"] = (scored or 0) / max(1, n * sum(q_sizes.values()))
+    best_first = Window.partitionBy("uid").orderBy(F.desc("score"), "id", "other")
     return (
-        found.withColumn("rank", F.row_number().over(best_first))
+        found.union(solved(rest))
+        .withColumn("rank", F.row_number().over(best_first))
         .where(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
     )
@@ -242,16 +257,16 @@ def op3_knn_join(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id,
+  SELECT q.row AS q, c.row AS c, q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, c) AS INTEGER) AS rank,
          vec_id, score
   FROM s
 )

@@ -140,11 +140,11 @@ def test_words_that_rule_lines_out_lose_none():
 
 def brute_knn(rows, k):
     usable = [(i, np.floor(256 * np.array(v, float))) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)]
-    out = set()
-    for q, a in usable:
+    out = Counter()
+    for n, (q, a) in enumerate(usable):
         if q % 5 == 0:
-            scored = [(-int((a[: len(b)] * b[: len(a)]).sum()), i) for i, b in usable if i != q]
-            out |= {(q, n, i, -s) for n, (s, i) in enumerate(sorted(scored)[:k], 1)}
+            scored = [(-int((a[: len(b)] * b[: len(a)]).sum()), i) for m, (i, b) in enumerate(usable) if m != n]
+            out.update((q, rank, i, -s) for rank, (s, i) in enumerate(sorted(scored)[:k], 1))
     return out
 
 
@@ -153,28 +153,40 @@ def test_knn_join_equals_brute_force(spark, monkeypatch, cell_rows):
     monkeypatch.setattr(knn_join, "CELL_ROWS", cell_rows)
     monkeypatch.setattr(knn_join, "BLOCK_ROWS", cell_rows)
     monkeypatch.setattr(knn_join, "GROUP_ROWS", 7)
+    monkeypatch.setattr(knn_join, "SLICE", 5)
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(6, 8))
     rows = [(i, [float(x) for x in centres[i % 6] + 0.1 * rng.normal(size=8)]) for i in range(180)]
     rows += [(i, [0.5] * 8) for i in range(200, 260)]  # many ties
-    rows += [(300, None), (301, [float("nan")] * 8), (302, [None] + [1.0] * 7), (303, [float("inf")] * 8), (305, []), (310, [0.25, 0.5])]
-    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, cell int, score int")
-    got = {tuple(r) for r in knn_join.knn_join(df, F.col("id") % 5 == 0, k=4).collect()}
+    rows += [(300, None), (301, [float("nan")] * 8), (302, [None] + [1.0] * 7), (303, [float("inf")] * 8), (305, []), (310, [0.25, 0.5]), (311, [9.0] * 8)]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows], "vec_id long, embedding array<double>, cell int, score int, uid int")
+    got = Counter(tuple(r) for r in knn_join.knn_join(df, F.col("id") % 5 == 0, k=4).collect())
     assert got == brute_knn(rows, 4)
     assert knn_join.knn_join(df.where("vec_id < 0"), F.col("id") % 5 == 0).count() == 0
 
 
 def test_knn_join_with_hot_query_ids_and_several_pivots(spark, monkeypatch):
+    """Rows of one id, equal ones too, are queries and candidates each."""
     monkeypatch.setattr(knn_join, "CELL_ROWS", 2)
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(1, 120) if i % 5]
     for i in range(0, 40, 5):  # each id on many rows, far from all others
         rows += [(i, [8.0 if j == i // 5 else 0.0 for j in range(8)])] * 20
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = {tuple(r) for r in knn_join.knn_join(df, F.col("id") % 5 == 0, k=4).collect()}
+    got = Counter(tuple(r) for r in knn_join.knn_join(df, F.col("id") % 5 == 0, k=4).collect())
     assert got == brute_knn(rows, 4)
 
 
+def test_knn_join_scores_few_rows_of_clustered_vectors(spark, monkeypatch):
+    monkeypatch.setattr(knn_join, "CELL_ROWS", 20)
+    rng = np.random.default_rng(5)
+    centres = 3 * rng.normal(size=(20, 16))
+    rows = [(i, [float(x) for x in centres[i % 20] + 0.1 * rng.normal(size=16)]) for i in range(800)]
+    df, report = spark.createDataFrame(rows, "vec_id long, embedding array<double>"), {}
+    got = Counter(tuple(r) for r in knn_join.knn_join(df, F.col("id") % 5 == 0, k=4, report=report).collect())
+    assert got == brute_knn(rows, 4) and report["scored"] < 0.5
+
+
 # --- 4 packing ------------------------------------------------------------------------------------------------
 
 

@@ -102,7 +102,8 @@ class Cells:
         by_distance = (norm + self.square - least**2) / 2
         by_radius = q @ self.pivots.T + np.sqrt(norm) * self.radius
         slack = 1e-9 * (norm + self.square + 1)
-        return np.where(self.count > 0, np.minimum(by_distance, by_radius) + slack, -np.inf)
+        bound = np.minimum(by_distance, by_radius) + slack
+        return np.where(self.count > 0, np.where(np.isnan(bound), np.inf, bound), -np.inf)  # beyond doubles nothing is ruled out
 
     def first_round(self, highest: np.ndarray, least: int) -> np.ndarray:
         """The cells of highest bounds that together hold `least` rows, or all."""

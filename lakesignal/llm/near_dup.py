@@ -100,7 +100,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def fingerprints(texts: DataFrame, width: int) -> DataFrame:
-    """(id, n, digest, sig) of texts (id, text); digest names the shingle set and is null for none."""
+    """(id, text_hash, n, digest, sig) of texts (id, text); digest names the shingle set and is null for none."""
 
     def sketch(batches):
         for b in batches:
@@ -111,11 +111,12 @@ def fingerprints(texts: DataFrame, width: int) -> DataFrame:
                 digest.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 sig.append(signature(h) if len(h) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
-                ["id", "n", "digest", "sig"],
+                [b.column("id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())],
+                ["id", "text_hash", "n", "digest", "sig"],
             )
 
-    return texts.select("id", "text").mapInArrow(sketch, "id long, n long, digest binary, sig binary")
+    rows = texts.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(sketch, "id long, text_hash long, n long, digest binary, sig binary")
 
 
 # --- components -----------------------------------------------------------------------------------------------
@@ -319,19 +320,27 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, id_col: str
     empty texts, texts without words and rows without an id have no links
     (n_shingles 0; the component is the own id). Rows with equal sets are one
     class from the start, so repeated rows cost nothing; rows that share an id
-    share its links. Extra columns are ignored. An empty table gives none.
+    are one document, with the links of all their texts. Texts of any length
+    are read whole; a task holds one at a time, about 40 bytes for each of its
+    bytes. Extra columns are ignored. An empty table gives none.
+
+    Candidates come from signatures, so a link can be missed with the small
+    probability that the module's constants allow; none is reported wrongly.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     prints = settle(fingerprints(texts, width), "nd-prints")
     classed = prints.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    reps = classed.groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
-    reps = settle(reps, "nd-reps")
+    # A set is named by a number of its own, as an id may have several sets.
+    reps = classed.groupBy("digest").agg(F.min(F.struct("id", "text_hash")).alias("doc"), F.min("sig").alias("sig"))
+    reps = settle(reps.select("digest", F.monotonically_increasing_id().alias("id"), F.col("doc.id").alias("doc_id"), "doc.text_hash", "sig"), "nd-reps")
 
     # Sets with a neighbour in any tree; the others take no further part.
     near = settle(neighbours(forest(reps.withColumn("label", F.col("id"))), reach=1), "nd-near")
     known = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    held = settle(reps.join(known, "id", "left_semi").select("id", "sig").dropDuplicates(["id"]), "nd-held")
-    bodies = settle(texts.join(held.select("id"), "id", "left_semi").dropDuplicates(["id"]), "nd-texts")
+    held = settle(reps.join(known, "id", "left_semi").select("id", "doc_id", "text_hash", "sig"), "nd-held")
+    own = texts.select(F.col("id").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    own = own.join(held.select("doc_id", "text_hash", "id"), ["doc_id", "text_hash"])
+    bodies = settle(own.select("id", "text").dropDuplicates(["id"]), "nd-texts")  # rows of an id here are equal
 
     def check(pairs: DataFrame) -> DataFrame:
         return settle(confirmed(plausible(pairs, held), bodies, width, percent), "nd-links")
@@ -349,8 +358,18 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80, id_col: str
     if not far.isEmpty():
         labels, _ = grow(links.union(far))
 
-    classes = reps.select("digest", "id").join(labels, "id", "left")
-    classes = classes.select("digest", F.coalesce("label", "id").alias("component_id"))
+    # Documents with several sets link them.
+    several = classed.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id", "low")
+    named = reps.select("digest", F.col("id").alias("node"))
+    twins = classed.join(several, "id").select("low", "digest").where("low <> digest").distinct()
+    twins = twins.join(named, "digest").select("low", F.col("node").alias("a")).join(named.toDF("low", "b"), "low").select("a", "b")
+    twins = settle(twins, "nd-twins")
+    if not twins.isEmpty():
+        labels, _ = grow(links.union(far).union(twins))
+
+    classes = reps.select("digest", "id", "doc_id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    least = classes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    classes = classes.join(least, "label").select("digest", "component_id")
     out = prints.select("id", "n", "digest").join(classes, "digest", "left")
     component = F.coalesce(F.when(F.col("id").isNotNull(), F.col("component_id")), F.col("id"))
     return out.select(

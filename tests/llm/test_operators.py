@@ -436,6 +436,22 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert {r.id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_components(texts, width, 80)
 
 
+def test_rows_of_one_id_with_several_texts_are_one_document(spark):
+    rng = random.Random(3)
+    base = [" ".join(f"v{rng.randrange(9999)}" for _ in range(40)) for _ in range(4)]
+    near = [b.rsplit(" ", 1)[0] + " other" for b in base]
+    rows = [(5, base[0]), (5, base[1]), (5, base[1]), (2, near[0]), (7, near[1]), (9, base[2]), (9, None), (11, near[2]), (1, base[3])]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, digest int, label int")
+    got = Counter((r.id, r.component_id, r.kept) for r in near_dup.near_duplicates(df, 4).collect())
+    assert got == Counter([(5, 2, False)] * 3 + [(2, 2, True), (7, 2, False), (9, 9, True), (9, 9, True), (11, 9, False), (1, 1, True)])
+
+
+def test_near_duplicates_of_very_long_texts(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    df = docs_of(spark, [long, long + " end", "z" * 1_000_000, long[: len(long) // 2]])
+    assert {(r.id, r.component_id) for r in near_dup.near_duplicates(df, 5).collect()} == {(0, 0), (1, 0), (2, 2), (3, 3)}
+
+
 def test_keep_one_leaves_columns_and_null_ids(spark):
     df = docs_of(spark, ["a b c d e f g"] * 3 + [None, ""]).union(spark.createDataFrame([(None, "a b c d e f g", "", "", 0.0)], DOCS))
     out = near_dup.keep_one(df)

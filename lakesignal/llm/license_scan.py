@@ -1,18 +1,22 @@
 """Licence scan: a paragraph classifier over sparse word n-grams.
 
 Logistic regressions, one a family, are trained on the driver from short notices
-of each family, cut and mixed in many ways, and from paragraphs that only sound
-like licences. Their weights form a table bounded by the notices, so paragraphs
-are scored by a broadcast join and a sum. Calibrated on notices that training
-did not see, a family below its least probability is unknown. A prediction is
-confirmed if enough of one of the family's templates stands in the paragraph.
+and licence texts of each family, cut and mixed in many ways, and from
+paragraphs that only sound like licences. Their weights form a table bounded by
+these texts, so paragraphs are scored by a broadcast join and a sum. Each
+family's scores are calibrated on notices that the scoring model has not seen,
+in whole or in part; below an even chance a paragraph is unknown. A prediction is
+confirmed if enough of one of the family's templates stands in the paragraph;
+without that it must be surer to be reported.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 from math import exp, inf, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,48 +29,103 @@ NOTICES = {
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "This software is distributed under the Apache 2.0 license.",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License, Version 2.0, January 2004.",
+        "The code is available under the terms of the Apache License 2.0.",
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files.",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "The source code is available under the MIT license.",
+        "Licensed under the MIT License, see the LICENSE file in the project root for details.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation.",
         "Distributed under the GNU GPL, version 2 or later.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License v3.0",
+        "This library is licensed under the GNU Lesser General Public License, LGPL version 2.1.",
+        "Licensed under the GPL, version 3.",
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 2-Clause License",
+        "The software is licensed under the terms of the BSD license.",
+        "This project is distributed under the New BSD License.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Text is available under the Creative Commons Attribution ShareAlike License, CC BY-SA 4.0.",
         "SPDX-License-Identifier: CC-BY-4.0",
+        "This article is distributed under the terms of the Creative Commons Attribution License.",
+        "Content is licensed under CC BY-SA 3.0.",
+        "Creative Commons Attribution 4.0 International (CC BY 4.0)",
     ],
     "cc-by-nc": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.",
         "Available under CC BY-NC-SA 4.0 for noncommercial use only.",
         "SPDX-License-Identifier: CC-BY-NC-4.0",
+        "Creative Commons Attribution-NonCommercial 4.0 International (CC BY-NC 4.0)",
+        "Released under CC BY-NC-ND 4.0, no commercial use.",
+        "This article is distributed under the Creative Commons Attribution NonCommercial License.",
     ],
     "public-domain": [
         "This work has been dedicated to the public domain.",
         "To the extent possible under law, the author has waived all copyright and related rights, CC0 1.0 Universal.",
         "This is free and unencumbered software released into the public domain.",
         "SPDX-License-Identifier: CC0-1.0",
+        "CC0 1.0 Universal (CC0 1.0) Public Domain Dedication",
+        "The text of this book is in the public domain.",
+        "The author has released this work into the public domain under CC0.",
     ],
     "all-rights-reserved": [
         "All rights reserved.",
         "Copyright by the author, all rights reserved, no part of this work may be reproduced without written permission.",
         "Proprietary and confidential, unauthorized copying of this file is prohibited, all rights reserved.",
         "This content is copyrighted and may not be republished or redistributed.",
+        "Copyright 2020, all rights reserved.",
+        "No part of this publication may be reproduced, stored or transmitted without the prior written permission of the publisher.",
+        "All rights are reserved by the publisher.",
+    ],
+}
+#: Paragraphs of the licence texts themselves.
+BODIES = {
+    "apache-2.0": [
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of the Work.",
+    ],
+    "mit": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "gpl": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    ],
+    "bsd": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "cc-by": [
+        "You are free to share, copy and redistribute the material in any medium or format and adapt, remix, transform, and build upon the material for any purpose, even commercially, under the following terms: Attribution.",
+    ],
+    "cc-by-nc": [
+        "You may not use the material for commercial purposes under the Creative Commons Attribution NonCommercial license.",
+    ],
+    "public-domain": [
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software for any purpose, in jurisdictions that recognize copyright laws the author dedicates any and all copyright interest in the software to the public domain.",
+    ],
+    "all-rights-reserved": [
+        "No part of this book may be used or reproduced in any manner whatsoever without written permission except in the case of brief quotations embodied in critical articles and reviews.",
     ],
 }
 #: Paragraphs with the same words that state no licence.
@@ -85,6 +144,18 @@ OTHERS = [
     "The use of this file is described in the associated documentation.",
     "The committee may license new commercial stations under the act.",
     "No part of the city was spared by the storm.",
+    "Permission to build was granted by the city council in May.",
+    "The conditions of the agreement were published by the newspaper.",
+    "Free copies of the program were handed out at the door.",
+    "The author gave his work to the museum under a private agreement.",
+    "Commercial use of the river began in the last century.",
+    "The international commons debate is about creative sharing of land.",
+    "He was under the impression that all of it was released in May.",
+    "The general public may apply for a license at the town hall.",
+    "The new version of the game was released under great pressure.",
+    "Software is written, tested and distributed in short cycles.",
+    "Rights of way are shown on the map.",
+    "The foundation published its report on free trade.",
 ]
 #: A line with one of these, or with a licence's short name, is unknown if it reaches no family.
 ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "proprietary")
@@ -92,9 +163,11 @@ NAMES = r"(?i:\b(?:[al]?gpl(?:v?[0-9.]+)?|cc[ -]by|cc0|bsd|apache|spdx)\b)|\bMIT
 #: Words that decide nothing; needed_words puts n-grams on their other words.
 COMMON = frozenset("a an and any as at be been by for from has in into is it may no not of on only or that the this to under with without you".split())
 NGRAMS = 3
-EPOCHS, RATE, DECAY = 40, 0.5, 1e-4
-#: Share of unseen notices whose probability a family's least probability may exceed.
-MISSED = 0.02
+STEPS, DECAY = 150, 5.0
+#: Parts that the notices of a family are dealt into for calibration; words of a cut from a licence text.
+FOLDS, CUT_WORDS = 4, 14
+#: Calibrated probability from which on a confirmed prediction, and one without confirmation, is reported.
+LEAST, SURE = 0.5, 0.8
 #: Share of a template's words that a confirmed paragraph holds.
 TEMPLATE_SHARE = 0.6
 
@@ -110,6 +183,12 @@ def _examples(notice: str) -> list[list[str]]:
     return out + [w[: len(w) - k] for k in range(1, len(w) // 4 + 1)] + [w[k:] for k in range(1, len(w) // 4 + 1)]
 
 
+def _cuts(body: str) -> list[list[str]]:
+    """A paragraph of a licence text whole, and in overlapping cuts as lines hold them."""
+    w = ascii_words(body)
+    return [w] * 2 + [w[i : i + CUT_WORDS] for i in range(0, max(1, len(w) - CUT_WORDS // 2), CUT_WORDS // 2)]
+
+
 @dataclass
 class Model:
     families: list[str]
@@ -122,47 +201,119 @@ class Model:
         for g in ngrams(words):
             for k, w in enumerate(self.weights.get(g, ())):
                 sums[k] += w
-        return [1 / (1 + exp(-s)) for s in sums]
+        return [1 / (1 + exp(-max(-700.0, s))) for s in sums]
+
+
+def _sources() -> list[tuple[int, int, list[list[str]]]]:
+    """(family or -1, fold, examples) of each notice, paragraph of a licence text and other paragraph."""
+    out = [(-1, i % FOLDS, [[], *_examples(text)]) for i, text in enumerate(OTHERS)]  # a text without any known word, too
+    for k, f in enumerate(NOTICES):
+        texts = [_examples(t) for t in NOTICES[f]] + [_cuts(t) for t in BODIES.get(f, ())]
+        out += [(k, i % FOLDS, examples) for i, examples in enumerate(texts)]
+    return out
+
 
+def _fit(x: np.ndarray, y: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights (n-grams, families) and biases by accelerated gradient descent; same = x @ x.T.
+
+    Weights are sums of examples, so only each example's share of them is searched for.
+    """
+    n = len(x)
+    share, bias = np.zeros(y.shape), np.full(y.shape[1], -1.0)
+    ahead, ahead_bias = share, bias
+    rate = 4.0 / (np.trace(same) / n + 1)
+    for step in range(STEPS):
+        gap = 1 / (1 + np.exp(-np.clip(same @ ahead + ahead_bias, -30, 30))) - y
+        new, new_bias = ahead - rate / n * (gap + DECAY * ahead), ahead_bias - rate * gap.mean(axis=0)
+        push = step / (step + 3)
+        ahead, ahead_bias = new + push * (new - share), new_bias + push * (new_bias - bias)
+        share, bias = new, new_bias
+    return x.T @ share, bias
+
+
+def _calibrated(sums: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from unseen sums to labels, towards (n + 1) / (n + 2) as is usual."""
+    n = y.sum()
+    goal = np.where(y > 0, (n + 1) / (n + 2), 1 / (len(y) - n + 2))
+    share = 1 / len(y)
+
+    def loss(slope: float, shift: float) -> float:
+        z = slope * sums + shift
+        return float((share * (np.logaddexp(0, z) - goal * z)).sum())
+
+    slope, shift, now = 1.0, 0.0, loss(1.0, 0.0)
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(slope * sums + shift, -30, 30)))
+        gap, bend = share * (p - goal), share * p * (1 - p)
+        hess = np.array([[(bend * sums * sums).sum(), (bend * sums).sum()], [(bend * sums).sum(), bend.sum()]]) + 1e-6 * np.eye(2)
+        d_slope, d_shift = np.linalg.solve(hess, [(gap * sums).sum(), gap.sum()])
+        size = 1.0
+        while size > 1e-6 and loss(max(0.05, slope - size * d_slope), shift - size * d_shift) > now:
+            size /= 2
+        slope, shift = max(0.05, slope - size * d_slope), shift - size * d_shift
+        before, now = now, loss(slope, shift)
+        if before - now < 1e-10:
+            break
+    return float(slope), float(shift)
 
+
+@dataclass
+class Training:
+    """The examples as a table of n-grams, and each one's sums by a model that has not seen its notice."""
+
+    words: list[list[str]]
+    family: np.ndarray
+    grams: list[str]
+    unseen: np.ndarray
+    weights: np.ndarray
+    bias: np.ndarray
+
+
+def training() -> Training:
+    sources = _sources()
+    words = [w for _, _, examples in sources for w in examples]
+    family = np.array([k for k, _, examples in sources for _ in examples])
+    fold = np.array([f for _, f, examples in sources for _ in examples])
+    grams = sorted({g for w in words for g in ngrams(w)})
+    place = {g: i for i, g in enumerate(grams)}
+    x = np.zeros((len(words), len(grams)))
+    for i, w in enumerate(words):
+        x[i, [place[g] for g in ngrams(w)]] = 1
+    y = (family[:, None] == np.arange(len(NOTICES))[None]).astype(float)
+    unseen, same = np.zeros_like(y), x @ x.T
+    for f in range(FOLDS):
+        seen = fold != f
+        weights, bias = _fit(x[seen], y[seen], same[np.ix_(seen, seen)])
+        unseen[~seen] = x[~seen] @ weights + bias
+    return Training(words, family, grams, unseen, *_fit(x, y, same))
+
+
+@lru_cache(maxsize=1)
 def train() -> Model:
-    """Stochastic gradient descent in a fixed order; every fourth example calibrates the least probabilities."""
-    families = list(NOTICES)
-    rows = [(e, k) for k, f in enumerate(families) for notice in NOTICES[f] for e in _examples(notice)]
-    rows += [(e, -1) for text in OTHERS for e in _examples(text)]
-    rows.sort(key=lambda r: (hash_of(" ".join(r[0])), r[1]))
-    fitted = [(ngrams(w), k) for i, (w, k) in enumerate(rows) if i % 4]
-    model = Model(families, {}, [-1.0] * len(families), [0.5] * len(families))
-    for epoch in range(EPOCHS):
-        rate = RATE / (1 + epoch / 4)
-        for grams, k in fitted:
-            vectors = [model.weights.setdefault(g, [0.0] * len(families)) for g in grams]
-            scale = 1 / max(1.0, len(grams) ** 0.5)
-            for f in range(len(families)):
-                total = model.bias[f] + sum(v[f] for v in vectors)
-                step = rate * scale * ((k == f) - 1 / (1 + exp(-max(-30.0, min(30.0, total)))))
-                model.bias[f] += step * 0.1
-                for v in vectors:
-                    v[f] += step - rate * DECAY * v[f]
-    for f in range(len(families)):
-        own = sorted(model.probabilities(w)[f] for i, (w, k) in enumerate(rows) if not i % 4 and k == f)
-        other = max((model.probabilities(w)[f] for i, (w, k) in enumerate(rows) if not i % 4 and k == -1), default=0.0)
-        low = own[int(MISSED * len(own))] if own else 0.5
-        model.least[f] = min(0.9, max(0.5, min(low, 0.9), (other + min(low, 0.9)) / 2))
-    return model
-
-
-def hash_of(text: str) -> int:
-    """A fixed order that mixes families."""
-    h = 0
-    for c in text.encode():
-        h = (h * 1_000_003 + c) % (2**61 - 1)
-    return (h * 0x9E3779B97F4A7C15) % (2**61 - 1)
+    """The model of all examples, each family's sums put on the curve that fits unseen notices."""
+    t = training()
+    n = len(NOTICES)
+    curves = [_calibrated(t.unseen[:, k], (t.family == k).astype(float)) for k in range(n)]
+    slopes, shifts = (np.array(x) for x in zip(*curves, strict=True))
+    weights = t.weights * slopes
+    return Model(list(NOTICES), {g: [round(float(v), 6) for v in w] for g, w in zip(t.grams, weights, strict=True)}, [float(x) for x in t.bias * slopes + shifts], [LEAST] * n)
+
+
+def held_out_figures() -> dict[str, float]:
+    """Precision and recall of the likeliest family at LEAST and SURE over notices that the scoring model has not seen."""
+    t = training()
+    p = np.stack([1 / (1 + np.exp(-(a * t.unseen[:, k] + b))) for k in range(len(NOTICES)) for a, b in [_calibrated(t.unseen[:, k], (t.family == k).astype(float))]], axis=1)
+    best, out = p.argmax(axis=1), {}
+    for name, least in (("least", LEAST), ("sure", SURE)):
+        said = p.max(axis=1) >= least
+        right = said & (best == t.family)
+        out |= {f"precision_{name}": right.sum() / max(1, said.sum()), f"recall_{name}": right.sum() / (t.family >= 0).sum()}
+    return out
 
 
 def weight_table(spark: SparkSession, model: Model) -> DataFrame:
     """(gram, weights): as many rows as the notices have n-grams."""
-    rows = [(g, [round(x, 6) for x in w]) for g, w in sorted(model.weights.items())]
+    rows = sorted(model.weights.items())
     return spark.createDataFrame(rows, "gram string, weights array<double>")
 
 
@@ -285,12 +436,14 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
 
     Lines are the paragraphs, and runs of wrapped lines. One row for each
     distinct (doc_id, place, words) of a line whose likeliest family reaches
-    its least probability, or that holds an anchor or a licence's name and
-    reaches none: family 'unknown'. A run gives a row if it is confirmed and
+    its least probability, or that holds an anchor or a licence's name. Its
+    family is the likeliest one if that is confirmed by a template or reaches
+    SURE, else 'unknown'. A run gives a row if it is confirmed and
     holds more of a notice than any line or run of that family that
     overlaps it; its unconfirmed lines then give none. Equal
     probabilities go to the family named first. Null and empty texts have no
-    paragraphs. Rows that repeat an id are scanned each; equal ones give one
+    paragraphs; texts of any length are scanned whole. An empty table gives an
+    empty table. Rows that repeat an id are scanned each; equal ones give one
     row. A null id stays null. Extra columns are ignored.
     """
     spark = docs.sparkSession
@@ -313,10 +466,11 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
             own = sorted(set(ascii_words(notice)))
             common = F.size(F.array_intersect("words", F.array(*map(F.lit, own))))
             shared = F.greatest(shared, F.when((at == k + 1) & (common >= TEMPLATE_SHARE * len(own)), common).otherwise(0))
-    known = best >= least
+    reached = best >= least
+    known = reached & ((shared > 0) | (best >= SURE))
     family = F.when(known, F.element_at(F.array(*map(F.lit, model.families)), at)).otherwise("unknown")
-    hits = scored.where(known | F.col("named")).select(
-        *keys, family.alias("family"), best.alias("probability"), F.when(known, shared).otherwise(0).alias("shared")
+    hits = scored.where(reached | F.col("named")).select(
+        *keys, family.alias("family"), best.alias("probability"), F.when(reached, shared).otherwise(0).alias("shared")
     )
     hits = hits.where((F.col("n") == 1) | (F.col("shared") > 0))
     # A run stays if it is the best of its family at each line that it covers.

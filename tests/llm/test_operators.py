@@ -105,12 +105,51 @@ def test_licences_are_found_and_others_left_alone(spark):
     }
 
 
-def test_licence_scores_equal_the_model(spark):
-    model = license_scan.train()
-    texts = [n for ns in license_scan.NOTICES.values() for n in ns]
+def brute_lines(text, model):
+    """(place, family, probability) of the single lines of a text that the model reports, every line looked at."""
+    out = set()
+    for place, line in enumerate((text or "").split("\n")):
+        words = license_scan.ascii_words(line)
+        p = model.probabilities(words)
+        best = max(p)
+        at = p.index(best)
+        confirmed = any(
+            len(set(words) & set(own)) >= license_scan.TEMPLATE_SHARE * len(set(own))
+            for own in map(license_scan.ascii_words, license_scan.NOTICES[model.families[at]])
+        )
+        named = any(a in line.lower() for a in license_scan.ANCHORS) or re.search(license_scan.NAMES, line, re.A)
+        reached = best >= model.least[at]
+        if reached or named:
+            out.add((place, model.families[at] if reached and (confirmed or best >= license_scan.SURE) else "unknown", round(best, 4)))
+    return out
+
+
+def test_licence_lines_equal_brute_force(spark):
+    """Every line of every text is scored by the model itself; lines stand alone, so no wrapped run forms."""
+    model, rng = license_scan.train(), random.Random(4)
+    notices = [n for ns in license_scan.NOTICES.values() for n in ns] + license_scan.OTHERS + [b for bs in license_scan.BODIES.values() for b in bs]
+    words = sorted({w for g in model.weights for w in g.split()})
+    lines = notices + [" ".join(rng.choice(words) for _ in range(rng.randint(1, 12))) for _ in range(150)] + ["plain words only"] * 30
+    rng.shuffle(lines)
+    texts = ["\n\n".join(lines[i : i + 9]) for i in range(0, len(lines), 9)] + [None, "", "\n\n"]
+    got = {}
     for r in license_scan.scan(docs_of(spark, texts), model).collect():
-        p = model.probabilities(license_scan.ascii_words(texts[r.doc_id]))
-        assert abs(max(p) - r.probability) < 1e-3
+        got.setdefault(r.doc_id, set()).add((r.place, r.family, round(r.probability, 4)))
+    assert got == {i: brute for i, t in enumerate(texts) if (brute := brute_lines(t, model))}
+
+
+def test_licence_model_is_calibrated_on_unseen_notices():
+    figures = license_scan.held_out_figures()
+    assert figures["precision_sure"] >= 0.95 and figures["recall_sure"] >= 0.5 and figures["precision_least"] >= 0.9
+
+
+def test_licence_rows_repeat_and_ties(spark):
+    df = docs_of(spark, ["All rights reserved."]).union(docs_of(spark, ["All rights reserved."]))
+    assert [(r.doc_id, r.family) for r in license_scan.scan(df).collect()] == [(0, "all-rights-reserved")]
+    assert license_scan.scan(df.where("doc_id < 0")).count() == 0
+    families = list(license_scan.NOTICES)
+    tied = license_scan.Model(families, {"zzz": [5.0] * len(families)}, [-1.0] * len(families), [0.5] * len(families))
+    assert [r.family for r in license_scan.scan(docs_of(spark, ["zzz"]), tied).collect()] == [families[0]]
 
 
 def test_every_notice_is_found_whole_and_wrapped(spark):

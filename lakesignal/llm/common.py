@@ -23,22 +23,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
+    """The shared folder that the cluster names in spark.checkpoint.dir, and in it one of this application.
 
-    Where it is unset (tests, local runs) a temporary folder is made, set as
-    the checkpoint folder and removed at exit.
+    Where it is unset, a local session (tests) gets a temporary folder, which
+    is set as the checkpoint folder and removed at exit; on a cluster, whose
+    machines would not share it, that is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    own = spark.conf.get("lakesignal.work.dir", None)
-    if not own:
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lakesignal.work.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="lakesignal-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
-        own = f"file://{local}"
-        spark.conf.set("lakesignal.work.dir", own)
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+        shared = f"file://{local}"
+        spark.conf.set("lakesignal.work.dir", shared)
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this application's operators have written between their steps; their results must be read by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,7 +52,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: a short lineage that outlives executors."""
+    """Write df to the shared folder and read it back: a short lineage that outlives executors (see clean)."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)

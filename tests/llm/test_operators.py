@@ -8,6 +8,7 @@ import re
 import textwrap
 import time
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -15,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from lakesignal.llm import bpe, html_text, knn_join, license_scan, near_dup, packing, quality_cnn, quality_rules, queries, url_filter, warc
+from lakesignal.llm import bpe, common, html_text, knn_join, license_scan, near_dup, packing, quality_cnn, quality_rules, queries, url_filter, warc
 
 from ..helpers import spark_rows, sql_rows
 
@@ -33,6 +34,17 @@ def test_query_matches_sql(spark, sf_dir, duck, name):
     assert spark_rows(queries.QUERIES[name](spark, sf_dir)) == sql_rows(duck, queries.SQL[name])
 
 
+def test_work_folder_is_shared_or_local_and_can_be_cleaned(spark):
+    df = common.settle(spark.range(3), "x")
+    assert df.count() == 3
+    common.clean(spark)
+    with pytest.raises(Exception, match="(?i)not exist|not found"):
+        df.count()
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.work_dir(far)
+
+
 # --- 1 quality rules ------------------------------------------------------------------------------------------
 
 

@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import HEADING_CHARS, HEADINGS
+
 SIZE, OVERLAP = 500, 50
 TOKEN = re.compile(r"\w+|[^\w\s]")
-HEADING = re.compile(r"^(#{1,6}\s+\S.*|\d+(\.\d+)*\.?\s+[A-Z].*|(Chapter|Section|Part|Appendix|Unit|Module)\s+[\dA-Z].*)$")
+HEADING = [re.compile(p) for p in HEADINGS]
+LETTER = re.compile("[A-Za-z]")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 FENCE = "```"
 
@@ -22,6 +25,14 @@ def count(text: str) -> int:
     return len(TOKEN.findall(text))
 
 
+def is_heading(line: str) -> bool:
+    """What text.is_heading tells of a column, for one stripped line."""
+    if not line or len(line) > HEADING_CHARS:
+        return False
+    capitals = line.upper() == line and not line.endswith((".", ",")) and len(LETTER.findall(line)) >= 4
+    return capitals or any(p.search(line) for p in HEADING)
+
+
 def blocks(text: str):
     """(kind, text): heading, table, code or prose."""
     kind, held = None, []
@@ -51,7 +62,7 @@ def blocks(text: str):
         elif not bare:
             yield from flush()
             kind = None
-        elif len(bare) <= 90 and HEADING.match(bare):
+        elif is_heading(bare):
             yield from flush()
             kind = None
             yield "heading", bare
@@ -99,26 +110,27 @@ def split_table(text: str, size: int) -> list[str]:
 def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str, str, int]]:
     """(section, text, tokens) in order; a chunk repeats up to `overlap` tokens of whole sentences before it."""
     out: list[tuple[str, str, int]] = []
-    section, held, used, fresh = "", [], 0, 0
+    section, fresh = "", 0
+    held: list[tuple[str, int]] = []  # sentences with their tokens
+    used = 0
 
     def flush(keep: bool) -> None:
         nonlocal held, used, fresh
         if fresh:
-            body = " ".join(held)
-            out.append((section, body, count(body)))
-        tail, n = [], 0
-        for s in reversed(held if keep else []):
-            if n + count(s) > overlap:
-                break
-            tail.insert(0, s)
-            n += count(s)
-        held, used, fresh = tail, n, 0
+            out.append((section, " ".join(s for s, _ in held), used))
+        start, n = len(held), 0
+        while keep and start and n + held[start - 1][1] <= overlap:
+            start -= 1
+            n += held[start][1]
+        held, used, fresh = held[start:], n, 0
 
     for kind, body in blocks(text.replace("\r\n", "\n").replace("\r", "\n")):
         if kind == "heading":
             flush(False)
-            section = body.lstrip("# ").strip()
-            held, used, fresh = [body], count(body), 1
+            marker = HEADING[0].search(body)
+            section = marker[1] if marker else body.lstrip("# ").rstrip(":").strip()
+            used, fresh = count(body), 1
+            held = [(body, used)]
         elif kind in ("table", "code"):
             flush(False)
             parts = split_table(body, size) if kind == "table" else [body]
@@ -130,7 +142,7 @@ def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[st
                     flush(True)
                     if used + n > size:
                         held, used = [], 0
-                held.append(s)
+                held.append((s, n))
                 used += n
                 fresh += 1
     flush(False)

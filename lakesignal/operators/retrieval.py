@@ -2,23 +2,34 @@
 
 from __future__ import annotations
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import clamp01, cosine, dot, sigmoid
 
 RRF_K = 60
-#: Query sets up to here are broadcast; larger ones meet the chunks block by block.
-BROADCAST_QUERIES = 2_000
+#: Query sets up to here, in rows and bytes, are broadcast; larger ones meet the chunks block by block.
+BROADCAST_QUERIES, BROADCAST_BYTES = 2_000, 64 * 2**20
+#: Queries of lexical search that one pass over the chunks looks for; chunks scored at a time.
+PASS_QUERIES, SLICE = 2_000, 256
+
+
+def candidate_k(top_k: int) -> int:
+    """Hits that each list brings to fusion and reranking."""
+    return max(3 * top_k, 10)
 
 
 def meet(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every query with every chunk: a stated query set against all rows."""
-    if queries.count() <= BROADCAST_QUERIES:
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    if n <= BROADCAST_QUERIES and size <= BROADCAST_BYTES:
         return chunks.join(F.broadcast(queries))
-    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return chunks.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(n)).cast("int")).join(spread, "_block").drop("_block")
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = queries.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return chunks.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).join(spread, "_block").drop("_block")
 
 
 def similarity_search(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None, post_filter: bool = False) -> DataFrame:
@@ -46,13 +57,55 @@ def cosine_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def lexical_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, chunk_id, score): share of a query's tokens that stand in the chunk's lower-cased text.
 
-    queries: query_id, tokens (array); chunks: chunk_id, text. A text is looked through once for each query.
+    queries: query_id, tokens (array of distinct tokens); chunks: chunk_id
+    (integer), text. Queries come in blocks of PASS_QUERIES at most. For a block a
+    task finds all its tokens in one pass over each text, counts them for all
+    queries by a matrix product and passes on k rows a query.
     """
-    low = chunks.select("chunk_id", F.lower("text").alias("low"))
-    hits = meet(queries, low).withColumn("hits", F.size(F.filter("tokens", lambda t: F.contains("low", t))))
-    hits = hits.where("hits > 0").withColumn("score", F.round(F.col("hits") / F.size("tokens"), 6))
+    queries = queries.where(F.size("tokens") > 0)
+    blocks = max(1, -(-queries.count() // PASS_QUERIES))
+    low = chunks.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.lower("text").alias("low")).where("low is not null")
+    kind, found = queries.schema["query_id"].dataType.simpleString(), None
+    for b in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        part = low.mapInArrow(_token_hits([(r.query_id, r.tokens) for r in asked], k), f"query_id {kind}, chunk_id long, score double")
+        found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _token_hits(queries: list[tuple], k: int):
+    """The Arrow function (chunk_id, low) -> the task's k best (query_id, chunk_id, score) of each query."""
+
+    def search(batches):
+        places = {t: i for i, t in enumerate(sorted({t for _, ts in queries for t in ts}))}
+        find = ahocorasick.Automaton()
+        held = np.zeros((len(places), len(queries)), np.float32)
+        for q, (_, ts) in enumerate(queries):
+            held[[places[t] for t in ts], q] = 1
+        for t, i in places.items():
+            find.add_word(t, i)
+        find.make_automaton()
+        counts = np.zeros((len(queries), 0), np.float32)
+        ids = np.zeros((len(queries), 0), np.int64)
+        for batch in batches:
+            for s in range(0, len(batch), SLICE):
+                part = batch.slice(s, SLICE)
+                there = np.zeros((len(part), len(places)), np.float32)
+                for row, text in enumerate(part.column("low").to_pylist()):
+                    hits = {i for _, i in find.iter(text)}
+                    there[row, list(hits)] = 1
+                counts = np.hstack([counts, (there @ held).T])
+                ids = np.hstack([ids, np.broadcast_to(part.column("chunk_id").to_numpy(), (len(queries), len(part)))])
+                best = np.lexsort((ids, -counts), axis=1)[:, :k]
+                counts, ids = np.take_along_axis(counts, best, 1), np.take_along_axis(ids, best, 1)
+        q_at, at = np.nonzero(counts)
+        sizes = np.array([len(ts) for _, ts in queries])
+        names = pa.array([queries[q][0] for q in q_at])
+        score = pa.array(np.round(counts[q_at, at].astype(float) / sizes[q_at], 6))
+        yield pa.RecordBatch.from_arrays([names, pa.array(ids[q_at, at]), score], ["query_id", "chunk_id", "score"])
+
+    return search if queries else lambda batches: iter(())
 
 
 def fuse(*lists: DataFrame) -> DataFrame:
@@ -80,22 +133,33 @@ def feedback_weight(rows: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def rerank_score(cos: Column, hits: Column, history: Column, figure: Column, weight: Column, on_page: Column) -> Column:
-    """Composite: .65 cosine, word hits, history hits, figures, feedback; weak cosines with hits rise to .70; a named page adds 2."""
+    """Composite: .65 cosine, word hits, history hits, figures, feedback; below .35 with hits it rises to .70; a named page adds 2; from 0 to 1."""
     base = 0.65 * cos + F.least(0.08 * hits, F.lit(0.25)) + F.least(0.04 * history, F.lit(0.10)) + F.when(figure, 0.05).otherwise(0.0) + weight
-    lifted = F.when((cos < 0.35) & (hits > 0), F.greatest(base, F.lit(0.70))).otherwise(base)
-    return F.when(on_page, lifted + 2.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), lifted)))
+    lifted = F.when((base < 0.35) & (hits > 0), F.lit(0.70)).otherwise(base)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(on_page, lifted + 2.0).otherwise(lifted)))
+
+
+def best_of(rows: DataFrame, score: str, top_k: int, least: float = 0.0) -> DataFrame:
+    """(query_id, rank, ...) of the top_k rows of each query that score `least` or more, ties by chunk_id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
+    return rows.where(F.col(score) >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
 def calibrated_confidence(mean_top3: Column, overlap: Column) -> Column:
     return F.round(sigmoid(9 * (0.75 * mean_top3 + 0.25 * overlap - 0.45)), 4)
 
 
+def grounded_confidence(conf: Column, refusal: Column) -> Column:
+    """A refusal's confidence is .25 at most."""
+    return F.when(refusal, F.least(conf, F.lit(0.25))).otherwise(conf)
+
+
 def grounding_status(answer: Column, refusal: Column, conf: Column, cited: Column) -> Column:
     return (
-        F.when(F.length(F.trim(F.coalesce(answer, F.lit("")))) == 0, "empty")
-        .when(refusal, "refusal")
+        F.when(F.length(F.coalesce(answer, F.lit(""))) == 0, "empty_response")
+        .when(refusal, "refusal_not_in_context")
         .when(conf < 0.40, "low_confidence")
-        .when(F.size(cited) > 0, "verified")
+        .when(F.size(cited) > 0, "verified_with_citations")
         .otherwise("grounded")
     )
 
@@ -107,7 +171,7 @@ def net_weights(ratings: DataFrame, up: float = 0.12, down: float = 0.15) -> Dat
 
 
 def last_constraints(ratings: DataFrame, most: int = 10) -> DataFrame:
-    """(comment, first_at): the latest of the distinct comments on negative ratings, by when each came first."""
+    """(comment, first_at): the latest of the distinct comments on negative ratings, by when each came first; readers take three."""
     rows = ratings.where(~F.col("positive") & (F.length(F.trim("comment")) > 0))
     return rows.groupBy("comment").agg(F.min("at").alias("first_at")).orderBy(F.desc("first_at"), "comment").limit(most)
 
@@ -134,10 +198,21 @@ def metadata_filter(rows: DataFrame, equal: dict | None = None, within: dict | N
     return rows
 
 
-def hashed_embedding(tokens: Column, size: int = 384) -> Column:
-    """Bag of hashed tokens, L2-normalised; sparse map form (bucket -> weight)."""
-    buckets = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-    distinct = F.array_distinct(buckets)
-    counts = F.transform(distinct, lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.map_from_arrays(distinct, F.transform(counts, lambda c: c / length))
+def hashed_embeddings(rows: DataFrame, key: list[str], text: str, size: int = 384) -> DataFrame:
+    """(key..., bucket, weight): bag of hashed lower-case words of two characters or more, L2-normalised, in sparse form.
+
+    Words are counted by bucket before the shuffle. Texts without such words give no rows.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    words = rows.select(*key, F.explode(found).alias("_word"))
+    bucket = F.conv(F.substring(F.md5(F.encode("_word", "UTF-8")), 1, 8), 16, 10).cast("long") % size
+    counted = words.groupBy(*key, bucket.cast("int").alias("bucket")).agg(F.count("*").alias("_n"))
+    length = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(*key)))
+    return counted.select(*key, "bucket", (F.col("_n") / length).alias("weight"))
+
+
+def cached_embeddings(rows: DataFrame, key: list[str], text: str, size: int = 384) -> DataFrame:
+    """hashed_embeddings of texts compared trimmed and in lower case: each distinct one is embedded once and joined back."""
+    rows = rows.select(*key, F.lower(F.trim(text)).alias("_text"))
+    once = hashed_embeddings(rows.select("_text").distinct(), ["_text"], "_text", size)
+    return rows.join(once, "_text").select(*key, "bucket", "weight")

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import PAGE_PATTERNS
 from .scoring import severity_label
 
 
@@ -88,29 +89,67 @@ def extract_recommendations(text: Column) -> Column:
     return run(text)
 
 
-PRONOUNS = re.compile(r"\b(it|its|this|that|these|those|they|them)\b", re.I)
+# --- fixed values: words and patterns of the documented follow-up rules ---------------------------------------
+PRONOUNS = frozenset("it its this that these those they them such".split())
+FIGURE_ASKED = re.compile(
+    r"\b(the\s+(?:photo|image|picture|diagram|figure|chart|graph|plot|table|schematic)|(?:show|send|provide|give|display)\s+(?:me\s+)?(?:the\s+)?"
+    r"(?:photo|image|picture|diagram|figure|chart|graph|plot|it|them))\b"
+)
+SHORT_WORDS = 7
+TOPIC_NOISE = (
+    r"^(what is|explain|tell me about|how does|why is|describe|send me|provide me|show me|give me|display|crop|preview)\s+",
+    r"\b(?:on\s+)?(?:page|pg|p\.?|pno|page\s*no|page\s*number)\s*[:#\-]?\s*\d+\b",
+    r"^(?:the\s+)?(?:pic|pics|picture|pictures|photo|photos|image|images|diagram|diagrams|figure|figures|chart|graph|roi|screenshot|crop|snippet)\s+(?:of|from|in)\s+",
+    r"\b(?:the\s+)?(?:pic|pics|picture|pictures|photo|photos|image|images|roi|screenshot|snippet)\b",
+)
+# ----------------------------------------------------------------------------------------------------------------
+PAGES, NOISE = [re.compile(p) for p in PAGE_PATTERNS], [re.compile(p, re.I) for p in TOPIC_NOISE]
 
 
-def rewrite_follow_up(query: str, history: list[str]) -> str:
-    """A short query, or one with a pronoun, gets the longest capitalised or last words of the latest turn before it."""
-    words = query.split()
-    if not history or not (PRONOUNS.search(query) or len(words) <= 3):
+def words_of(text: str) -> set[str]:
+    return set(re.findall(r"\w+", text.lower()))
+
+
+def page_of(text: str) -> int | None:
+    numbers = (int(m[1]) for p in PAGES if (m := p.search(text)))
+    return next((n for n in numbers if 1 <= n <= 10_000), None)
+
+
+def topic_of(text: str) -> str:
+    """What a question is about: without its opening words, pages and figure words."""
+    for noise in NOISE:
+        text = noise.sub("", text).strip("?. ")
+    return " ".join(text.split())
+
+
+def rewrite_follow_up(query: str, history: list[tuple[str, str]]) -> str:
+    """A query that leans on the turns before it (role, text), with their page and the topic of the last question that adds words.
+
+    It leans on them if it holds a pronoun, asks for a figure, or is short and asks why, how or what about.
+    """
+    own, low = words_of(query), query.lower()
+    leans = own & PRONOUNS or "the same" in low or FIGURE_ASKED.search(low)
+    if not history or not (leans or len(own) <= SHORT_WORDS and ({"why", "how"} & own or "what about" in low)):
         return query
-    names = re.findall(r"\b[A-ZÀ-Þ][\w-]+(?:\s+[A-ZÀ-Þ][\w-]+)*", history[-1])
-    topic = max(names, key=len) if names else " ".join(history[-1].split()[-3:])
-    page = next((m[1] for t in reversed(history[-4:]) if (m := re.search(r"page\s+(\d+)", t, re.I))), None)
-    return f"{query} (about {topic}{f', page {page}' if page else ''})"
+    past = [(role, text.strip()) for role, text in reversed(history) if text.strip() and text.strip() != query]
+    page = next((n for _, text in past if (n := page_of(text))), None)
+    topics = (topic_of(text) for role, text in past if role == "user")
+    topic = next((t for t in topics if len(t) > 2 and not words_of(t) <= own), "")
+    out = query.rstrip("?.")
+    if page and page_of(query) is None:
+        out += f" on page {page}"
+    if topic and topic.lower() not in low:
+        out += f" regarding {topic}"
+    return out.strip() if out != query.rstrip("?.") else query
 
 
 def rewrite_follow_ups(turns: DataFrame, last: int = 4) -> DataFrame:
     """(conv_id, turn, query) of user turns, rewritten from up to `last` turns before each."""
-    from pyspark.sql import Window
-
     past = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-last, -1)
-    rows = turns.withColumn("history", F.collect_list("text").over(past)).where("role = 'user'")
+    rows = turns.withColumn("history", F.collect_list(F.struct("role", "text")).over(past)).where("role = 'user'")
 
     @F.pandas_udf("string")
     def run(query: pd.Series, history: pd.Series) -> pd.Series:
-        return pd.Series([rewrite_follow_up(q or "", [x for x in h if x]) for q, h in zip(query, history, strict=True)])
+        return pd.Series([rewrite_follow_up(q or "", [(x["role"], x["text"] or "") for x in h]) for q, h in zip(query, history, strict=True)])
 
     return rows.select("conv_id", "turn", run("text", "history").alias("query"))

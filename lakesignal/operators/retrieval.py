@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.math import clamp01, cosine, dot, sigmoid
 
@@ -68,13 +69,14 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     kind, found = queries.schema["query_id"].dataType.simpleString(), None
     for b in range(blocks):
         asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
-        part = low.mapInArrow(_token_hits([(r.query_id, r.tokens) for r in asked], k), f"query_id {kind}, chunk_id long, score double")
+        search = _token_hits([(r.query_id, r.tokens) for r in asked], to_arrow_type(queries.schema["query_id"].dataType), k)
+        part = low.mapInArrow(search, f"query_id {kind}, chunk_id long, score double")
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
 
 
-def _token_hits(queries: list[tuple], k: int):
+def _token_hits(queries: list[tuple], id_type: pa.DataType, k: int):
     """The Arrow function (chunk_id, low) -> the task's k best (query_id, chunk_id, score) of each query."""
 
     def search(batches):
@@ -101,7 +103,7 @@ def _token_hits(queries: list[tuple], k: int):
                 counts, ids = np.take_along_axis(counts, best, 1), np.take_along_axis(ids, best, 1)
         q_at, at = np.nonzero(counts)
         sizes = np.array([len(ts) for _, ts in queries])
-        names = pa.array([queries[q][0] for q in q_at])
+        names = pa.array([queries[q][0] for q in q_at], id_type)
         score = pa.array(np.round(counts[q_at, at].astype(float) / sizes[q_at], 6))
         yield pa.RecordBatch.from_arrays([names, pa.array(ids[q_at, at]), score], ["query_id", "chunk_id", "score"])
 

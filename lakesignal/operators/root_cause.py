@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
-from math import factorial
+from math import exp, factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.math import student_p_value
+from ..functions.math import clamp01, student_p_value
 
 BASELINE_TIMES = 7
 MIN_SEGMENT = 10
@@ -44,12 +47,28 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[st
     return out.where("_side = 1").select(*left.columns, *(F.col("_m")[v].alias(v) for v in values))
 
 
+def seen_before(times: DataFrame) -> DataFrame:
+    """(t, real) with seen: how many real times lie before t.
+
+    Times are counted within their month and shifted by the months before, so no task sorts all of them.
+    """
+    rows = times.withColumn("_month", F.date_trunc("month", "t"))
+    months = rows.groupBy("_month").agg(F.sum("real").alias("_n"))
+    earlier = Window.orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)  # a row a month
+    starts = months.select("_month", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_month").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_seen", F.coalesce(F.sum("real").over(within), F.lit(0))).join(starts, "_month")
+    return rows.select("t", "real", (F.col("_start") + F.col("_seen")).alias("seen"))
+
+
 def baseline_times(panel: DataFrame, anomalies: DataFrame, n: int = BASELINE_TIMES) -> DataFrame:
-    """(anomaly_id, t): the last n distinct times of the panel before each anomaly."""
-    times = panel.select("t").distinct()
-    pairs = anomalies.select("anomaly_id", F.col("t").alias("at")).join(times, F.col("t") < F.col("at"))
-    last = F.row_number().over(Window.partitionBy("anomaly_id").orderBy(F.desc("t")))
-    return pairs.withColumn("_n", last).where(F.col("_n") <= n).select("anomaly_id", "t")
+    """(anomaly_id, t): the last n distinct times of the panel before each anomaly, looked up by their number."""
+    times = panel.select("t").distinct().withColumn("real", F.lit(1))
+    times = times.unionByName(anomalies.select("t").distinct().withColumn("real", F.lit(0)))
+    places = seen_before(times.groupBy("t").agg(F.max("real").alias("real")))
+    wanted = anomalies.select("anomaly_id", "t").join(places.select("t", "seen"), "t").where("seen > 0")
+    wanted = wanted.select("anomaly_id", F.explode(F.sequence(F.greatest(F.col("seen") - n + 1, F.lit(1)), "seen")).alias("place"))
+    return wanted.join(places.where("real = 1").select((F.col("seen") + 1).alias("place"), "t"), "place").select("anomaly_id", "t")
 
 
 def long_dimensions(panel: DataFrame, dims: list[str]) -> DataFrame:
@@ -62,7 +81,7 @@ def _around(panel: DataFrame, anomalies: DataFrame, n: int) -> DataFrame:
     """Panel rows of each anomaly's time and baseline: (anomaly_id, now, ...)."""
     base = baseline_times(panel, anomalies, n).withColumn("now", F.lit(False))
     times = base.unionByName(anomalies.select("anomaly_id", "t", F.lit(True).alias("now")))
-    return panel.join(F.broadcast(times), "t")  # n + 1 rows an anomaly
+    return panel.join(times, "t")  # n + 1 rows an anomaly
 
 
 def segments(panel: DataFrame, anomalies: DataFrame, dims: list[str], least: int = MIN_SEGMENT, n: int = BASELINE_TIMES) -> DataFrame:
@@ -98,7 +117,7 @@ def top_segments(seg: DataFrame, n: int = 10) -> DataFrame:
 
 def segment_significance(seg: DataFrame) -> DataFrame:
     """seg with t of the anomaly's mean against the baseline and its p; without spread p is 0 or 1."""
-    now_mean = F.col("actual") / F.col("now_rows")
+    now_mean = F.try_divide(F.col("actual"), F.col("now_rows"))
     t = (now_mean - F.col("mean")) / (F.col("sd") / F.sqrt("size"))
     out = seg.withColumn("t_stat", F.when((F.col("sd") > 0) & (F.col("now_rows") > 0), t))
     p = student_p_value(F.col("t_stat"), (F.col("size") - 1).cast("double"))
@@ -127,49 +146,80 @@ def all_interactions(rows: DataFrame, dims: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (interactions(rows, a, b) for a, b in combinations(dims, 2)))
 
 
-def shapley(base: DataFrame, now: DataFrame, dims: list[str]) -> DataFrame:
-    """Exact Shapley values of dimensions: (dimension, value).
+def shapley(rows: DataFrame, dims: list[str]) -> DataFrame:
+    """Exact Shapley values of dimensions: (dimension, value), of rows (now, v, dimensions...).
 
     A coalition's value is the sum over the anomaly's rows of the baseline mean
     of their segment in the coalition's dimensions, against the overall mean
-    where it has no baseline. All 2^d coalitions (d at most 5) are grouping sets of one table.
+    where it has no baseline. All 2^d coalitions are grouping sets of one
+    aggregation, which holds each segment's baseline mean and rows of the anomaly.
     """
     n = len(dims)
-    overall = base.agg(F.avg("v").alias("_all"))
     subsets = [c for k in range(n + 1) for c in combinations(dims, k)]
-    worth = None
-    for c in subsets:
-        rows = now.crossJoin(F.broadcast(overall))
-        if c:
-            rows = rows.join(base.groupBy(*c).agg(F.avg("v").alias("_mean")), list(c), "left")
-        else:
-            rows = rows.withColumn("_mean", F.col("_all"))
-        one = rows.agg(F.sum(F.coalesce("_mean", "_all")).alias("w")).select(F.lit("|".join(c)).alias("c"), "w")
-        worth = one if worth is None else worth.unionByName(one)
+    # grouping_id has a bit for each dimension that a set leaves out, the last dimension's the lowest
+    names = F.create_map(*(F.lit(x) for c in subsets for x in (sum(2 ** (n - 1 - i) for i, d in enumerate(dims) if d not in c), "|".join(c))))
+    sets = rows.groupingSets([list(c) for c in subsets], *dims).agg(
+        F.avg(F.when(~F.col("now"), F.col("v"))).alias("mean"), F.count_if("now").alias("n"), F.grouping_id(*dims).cast("int").alias("gid")
+    )
+    coalition = sets.groupBy(F.try_element_at(names, F.col("gid")).alias("c"))
+    # rows without a baseline take the overall mean, which is the empty coalition's
+    worth = coalition.agg(F.sum(F.col("n") * F.col("mean")).alias("known"), F.sum(F.when(F.col("mean").isNull(), F.col("n"))).alias("unknown"))
+    overall = sets.where(F.col("gid") == 2**n - 1).select(F.col("mean").alias("_all"))
+    worth = worth.crossJoin(F.broadcast(overall)).select("c", (F.coalesce("known", F.lit(0.0)) + F.coalesce("unknown", F.lit(0)) * F.col("_all")).alias("w"))  # one row
     steps = [
         ("|".join(c), "|".join(x for x in dims if x in {*c, d}), d, factorial(len(c)) * factorial(n - len(c) - 1) / factorial(n))
         for d in dims
         for c in subsets
         if d not in c
     ]
-    weights = base.sparkSession.createDataFrame(steps, "c string, c_with string, dimension string, weight double")
+    weights = rows.sparkSession.createDataFrame(steps, "c string, c_with string, dimension string, weight double")
     with_d = worth.select(F.col("c").alias("c_with"), F.col("w").alias("w_with"))
     gains = weights.join(worth, "c").join(with_d, "c_with")
     return gains.groupBy("dimension").agg(F.sum(F.col("weight") * (F.col("w_with") - F.col("w"))).alias("value"))
 
 
-def bootstrap_interval(seg_rows: DataFrame, rounds: int = 1000, level: float = 0.95) -> DataFrame:
-    """(segment, low, high) of the mean of v by Poisson bootstrap: each row weighs once a round, drawn by hash."""
-    u = (F.pmod(F.xxhash64("row_id", "round"), F.lit(1_000_003)) + 0.5) / 1_000_003
-    weight, total, p, k = F.lit(0), 0.0, 2.718281828459045**-1, 0
-    for k in range(8):
-        total += p
-        weight = weight + (u > total).cast("int")
-        p /= k + 1
-    rows = seg_rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", weight)
-    means = rows.groupBy("segment", "round").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum("w")).alias("m"))
-    q = F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
-    return means.groupBy("segment").agg(q.alias("q")).select("segment", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
+def bootstrap_ratios(rows: DataFrame, rounds: int = 1000, level: float = 0.95) -> DataFrame:
+    """(anomaly_id, dimension, segment, low, high): percentile interval of a segment's resampled impact over its own.
+
+    rows: row_id, anomaly_id, dimension, segment, now, v. The impact is the sum of
+    the anomaly's rows less what as many rows of the baseline mean. Poisson
+    bootstrap: in each round a row weighs a number drawn by hash of row and
+    round. Tasks add up all rounds of a segment as arrays before the shuffle.
+    """
+    keys = ["anomaly_id", "dimension", "segment"]
+    limits = np.cumsum([exp(-1) / factorial(k) for k in range(9)])
+    parts = ["now_sum", "now_n", "base_sum", "base_n"]
+
+    def add_up(batches):
+        steps = np.arange(rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # the first step is no resampling
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            h = batch.column("_h").to_numpy().astype(np.uint64)
+            now, v = batch.column("now").to_pylist(), batch.column("v").to_numpy()
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
+                x = h[i] + steps
+                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                w = np.searchsorted(limits, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right").astype(float)
+                w[0] = 1.0
+                held = sums.setdefault(key, np.zeros((4, rounds + 1)))
+                at = 0 if now[i] else 2
+                held[at] += w * v[i]
+                held[at + 1] += w
+        out = [(*key, r, *(float(x) for x in held[:, r])) for key, held in sums.items() for r in range(rounds + 1)]
+        cols = list(zip(*out, strict=True)) or [[]] * 8
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], [*keys, "round", *parts])
+
+    types = [to_arrow_type(rows.schema[k].dataType) for k in keys] + [pa.int32()] + [pa.float64()] * 4
+    ddl = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", round int, " + ", ".join(f"{c} double" for c in parts)
+    known = rows.where("v is not null").select(F.xxhash64("row_id").alias("_h"), *keys, "now", F.col("v").cast("double").alias("v"))
+    sums = known.mapInArrow(add_up, ddl).groupBy(*keys, "round").agg(*(F.sum(c).alias(c) for c in parts))
+    impact = F.col("now_sum") - F.col("now_n") * F.try_divide(F.col("base_sum"), F.col("base_n"))
+    rounds_of = sums.withColumn("impact", impact)
+    own = rounds_of.where("round = 0").select(*keys, F.col("impact").alias("own"))
+    ratios = rounds_of.where("round > 0 and impact is not null").join(own, keys).where("own <> 0")
+    q = F.percentile(F.col("impact") / F.col("own"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
+    return ratios.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 # --- correlations: wide is (idx, metric columns...) ----------------------------------------------------------
@@ -178,7 +228,8 @@ def bootstrap_interval(seg_rows: DataFrame, rounds: int = 1000, level: float = 0
 def correlations(wide: DataFrame, metrics: list[str], how: str = "pearson") -> DataFrame:
     """(a, b, n, r) for all pairs of metrics in one aggregation; spearman ranks each column first, ties at their mean."""
     if how == "spearman":
-        wide = wide.withColumns({m: _rank(m) for m in metrics})
+        for m in metrics:
+            wide = with_rank(wide, m)
     pairs = list(combinations(metrics, 2))
     both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
     facts = [F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)] + [F.count_if(x).alias(f"n{i}") for i, x in enumerate(both)]
@@ -186,8 +237,22 @@ def correlations(wide: DataFrame, metrics: list[str], how: str = "pearson") -> D
     return wide.agg(*facts).select(F.inline(rows))
 
 
-def _rank(m: str) -> Column:
-    return F.rank().over(Window.orderBy(m)) + (F.count("*").over(Window.partitionBy(m)) - 1) / 2.0
+def with_rank(wide: DataFrame, m: str, parts: int = 64) -> DataFrame:
+    """wide with column m as its rank, ties at their mean, nulls null.
+
+    Rows are counted by distinct value; values are ranked within parts cut at
+    approximate quantiles and shifted by the parts before, so no task sorts all rows.
+    """
+    cuts = sorted(set(wide.approxQuantile(m, [i / parts for i in range(1, parts)], 0.01)))
+    part = F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<double>"), lambda c: c < F.col(m)))
+    values = wide.where(F.col(m).isNotNull()).groupBy(m).agg(F.count("*").alias("_n")).withColumn("_part", part)
+    sizes = values.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a part
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_part").orderBy(m).rowsBetween(Window.unboundedPreceding, -1)
+    values = values.withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(starts, "_part")
+    ranks = values.select(m, (F.col("_start") + F.col("_before") + (F.col("_n") + 1) / 2).alias("_rank"))
+    return wide.join(ranks, m, "left").withColumn(m, F.col("_rank")).drop("_rank")
 
 
 def correlation_significance(c: DataFrame) -> DataFrame:
@@ -263,38 +328,107 @@ def expected_value(s: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.when(F.max("_n") >= 3, F.avg("v")).alias("expected"))
 
 
-def insights(anomalies: DataFrame, drivers: DataFrame, most: int = 10) -> DataFrame:
-    """One row an anomaly: impact, its drivers (array, largest first), confidence and hypothesis.
+def change_window(s: DataFrame, anomalies: DataFrame, rows: int = 60) -> DataFrame:
+    """(key, t, idx, v): for each anomaly, as key, the last rows + 1 points of its series up to its time.
 
-    anomalies: anomaly_id, metric, value, low, high. Impact is the value's
-    distance from the middle of the expected range. Confidence weighs how much
-    the top driver explains, how many drivers there are, their evidence, the
-    size of the impact and whether a change is known.
+    s: t, v with one point a time; anomalies: anomaly_id, t.
     """
+    times = baseline_times(s, anomalies, rows).unionByName(anomalies.select("anomaly_id", "t"))
+    points = times.join(s.select("t", "v"), "t").where("v is not null")
+    order = Window.partitionBy("anomaly_id").orderBy("t")
+    return points.select(F.col("anomaly_id").alias("key"), "t", (F.row_number().over(order) - 1).alias("idx"), "v")
+
+
+def changes(window: DataFrame, points: DataFrame, anomalies: DataFrame, significance: float = 0.05) -> DataFrame:
+    """(anomaly_id, changed_at, confidence, magnitude, days): significant change points in the first 80 % of a window.
+
+    window is change_window's, points its change points (key, idx, p). days
+    counts from the change to the anomaly, so it is never negative.
+    """
+    n = window.groupBy("key").agg(F.count("*").alias("n"))
+    found = points.where(F.col("p") < significance).join(n, "key").where(F.col("idx") + 1 < 0.8 * F.col("n"))
+    at = found.select("key", (F.col("idx") + 1).alias("idx"), "p").join(window.select("key", "idx", F.col("t").alias("changed_at")), ["key", "idx"])
+    size = change_magnitude(window, found.select("key", "idx")).select("key", "magnitude")
+    out = at.join(size, "key").withColumnRenamed("key", "anomaly_id").join(anomalies.select("anomaly_id", "t"), "anomaly_id")
+    days = F.datediff("t", "changed_at")
+    return out.select("anomaly_id", "changed_at", (1 - F.col("p")).alias("confidence"), "magnitude", days.alias("days"))
+
+
+def _evidence(anomalies: DataFrame, seg: DataFrame, drivers: DataFrame, related: DataFrame, change: DataFrame) -> DataFrame:
+    """One row an anomaly with what each method found, null where it found nothing."""
+    order = F.struct(-F.round(F.abs("deviation"), 4), "dimension", "segment", "ratio", "contribution", "p")
+    segs = seg.groupBy("anomaly_id").agg(
+        F.array_sort(F.collect_list(order))[0].alias("seg"), F.count("*").alias("n_seg"),
+        F.count_if(F.col("p") < 0.05).alias("n_sure"), F.avg("contribution").alias("mean_contribution"),
+    )
     order = F.struct(-F.round(F.col("share"), 2), "dimension", "segment", F.round("pct", 2).alias("pct"), F.round("share", 2).alias("share"))
-    top = F.slice(F.array_sort(F.collect_list(order)), 1, most)
-    by = drivers.groupBy("anomaly_id").agg(top.alias("d"), F.count("*").alias("n_drivers"))
-    out = anomalies.join(by, "anomaly_id", "left")
-    middle = (F.col("low") + F.col("high")) / 2
+    by = drivers.groupBy("anomaly_id").agg(F.array_sort(F.collect_list(order)).alias("d"))
+    strength = F.struct(-F.round(F.abs("r"), 6), "other", "r", "p")
+    rel = related.groupBy("anomaly_id").agg(
+        F.array_sort(F.collect_list(strength))[0].alias("rel"), F.count("*").alias("n_rel"), F.count_if(F.col("p") < 0.05).alias("n_rel_sure")
+    )
+    change = change.select("anomaly_id", F.struct("confidence", "magnitude", "days").alias("change"))
+    out = anomalies
+    for part in (segs, by, rel, change):
+        out = out.join(part, "anomaly_id", "left")
+    return out
+
+
+def insights(anomalies: DataFrame, seg: DataFrame, drivers: DataFrame, related: DataFrame, change: DataFrame, most: int = 10) -> DataFrame:
+    """One row an anomaly: impact, its drivers (array, largest first), confidence and hypothesis.
+
+    anomalies: anomaly_id, metric, value, low, high; the impact is the value's
+    distance from the middle of the expected range. seg: segments with
+    contribution and p; related: anomaly_id, other metric, r, p; change: see
+    changes. Confidence weighs the top segment's significance, the strongest
+    correlation, the change point, the top driver's share and how many of the
+    four methods found something.
+    """
+    out = _evidence(anomalies, seg, drivers, related, change)
     first = F.try_element_at("d", F.lit(1))
-    impact = F.col("value") - middle
-    share = F.coalesce(first["share"] / 100, F.lit(0.0))
+    impact = F.col("value") - (F.col("low") + F.col("high")) / 2
+    sure, share = F.col("change.confidence"), F.abs(first["pct"])
+    methods = [F.col("seg").isNotNull(), F.col("rel").isNotNull(), F.col("change").isNotNull(), first.isNotNull()]
     scores = [
-        (0.25, share),
-        (0.20, F.least(F.lit(1.0), F.coalesce(F.col("n_drivers"), F.lit(0)) / 5)),
-        (0.15, F.when(F.col("n_drivers") >= 2, 1.0).otherwise(0.5)),
-        (0.20, F.least(F.lit(1.0), F.abs(impact) / F.greatest(F.abs(middle), F.lit(1e-9)))),
-        (0.20, F.when(share >= 0.5, 1.0).when(share >= 0.25, 0.6).otherwise(0.3)),
+        (0.25, F.when(F.col("seg.p") < 0.05, 1.0).when(F.col("seg").isNotNull(), 0.3).otherwise(0.1)),
+        (0.20, F.coalesce(F.abs("rel.r"), F.lit(0.5))),
+        (0.15, F.when(sure > 0.8, 1.0).when(sure > 0.6, 0.7).when(sure.isNotNull(), 0.4).otherwise(0.5)),
+        (0.20, F.when(share > 40, 1.0).when(share > 20, 0.7).when(share.isNotNull(), 0.4).otherwise(0.3)),
+        (0.20, reduce(lambda a, b: a + b, (m.cast("int") for m in methods)) / 4),
     ]
-    conf = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), reduce(lambda a, b: a + b, (w * s for w, s in scores)))), 3)
+    conf = F.round(clamp01(reduce(lambda a, b: a + b, (w * x for w, x in scores))), 3)
+    name = F.initcap(F.replace(F.col("metric"), F.lit("_"), F.lit(" ")))
+    percent = lambda c: F.format_string("%.1f%%", F.round(c, 1))
+    by_segment = F.concat(F.col("seg.segment"), F.lit(" ("), percent(F.col("seg.contribution")), F.lit(" contribution)."))
     story = F.concat_ws(
         " ",
-        F.concat(F.col("metric"), F.lit(" is "), F.when(impact > 0, "above").otherwise("below"), F.lit(" its expected range")),
-        F.when(first.isNotNull(), F.concat(F.lit("mainly in "), first["dimension"], F.lit("="), first["segment"])),
-        F.when(F.col("n_drivers") > 1, F.concat(F.lit("with "), (F.col("n_drivers") - 1).cast("string"), F.lit(" further drivers"))),
+        F.when(F.col("seg").isNull(), F.concat(F.lit("Anomaly detected in "), name, F.lit(".")))
+        .when(F.col("seg.ratio") < 0.7, F.concat(name, F.lit(" drop primarily driven by "), by_segment))
+        .when(F.col("seg.ratio") > 1.3, F.concat(name, F.lit(" spike primarily driven by "), by_segment))
+        .otherwise(F.concat(F.lit("Anomaly in "), name, F.lit(" concentrated in "), by_segment)),
+        F.when(
+            F.col("rel.p") < 0.05,
+            F.concat(F.lit("Correlated with "), F.initcap(F.replace(F.col("rel.other"), F.lit("_"), F.lit(" "))), F.lit(" (r="), F.format_string("%.2f", F.round(F.abs("rel.r"), 2)), F.lit(").")),
+        ),
+        F.when(sure > 0.7, F.concat(F.lit("Behavior change detected "), F.col("change.days").cast("string"), F.lit(" days before."))),
+        F.concat(F.initcap(first["dimension"]), F.lit(" ("), first["segment"], F.lit(") accounts for "), percent(first["pct"]), F.lit(" of total impact.")),
     )
     return out.select(
-        "anomaly_id", "metric", F.round(impact, 4).alias("impact"), F.coalesce("n_drivers", F.lit(0)).cast("long").alias("n_drivers"),
+        "anomaly_id", "metric", F.round(impact, 4).alias("impact"), F.coalesce(F.size("d"), F.lit(0)).cast("long").alias("n_drivers"),
         first["dimension"].alias("top_dimension"), first["segment"].alias("top_segment"), first["share"].alias("top_share"),
-        conf.alias("confidence"), story.alias("hypothesis"), F.col("d").alias("drivers"),
+        conf.alias("confidence"), story.alias("hypothesis"), F.slice("d", 1, most).alias("drivers"),
+    )
+
+
+def evidence(anomalies: DataFrame, seg: DataFrame, drivers: DataFrame, related: DataFrame, change: DataFrame) -> DataFrame:
+    """Counts and averages that support each anomaly's insight; arguments as for insights."""
+    out = _evidence(anomalies, seg, drivers, related, change)
+    return out.select(
+        "anomaly_id", F.coalesce("n_seg", F.lit(0)).alias("segments"), F.coalesce("n_sure", F.lit(0)).alias("significant_segments"),
+        F.round(F.coalesce("mean_contribution", F.lit(0.0)), 4).alias("mean_contribution"),
+        F.coalesce("n_rel", F.lit(0)).alias("correlations"), F.round(F.abs("rel.r"), 6).alias("strongest_correlation"),
+        F.coalesce("n_rel_sure", F.lit(0)).alias("significant_correlations"), F.col("change").isNotNull().alias("changed"),
+        F.round("change.confidence", 4).alias("change_confidence"), F.round("change.magnitude", 4).alias("change_magnitude"),
+        F.col("change.days").alias("days_since_change"), F.coalesce(F.size("d"), F.lit(0)).cast("long").alias("factors"),
+        F.try_element_at("d", F.lit(1))["dimension"].alias("top_contributor"),
     )

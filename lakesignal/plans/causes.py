@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import root_cause as rc
@@ -22,12 +23,10 @@ def panel(spark, sf_dir):
 
 
 def anomalies(spark, sf_dir):
-    """The three months of the greatest sums, ids by time, as far from the first as to have a baseline."""
+    """Every month that has eight months before it, ids by time."""
     p = panel(spark, sf_dir).groupBy("t").agg(F.round(F.sum("v"), 2).alias("value"))
-    from pyspark.sql import Window
-
-    p = p.withColumn("n", F.row_number().over(Window.orderBy("t"))).where("n > 8").orderBy(F.desc("value"), "t").limit(3)
-    return p.select(F.row_number().over(Window.orderBy("t")).alias("anomaly_id"), "t", "value")
+    n = F.row_number().over(Window.orderBy("t"))  # a row a month
+    return p.withColumn("n", n).where("n > 8").select((F.col("n") - 8).alias("anomaly_id"), "t", "value")
 
 
 def seg(spark, sf_dir):
@@ -36,8 +35,6 @@ def seg(spark, sf_dir):
 
 def wide(spark, sf_dir):
     """Events by hour: (idx, value, n, users, top)."""
-    from pyspark.sql import Window
-
     h = load(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("t")).agg(
         F.round(F.sum("value"), 2).alias("total"), F.count("*").cast("double").alias("n"),
         F.count_distinct("user_id").cast("double").alias("users"), F.max("value").alias("top"),
@@ -49,13 +46,56 @@ METRICS = ["total", "n", "users", "top"]
 ks = ["anomaly_id", "dimension", "segment"]
 
 
+#: Means of amounts in cents lie half way between four digits now and then, where engines round differently; a shift avoids it.
+SHIFT = 0.0000137
+
+
 def r4(df, *cols):
     return df.withColumns({c: F.round(c, 4) for c in cols})
 
 
-def first_rows(spark, sf_dir, now: bool):
-    p = rc._around(panel(spark, sf_dir), anomalies(spark, sf_dir).where("anomaly_id = 1"), rc.BASELINE_TIMES)
-    return p.where(F.col("now") if now else ~F.col("now")).select(*DIMS, "v")
+def first_rows(spark, sf_dir):
+    return rc._around(panel(spark, sf_dir), anomalies(spark, sf_dir).where("anomaly_id = 1"), rc.BASELINE_TIMES).select("now", *DIMS, "v")
+
+
+def months(spark, sf_dir):
+    """(t, revenue, lines, quantity, discount) by month."""
+    li = load(spark, sf_dir, "lineitem").where("l_shipdate is not null and l_extendedprice is not null")
+    return li.groupBy(F.date_trunc("month", "l_shipdate").alias("t")).agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("revenue"), F.count("*").cast("double").alias("order_lines"),
+        F.sum("l_quantity").alias("quantity"), F.round(F.avg("l_discount"), 9).alias("discount"),
+    )
+
+
+def related(spark, sf_dir):
+    """Correlations of the other monthly figures with revenue, for each anomaly."""
+    c = rc.correlation_significance(rc.correlations(months(spark, sf_dir), ["revenue", "order_lines", "quantity", "discount"]))
+    c = c.where("a = 'revenue'").select(F.col("b").alias("other"), "r", "p")
+    return anomalies(spark, sf_dir).select("anomaly_id").crossJoin(F.broadcast(c))  # three rows
+
+
+def change_points(spark, sf_dir, significance=0.05):
+    a = anomalies(spark, sf_dir)
+    w = rc.change_window(months(spark, sf_dir).select("t", F.col("revenue").alias("v")), a)
+    return rc.changes(w, series.pettitt(w), a, significance)
+
+
+def methods(spark, sf_dir):
+    """The arguments of insights and evidence."""
+    v = F.col("value")
+    a = anomalies(spark, sf_dir).select("anomaly_id", F.lit("net_revenue").alias("metric"), "value", (v * 0.7).alias("low"), (v * 0.9).alias("high"))
+    s = rc.contributions(rc.segment_significance(seg(spark, sf_dir)))
+    return a, s, rc.attribution(s), related(spark, sf_dir), change_points(spark, sf_dir)
+
+
+def resampled(spark, sf_dir):
+    """Rows of the first anomaly's time and baseline by dimension."""
+    li = load(spark, sf_dir, "lineitem").withColumn("row_id", F.struct("l_orderkey", "l_linenumber"))
+    p = li.select("row_id", F.date_trunc("month", "l_shipdate").alias("t"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+                  F.col("l_linenumber").cast("string").alias("line"), F.col("l_extendedprice").alias("v")).where("t is not null and v is not null")
+    rows = rc._around(p, anomalies(spark, sf_dir).where("anomaly_id = 1"), rc.BASELINE_TIMES)
+    cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("segment")) for d in DIMS))
+    return rows.select("row_id", "anomaly_id", "now", "v", F.inline(cells))
 
 
 def pairs(spark, sf_dir):
@@ -70,8 +110,7 @@ PANEL = """
 p AS (SELECT date_trunc('month', l_shipdate) AS t, l_returnflag AS flag, l_linestatus AS status, CAST(l_linenumber AS VARCHAR) AS line,
         l_extendedprice AS v FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL),
 m AS (SELECT t, round(sum(v), 2) AS value FROM p GROUP BY 1),
-an AS (SELECT CAST(row_number() OVER (ORDER BY t) AS INTEGER) AS anomaly_id, t, value FROM (
-  SELECT * FROM (SELECT *, row_number() OVER (ORDER BY t) AS n FROM m) WHERE n > 8 ORDER BY value DESC, t LIMIT 3)),
+an AS (SELECT CAST(n - 8 AS INTEGER) AS anomaly_id, t, value FROM (SELECT *, row_number() OVER (ORDER BY t) AS n FROM m) WHERE n > 8),
 bt AS (SELECT anomaly_id, m.t, false AS now FROM an JOIN m ON m.t < an.t
        QUALIFY row_number() OVER (PARTITION BY anomaly_id ORDER BY m.t DESC) <= 7),
 ar AS (SELECT anomaly_id, now, p.* FROM p JOIN (SELECT * FROM bt UNION ALL SELECT anomaly_id, t, true FROM an) x USING (t))"""
@@ -138,16 +177,45 @@ def interaction_sql() -> str:
     return f"WITH {PANEL} " + " UNION ALL ".join(parts)
 
 
-def insight_rows(spark, sf_dir):
-    a = anomalies(spark, sf_dir).select("anomaly_id", F.lit("revenue").alias("metric"), "value", (F.col("value") * 0.7).alias("low"), (F.col("value") * 0.9).alias("high"))
-    return rc.insights(a, rc.attribution(seg(spark, sf_dir)))
-
-
-INSIGHT = f"""{ATT},
-dr AS (SELECT *, row_number() OVER (PARTITION BY anomaly_id ORDER BY round(share, 2) DESC, dimension, segment) AS k,
-              count(*) OVER (PARTITION BY anomaly_id) AS n_drivers FROM att),
-ins AS (SELECT an.anomaly_id, 'revenue' AS metric, value - (value * 0.7 + value * 0.9) / 2 AS imp, (value * 0.7 + value * 0.9) / 2 AS mid,
-          n_drivers, dimension, segment, round(share, 2) AS top_share FROM an LEFT JOIN dr ON an.anomaly_id = dr.anomaly_id AND k = 1)"""
+#: Two-sided p of t with df degrees of freedom: 1 - twice Simpson's sum of the density from 0 to |t|, over 2,000 steps.
+def p_sql(t: str, df: str) -> str:
+    top = f"least(abs({t}), 60.0)"
+    density = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * pi()) * pow(1 + pow({top} * i / 2000, 2) / {df}, -({df} + 1) / 2.0)"
+    weight = "CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"greatest(0.0, 1 - 2 * {top} / 6000 * list_sum(list_transform(range(0, 2001), lambda i: {weight} * {density})))"
+
+
+SIGNIFICANT = f"""{SEG},
+sp AS (SELECT *, CASE WHEN sd > 0 AND now_rows > 0 THEN {p_sql("t", "(size - 1)")} WHEN actual / nullif(now_rows, 0) = mean THEN 1.0 ELSE 0.0 END AS p,
+    coalesce(100 * abs(deviation) / nullif(sum(abs(deviation)) OVER (PARTITION BY anomaly_id, dimension), 0), 0.0) AS contribution
+  FROM (SELECT *, (actual / nullif(now_rows, 0) - mean) / nullif(sd / sqrt(size), 0) AS t FROM seg))"""
+MONTHS = """mo AS (SELECT date_trunc('month', l_shipdate) AS t, round(sum(l_extendedprice), 2) AS revenue, CAST(count(*) AS DOUBLE) AS order_lines, sum(l_quantity) AS quantity,
+  round(avg(l_discount), 9) AS discount FROM lineitem WHERE l_shipdate IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY 1)"""
+CHANGES = """cw AS (SELECT anomaly_id AS key, an.t AS at_time, mo.t, revenue AS v, CAST(row_number() OVER (PARTITION BY anomaly_id ORDER BY mo.t) - 1 AS INTEGER) AS idx FROM
+  (SELECT anomaly_id, t, row_number() OVER (PARTITION BY anomaly_id ORDER BY mt DESC) AS back, mt FROM (SELECT an.*, mo.t AS mt FROM an JOIN mo ON mo.t <= an.t)) an
+  JOIN mo ON mo.t = mt WHERE back <= 61),
+cp AS (SELECT *, max(abs(u)) OVER (PARTITION BY key) AS top FROM (SELECT *, 2 * sum(r) OVER (PARTITION BY key ORDER BY idx ROWS UNBOUNDED PRECEDING) - (idx + 1) * (n + 1) AS u FROM (
+  SELECT *, rank() OVER (PARTITION BY key ORDER BY v) + (count(*) OVER (PARTITION BY key, v) - 1) / 2.0 AS r, CAST(count(*) OVER (PARTITION BY key) AS DOUBLE) AS n FROM cw))
+  WHERE n >= 20 AND idx + 1 BETWEEN 10 AND n - 10),
+cq AS (SELECT key, idx, n, round(least(1.0, 2 * exp(-6 * pow(u, 2) / (n ** 3 + n ** 2))), 6) AS p FROM cp WHERE abs(u) = top QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx) = 1),
+ch AS (SELECT key AS anomaly_id, any_value(cw.t) FILTER (cw.idx = cq.idx + 1) AS changed_at, 1 - any_value(p) AS confidence,
+    (avg(v) FILTER (cw.idx > cq.idx) - avg(v) FILTER (cw.idx <= cq.idx)) / stddev_pop(v) AS magnitude,
+    date_diff('day', any_value(cw.t) FILTER (cw.idx = cq.idx + 1), any_value(at_time)) AS days
+  FROM cw JOIN cq USING (key) WHERE p < LEAST_P AND cq.idx + 1 < 0.8 * n GROUP BY key)"""
+RELATED = " UNION ALL ".join(f"SELECT '{m}' AS other, corr(revenue, {m}) AS r, count(*) AS n FROM mo" for m in ("order_lines", "quantity", "discount"))
+EVIDENCE = f"""{SIGNIFICANT}, {MONTHS}, {CHANGES.replace('LEAST_P', '0.05')}, rr AS ({RELATED}),
+rel AS (SELECT *, {p_sql("t", "(n - 2)")} AS p FROM (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM rr)),
+att AS (SELECT *, 100 * abs(pct) / sum(abs(pct)) OVER w AS share FROM (
+  SELECT *, 100 * deviation / sum(abs(deviation)) OVER (PARTITION BY anomaly_id, dimension) AS pct FROM seg
+) WHERE abs(round(pct, 6)) >= 1 WINDOW w AS (PARTITION BY anomaly_id, dimension)),
+dr AS (SELECT *, row_number() OVER (PARTITION BY anomaly_id ORDER BY round(share, 2) DESC, dimension, segment) AS k, count(*) OVER (PARTITION BY anomaly_id) AS n_drivers FROM att),
+ts AS (SELECT *, row_number() OVER (PARTITION BY anomaly_id ORDER BY round(abs(deviation), 4) DESC, dimension, segment) AS k, count(*) OVER w AS n_seg,
+    count(*) FILTER (p < 0.05) OVER w AS n_sure, avg(contribution) OVER w AS mean_contribution FROM sp WINDOW w AS (PARTITION BY anomaly_id)),
+tr AS (SELECT * FROM rel ORDER BY round(abs(r), 6) DESC, other LIMIT 1),
+ins AS (SELECT an.anomaly_id, value, value - (value * 0.7 + value * 0.9) / 2 AS imp, dr.n_drivers, dr.dimension AS top_dimension, dr.segment AS top_segment, round(dr.pct, 2) AS pct,
+    round(dr.share, 2) AS top_share, ts.segment AS seg, ts.ratio, ts.contribution, ts.p AS seg_p, n_seg, n_sure, mean_contribution, tr.other, tr.r, tr.p AS rel_p,
+    (SELECT count(*) FROM rel) AS n_rel, (SELECT count(*) FROM rel WHERE p < 0.05) AS n_rel_sure, ch.confidence AS sure, ch.magnitude, ch.days
+  FROM an LEFT JOIN dr ON an.anomaly_id = dr.anomaly_id AND dr.k = 1 LEFT JOIN ts ON an.anomaly_id = ts.anomaly_id AND ts.k = 1 CROSS JOIN tr LEFT JOIN ch ON ch.anomaly_id = an.anomaly_id)"""
 JOIN_SIDES = """
 l AS (SELECT event_id, user_id % 10 AS grp, ts FROM events WHERE event_type = 'error' AND ts IS NOT NULL),
 r AS (SELECT user_id % 10 AS grp, ts, min(event_id) AS purchase_id FROM events WHERE event_type = 'purchase' AND ts IS NOT NULL GROUP BY 1, 2)"""
@@ -158,16 +226,16 @@ QUERIES = {
     "j04_asof_backward": lambda sp, d: rc.asof(*pairs(sp, d), "grp", "ts", ["purchase_id"]).select("event_id", "purchase_id"),
     "w15_baseline_times": lambda sp, d: rc.baseline_times(panel(sp, d), anomalies(sp, d)).groupBy("anomaly_id").agg(F.count("*").alias("n"), F.date_format(F.min("t"), "yyyy-MM").alias("first")),
     "j02_baseline_semi_join": lambda sp, d: panel(sp, d).join(rc.baseline_times(panel(sp, d), anomalies(sp, d)).select("t").distinct(), "t", "left_semi").groupBy("flag").agg(F.count("*").alias("n")),
-    "a24_segments": lambda sp, d: r4(seg(sp, d), "actual", "mean", "sd", "median", "expected", "deviation", "ratio"),
+    "a24_segments": lambda sp, d: seg(sp, d).withColumns({c: F.round(F.col(c) + SHIFT, 4) for c in ("actual", "mean", "sd", "median", "expected", "deviation", "ratio")}),
     "a25_contributions": lambda sp, d: rc.contributions(seg(sp, d)).select(*ks, F.round("contribution", 4).alias("contribution")),
     "t03_top_segments": lambda sp, d: rc.top_segments(seg(sp, d)).select(*ks, "rank"),
     "a26_segment_t": lambda sp, d: rc.segment_significance(seg(sp, d)).select(*ks, F.round("t_stat", 4).alias("t_stat")),
     "a33_attribution": lambda sp, d: rc.attribution(seg(sp, d)).select(*ks, F.round("pct", 4).alias("pct"), F.round("share", 4).alias("share")),
     "a36_interactions": lambda sp, d: r4(rc.all_interactions(panel(sp, d), DIMS), "value", "effect"),
-    "a38_shapley": lambda sp, d: rc.shapley(first_rows(sp, d, False), first_rows(sp, d, True), DIMS).withColumn("value", F.round("value", 2)),
+    "a38_shapley": lambda sp, d: rc.shapley(first_rows(sp, d), DIMS).withColumn("value", F.round("value", 2)),
     "j06_correlation_matrix": wide_q(lambda w: rc.correlations(w, METRICS).withColumn("r", F.round("r", 6))),
     "a28_spearman": wide_q(lambda w: rc.correlations(w, METRICS, "spearman").withColumn("r", F.round("r", 6))),
-    "a27_pearson_p": wide_q(lambda w: rc.correlation_significance(rc.correlations(w, METRICS)).select("a", "b", F.round("t_stat", 3).alias("t_stat"))),
+    "a27_pearson_p": wide_q(lambda w: rc.correlation_significance(rc.correlations(w, METRICS)).select("a", "b", F.round("t_stat", 3).alias("t_stat"), F.round("p", 6).alias("p"))),
     "a30_multiple_testing": wide_q(lambda w: rc.adjust(rc.correlations(w, METRICS).withColumn("p", F.round(1 - F.abs("r"), 6))).select("a", "b", F.round("bonferroni", 6).alias("bonferroni"), F.round("bh", 6).alias("bh"))),
     "a29_lagged_correlation": wide_q(lambda w: rc.lagged(w, "total", "users").withColumn("c", F.round("c", 6))),
     "a29_best_lag": wide_q(lambda w: rc.best_lag(rc.lagged(w, "total", "users")).withColumn("c", F.round("c", 6))),
@@ -175,11 +243,12 @@ QUERIES = {
     "w13_correlation_window": wide_q(lambda w: rc.correlations(rc.window_before(w, 400), METRICS).withColumn("r", F.round("r", 6))),
     "m06_change_magnitude": lambda sp, d: r4(rc.change_magnitude(det.hourly(sp, d), series.pettitt(det.hourly(sp, d))), "before", "after", "magnitude"),
     "a34_expected_value": lambda sp, d: rc.expected_value(det.hourly(sp, d)).withColumn("expected", F.round("expected", 4)),
-    "a40_insights": lambda sp, d: insight_rows(sp, d).drop("drivers"),
-    "k05_insight_json": lambda sp, d: insight_rows(sp, d).select("anomaly_id", F.to_json(F.struct("metric", "top_dimension", "top_segment")).alias("json")),
-    "a37_bootstrap": lambda sp, d: rc.bootstrap_interval(
-        load(sp, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.col("o_orderstatus").alias("segment"), F.col("o_totalprice").alias("v")), 200
-    ),
+    "a40_insights": lambda sp, d: rc.insights(*methods(sp, d)).drop("drivers"),
+    "a41_evidence": lambda sp, d: rc.evidence(*methods(sp, d)),
+    "d03_days_since_change": lambda sp, d: change_points(sp, d, 1.1).select("anomaly_id", F.date_format("changed_at", "yyyy-MM-dd").alias("changed_at"), "days"),
+    "w14_change_window": lambda sp, d: rc.change_window(months(sp, d).select("t", F.col("revenue").alias("v")), anomalies(sp, d)).groupBy("key").agg(F.count("*").alias("n"), F.date_format(F.min("t"), "yyyy-MM").alias("first"), F.date_format(F.max("t"), "yyyy-MM").alias("last")),
+    "k05_insight_json": lambda sp, d: rc.insights(*methods(sp, d)).select("anomaly_id", F.to_json(F.struct("metric", "top_dimension", "top_segment")).alias("json")),
+    "a37_bootstrap": lambda sp, d: rc.bootstrap_ratios(resampled(sp, d)),
     "a26_segment_p": lambda sp, d: rc.segment_significance(seg(sp, d)).select(*ks, F.round("p", 6).alias("p")),
 }
 SQL = {
@@ -191,8 +260,8 @@ SQL = {
     "j04_asof_backward": f"WITH {JOIN_SIDES} SELECT l.event_id, r.purchase_id FROM l ASOF LEFT JOIN r ON l.grp = r.grp AND l.ts >= r.ts",
     "w15_baseline_times": f"WITH {PANEL} SELECT anomaly_id, count(*) AS n, strftime(min(t), '%Y-%m') AS first FROM bt GROUP BY 1",
     "j02_baseline_semi_join": f"WITH {PANEL} SELECT flag, count(*) AS n FROM p WHERE t IN (SELECT t FROM bt) GROUP BY 1",
-    "a24_segments": f"""WITH {SEG} SELECT anomaly_id, dimension, segment, round(actual, 4) AS actual, round(mean, 4) AS mean, round(sd, 4) AS sd,
-        round(median, 4) AS median, size, now_rows, round(expected, 4) AS expected, round(deviation, 4) AS deviation, round(ratio, 4) AS ratio FROM seg""",
+    "a24_segments": f"WITH {SEG} SELECT anomaly_id, dimension, segment, size, now_rows, "
+    + ", ".join(f"round({c} + {SHIFT:.7f}, 4) AS {c}" for c in ("actual", "mean", "sd", "median", "expected", "deviation", "ratio")) + " FROM seg",
     "a25_contributions": f"WITH {SEG} SELECT anomaly_id, dimension, segment, round(100 * abs(deviation) / sum(abs(deviation)) OVER (PARTITION BY anomaly_id, dimension), 4) AS contribution FROM seg",
     "t03_top_segments": f"""WITH {SEG} SELECT anomaly_id, dimension, segment, CAST(row_number() OVER
         (PARTITION BY anomaly_id ORDER BY round(abs(deviation), 4) DESC, dimension, segment) AS INTEGER) AS rank FROM seg QUALIFY rank <= 10""",
@@ -203,7 +272,7 @@ SQL = {
     "a38_shapley": shapley_sql(),
     "j06_correlation_matrix": f"WITH {WIDE} {corr_sql()}",
     "a28_spearman": f"WITH {WIDE}, {RANKS} {corr_sql('rk')}",
-    "a27_pearson_p": f"WITH {WIDE}, c AS ({corr_sql(digits=15)}) SELECT a, b, round(r * sqrt((n - 2) / (1 - r * r)), 3) AS t_stat FROM c",
+    "a27_pearson_p": f"WITH {WIDE}, c AS ({corr_sql(digits=15)}), u AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t FROM c) SELECT a, b, round(t, 3) AS t_stat, round({p_sql('t', '(n - 2)')}, 6) AS p FROM u",
     "a30_multiple_testing": f"""WITH {WIDE}, c AS ({corr_sql(digits=15)}), t AS (SELECT a, b, round(1 - abs(r), 6) AS p FROM c),
         q AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, a, b) AS q, count(*) OVER () AS m FROM t)
         SELECT a, b, round(least(1.0, p * m), 6) AS bonferroni, round(least(1.0, min(q) OVER (ORDER BY p DESC, a DESC, b DESC)), 6) AS bh FROM q""",
@@ -225,11 +294,21 @@ SQL = {
         round((avg(s.v) FILTER (s.idx > c.idx) - avg(s.v) FILTER (s.idx <= c.idx)) / stddev_pop(s.v), 4) AS magnitude FROM s JOIN c USING (key) GROUP BY s.key""",
     "a34_expected_value": f"""WITH {det.S}, x AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY idx DESC) AS r, count(*) OVER (PARTITION BY key) AS n FROM s)
         SELECT key, round(avg(v), 4) AS expected FROM x WHERE r <= least(7, n // 2) GROUP BY key""",
-    "a40_insights": f"""WITH {INSIGHT} SELECT anomaly_id, metric, round(imp, 4) AS impact, coalesce(n_drivers, 0) AS n_drivers, dimension AS top_dimension,
-        segment AS top_segment, top_share, round(greatest(0.0, least(1.0, 0.25 * coalesce(top_share / 100, 0.0) + 0.2 * least(1.0, coalesce(n_drivers, 0) / 5)
-          + 0.15 * CASE WHEN n_drivers >= 2 THEN 1.0 ELSE 0.5 END + 0.2 * least(1.0, abs(imp) / greatest(abs(mid), 1e-9))
-          + 0.2 * CASE WHEN coalesce(top_share / 100, 0) >= 0.5 THEN 1.0 WHEN coalesce(top_share / 100, 0) >= 0.25 THEN 0.6 ELSE 0.3 END)), 3) AS confidence,
-        concat_ws(' ', metric || ' is ' || CASE WHEN imp > 0 THEN 'above' ELSE 'below' END || ' its expected range',
-          'mainly in ' || dimension || '=' || segment, CASE WHEN n_drivers > 1 THEN 'with ' || (n_drivers - 1) || ' further drivers' END) AS hypothesis FROM ins""",
-    "k05_insight_json": f"""WITH {INSIGHT} SELECT anomaly_id, '{{"metric":"revenue","top_dimension":"' || dimension || '","top_segment":"' || segment || '"}}' AS json FROM ins""",
+    "a26_segment_p": f"WITH {SIGNIFICANT} SELECT anomaly_id, dimension, segment, round(p, 6) AS p FROM sp",
+    "w14_change_window": f"WITH {PANEL}, {MONTHS}, {CHANGES.replace('LEAST_P', '0.05')} SELECT key, count(*) AS n, strftime(min(t), '%Y-%m') AS first, strftime(max(t), '%Y-%m') AS last FROM cw GROUP BY 1",
+    "d03_days_since_change": f"WITH {PANEL}, {MONTHS}, {CHANGES.replace('LEAST_P', '1.1')} SELECT anomaly_id, strftime(changed_at, '%Y-%m-%d') AS changed_at, CAST(days AS INTEGER) AS days FROM ch",
+    "a41_evidence": f"""WITH {EVIDENCE} SELECT anomaly_id, coalesce(n_seg, 0) AS segments, coalesce(n_sure, 0) AS significant_segments, round(coalesce(mean_contribution, 0), 4) AS mean_contribution,
+        n_rel AS correlations, round(abs(r), 6) AS strongest_correlation, n_rel_sure AS significant_correlations, days IS NOT NULL AS changed, round(sure, 4) AS change_confidence,
+        round(magnitude, 4) AS change_magnitude, CAST(days AS INTEGER) AS days_since_change, coalesce(n_drivers, 0) AS factors, top_dimension AS top_contributor FROM ins""",
+    "a40_insights": f"""WITH {EVIDENCE} SELECT anomaly_id, 'net_revenue' AS metric, round(imp, 4) AS impact, coalesce(n_drivers, 0) AS n_drivers, top_dimension, top_segment, top_share,
+        round(least(1.0, 0.25 * CASE WHEN seg_p < 0.05 THEN 1.0 WHEN seg IS NOT NULL THEN 0.3 ELSE 0.1 END + 0.2 * abs(r)
+          + 0.15 * CASE WHEN sure > 0.8 THEN 1.0 WHEN sure > 0.6 THEN 0.7 WHEN sure IS NOT NULL THEN 0.4 ELSE 0.5 END
+          + 0.2 * CASE WHEN abs(pct) > 40 THEN 1.0 WHEN abs(pct) > 20 THEN 0.7 WHEN pct IS NOT NULL THEN 0.4 ELSE 0.3 END
+          + 0.2 * ((seg IS NOT NULL)::INT + 1 + (sure IS NOT NULL)::INT + (pct IS NOT NULL)::INT) / 4.0), 3) AS confidence,
+        concat_ws(' ', CASE WHEN seg IS NULL THEN 'Anomaly detected in Net Revenue.' ELSE CASE WHEN ratio < 0.7 THEN 'Net Revenue drop primarily driven by ' WHEN ratio > 1.3 THEN 'Net Revenue spike primarily driven by '
+            ELSE 'Anomaly in Net Revenue concentrated in ' END || seg || ' (' || printf('%.1f', round(contribution, 1)) || '% contribution).' END,
+          CASE WHEN rel_p < 0.05 THEN 'Correlated with ' || CASE other WHEN 'order_lines' THEN 'Order Lines' WHEN 'quantity' THEN 'Quantity' ELSE 'Discount' END || ' (r=' || printf('%.2f', round(abs(r), 2)) || ').' END,
+          CASE WHEN sure > 0.7 THEN 'Behavior change detected ' || days || ' days before.' END,
+          upper(top_dimension[1]) || top_dimension[2:] || ' (' || top_segment || ') accounts for ' || printf('%.1f', round(pct, 1)) || '% of total impact.') AS hypothesis FROM ins""",
+    "k05_insight_json": f"""WITH {EVIDENCE} SELECT anomaly_id, '{{"metric":"net_revenue"' || CASE WHEN top_dimension IS NULL THEN '' ELSE ',"top_dimension":"' || top_dimension || '","top_segment":"' || top_segment || '"' END || '}}' AS json FROM ins""",
 }

@@ -89,15 +89,39 @@ def test_shares_sum_to_100(spark):
 def test_shapley_sums_to_the_whole(spark):
     rows = [(x, y, float(3 * i + 5 * j)) for i, x in enumerate("ab") for j, y in enumerate("cd")]
     base = spark.createDataFrame(rows, "x string, y string, v double")
-    now = base.where("x = 'b' and y = 'd'")
-    got = {r.dimension: r.value for r in rc.shapley(base, now, ["x", "y"]).collect()}
+    both = base.withColumn("now", F.lit(False)).union(base.where("x = 'b' and y = 'd'").withColumn("now", F.lit(True)))
+    got = {r.dimension: r.value for r in rc.shapley(both, ["x", "y"]).collect()}
     assert abs(sum(got.values()) - (8.0 - 4.0)) < 1e-9
 
 
-def test_bootstrap_interval_holds_the_mean(spark):
-    df = spark.range(400).select(F.col("id").alias("row_id"), F.lit("s").alias("segment"), (F.col("id") % 10).cast("double").alias("v"))
-    r = rc.bootstrap_interval(df, 200).first()
-    assert r.low < 4.5 < r.high and r.high - r.low < 1.0
+def test_bootstrap_interval_holds_the_ratio(spark):
+    rows = [(i, 1, "d", "s", i % 5 == 0, float(i % 10) + (5 if i % 5 == 0 else 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id long, anomaly_id int, dimension string, segment string, now boolean, v double")
+    r = rc.bootstrap_ratios(df, 300).first()
+    assert (r.anomaly_id, r.dimension, r.segment) == (1, "d", "s") and r.low < 1.0 < r.high and r.high - r.low < 1.2
+    assert rc.bootstrap_ratios(df.where("row_id < 0"), 10).count() == 0
+
+
+def test_baseline_times_of_anomalies_outside_the_panel(spark):
+    days = [f"2024-0{m}-{d:02d}" for m in (1, 2, 3) for d in (1, 9, 20)]
+    panel = spark.createDataFrame([(x, 1.0) for x in days * 2], "t string, v double").withColumn("t", F.to_timestamp("t"))
+    asked = {1: "2024-02-09", 2: "2024-02-10", 3: "2024-01-01", 4: "2025-01-01", 5: "2023-01-01", 6: "2024-01-09"}
+    a = spark.createDataFrame(list(asked.items()), "anomaly_id int, t string").withColumn("t", F.to_timestamp("t"))
+    got = {}
+    for r in rc.baseline_times(panel, a, 4).collect():
+        got.setdefault(r.anomaly_id, []).append(str(r.t)[:10])
+    want = {i: [d for d in days if d < t][-4:] for i, t in asked.items()}
+    assert {i: sorted(x) for i, x in got.items()} == {i: x for i, x in want.items() if x}
+
+
+def test_ranks_with_ties_and_nulls(spark):
+    rng = random.Random(2)
+    values = [rng.choice([None, 1.0, 2.0, rng.random() * 5]) for _ in range(300)]
+    df = rc.with_rank(spark.createDataFrame(list(enumerate(values)), "i int, m double"), "m", 8)
+    known = sorted(v for v in values if v is not None)
+    for r in df.collect():
+        v = values[r.i]
+        assert r.m is None if v is None else r.m == (known.index(v) + 1 + known.index(v) + known.count(v)) / 2
 
 
 def test_validation_of_an_empty_table(spark):

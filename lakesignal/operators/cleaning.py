@@ -116,16 +116,21 @@ def category_codes(df: DataFrame, column: str, rare: float = 0.001) -> DataFrame
 
 
 def encode(df: DataFrame, column: str, method: str = "label", rare: float = 0.001, most: int = 100) -> DataFrame:
-    """Adds <column>_encoded, or a 0/1 column for each of the (at most `most`) categories."""
+    """Adds <column>_encoded, or a 0/1 column for each category: the first `most` by name, _OTHER_ for any others there are."""
     codes = category_codes(df, column, rare)
     if method == "label":
         known = codes.select(F.col("category").alias(column), F.col("code").alias(f"{column}_encoded"))
         other = codes.where("category = '_OTHER_'").agg(F.max("code").alias("_other"))
+        known = F.broadcast(known) if rare >= 1e-4 else known  # at most 1 / rare categories and _OTHER_
         out = df.join(known, column, "left").crossJoin(F.broadcast(other))
         code = F.when(F.col(column).isNotNull(), F.coalesce(f"{column}_encoded", "_other"))
         return out.withColumn(f"{column}_encoded", code).drop("_other")
-    names = [r[0] for r in codes.where("category <> '_OTHER_'").orderBy("category").limit(most).collect()]
-    return df.withColumns({f"{column}_{n}": F.coalesce((F.col(column) == n).cast("int"), F.lit(0)) for n in names})
+    found = [r[0] for r in codes.orderBy(F.col("category") == "_OTHER_", "category").limit(most + 1).collect()]
+    names = [n for n in found if n != "_OTHER_"][:most]
+    out = {f"{column}_{n}": F.coalesce((F.col(column) == n).cast("int"), F.lit(0)) for n in names}
+    if len(found) > len(names):
+        out[f"{column}__OTHER_"] = (F.col(column).isNotNull() & ~F.col(column).isin(*names)).cast("int")
+    return df.withColumns(out)
 
 
 def clean(df: DataFrame, order: str, time_column: str | None = None, scale: str = "standard") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import cosine, hamming_similarity, histogram_intersection
+from .retrieval import meet
 
 MATCH = 0.78
 
@@ -20,10 +21,8 @@ def similarity(a: str, b: str) -> Column:
 
 
 def best_match(queries: DataFrame, stored: DataFrame, threshold: float = MATCH) -> DataFrame:
-    """(query_id, figure_id, similarity): the most similar stored figure of a stated query set, ties to the smaller id."""
-    from .retrieval import meet
-
-    pairs = meet(queries, stored.withColumnRenamed("figure_id", "chunk_id")).withColumn("similarity", similarity("q", "f"))
+    """(query_id, figure_id, similarity): the most similar other stored figure of a stated query set, ties to the smaller id."""
+    pairs = meet(queries, stored.withColumnRenamed("figure_id", "chunk_id")).where("query_id <> chunk_id").withColumn("similarity", similarity("q", "f"))
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "chunk_id"))
     best = pairs.withColumn("_n", n).where((F.col("_n") == 1) & (F.col("similarity") >= threshold))
     return best.select("query_id", F.col("chunk_id").alias("figure_id"), "similarity")

@@ -57,8 +57,8 @@ def peaks(s: DataFrame, window: int = 30) -> DataFrame:
 def score(found: DataFrame, s: DataFrame) -> DataFrame:
     """Ensemble points with expected range, confidence, severity and its label, most severe first within a key's order."""
     median = s.groupBy("key").agg(F.percentile("v", F.lit(0.5)).alias("median"))
-    rows = found.join(peaks(s).select("key", "idx", "peak"), ["key", "idx"]).join(F.broadcast(median), "key")
-    rows = rows.join(F.broadcast(expected_range(s)), "key")
+    rows = found.join(peaks(s).select("key", "idx", "peak"), ["key", "idx"]).join(median, "key")
+    rows = rows.join(expected_range(s), "key")
     relative = F.abs(F.col("v") - F.col("median")) / F.greatest(F.abs("median"), F.lit(1e-10))
     rows = rows.withColumn("confidence", F.round(confidence(F.col("votes"), F.col("mean_score"), relative), 4))
     rows = rows.withColumn("severity", F.round(severity(F.col("confidence"), F.col("max_score"), F.col("kind"), F.col("peak")), 4))
@@ -83,12 +83,25 @@ def summary(scored: DataFrame) -> DataFrame:
 
 
 def detection_summary(scored: DataFrame) -> DataFrame:
-    """One row: total, means, and how many keys are affected."""
-    return scored.agg(
-        F.count("*").alias("total"),
-        F.round(F.avg("severity"), 4).alias("mean_severity"),
-        F.round(F.avg("confidence"), 4).alias("mean_confidence"),
-        F.count_distinct("key").alias("keys"),
+    """One row: total, means, how many keys are affected and which, counts by kind and by level ('drop:2,spike:5')."""
+
+    sets = scored.groupingSets([["kind"], ["level"], ["key"], []], "kind", "level", "key").agg(
+        F.count("*").alias("n"), F.avg("severity").alias("s"), F.avg("confidence").alias("c"), F.grouping_id("kind", "level", "key").alias("gid")
+    )
+    by_kind, by_level, by_key, whole = (F.col("gid") == x for x in (3, 5, 6, 7))  # a bit for each column that a set leaves out
+
+    def listed(which: Column, *parts: Column) -> Column:
+        return F.array_join(F.array_sort(F.collect_list(F.when(which, F.concat(*parts)))), ",")
+
+    n = F.concat(F.lit(":"), F.col("n").cast("string"))
+    return sets.agg(
+        F.max(F.when(whole, F.col("n"))).alias("total"),
+        F.round(F.max(F.when(whole, F.col("s"))), 4).alias("mean_severity"),
+        F.round(F.max(F.when(whole, F.col("c"))), 4).alias("mean_confidence"),
+        F.count_if(by_key).alias("keys"),
+        listed(by_key, F.col("key")).alias("affected"),
+        listed(by_kind, F.col("kind"), n).alias("by_kind"),
+        listed(by_level, F.col("level"), n).alias("by_level"),
     )
 
 

@@ -31,6 +31,13 @@ def prepare(df: DataFrame, key: Column, time: Column, value: Column) -> DataFram
     return points.withColumn("idx", F.row_number().over(by_key().orderBy("t")) - 1)
 
 
+def prepare_metrics(df: DataFrame, time: Column, metrics: dict[str, Column]) -> DataFrame:
+    """The series of several metrics of one table, each metric a key, so that one run detects in all of them."""
+    cells = F.array(*(F.struct(F.lit(m).alias("key"), c.cast("double").alias("v")) for m, c in metrics.items()))
+    rows = df.select(time.alias("t"), F.explode(cells).alias("x"))
+    return prepare(rows, F.col("x.key"), F.col("t"), F.col("x.v"))
+
+
 def long_series(s: DataFrame, least: int = MIN_PERIODS) -> DataFrame:
     """The series with at least so many points."""
     return s.withColumn("_n", F.count("v").over(by_key())).where(F.col("_n") >= least).drop("_n")

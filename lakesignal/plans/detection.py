@@ -14,6 +14,13 @@ def hourly(spark, sf_dir):
     return series.prepare(e, F.col("event_type"), F.date_trunc("hour", "ts"), F.col("value"))
 
 
+def several(spark, sf_dir):
+    """Three metrics of the orders by week."""
+    o = load(spark, sf_dir, "orders")
+    metrics = {"price": F.col("o_totalprice"), "orders": F.lit(1), "urgent": (F.col("o_orderpriority") == "1-URGENT").cast("int")}
+    return series.prepare_metrics(o, F.date_trunc("week", "o_orderdate"), metrics)
+
+
 def gappy(spark, sf_dir):
     """The series with every seventh value missing."""
     return hourly(spark, sf_dir).withColumn("v", F.when(F.col("idx") % 7 != 3, F.col("v")))
@@ -164,6 +171,7 @@ QUERIES = {
     "a03_range_std": on(scoring.expected_range, method="std"),
     "a03_range_percentile_last": on(scoring.expected_range, method="percentile", last=100),
     "a07_detection_summary": over(scoring.detection_summary),
+    "a48_several_metrics": lambda sp, d: series.ensemble(several(sp, d)),
     "a08_analysis_summary": over(scoring.summary),
     "a09_dashboard": over(scoring.dashboard),
 }
@@ -205,7 +213,12 @@ SQL = {
         "(SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY idx DESC) <= 100)",
     ),
     "a07_detection_summary": f"WITH {SCORED} SELECT count(*) AS total, round(avg(severity), 4) AS mean_severity,"
-    " round(avg(confidence), 4) AS mean_confidence, count(DISTINCT key) AS keys FROM scored",
+    " round(avg(confidence), 4) AS mean_confidence, count(DISTINCT key) AS keys, (SELECT string_agg(DISTINCT key, ',' ORDER BY key) FROM scored) AS affected,"
+    " (SELECT string_agg(kind || ':' || n, ',' ORDER BY kind || ':' || n) FROM (SELECT kind, count(*) AS n FROM scored GROUP BY 1)) AS by_kind,"
+    " (SELECT string_agg(level || ':' || n, ',' ORDER BY level || ':' || n) FROM (SELECT level, count(*) AS n FROM scored GROUP BY 1)) AS by_level FROM scored",
+    "a48_several_metrics": f"""WITH m AS (SELECT date_trunc('week', o_orderdate) AS t, o_totalprice AS price, 1 AS orders, CAST(o_orderpriority = '1-URGENT' AS INT) AS urgent FROM orders),
+        s0 AS (SELECT 'price' AS key, t, round(sum(price), 2) AS v FROM m GROUP BY t UNION ALL SELECT 'orders', t, sum(orders) FROM m GROUP BY t UNION ALL SELECT 'urgent', t, sum(urgent) FROM m GROUP BY t),
+        s AS (SELECT key, CAST(row_number() OVER (PARTITION BY key ORDER BY t) - 1 AS INTEGER) AS idx, v FROM s0), {ENSEMBLE} SELECT * FROM found""",
     "a08_analysis_summary": f"WITH {SCORED} SELECT kind, level, count(*) AS n, round(avg(severity), 4) AS mean_severity,"
     " max(severity) AS max_severity FROM scored GROUP BY GROUPING SETS ((kind), (level), ())",
     "a09_dashboard": f"WITH {SCORED} SELECT count(*) FILTER (severity >= 0.8) AS critical,"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import explain as ex
 from ..operators import figures, records
 from ..sources import sinks
-from ..sources.tables import load
+from ..sources.tables import load, shared_folder
 from ..streaming import jobs
 
 
@@ -43,9 +43,8 @@ def versions(spark, sf_dir):
 
 
 def found(spark, sf_dir):
-    """Rows to explain: orders of one customer in eight."""
-    o = load(spark, sf_dir, "orders").where("o_custkey % 8 = 0")
-    return o.select(
+    """Rows to explain: all orders."""
+    return load(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("anomaly_id"), F.lower(F.col("o_orderpriority").substr(3, 20)).alias("metric"), F.col("o_totalprice").alias("value"),
         F.lit(200000.0).alias("expected"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderstatus") == "F", "drop").otherwise("spike").alias("kind"),
         (F.col("o_totalprice") / 524288).alias("severity"), F.when(F.col("o_orderkey") % 2 == 0, "status").alias("dimension"),
@@ -67,7 +66,7 @@ def prints(spark, sf_dir):
 
 def best_figures(spark, sf_dir):
     p = prints(spark, sf_dir)
-    return figures.best_match(p.where("figure_id % 50 = 0").select(F.col("figure_id").alias("query_id"), F.col("f").alias("q")), p.where("figure_id % 50 <> 0"), 0.5)
+    return figures.best_match(p.where("figure_id % 20 = 0").select(F.col("figure_id").alias("query_id"), F.col("f").alias("q")), p, 0.5)
 
 
 def cascade(spark, sf_dir):
@@ -82,8 +81,7 @@ def streamed(spark, sf_dir, build, mode):
     """A job over the events as a stream, its last state as a table."""
     from uuid import uuid4
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lakesignal-streams"
-    path = f"{folder}/stream-{uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid4().hex}"
     e = load(spark, sf_dir, "events")
     e.write.parquet(f"{path}/in")
 
@@ -104,8 +102,8 @@ QUERIES = {
     "j09_anomaly_counts": lambda sp, d: records.with_counts(datasets(sp, d), anomalies(sp, d), "dataset_id", "anomaly_count"),
     "j17_cascade_delete": cascade,
     "j01_segment_baseline": lambda sp, d: records.against_baseline(
-        load(sp, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v")),
-        load(sp, d, "orders").where("o_orderkey % 5 = 1 and o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v")),
+        load(sp, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v")),
+        load(sp, d, "orders").where("o_orderdate < '1997-01-01' and o_orderstatus <> 'P'").select(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v")),
         ["p", "s"],
     ).select("o_orderkey", F.round("baseline", 4).alias("baseline")),
     "j16_seen_anti_join": lambda sp, d: load(sp, d, "orders").join(load(sp, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct(), "o_orderkey", "left_anti").select("o_orderkey"),
@@ -142,10 +140,17 @@ A = """an AS (SELECT o_orderkey AS anomaly_id, o_custkey AS dataset_id, o_orderp
 ca AS (SELECT l_orderkey AS anomaly_id, max(l_returnflag) AS cause FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"""
 FOUND = """f AS (SELECT o_orderkey AS anomaly_id, lower(substr(o_orderpriority, 3, 20)) AS metric, o_totalprice AS value, 200000.0 AS expected, o_orderdate AS at_time,
   CASE WHEN o_orderstatus = 'F' THEN 'drop' ELSE 'spike' END AS kind, o_totalprice / 524288 AS severity,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'status' END AS dimension, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS segment FROM orders WHERE o_custkey % 8 = 0)"""
+  CASE WHEN o_orderkey % 2 = 0 THEN 'status' END AS dimension, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS segment FROM orders)"""
 INITCAP = "array_to_string(list_transform(string_split(metric, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
 LEVEL = "CASE WHEN severity < 0.2 THEN 'Low' WHEN severity < 0.4 THEN 'Medium' WHEN severity < 0.7 THEN 'High' ELSE 'Critical' END"
+FINGERPRINTS = """fp AS (SELECT vec_id, vec_id * 2654435761 AS dh, vec_id % 7 * 1099511627 AS ah, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS nc,
+  list_transform(embedding[1:12], lambda x: 3 * CAST(abs(x) AS DOUBLE) / list_sum(list_transform(embedding[1:12], lambda y: CAST(abs(y) AS DOUBLE)))) AS hi FROM embeddings),
+fs AS (SELECT *, sqrt(list_sum(list_transform(nc, lambda x: x * x))) AS nn FROM fp)"""
 SQL = {
+    "m12_fingerprint_similarity": f"""WITH {FINGERPRINTS}, p AS (SELECT q.vec_id AS query_id, c.vec_id AS figure_id, round(0.4 * (1 - bit_count(xor(q.dh, c.dh)) / 64.0) + 0.25 * (1 - bit_count(xor(q.ah, c.ah)) / 64.0)
+          + 0.2 * greatest(0.0, list_sum(list_transform(list_zip(q.nc, c.nc), lambda z: z[1] * z[2])) / (q.nn * c.nn + 1e-8))
+          + 0.15 * list_sum(list_transform(list_zip(q.hi, c.hi), lambda z: least(z[1], z[2]))) / 3, 4) AS similarity FROM fs q JOIN fs c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, figure_id, similarity FROM p QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, figure_id) = 1 AND similarity >= 0.5""",
     "j08_findings": f"""WITH {A}, e AS (SELECT o_orderkey AS anomaly_id, 'see ' || o_orderpriority AS text FROM orders WHERE o_orderkey % 3 = 0)
         SELECT an.*, cause, text FROM an LEFT JOIN ca USING (anomaly_id) LEFT JOIN e USING (anomaly_id)""",
     "j09_anomaly_counts": """SELECT c_custkey AS dataset_id, c_mktsegment AS org_id, c_acctbal AS size,
@@ -153,9 +158,9 @@ SQL = {
     "j17_cascade_delete": f"""WITH {A} SELECT 'datasets' AS name, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0
         UNION ALL SELECT 'anomalies', count(*) FROM an WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = dataset_id AND c_custkey % 3 = 0)
         UNION ALL SELECT 'causes', count(*) FROM ca WHERE NOT EXISTS (SELECT 1 FROM an JOIN customer ON c_custkey = dataset_id AND c_custkey % 3 = 0 WHERE an.anomaly_id = ca.anomaly_id)""",
-    "j01_segment_baseline": """WITH b AS (SELECT * FROM orders WHERE o_orderkey % 5 = 1 AND o_orderstatus <> 'P'),
+    "j01_segment_baseline": """WITH b AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus <> 'P'),
         m AS (SELECT o_orderpriority, o_orderstatus, avg(o_totalprice) AS m FROM b GROUP BY 1, 2)
-        SELECT o.o_orderkey, round(coalesce(m, (SELECT avg(o_totalprice) FROM b)), 4) AS baseline FROM orders o LEFT JOIN m USING (o_orderpriority, o_orderstatus) WHERE o_orderkey % 5 = 0""",
+        SELECT o.o_orderkey, round(coalesce(m, (SELECT avg(o_totalprice) FROM b)), 4) AS baseline FROM orders o LEFT JOIN m USING (o_orderpriority, o_orderstatus)""",
     "j16_seen_anti_join": "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
     "t08_page": f"WITH {A} SELECT * FROM an ORDER BY severity DESC, anomaly_id LIMIT 20 OFFSET 40",
     "f07_anomaly_filter": f"WITH {A} SELECT anomaly_id FROM an WHERE severity >= 0.5 AND kind = 'drop' AND metric = '1-URGENT'",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +21,19 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lakesignal.shared.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        own = tempfile.mkdtemp(prefix="lakesignal-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        shared = f"file://{own}"
+        spark.conf.set("lakesignal.shared.dir", shared)
+    return shared.rstrip("/")
+
+
 def separator_of(path: str) -> str:
     return "\t" if path.lower().endswith((".tsv", ".tsv.gz")) else ","
 

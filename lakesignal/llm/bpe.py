@@ -1,20 +1,25 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-Texts are split into words inside tasks, which count them before the shuffle.
-The most frequent words, bounded in number and length, are encoded once, into
-a table of the shared folder that is sent to all tasks and joined back by
-position. Rarer words (with the default bound each stands at a handful of
-places, most at one) are encoded at the task that holds them, once a task.
-Decoding joins ids with the vocabulary's pieces, whose number the vocabulary
-bounds.
+Tasks split texts into words and number each block's distinct words by first
+occurrence. The words of all blocks meet in one shuffle by word: there each
+distinct word is encoded once, and its ids go back to every (block, number)
+that holds it. A second pass writes each block's texts as word numbers; joined
+with the block's table by the block's name, positions turn into ids. No word
+goes another way, and no table passes through the driver.
+
+A block is named by a hash of its words in order. So should the two passes ever
+cut texts differently, a block finds no table and the job fails; it can't give
+wrong ids.
 """
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
-from collections import Counter
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,15 +27,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import settle, table
+from .common import table
 
-HEAD_WORDS = 524_288
-HEAD_BYTES = 64
-#: Distinct words that a task counts before it passes them on.
-COUNT_WORDS = 400_000
-#: Rare words that a task remembers, bytes of output that it gathers.
-RARE_WORDS, OUT_BYTES = 100_000, 8_000_000
+#: A block ends at so many distinct words or characters, at the end of a text.
+BLOCK_WORDS, BLOCK_CHARS = 300_000, 16_000_000
+#: Bytes of output that a task gathers.
+OUT_BYTES = 8_000_000
 #: Fixed values of the public byte-level format: white space (Unicode's), contractions, the order of alternatives.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Letters and numbers below U+02B0, for a faster pattern on the texts that hold nothing above.
@@ -152,94 +156,139 @@ def _splitter(specials: dict[str, int]):
     return split
 
 
-def distinct_words(texts: DataFrame, specials: dict[str, int]) -> DataFrame:
-    """(word, n) over the column text; tasks count their words before the shuffle."""
+class Numbers(dict):
+    """Numbers words by first occurrence."""
 
-    def count(batches):
-        split, seen = _splitter(specials), Counter()
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
-        def flush():
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-            )
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    seen.update(split(text))
-                if len(seen) > COUNT_WORDS:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+def blocks(batches, split, positions: bool) -> Iterator[tuple[Numbers, list, list[np.ndarray]]]:
+    """(numbers of the words, keys, each text's word numbers) of each block; without positions only the numbers are kept."""
+    numbers, keys, codes, chars = Numbers(), [], [], 0
+    for b in batches:
+        names = b.column("key").to_pylist() if positions else None
+        for row, text in enumerate(b.column("text").to_pylist()):
+            words = split(text) if text else []
+            if positions:
+                keys.append(names[row])
+                codes.append(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)))
+            else:
+                numbers.update(zip(words, words, strict=True))  # a word seen before keeps its place
+            chars += len(text or "")
+            if len(numbers) >= BLOCK_WORDS or chars >= BLOCK_CHARS:
+                yield numbers, keys, codes
+                numbers, keys, codes, chars = Numbers(), [], [], 0
+    if numbers or keys:
+        yield numbers, keys, codes
 
-    counted = texts.select("text").mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
+def name_of(words) -> int:
+    """A block's name: 64 bits of a hash of its words in order."""
+    lengths = np.fromiter(map(len, words), np.uint32, len(words)).tobytes()
+    named = hashlib.blake2b("".join(words).encode("utf-8", "surrogatepass") + lengths, digest_size=8)
+    return int.from_bytes(named.digest(), "little", signed=True)
 
-def head_words(texts: DataFrame, vocabulary, most: int) -> DataFrame:
-    """(word, ids): the at most `most` most frequent words that occur twice or more, each encoded once.
 
-    Counts fall into eighths of a power of two; the classes that fit in wholly
-    are taken. Words of more than HEAD_BYTES bytes are left out.
-    """
-    counted = distinct_words(texts, vocabulary.value.specials)
-    counted = counted.where((F.col("n") > 1) & (F.octet_length("word") <= HEAD_BYTES))
-    counted = settle(counted.withColumn("size", F.floor(8 * F.log2("n")).cast("int")), "bpe-words")
-    room, least = most, None
-    for size, n in sorted(counted.groupBy("size").count().collect(), reverse=True):
-        room -= n
-        if room < 0:
-            break
-        least = size
-    chosen = counted.where(F.col("size") >= least) if least is not None else counted.limit(0)
-
-    def table(batches):
-        v = vocabulary.value
-        for b in batches:
-            words = b.column(0)
-            ids = [v.encode_packed(w) for w in words.to_pylist()]
-            yield pa.RecordBatch.from_arrays([words, pa.array(ids, pa.binary())], ["word", "ids"])
+def pack_codes(codes: list[np.ndarray]) -> bytes:
+    """Numbers as four planes of bytes, lowest first, compressed: high planes are nearly empty."""
+    flat = np.concatenate(codes) if codes else np.empty(0, np.uint32)
+    return zlib.compress(flat.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
-    return settle(chosen.select("word").mapInArrow(table, "word string, ids binary"), "bpe-head")
 
+def unpack_codes(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
-def placer(texts: DataFrame, vocabulary, head: int):
-    """The Arrow function (key, text) -> (key, ids) for texts, whose frequent words are in a table by now."""
-    rows = head_words(texts, vocabulary, head).toArrow()
-    packed = dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
-    known = texts.sparkSession.sparkContext.broadcast(packed)
-    specials = vocabulary.value.specials
 
-    def place(batches):
-        split, get, v = _splitter(specials), known.value.get, vocabulary.value
-        rare: dict[str, bytes] = {}
+def block_words(texts: DataFrame, specials: dict[str, int]) -> DataFrame:
+    """(block, number, word): every distinct word of every block, once."""
+
+    def run(batches):
+        for numbers, _, _ in blocks(batches, _splitter(specials), positions=False):
+            name = name_of(numbers)
+            in_order = sorted((w, i) for i, w in enumerate(numbers))  # neighbours share beginnings, so they compress
+            for s in range(0, len(in_order), 50_000):
+                part = in_order[s : s + 50_000]
+                words, places = pa.array([w for w, _ in part], pa.string()), pa.array([i for _, i in part], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), name)), places, words], ["block", "number", "word"])
+
+    return texts.select("text").mapInArrow(run, "block long, number int, word string")
+
+
+def block_texts(texts: DataFrame, specials: dict[str, int]) -> DataFrame:
+    """(block, keys, sizes, codes): every block's texts as word numbers, a row a block."""
+    kind, arrow = texts.schema["key"].dataType.simpleString(), pa.list_(to_arrow_type(texts.schema["key"].dataType))
+
+    def run(batches):
+        for numbers, keys, codes in blocks(batches, _splitter(specials), positions=True):
+            sizes = pa.array([[len(c) for c in codes]], pa.list_(pa.int32()))
+            row = [pa.array([name_of(numbers)]), pa.array([keys], arrow), sizes, pa.array([pack_codes(codes)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(row, ["block", "keys", "sizes", "codes"])
+
+    return texts.select("key", "text").mapInArrow(run, f"block long, keys array<{kind}>, sizes array<int>, codes binary")
+
+
+def encoded_words(words: DataFrame, vocabulary) -> DataFrame:
+    """(block, number, ids) of (block, number, word): equal words meet in one partition side by side and are encoded once."""
+
+    def run(batches):
+        v, last, ids = vocabulary.value, None, b""
         for b in batches:
-            out, size, first = [], 0, 0
-            keys = b.column("key")
-            for row, text in enumerate(b.column("text").to_pylist()):
-                words = split(text) if text else []
-                ids = list(map(get, words))
-                if None in ids:
-                    for i, x in enumerate(ids):
-                        if x is None:
-                            w = words[i]
-                            if (x := rare.get(w)) is None:
-                                x = v.encode_packed(w)
-                                if len(w) <= HEAD_BYTES:
-                                    rare[w] = x
-                            ids[i] = x
-                    if len(rare) > RARE_WORDS:
-                        rare.clear()
-                out.append(b"".join(ids))
-                size += len(out[-1])
-                if size > OUT_BYTES:
-                    yield pa.RecordBatch.from_arrays([keys[first : row + 1], pa.array(out, pa.binary())], ["key", "ids"])
-                    out, size, first = [], 0, row + 1
-            if out:
-                yield pa.RecordBatch.from_arrays([keys[first:], pa.array(out, pa.binary())], ["key", "ids"])
+            out = []
+            for w in b.column("word").to_pylist():
+                if w != last:
+                    last, ids = w, v.encode_packed(w)
+                out.append(ids)
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), pa.array(out, pa.binary())], ["block", "number", "ids"])
 
-    return place
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, ids binary")
+
+
+def placed(texts: DataFrame, vocabulary, with_text: bool) -> DataFrame:
+    """(key, ids, and the decoded text if asked for): block tables joined with blocks, numbers replaced by position."""
+    specials = vocabulary.value.specials
+    tables = encoded_words(block_words(texts, specials), vocabulary).groupBy("block").agg(F.collect_list(F.struct("number", "ids")).alias("words"))
+    met = block_texts(texts, specials).join(tables, "block", "left").select("keys", "sizes", "codes", "words")
+    kind, arrow = texts.schema["key"].dataType.simpleString(), to_arrow_type(texts.schema["key"].dataType)
+    names = ["key", "ids", "text"][: 2 + with_text]
+
+    def table_of(words: pa.ListScalar, most: int) -> list[bytes]:
+        if not words.is_valid:
+            if most >= 0:
+                raise ValueError("a block has no word table: the texts came in another order when they were read again")
+            return []
+        number, ids = words.values.field(0).to_numpy(), words.values.field(1)
+        out = [b""] * (int(number.max()) + 1)
+        for n, x in zip(number.tolist(), ids.to_pylist(), strict=True):
+            out[n] = x
+        return out
+
+    def run(batches):
+        pieces = vocabulary.value.pieces
+        for b in batches:
+            for row in range(len(b)):
+                codes = unpack_codes(b.column("codes")[row].as_py())
+                ids_of = table_of(b.column("words")[row], int(codes.max()) if len(codes) else -1)
+                text_of = [b"".join([pieces[i] for i in memoryview(x).cast("I")]) for x in ids_of] if with_text else []
+                keys, sizes = b.column("keys")[row].values, b.column("sizes")[row].as_py()
+                first, at, out, texts_out, size = 0, 0, [], [], 0
+                for i, n in enumerate(sizes):
+                    own = codes[at : at + n].tolist()
+                    at += n
+                    out.append(b"".join(map(ids_of.__getitem__, own)))
+                    size += len(out[-1])
+                    if with_text:
+                        texts_out.append(b"".join(map(text_of.__getitem__, own)).decode("utf-8", "replace"))
+                        size += n * 6
+                    if size > OUT_BYTES or i + 1 == len(sizes):
+                        columns = [keys[first : i + 1].cast(arrow), pa.array(out, pa.binary())]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts_out, pa.string())][: 2 + with_text], names)
+                        first, out, texts_out, size = i + 1, [], [], 0
+
+    return met.mapInArrow(run, f"key {kind}, ids binary" + (", text string" if with_text else ""))
 
 
 def joiner(vocabulary):
@@ -266,15 +315,16 @@ def joiner(vocabulary):
     return join
 
 
-def encode(texts: DataFrame, vocabulary, head: int = HEAD_WORDS) -> DataFrame:
+def encode(texts: DataFrame, vocabulary) -> DataFrame:
     """(key, ids) of texts (key, text): the ids of each whole text, packed as little-endian unsigned 32-bit integers.
 
     vocabulary is a broadcast Vocabulary. Null and empty texts give no ids.
     Keys may be of any type, null or repeated; every row is encoded by itself.
-    Texts and words may be of any length. An empty table gives an empty table.
+    Texts and words may be of any length; a task holds one block, or one longer
+    text. texts are read twice and must come in the same order both times, as
+    files do. Other columns are ignored. An empty table gives an empty table.
     """
-    key = texts.schema["key"].dataType.simpleString()
-    return texts.select("key", "text").mapInArrow(placer(texts, vocabulary, head), f"key {key}, ids binary")
+    return placed(texts, vocabulary, with_text=False)
 
 
 def decode(encoded: DataFrame, vocabulary) -> DataFrame:
@@ -287,11 +337,9 @@ def decode(encoded: DataFrame, vocabulary) -> DataFrame:
     return encoded.select("key", "ids").mapInArrow(joiner(vocabulary), f"key {key}, ids binary, text string")
 
 
-def round_trip(texts: DataFrame, vocabulary, head: int = HEAD_WORDS) -> DataFrame:
-    """decode(encode(texts)) in one worker a task, where two would each hold tables."""
-    key = texts.schema["key"].dataType.simpleString()
-    place, join = placer(texts, vocabulary, head), joiner(vocabulary)
-    return texts.select("key", "text").mapInArrow(lambda batches: join(place(batches)), f"key {key}, ids binary, text string")
+def round_trip(texts: DataFrame, vocabulary) -> DataFrame:
+    """encode and decode at once: (key, ids, text); each block's words are put together from their ids' pieces once."""
+    return placed(texts, vocabulary, with_text=True)
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str, vocabulary_path: str | None = None) -> DataFrame:

@@ -376,26 +376,41 @@ def test_empty_table_gives_empty_archive(spark, tmp_path):
 # --- 6 BPE ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("head", [bpe.HEAD_WORDS, 3, 0])
-def test_bpe_equals_the_library(spark, head):
+@pytest.mark.parametrize("block_words", [bpe.BLOCK_WORDS, 5, 1])
+def test_bpe_equals_the_library(spark, monkeypatch, block_words):
+    monkeypatch.setattr(bpe, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(bpe, "OUT_BYTES", 300)
     rng = random.Random(8)
-    bits = ["the ", "ing", "é", " ", "  ", "\n", "'s", "<|endoftext|>", "12", "½", "日本", "🎉", "́", "\x1c", "\x85", "\u2003", "!!", "ʰ", "zq" * 40, "\ufffd"]
+    bits = ["the ", "ing", "é", " ", "  ", "\n", "'s", "<|endoftext|>", "12", "½", "日本", "🎉", "́", "\x1c", "\x85", "\u2003", "!!", "ʰ", "zq" * 40, "\ufffd", "\0"]
     texts = [None, "", " ", "ab" * 20_000] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(120)]
     lib = Tokenizer.from_file(VOCABULARY)
     v = spark.sparkContext.broadcast(bpe.Vocabulary.load(VOCABULARY))
-    df = docs_of(spark, texts).select(F.col("doc_id").alias("key"), "text").union(spark.createDataFrame([(None, "x y")], "key long, text string"))
+    rows = [(i, t, 1, 2, 3) for i, t in enumerate(texts)] + [(None, "x y", 1, 2, 3)] * 3
+    df = spark.createDataFrame(rows, "key long, text string, block int, number int, word int")
     n = 0
-    for r in bpe.decode(bpe.encode(df, v, head), v).collect():
+    for r in bpe.decode(bpe.encode(df, v), v).collect():
         text = "x y" if r.key is None else texts[r.key] or ""
         ids = lib.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids and r.text == lib.decode(ids, skip_special_tokens=False)
         n += 1
-    assert n == len(texts) + 1
-    both = bpe.round_trip(df, v, head).collect()
-    assert Counter(map(tuple, both)) == Counter(map(tuple, bpe.decode(bpe.encode(df, v, head), v).collect()))
+    assert n == len(texts) + 3
+    both = bpe.round_trip(df, v).collect()
+    assert Counter(map(tuple, both)) == Counter(map(tuple, bpe.decode(bpe.encode(df, v), v).collect()))
     assert bpe.encode(df.where("key < 0"), v).count() == 0
 
 
+def test_bpe_query_equals_the_library(spark, sf_dir):
+    lib = Tokenizer.from_file(VOCABULARY)
+    got = {r.doc_id: r for r in bpe.op6_bpe(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        ids = lib.encode(d.text or "", add_special_tokens=False).ids
+        text = lib.decode(ids, skip_special_tokens=False)
+        want = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert tuple(got[d.doc_id])[1:] == want
+
+
 # --- 7 URL filter ---------------------------------------------------------------------------------------------
 
 

@@ -23,28 +23,40 @@ BASELINE_TIMES = 7
 MIN_SEGMENT = 10
 
 
-def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], how: str = "backward") -> DataFrame:
+def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[str], how: str = "backward", part: str = "day") -> DataFrame:
     """left with values of right's row nearest in time, of the same key: the last not after it, or the closest either way.
 
-    Of two equally close rows the earlier is taken. A union and one window by
-    key, no join of all pairs of times; several right rows of one time count as
-    their last in the order of values.
+    Of two equally close rows the earlier is taken; several right rows of one
+    time count as their last in the order of values. A union and windows, no
+    join of all pairs of times: rows meet within their key and part of time, and
+    each part carries over the last right row of the parts before it (and the
+    first of those after), so a hot key is no single task.
     """
     packed = F.struct(F.col(time).alias("at"), *(F.col(v) for v in values))
     both = left.withColumn("_r", F.lit(None).cast(right.select(packed.alias("p")).schema["p"].dataType)).withColumn("_side", F.lit(1))
-    other = right.select(F.col(key), F.col(time), packed.alias("_r"), F.lit(0).alias("_side"))
-    both = both.unionByName(other, allowMissingColumns=True)
-    past = Window.partitionBy(key).orderBy(time, "_side", F.col("_r").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    before = F.last("_r", True).over(past)
+    other = right.groupBy(key, time).agg(F.max(packed).alias("_r")).withColumn("_side", F.lit(0))
+    both = both.unionByName(other, allowMissingColumns=True).withColumn("_part", F.date_trunc(part, F.col(time)))
+    parts = both.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))
+    order = Window.partitionBy("_key").orderBy("_of")  # a row for each part of a key
+    parts = parts.select(
+        "_key", "_of", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"),
+        F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+    )
+    within = Window.partitionBy(key, "_part").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("_b", F.last("_r", True).over(within))
+    if how != "backward":
+        ahead = Window.partitionBy(key, "_part").orderBy(time, F.desc("_side")).rowsBetween(0, Window.unboundedFollowing)
+        both = both.withColumn("_a", F.first("_r", True).over(ahead))
+    both = both.where("_side = 1").join(parts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")), "left")
+    before = F.coalesce("_b", "_past")
     if how == "backward":
-        out = both.withColumn("_m", before)
+        found = both.withColumn("_m", before)
     else:
-        ahead = Window.partitionBy(key).orderBy(time, F.desc("_side"), F.col("_r").asc_nulls_last()).rowsBetween(0, Window.unboundedFollowing)
-        out = both.withColumn("_b", before).withColumn("_a", F.first("_r", True).over(ahead))
+        both = both.withColumn("_b", before).withColumn("_a", F.coalesce("_a", "_next"))
         gap = lambda c: F.abs(F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.col(f"{c}.at").cast("timestamp")))
         closer = F.col("_b").isNull() | (F.col("_a").isNotNull() & (gap("_a") < gap("_b")))
-        out = out.withColumn("_m", F.when(closer, F.col("_a")).otherwise(F.col("_b")))
-    return out.where("_side = 1").select(*left.columns, *(F.col("_m")[v].alias(v) for v in values))
+        found = both.withColumn("_m", F.when(closer, F.col("_a")).otherwise(F.col("_b")))
+    return found.select(*left.columns, *(F.col("_m")[v].alias(v) for v in values))
 
 
 def seen_before(times: DataFrame) -> DataFrame:

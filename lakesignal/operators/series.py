@@ -168,34 +168,42 @@ def fill(s: DataFrame, how: str = "linear") -> DataFrame:
     return s.withColumn("v", F.coalesce("v", line, last, first))
 
 
+#: Detectors of the ensemble, the order that breaks ties.
 DETECTORS = ("zscore", "iqr", "moving_average", "seasonal")
 
 
-def ensemble(s: DataFrame, thresholds: dict[str, float] | None = None) -> DataFrame:
-    """Votes of the four detectors by point: votes, kind (majority, ties to the first detector), mean and top |score|."""
+def ensemble(s: DataFrame, thresholds: dict[str, float] | None = None, window: int = 7, period: int = 7) -> DataFrame:
+    """Votes of the four detectors by point: votes, kind (majority, ties to the first detector), mean and top |score|.
+
+    All four scores stand side by side in one row, so a series is shuffled once and no votes are joined.
+    """
     limits = {"zscore": 3.0, "iqr": 1.5, "moving_average": 3.0, "seasonal": 3.5} | (thresholds or {})
-    hits = [
-        zscore(s, limits["zscore"]),
-        iqr(s, limits["iqr"]),
-        moving_average(s, threshold=limits["moving_average"]),
-        seasonal(s, threshold=limits["seasonal"]),
-    ]
-    votes = None
-    for k, (name, h) in enumerate(zip(DETECTORS, hits, strict=True)):
-        h = h.select("key", "idx", "v", "score", "kind", F.lit(k).alias("place"), F.lit(name).alias("algorithm"))
-        votes = h if votes is None else votes.unionByName(h)
-    kinds = votes.groupBy("key", "idx", "kind").agg(
-        F.first("v").alias("v"),
-        F.count("*").alias("n"),
-        F.min("place").alias("place"),
-        F.sum(F.abs("score")).alias("total"),
-        F.max(F.abs("score")).alias("top"),
-    )
-    points = kinds.groupBy("key", "idx").agg(
-        F.first("v").alias("v"),
-        F.sum("n").alias("votes"),
-        F.max_by("kind", F.struct("n", -F.col("place"))).alias("kind"),
-        (F.sum("total") / F.sum("n")).alias("mean_score"),
-        F.max("top").alias("max_score"),
-    )
-    return points.withColumn("mean_score", F.round("mean_score", 6))
+    whole, past, wide = by_key(), in_time().rowsBetween(-window, -1), max(3, period)
+    around = in_time().rowsBetween(-(wide // 2), (wide - 1) // 2)
+    c, v = F.col, F.col("v")
+    rows = s.select(
+        "key", "idx", "v", F.count("v").over(whole).alias("n"), F.avg("v").over(whole).alias("m"), F.stddev_samp("v").over(whole).alias("sd"),
+        F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).over(whole).alias("q"), F.count("v").over(past).alias("past_n"),
+        F.avg("v").over(past).alias("past_m"), F.stddev_samp("v").over(past).alias("past_sd"),
+        (v - F.percentile("v", F.lit(0.5)).over(around)).alias("residual"),
+    )
+    rows = rows.withColumn("res_m", F.avg("residual").over(whole)).withColumn("res_sd", F.stddev_samp("residual").over(whole))
+    span = c("q")[1] - c("q")[0]
+    low, high = c("q")[0] - limits["iqr"] * span, c("q")[1] + limits["iqr"] * span
+    enough = c("n") >= MIN_PERIODS
+    scores = {
+        "zscore": F.when(enough & (c("sd") > 0), (v - c("m")) / c("sd")),
+        "iqr": F.when(enough & (span > 0), F.when(v > high, (v - high) / span).when(v < low, (v - low) / span)),
+        "moving_average": F.when(enough & (c("past_n") >= min(MIN_PERIODS, window)), (v - c("past_m")) / F.greatest("past_sd", F.lit(1e-9))),
+        "seasonal": F.when((c("n") >= max(MIN_PERIODS, 2 * period)) & (c("res_sd") > 0), (c("residual") - c("res_m")) / c("res_sd")),
+    }
+    beyond = {**limits, "iqr": 0.0}  # fences are part of its score
+    flagged = F.array(*(F.when(F.abs(F.round(scores[d], EDGE)) > beyond[d], F.round(F.round(scores[d], EDGE), 4)) for d in DETECTORS))
+    hits = rows.select("key", "idx", "v", F.filter(flagged, lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+    spikes = F.size(F.filter("hits", lambda x: x > 0))
+    first_is_spike = (2 * spikes > F.size("hits")) | ((2 * spikes == F.size("hits")) & (c("hits")[0] > 0))
+    return hits.select(
+        "key", "idx", "v", F.size("hits").cast("long").alias("votes"), F.when(first_is_spike, "spike").otherwise("drop").alias("kind"),
+        F.round(F.aggregate("hits", F.lit(0.0), lambda t, x: t + F.abs(x)) / F.size("hits"), 6).alias("mean_score"),
+        F.array_max(F.transform("hits", F.abs)).alias("max_score"),
+    )

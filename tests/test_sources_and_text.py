@@ -102,6 +102,21 @@ def test_bootstrap_interval_holds_the_ratio(spark):
     assert rc.bootstrap_ratios(df.where("row_id < 0"), 10).count() == 0
 
 
+def test_asof_equals_brute_force(spark):
+    rng = random.Random(7)
+    stamp = lambda n: f"2024-01-{1 + n // 24:02d} {n % 24:02d}:00:00"
+    left = [(i, rng.choice("ab"), rng.randrange(400)) for i in range(60)] + [(99, "c", 5), (98, None, 5)]
+    right = [(rng.choice("ab"), rng.randrange(400), rng.randrange(9)) for _ in range(25)] + [("a", 7, 1), ("a", 7, 8)]
+    l_df = spark.createDataFrame([(i, k, stamp(n)) for i, k, n in left], "i int, k string, t string").withColumn("t", F.to_timestamp("t"))
+    r_df = spark.createDataFrame([(k, stamp(n), v) for k, n, v in right], "k string, t string, v int").withColumn("t", F.to_timestamp("t"))
+    for how in ("backward", "nearest"):
+        want = {}
+        for i, k, n in left:
+            near = [(abs(m - n), m, -v) for x, m, v in right if x == k and (m <= n or how == "nearest")]
+            want[i] = -min(near)[2] if near else None
+        assert {r.i: r.v for r in rc.asof(l_df, r_df, "k", "t", ["v"], how).collect()} == want
+
+
 def test_baseline_times_of_anomalies_outside_the_panel(spark):
     days = [f"2024-0{m}-{d:02d}" for m in (1, 2, 3) for d in (1, 9, 20)]
     panel = spark.createDataFrame([(x, 1.0) for x in days * 2], "t string, v double").withColumn("t", F.to_timestamp("t"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import causes, detection, documents, records, tables
+from .plans import causes, detection, documents, files, records, tables
 
-MODULES = (detection, tables, causes, documents, records)
+MODULES = (detection, tables, causes, documents, records, files)
 
 
 def flagship(spark, sf_dir: str):

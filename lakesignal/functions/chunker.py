@@ -149,6 +149,19 @@ def chunks(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[st
     return out
 
 
+class Chunks:
+    """Table function chunks(text): (chunk_index, section, text, tokens)."""
+
+    def eval(self, text: str):
+        for k, chunk in enumerate(chunks(text or "")):
+            yield (k, *chunk)
+
+
+def register(spark) -> None:
+    """Make chunks(text) a table function of SQL, for LATERAL joins with a table of texts."""
+    spark.udtf.register("chunks", F.udtf(Chunks, returnType="chunk_index int, section string, text string, tokens int"))
+
+
 def chunk_documents(docs: DataFrame, id_col: str, text_col: str, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, chunk_index, section, text, tokens) of every text; null and blank texts give none."""
     kind = docs.schema[id_col].dataType.simpleString()

@@ -94,7 +94,7 @@ def time_column(types: DataFrame, user: str | None = None) -> DataFrame:
 
 def duplicate_rows(df: DataFrame) -> Column:
     """Aggregate: rows beyond the first of their kind."""
-    return F.count("*") - F.count_distinct(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}))
+    return F.count("*") - F.count_distinct(F.sha2(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), 256))
 
 
 def quality_metrics(df: DataFrame) -> DataFrame:
@@ -204,6 +204,22 @@ def overall(results: DataFrame) -> DataFrame:
     )
 
 
+def report(results: DataFrame) -> DataFrame:
+    """One row: rules, failed ones, passed (no high or critical rule failed), has_warnings (a medium or low one did)."""
+    failed, grave = ~F.col("passed"), F.col("severity").isin("high", "critical")
+    return results.agg(
+        F.count("*").alias("rules"),
+        F.count_if(failed).alias("failed"),
+        (F.count_if(failed & grave) == 0).alias("passed"),
+        (F.count_if(failed & ~grave) > 0).alias("has_warnings"),
+    )
+
+
+def effective_type(user: Column, inferred: Column) -> Column:
+    """The user's type where there is one."""
+    return F.coalesce(user, inferred)
+
+
 def offenders(df: DataFrame, column: str, low: float, high: float, order: str, most: int = 5) -> DataFrame:
     """The first rows outside a range."""
     return df.where(~F.col(column).between(low, high)).select(order, column).orderBy(order).limit(most)

@@ -60,6 +60,24 @@ def retain_newest(rows: DataFrame, by: str, most: int, drop: int) -> DataFrame:
     return rows.join(rows.select(by).orderBy(by).limit(drop), by, "left_anti")  # each task keeps its `drop` oldest
 
 
+def run_stats(log: DataFrame) -> DataFrame:
+    """(status, runs, mean_seconds, longest) of a run log (status, seconds)."""
+    return log.groupBy("status").agg(
+        F.count("*").alias("runs"), F.round(F.avg("seconds"), 4).alias("mean_seconds"), F.max("seconds").alias("longest")
+    )
+
+
+def of_org(rows: DataFrame, org: str, org_col: str = "org_id") -> DataFrame:
+    """The rows that an organisation may see."""
+    return rows.where(F.col(org_col) == org)
+
+
+def dimension_map(columns: list[str]) -> Column:
+    """map<string, string> of dimensions by name, without those that are null."""
+    pairs = F.map_from_arrays(F.array(*map(F.lit, columns)), F.array(*(F.col(c).cast("string") for c in columns)))
+    return F.map_filter(pairs, lambda _, v: v.isNotNull())
+
+
 def against_baseline(actual: DataFrame, base: DataFrame, dims: list[str]) -> DataFrame:
     """actual (dims, v) with each segment's baseline mean, the overall mean where it has none."""
     means = base.groupBy(*dims).agg(F.avg("v").alias("_m"))

@@ -31,6 +31,11 @@ def severity_label(s: Column) -> Column:
     return out.otherwise("Critical")
 
 
+def severity_number(level: Column) -> Column:
+    """1 to 4 for Low to Critical."""
+    return F.array_position(F.array(*map(F.lit, ("Low", "Medium", "High", "Critical"))), level).cast("int")
+
+
 def expected_range(s: DataFrame, method: str = "iqr", last: int | None = None) -> DataFrame:
     """(key, low, high): quartile fences (1.5), mean and three deviations, or the 1st to 99th percentile; of the last points if asked for."""
     if last:

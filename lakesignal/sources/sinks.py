@@ -33,6 +33,18 @@ def read_run(spark, path: str, name: str) -> DataFrame:
     return spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}").join(runs, "run", "left_semi")
 
 
+def replace_index(df: DataFrame, path: str, version: int) -> None:
+    """A new version of an index, then the row that makes it the one that readers see; they never meet half of it."""
+    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+    df.sparkSession.createDataFrame([(version,)], "version long").write.mode("append").parquet(f"{path}/_versions")
+
+
+def read_index(spark, path: str) -> DataFrame:
+    """The newest version of an index that is complete."""
+    newest = spark.read.parquet(f"{path}/_versions").agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{path}/version={newest}")
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Audit, feedback and event logs are tables that only grow."""
     rows.write.mode("append").parquet(path)

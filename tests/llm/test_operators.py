@@ -578,6 +578,18 @@ def test_classifier_on_odd_rows(spark):
     assert not np.array_equal(net.features(whole), net.features(whole + "ZZZ!!!###" * 200))
 
 
+def test_classifier_keeps_columns_repeated_rows_and_empty_tables(spark):
+    good, bad = "A clean sentence about the town and its river. " * 8, "$$$ BUY NOW ### !!! " * 12
+    docs = docs_of(spark, [good, bad] * 25 + [None, ""])
+    docs = docs.union(docs.where("doc_id < 2"))
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(50)], "doc_id long, quality int")
+    kept = quality_cnn.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    ids = Counter(r.doc_id for r in kept.where("doc_id < 50").collect())
+    assert ids == Counter(list(range(0, 50, 2)) + [0])
+    assert quality_cnn.keep_good(docs.where("doc_id < 0"), labels, docs).count() == 0
+
+
 # --- 10 HTML --------------------------------------------------------------------------------------------------
 
 PARAGRAPH = "This is a sentence of the article that is long enough to be text. " * 3

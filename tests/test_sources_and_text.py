@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakesignal.functions import chunker
 from lakesignal.functions.math import student_p
-from lakesignal.operators import explain, quality
+from lakesignal.operators import cleaning, explain, quality
 from lakesignal.operators import root_cause as rc
 from lakesignal.sources import sinks
 from lakesignal.sources import tables as src
@@ -145,6 +145,21 @@ def test_validation_of_an_empty_table(spark):
     assert got["minimum_rows"] is False
 
 
+def test_one_hot_leaves_no_category_out(spark):
+    df = spark.createDataFrame([("a",), ("b",), ("c",), (None,), ("a",)], "s string")
+    out = cleaning.encode(df, "s", "one_hot", rare=0.0, most=1)
+    assert out.columns == ["s", "s_a", "s__OTHER_"]
+    assert sorted((r[0] or "", r[1], r[2]) for r in out.collect()) == [("", 0, 0), ("a", 1, 0), ("a", 1, 0), ("b", 0, 1), ("c", 0, 1)]
+
+
+def test_chunk_table_function_equals_the_operator(spark):
+    docs = spark.createDataFrame([(1, "# One\nA b c.\n\n# Two\nD e."), (2, None), (3, "plain")], "doc_id long, text string")
+    chunker.register(spark)
+    docs.createOrReplaceTempView("_chunk_test")
+    got = spark.sql("SELECT d.doc_id, c.* FROM _chunk_test d, LATERAL chunks(d.text) c").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, chunker.chunk_documents(docs, "doc_id", "text").collect()))
+
+
 def test_recommendation_lines():
     assert explain.recommendation_lines("Intro\n- no\nRecommendations:\n- one\n2. two\nEnd\n- no") == ["one", "two"]
 

@@ -160,8 +160,11 @@ OTHERS = [
 #: A line with one of these, or with a licence's short name, is unknown if it reaches no family.
 ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "proprietary")
 NAMES = r"(?i:\b(?:[al]?gpl(?:v?[0-9.]+)?|cc[ -]by|cc0|bsd|apache|spdx)\b)|\bMIT\b"
-#: Words that decide nothing; needed_words puts n-grams on their other words.
-COMMON = frozenset("a an and any as at be been by for from has in into is it may no not of on only or that the this to under with without you".split())
+#: Words that decide nothing by themselves: n-grams of such words alone are no features, needed_words puts others on their other words.
+COMMON = frozenset(
+    "a all an and any are as at be been but by can for from had has have he her his if in into is it its may no not of on one only or she that the"
+    " their there they this to under was we were which will with without you your".split()
+)
 NGRAMS = 3
 STEPS, DECAY = 150, 5.0
 #: Parts that the notices of a family are dealt into for calibration; words of a cut from a licence text.
@@ -173,7 +176,9 @@ TEMPLATE_SHARE = 0.6
 
 
 def ngrams(words: list[str]) -> set[str]:
-    return {" ".join(words[i : i + n]) for n in range(1, NGRAMS + 1) for i in range(len(words) - n + 1)}
+    """Runs of one to NGRAMS words that hold a word that is not COMMON."""
+    runs = (words[i : i + n] for n in range(1, NGRAMS + 1) for i in range(len(words) - n + 1))
+    return {" ".join(r) for r in runs if not COMMON.issuperset(r)}
 
 
 def _examples(notice: str) -> list[list[str]]:

@@ -33,6 +33,8 @@ from .common import table
 
 #: A block ends at so many distinct words or characters, at the end of a text.
 BLOCK_WORDS, BLOCK_CHARS = 300_000, 16_000_000
+#: Encoded words that a task gathers before it packs them by block.
+TASK_WORDS = 500_000
 #: Bytes of output that a task gathers.
 OUT_BYTES = 8_000_000
 #: Fixed values of the public byte-level format: white space (Unicode's), contractions, the order of alternatives.
@@ -230,40 +232,68 @@ def block_texts(texts: DataFrame, specials: dict[str, int]) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, f"block long, keys array<{kind}>, sizes array<int>, codes binary")
 
 
+WORD_IDS = ["block", "numbers", "counts", "ids"]
+
+
 def encoded_words(words: DataFrame, vocabulary) -> DataFrame:
-    """(block, number, ids) of (block, number, word): equal words meet in one partition side by side and are encoded once."""
+    """(block, numbers, counts, ids) of (block, number, word): equal words meet in one partition side by side and are encoded once.
+
+    A row holds a task's words of a block, packed: the gaps of their rising numbers, how many ids each has, and the ids.
+    """
 
     def run(batches):
-        v, last, ids = vocabulary.value, None, b""
+        v, last, packed, held = vocabulary.value, None, b"", 0
+        block, number, ids = [], [], []
+
+        def flush():
+            at, num = np.concatenate(block), np.concatenate(number)
+            order = np.lexsort((num, at))
+            at, num, by_word = at[order], num[order], [ids[i] for i in order.tolist()]
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                gaps, counts = np.diff(num[s:e], prepend=0), np.fromiter((len(x) // 4 for x in by_word[s:e]), np.uint32, e - s)
+                parts = [pack_codes([x]) for x in (gaps, counts, np.frombuffer(b"".join(by_word[s:e]), "<u4"))]
+                yield pa.RecordBatch.from_arrays([pa.array([at[s]], pa.int64()), *(pa.array([x], pa.binary()) for x in parts)], WORD_IDS)
+            for x in (block, number, ids):
+                x.clear()
+
         for b in batches:
-            out = []
+            block.append(b.column("block").to_numpy())
+            number.append(b.column("number").to_numpy())
             for w in b.column("word").to_pylist():
                 if w != last:
-                    last, ids = w, v.encode_packed(w)
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("number"), pa.array(out, pa.binary())], ["block", "number", "ids"])
+                    last, packed = w, v.encode_packed(w)
+                ids.append(packed)
+                held += len(packed)
+            if len(ids) > TASK_WORDS or held > 8 * OUT_BYTES:
+                yield from flush()
+                held = 0
+        if ids:
+            yield from flush()
 
     parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, "block long, number int, ids binary")
+    run_ddl = "block long, numbers binary, counts binary, ids binary"
+    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(run, run_ddl)
 
 
 def placed(texts: DataFrame, vocabulary, with_text: bool) -> DataFrame:
     """(key, ids, and the decoded text if asked for): block tables joined with blocks, numbers replaced by position."""
     specials = vocabulary.value.specials
-    tables = encoded_words(block_words(texts, specials), vocabulary).groupBy("block").agg(F.collect_list(F.struct("number", "ids")).alias("words"))
+    tables = encoded_words(block_words(texts, specials), vocabulary).groupBy("block").agg(F.collect_list(F.struct(*WORD_IDS[1:])).alias("words"))
     met = block_texts(texts, specials).join(tables, "block", "left").select("keys", "sizes", "codes", "words")
     kind, arrow = texts.schema["key"].dataType.simpleString(), to_arrow_type(texts.schema["key"].dataType)
     names = ["key", "ids", "text"][: 2 + with_text]
 
-    def table_of(words: pa.ListScalar, most: int) -> list[bytes]:
-        if not words.is_valid:
-            if most >= 0:
-                raise ValueError("a block has no word table: the texts came in another order when they were read again")
-            return []
-        number, ids = words.values.field(0).to_numpy(), words.values.field(1)
-        out = [b""] * (int(number.max()) + 1)
-        for n, x in zip(number.tolist(), ids.to_pylist(), strict=True):
-            out[n] = x
+    def table_of(words: list[dict] | None, most: int) -> list[bytes]:
+        if words is None and most >= 0:
+            raise ValueError("a block has no word table: the texts came in another order when they were read again")
+        out = [b""] * (most + 1)
+        for part in words or ():
+            number, ends = np.cumsum(unpack_codes(part["numbers"])), 4 * np.cumsum(unpack_codes(part["counts"]))
+            ids, start = unpack_codes(part["ids"]).tobytes(), 0
+            for n, end in zip(number.tolist(), ends.tolist(), strict=True):
+                out[n] = ids[start:end]
+                start = end
         return out
 
     def run(batches):
@@ -271,7 +301,7 @@ def placed(texts: DataFrame, vocabulary, with_text: bool) -> DataFrame:
         for b in batches:
             for row in range(len(b)):
                 codes = unpack_codes(b.column("codes")[row].as_py())
-                ids_of = table_of(b.column("words")[row], int(codes.max()) if len(codes) else -1)
+                ids_of = table_of(b.column("words")[row].as_py(), int(codes.max()) if len(codes) else -1)
                 text_of = [b"".join([pieces[i] for i in memoryview(x).cast("I")]) for x in ids_of] if with_text else []
                 keys, sizes = b.column("keys")[row].values, b.column("sizes")[row].as_py()
                 first, at, out, texts_out, size = 0, 0, [], [], 0

@@ -380,6 +380,7 @@ def test_empty_table_gives_empty_archive(spark, tmp_path):
 def test_bpe_equals_the_library(spark, monkeypatch, block_words):
     monkeypatch.setattr(bpe, "BLOCK_WORDS", block_words)
     monkeypatch.setattr(bpe, "OUT_BYTES", 300)
+    monkeypatch.setattr(bpe, "TASK_WORDS", 50)
     rng = random.Random(8)
     bits = ["the ", "ing", "é", " ", "  ", "\n", "'s", "<|endoftext|>", "12", "½", "日本", "🎉", "́", "\x1c", "\x85", "\u2003", "!!", "ʰ", "zq" * 40, "\ufffd", "\0"]
     texts = [None, "", " ", "ab" * 20_000] + ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(120)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .filter_audit import OP13_SQL, op13_filter_audit
 from .html_text import op10_html_text
 from .knn_join import OP3_SQL, op3_knn_join
 from .license_scan import op2_license_scan
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_html_text": op10_html_text,
+    "op13_filter_audit": op13_filter_audit,
 }
 SQL = {
     "op3_knn_join": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op7_url_filter": OP7_SQL,
     "op8_near_dup": OP8_SQL,
+    "op13_filter_audit": OP13_SQL,
 }

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op6_bpe
+from .collocations import OP12_SQL, op12_collocations
 from .filter_audit import OP13_SQL, op13_filter_audit
 from .html_text import op10_html_text
 from .knn_join import OP3_SQL, op3_knn_join
+from .learned_ann import op11_learned_ann
 from .license_scan import op2_license_scan
 from .near_dup import OP8_SQL, op8_near_dup
 from .packing import op4_packing
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_near_dup": op8_near_dup,
     "op9_quality_cnn": op9_quality_cnn,
     "op10_html_text": op10_html_text,
+    "op11_learned_ann": op11_learned_ann,
+    "op12_collocations": op12_collocations,
     "op13_filter_audit": op13_filter_audit,
 }
 SQL = {
@@ -32,5 +36,6 @@ SQL = {
     "op5_warc": OP5_SQL,
     "op7_url_filter": OP7_SQL,
     "op8_near_dup": OP8_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_filter_audit": OP13_SQL,
 }

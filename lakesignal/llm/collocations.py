@@ -1,14 +1,15 @@
 """Collocations: phrases whose words stand together more often than their parts would by chance.
 
-Words are counted first, then pairs of frequent words. What lies between rare
-words or rare pairs can't belong to a phrase that occurs LEAST times, so texts
-are cut there, which loses nothing; frequent words and pairs are known in the
-tasks as tables of bits, whose size is a parameter (a wrong bit only leaves a
-phrase for the final count to rule out). The rest goes into generalised suffix
+Words are counted first, then pairs of frequent words, then triples of frequent
+pairs. A rare word, pair or triple can't be part of a phrase that occurs LEAST
+times, so texts are cut there, which loses nothing; frequent ones are known in
+the tasks as tables of bits, whose size is a parameter (a wrong bit only leaves
+a phrase for the final count to rule out). The rest goes into generalised suffix
 automata, one a shard of bounded size: each state stands for the phrases with
 one set of end positions, its count is that set's size, summed along the suffix
-links. Phrases of two to MOST_WORDS words are read off the states and their
-counts are added up over all shards. Along the suffix links a state whose count
+links. Phrases of two to MOST_WORDS words are read off the states, and their
+counts are added up over all shards: a shard sends them packed, a row for each
+bucket of hashes, and a bucket of bounded size adds up its blocks. Along the suffix links a state whose count
 is that of a longer one has a single word before it everywhere in its shard; a
 phrase for which all shards name the same word is covered by the longer phrase.
 """
@@ -19,6 +20,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -40,7 +42,11 @@ BITS_BLOCK = 1 << 15
 #: Bytes that end a piece become a line feed.
 ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r", b"\n" * 9)
 WORDS_DDL = "lang string, phrase string, n long"
-PHRASES_DDL = "lang string, phrase string, size int, n long, before long"
+PHRASES_DDL = "lang string, bucket long, phrases binary, n binary, before binary"
+FOUND_DDL = "lang string, phrase string, size int, a long, covered boolean"
+HASHES_DDL = "bucket long, h binary, n binary"
+#: Words of all texts for one bucket.
+BUCKET_WORDS = 500_000
 
 
 def _seed(lang: str) -> int:
@@ -128,7 +134,7 @@ def _word_hashes(batches):
 
 
 def _coded(parts: list[bytes], lang: str, words: Bits):
-    """(distinct words, their place for each position, pair hashes, which neighbours are both frequent) of texts; pieces end with a line feed."""
+    """(distinct words, their place for each position, word hashes, pair hashes, which neighbours are both frequent); pieces end with a line feed."""
     flat: list[bytes] = []
     for raw in parts:
         for piece in raw.split(b"\n"):
@@ -142,15 +148,42 @@ def _coded(parts: list[bytes], lang: str, words: Bits):
     frequent[code[b"\n"]] = False
     ok, h = frequent[ids], h[ids]
     pair = _mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return list(code), ids, pair, ok[:-1] & ok[1:]
+    return list(code), ids, h, pair, ok[:-1] & ok[1:]
 
 
-def _pair_counts(batches, words: Bits):
+def _triples(h: np.ndarray, pair: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of three words in a row, and which of them hold frequent pairs only."""
+    return _mix(pair[:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + h[2:]), ok[:-1] & ok[1:]
+
+
+def _bounds(buckets: int) -> np.ndarray:
+    """First hash of every bucket but the first: equal ranges of 64 bits."""
+    return np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+
+
+def _counts(batches, buckets: int, words: Bits, pairs: Bits | None = None):
+    """Hashes and counts, packed by bucket, of pairs of frequent words, or of triples of frequent pairs, in each chunk."""
+    bounds = _bounds(buckets)
     for held in _chunks(batches):
         for lang, parts in held.items():
-            _, _, pair, ok = _coded(parts, lang, words)
-            keys, n = np.unique(pair[ok], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], ["h", "n"])
+            _, _, h, keys, ok = _coded(parts, lang, words)
+            if pairs is not None:
+                keys, ok = _triples(h, keys, ok & pairs.has(keys))
+            keys, n = np.unique(keys[ok], return_counts=True)
+            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+            rows = [(k, keys[s:e].tobytes(), n[s:e].tobytes()) for k, (s, e) in enumerate(zip(cuts, cuts[1:], strict=False)) if e > s]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["bucket", "h", "n"])
+
+
+def _frequent(least: int):
+    """Adds up a bucket: the hashes with `least` occurrences."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        keys, place = np.unique(np.frombuffer(b"".join(pdf["h"]), np.int64), return_inverse=True)
+        n = np.bincount(place, np.frombuffer(b"".join(pdf["n"]), np.int64).astype(float), len(keys))  # exact below 2^53
+        return pd.DataFrame({"h": keys[n >= least]})
+
+    return add
 
 
 class Automaton:
@@ -218,40 +251,50 @@ class Automaton:
                 yield self.words[end - size + 1 : end + 1], count[v], before
 
 
-def _slices(words: list[bytes], ids: np.ndarray, joined: np.ndarray, most: int):
-    """(words, context) of every maximal run of joined neighbours; a long run is cut, each part after the first begins with its context."""
-    edge = np.flatnonzero(np.diff(joined.astype(np.int8), prepend=0, append=0))
-    for start, stop in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-        run = [words[i] for i in ids[start : stop + 1].tolist()]
+def _slices(words: list[bytes], ids: np.ndarray, pair_ok: np.ndarray, triple_ok: np.ndarray, most: int):
+    """(words, context) of every maximal run of frequent pairs and triples.
+
+    Runs that meet in a rare triple share the word in its middle, so each pair is
+    in one run. A long run is cut, each part after the first begins with its context.
+    """
+    starts, stops = pair_ok.copy(), pair_ok.copy()  # pairs that a run begins and ends with
+    starts[1:] &= ~triple_ok
+    stops[:-1] &= ~triple_ok
+    for start, stop in zip(np.flatnonzero(starts).tolist(), np.flatnonzero(stops).tolist(), strict=True):
+        run = [words[i] for i in ids[start : stop + 2].tolist()]
         for s in range(0, len(run), SLICE_WORDS):
             context = min(s, most - 1)
             yield tuple(run[s - context : s + SLICE_WORDS]), context
 
 
-def _phrase_counts(batches, words: Bits, pairs: Bits, most: int):
-    """(lang, phrase, size, n, before) of each shard; before is the hash of the word that precedes every occurrence there."""
+def _phrase_counts(batches, buckets: int, words: Bits, pairs: Bits, triples: Bits, most: int):
+    """Phrases of each shard, packed by bucket: texts, counts, and the hash of the word that precedes every occurrence there (0: none)."""
+    bounds = _bounds(buckets)
 
     def shard(lang: str, held: Counter):
         automaton = Automaton()
         for (run, context), weight in held.items():
             automaton.add(run, context, weight)
-        seen, rows = {}, ([], [], [], [])
-        for phrase, n, before in automaton.phrases(most):
-            rows[0].append(b" ".join(phrase))
-            rows[1].append(len(phrase))
-            rows[2].append(n)
-            if before is not None and before not in seen:
-                seen[before] = xxhash.xxh3_64_intdigest(before) - (1 << 63)
-            rows[3].append(None if before is None or len(phrase) == most else seen[before])
-        phrase, size, n, before = (pa.array(c, t) for c, t in zip(rows, (pa.binary(), pa.int32(), pa.int64(), pa.int64()), strict=True))
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase.cast(pa.string()), size, n, before], ["lang", "phrase", "size", "n", "before"])
+        found = [(b" ".join(p), n, None if len(p) == most else before) for p, n, before in automaton.phrases(most)]
+        at = np.searchsorted(bounds, np.array([xxhash.xxh3_64_intdigest(p) for p, _, _ in found], np.uint64), side="right")
+        code = {None: 0} | {w: (xxhash.xxh3_64_intdigest(w) >> 1) | 1 for w in {b for _, _, b in found} - {None}}
+        n, before = np.array([x[1] for x in found], np.int64), np.array([code[x[2]] for x in found], np.int64)
+        order = np.argsort(at, kind="stable")
+        cuts = [0, *(np.flatnonzero(np.diff(at[order])) + 1).tolist(), len(order)] if found else [0]
+        parts = [order[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+        blocks = [[b"\n".join([found[i][0] for i in x.tolist()]), n[x].tobytes(), before[x].tobytes()] for x in parts]
+        columns = [[lang] * len(parts), [int(at[x[0]]) for x in parts], *([b[i] for b in blocks] for i in range(3))]
+        types = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["lang", "bucket", "phrases", "n", "before"])
 
     held: dict[str, Counter] = defaultdict(Counter)
     sizes: Counter = Counter()
     for chunk in _chunks(batches):
         for lang, parts in chunk.items():
-            distinct, ids, pair, ok = _coded(parts, lang, words)
-            for run in _slices(distinct, ids, ok & pairs.has(pair), most):
+            distinct, ids, h, pair, ok = _coded(parts, lang, words)
+            ok &= pairs.has(pair)
+            triple, all_ok = _triples(h, pair, ok)
+            for run in _slices(distinct, ids, ok, all_ok & triples.has(triple), most):
                 if run not in held[lang]:
                     sizes[lang] += len(run[0])
                 held[lang][run] += 1
@@ -262,6 +305,25 @@ def _phrase_counts(batches, words: Bits, pairs: Bits, most: int):
         yield shard(lang, runs)
 
 
+def _added(least: int):
+    """Adds up a language's bucket: phrases with `least` occurrences; covered if all shards name the same word before."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pd.DataFrame({
+            "phrase": [p for b in pdf["phrases"] for p in b.split(b"\n")],
+            "n": np.frombuffer(b"".join(pdf["n"]), np.int64),
+            "before": np.frombuffer(b"".join(pdf["before"]), np.int64),
+        })
+        sums = rows.groupby("phrase", sort=False).agg(a=("n", "sum"), low=("before", "min"), high=("before", "max"))
+        sums = sums[sums["a"] >= least]
+        return pd.DataFrame({
+            "lang": pdf["lang"].iloc[0], "phrase": [p.decode() for p in sums.index], "size": [p.count(b" ") + 1 for p in sums.index],
+            "a": sums["a"].to_numpy(), "covered": ((sums["low"] > 0) & (sums["low"] == sums["high"])).to_numpy(),
+        }).astype({"lang": object, "phrase": object, "size": "int32", "a": "int64", "covered": bool})
+
+    return add
+
+
 def collocations(
     docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, top: int = TOP, text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
@@ -284,20 +346,18 @@ def collocations(
     counted = settle(counted, "collocation-words")
     frequent = counted.where(F.col("n") >= least)
     words = bits_of(settle(frequent.mapInArrow(_word_hashes, "h long"), "collocation-word-hashes"))
-    sent = spark.sparkContext.broadcast(words)
-    pairs = texts.mapInArrow(lambda b: _pair_counts(b, sent.value), "h long, n long")
-    pairs = pairs.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    both = spark.sparkContext.broadcast((words, bits_of(settle(pairs.select("h"), "collocation-pair-hashes"))))
-
-    found = texts.mapInArrow(lambda b: _phrase_counts(b, *both.value, most_words), PHRASES_DDL)
-    found = found.groupBy("lang", "size", "phrase").agg(
-        F.sum("n").alias("a"), ((F.count("before") == F.count("*")) & (F.min("before") == F.max("before"))).alias("covered")
-    )
-    found = settle(found.where(F.col("a") >= least), "collocation-phrases")
+    sieves, buckets = [words], max(16, (counted.agg(F.sum("n")).first()[0] or 0) // BUCKET_WORDS)
+    for name in ("pair", "triple"):
+        sent = spark.sparkContext.broadcast(tuple(sieves))
+        blocks = texts.mapInArrow(lambda b, sent=sent: _counts(b, buckets, *sent.value), HASHES_DDL)
+        sieves.append(bits_of(settle(blocks.groupBy("bucket").applyInPandas(_frequent(least), "h long"), f"collocation-{name}-hashes")))
+    sent = spark.sparkContext.broadcast(tuple(sieves))
+    blocks = texts.mapInArrow(lambda b: _phrase_counts(b, buckets, *sent.value, most_words), PHRASES_DDL)
+    found = settle(blocks.groupBy("lang", "bucket").applyInPandas(_added(least), FOUND_DDL), "collocation-phrases")
 
     # The other side: a phrase that occurs as often as one with a word more behind it.
     longer = found.where(F.col("size") > 2).select("lang", F.expr("substring_index(phrase, ' ', size - 1)").alias("phrase"), "a").distinct()
-    kept = found.where(~F.coalesce("covered", F.lit(False))).join(longer, ["lang", "phrase", "a"], "left_anti")
+    kept = found.where(~F.col("covered")).join(longer, ["lang", "phrase", "a"], "left_anti")
 
     known = frequent.select("lang", "phrase", "n").union(found.select("lang", "phrase", "a"))
     cuts = kept.select("lang", "phrase", "a", F.explode(F.expr("sequence(1, size - 1)")).alias("k"))

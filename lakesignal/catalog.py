@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import causes, detection, documents, files, records, tables
+from .plans import boxes, causes, decomposition, detection, documents, files, profiles, records, tables
 
-MODULES = (detection, tables, causes, documents, records, files)
+MODULES = (detection, decomposition, boxes, tables, causes, documents, records, files, profiles)
 
 
 def flagship(spark, sf_dir: str):

@@ -1,4 +1,4 @@
-"""Fingerprints of figures: similarity, nearest match, boxes on pages."""
+"""Figures: similarity of fingerprints, nearest match, class and shape; their places on pages are in boxes."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.math import cosine, hamming_similarity, histogram_intersection
+from .explain import fixed
 from .retrieval import meet
 
 MATCH = 0.78
@@ -28,26 +29,22 @@ def best_match(queries: DataFrame, stored: DataFrame, threshold: float = MATCH)
     return best.select("query_id", F.col("chunk_id").alias("figure_id"), "similarity")
 
 
-def inside(x: Column, y: Column, box: Column) -> Column:
-    """Is a point in a box [left, top, right, bottom]?"""
-    return (x >= box[0]) & (x <= box[2]) & (y >= box[1]) & (y <= box[3])
+#: Classes by the share of edge pixels, and what shapes are called.
+SCHEMATIC, CHART, PHOTO = "Technical Schematic / Architectural Diagram / Flowchart", "Chart / Graph / Data Plot", "Photographic Image / Illustration"
+SCHEMATIC_EDGES, CHART_EDGES, LANDSCAPE, PORTRAIT = 0.045, 0.015, 1.3, 0.77
 
 
-def nearest_caption(figures: DataFrame, lines: DataFrame) -> DataFrame:
-    """(figure_id, text): of its page's lines, one that starts like a caption first, then the nearest below or above."""
-    pairs = figures.join(lines, "page")
-    gap = F.least(F.abs(F.col("y") - F.col("box")[3]), F.abs(F.col("y") - F.col("box")[1]))
-    is_caption = F.lower("text").rlike(r"^\s*(figure|fig\.|table|chart|diagram)")
-    n = F.row_number().over(Window.partitionBy("figure_id").orderBy(F.desc(is_caption), gap, "y", "text"))
-    return pairs.withColumn("_n", n).where("_n = 1").select("figure_id", "text")
+def figure_class(edges: Column) -> Column:
+    """By the share of pixels that are edges."""
+    return F.when(edges > SCHEMATIC_EDGES, SCHEMATIC).when(edges > CHART_EDGES, CHART).otherwise(PHOTO)
 
 
-def figure_class(width: Column, height: Column, edges: Column) -> Column:
-    """By aspect ratio and edge density."""
-    ratio = width / height
+def aspect(width: Column, height: Column) -> Column:
+    """'1.8:1 (Landscape)', '1:1.5 (Portrait)', '1.05:1 (Standard)'; without a size it is '1:1 (Square)'."""
+    ratio = F.when((width > 0) & (height > 0), width / height)
     return (
-        F.when((ratio > 8) | (ratio < 0.125), "rule")
-        .when(edges >= 0.045, "diagram")
-        .when(edges >= 0.015, "photo")
-        .otherwise("blank")
+        F.when(ratio > LANDSCAPE, F.concat(fixed(ratio, 1), F.lit(":1 (Landscape)")))
+        .when(ratio < PORTRAIT, F.concat(F.lit("1:"), fixed(1 / ratio, 1), F.lit(" (Portrait)")))
+        .when(ratio.isNotNull(), F.concat(fixed(ratio, 2), F.lit(":1 (Standard)")))
+        .otherwise("1:1 (Square)")
     )

@@ -28,15 +28,16 @@ def long_values(df: DataFrame, columns: list[str]) -> DataFrame:
 def profile(df: DataFrame, columns: list[str], samples: int = 5) -> DataFrame:
     """(column, n, nulls, distinct, samples): the samples are the smallest distinct values, as text."""
     counts = long_values(df, columns).groupBy("column", "value").agg(F.count("*").alias("c"))
-    least = Window.partitionBy("column").orderBy(F.asc_nulls_last("value"))
-    ranked = counts.withColumn("r", F.row_number().over(least))
-    sample = F.array_sort(F.collect_list(F.when((F.col("r") <= samples), F.col("value"))))
-    return ranked.groupBy("column").agg(
+    facts = counts.groupBy("column").agg(
         F.sum("c").alias("n"),
         F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("c"))), F.lit(0)).alias("nulls"),
         F.count("value").alias("distinct"),
-        F.array_join(sample, "|").alias("samples"),
     )
+    # tasks pass on their least values only, no task sees all of a column's
+    least = F.row_number().over(Window.partitionBy("column").orderBy("value"))
+    first = counts.where("value is not null").withColumn("r", least).where(F.col("r") <= samples)
+    first = first.groupBy("column").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("samples"))
+    return facts.join(first, "column", "left").select("column", "n", "nulls", "distinct", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def _named_like_time(name: str) -> bool:
@@ -204,6 +205,39 @@ def overall(results: DataFrame) -> DataFrame:
     )
 
 
+def scores(metrics: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: stored_score (missing cells as a share, what datasets keep) and pass_ratio (rules passed), of quality_metrics() and validate()."""
+    stored = metrics.agg(F.round(F.first("missing_percent") / 100, 4).alias("stored_score"), F.lit(1).alias("_one"))
+    ratio = overall(results).select("pass_ratio", F.lit(1).alias("_one"))
+    return stored.join(ratio, "_one").drop("_one")  # two single rows
+
+
+#: Digits and limits of what results report: (digits, least, greatest); None is no limit.
+REPORTED = {
+    "contribution": (2, 0.0, 100.0), "percent": (2, None, None), "ratio": (3, None, None), "correlation": (3, -1.0, 1.0), "p_value": (4, 0.0, 1.0),
+    "confidence": (3, 0.0, 1.0), "expected_min": (4, None, None), "expected_max": (4, None, None),
+}
+#: Pairs of columns of which the first must not be above the second.
+ORDERED = (("expected_min", "expected_max"),)
+
+
+def checked(df: DataFrame, kinds: dict[str, str] | None = None) -> DataFrame:
+    """df with the columns of REPORTED (or those that kinds maps to them) rounded, and invalid: the names that break their limits, in order.
+
+    Limits hold for the rounded values, nulls break none; NaN breaks every limit. A pair in the wrong order is named by both.
+    """
+    kinds = {c: c for c in df.columns if c in REPORTED} if kinds is None else kinds
+    df = df.withColumns({c: F.round(c, REPORTED[k][0]) for c, k in kinds.items()})
+    broken = []
+    for c, k in kinds.items():
+        _, low, high = REPORTED[k]
+        for limit, beyond in ((low, lambda x, y: x < y), (high, lambda x, y: x > y)):
+            if limit is not None:
+                broken.append(F.when(beyond(F.col(c), F.lit(limit)) | F.isnan(c), c))
+    broken += [F.when(F.col(a) > F.col(b), f"{a}, {b}") for a, b in ORDERED if {a, b} <= set(df.columns)]
+    return df.withColumn("invalid", F.array_distinct(F.array_compact(F.array(*broken))) if broken else F.array().cast("array<string>"))
+
+
 def report(results: DataFrame) -> DataFrame:
     """One row: rules, failed ones, passed (no high or critical rule failed), has_warnings (a medium or low one did)."""
     failed, grave = ~F.col("passed"), F.col("severity").isin("high", "critical")

@@ -60,8 +60,8 @@ def lexical_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
 
     queries: query_id, tokens (array of distinct tokens); chunks: chunk_id
     (integer), text. Queries come in blocks of PASS_QUERIES at most. For a block a
-    task finds all its tokens in one pass over each text, counts them for all
-    queries by a matrix product and passes on k rows a query.
+    task finds all its tokens in one pass over each text, adds one to the queries
+    of each token found (a sparse index) and passes on k rows a query.
     """
     queries = queries.where(F.size("tokens") > 0)
     blocks = max(1, -(-queries.count() // PASS_QUERIES))
@@ -80,24 +80,25 @@ def _token_hits(queries: list[tuple], id_type: pa.DataType, k: int):
     """The Arrow function (chunk_id, low) -> the task's k best (query_id, chunk_id, score) of each query."""
 
     def search(batches):
-        places = {t: i for i, t in enumerate(sorted({t for _, ts in queries for t in ts}))}
-        find = ahocorasick.Automaton()
-        held = np.zeros((len(places), len(queries)), np.float32)
+        asking: dict[str, list[int]] = {}  # the queries of each token
         for q, (_, ts) in enumerate(queries):
-            held[[places[t] for t in ts], q] = 1
-        for t, i in places.items():
-            find.add_word(t, i)
+            for t in ts:
+                asking.setdefault(t, []).append(q)
+        find = ahocorasick.Automaton()
+        for t, qs in asking.items():
+            find.add_word(t, np.array(qs, np.int32))
         find.make_automaton()
-        counts = np.zeros((len(queries), 0), np.float32)
+        counts = np.zeros((len(queries), 0), np.int32)
         ids = np.zeros((len(queries), 0), np.int64)
         for batch in batches:
             for s in range(0, len(batch), SLICE):
                 part = batch.slice(s, SLICE)
-                there = np.zeros((len(part), len(places)), np.float32)
+                here = np.zeros((len(queries), len(part)), np.int32)
                 for row, text in enumerate(part.column("low").to_pylist()):
-                    hits = {i for _, i in find.iter(text)}
-                    there[row, list(hits)] = 1
-                counts = np.hstack([counts, (there @ held).T])
+                    hits = {id(qs): qs for _, qs in find.iter(text)}  # each token once, with its own array
+                    if hits:
+                        here[:, row] = np.bincount(np.concatenate(list(hits.values())), minlength=len(queries))
+                counts = np.hstack([counts, here])
                 ids = np.hstack([ids, np.broadcast_to(part.column("chunk_id").to_numpy(), (len(queries), len(part)))])
                 best = np.lexsort((ids, -counts), axis=1)[:, :k]
                 counts, ids = np.take_along_axis(counts, best, 1), np.take_along_axis(ids, best, 1)
@@ -147,6 +148,31 @@ def best_of(rows: DataFrame, score: str, top_k: int, least: float = 0.0) -> Data
     return rows.where(F.col(score) >= least).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 
 
+#: Passages in an answer made of what was found, and characters of each.
+ANSWER_PASSAGES, PASSAGE_CHARS = 3, 500
+ANSWER_HEAD = "Relevant passages from your local documents:\n\n"  # fixed value
+
+
+def word_hits(text: Column, *tokens: Column, least: int = 3) -> list[Column]:
+    """For each array of tokens how many of `least` characters or more stand in the text; the text is lower-cased once for all."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    held = lambda ts, x: F.coalesce(F.size(F.filter(ts, lambda t: (F.length(t) >= least) & x.contains(t))), F.lit(0))
+    both = F.transform(F.array(low), lambda x: F.array(*(held(ts, x) for ts in tokens)))
+    return [F.greatest(F.element_at(both, 1)[i], F.lit(0)) for i in range(len(tokens))]
+
+
+def extractive_answer(passages: Column) -> Column:
+    """The first passages (array of texts, best first), numbered so that they cite themselves; no passages give no answer."""
+    first = F.slice(passages, 1, ANSWER_PASSAGES)
+    lines = F.transform(first, lambda t, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), F.substring(F.coalesce(t, F.lit("")), 1, PASSAGE_CHARS)))
+    return F.when(F.size(first) > 0, F.concat(F.lit(ANSWER_HEAD), F.array_join(lines, "\n\n")))
+
+
+def token_overlap(tokens: Column, others: Column) -> Column:
+    """Share of distinct tokens that are among others; 0 without tokens."""
+    return F.when(F.size(tokens) > 0, F.size(F.array_intersect(tokens, others)) / F.size(F.array_distinct(tokens))).otherwise(0.0)
+
+
 def calibrated_confidence(mean_top3: Column, overlap: Column) -> Column:
     return F.round(sigmoid(9 * (0.75 * mean_top3 + 0.25 * overlap - 0.45)), 4)
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.math import clamp01, student_p_value
+from ..sources.sinks import settle
 
 BASELINE_TIMES = 7
 MIN_SEGMENT = 10
@@ -89,31 +90,74 @@ def long_dimensions(panel: DataFrame, dims: list[str]) -> DataFrame:
     return panel.select("t", "v", F.explode(cells).alias("x")).select("t", "x.dimension", "x.segment", "v")
 
 
-def _around(panel: DataFrame, anomalies: DataFrame, n: int) -> DataFrame:
-    """Panel rows of each anomaly's time and baseline: (anomaly_id, now, ...)."""
+def times_around(panel: DataFrame, anomalies: DataFrame, n: int = BASELINE_TIMES) -> DataFrame:
+    """(anomaly_id, t, now): each anomaly's own time and its baseline, n + 1 rows at most."""
     base = baseline_times(panel, anomalies, n).withColumn("now", F.lit(False))
-    times = base.unionByName(anomalies.select("anomaly_id", "t", F.lit(True).alias("now")))
-    return panel.join(times, "t")  # n + 1 rows an anomaly
-
-
-def segments(panel: DataFrame, anomalies: DataFrame, dims: list[str], least: int = MIN_SEGMENT, n: int = BASELINE_TIMES) -> DataFrame:
-    """Each segment's actual sum, baseline mean, deviation, median and their ratio; at least `least` baseline rows."""
-    rows = long_dimensions_of(_around(panel, anomalies, n), dims)
-    base = F.when(~F.col("now"), F.col("v"))
-    out = rows.groupBy("anomaly_id", "dimension", "segment").agg(
-        F.coalesce(F.sum(F.when(F.col("now"), F.col("v"))), F.lit(0.0)).alias("actual"),
-        F.avg(base).alias("mean"), F.stddev_samp(base).alias("sd"), F.percentile(base, F.lit(0.5)).alias("median"),
-        F.count(base).alias("size"), F.count_if("now").alias("now_rows"),
+    return base.unionByName(anomalies.select("anomaly_id", "t", F.lit(True).alias("now")))
+
+
+#: Bins of values: so many for each doubling, and how finely values far below the mean size are told apart.
+BINS_PER_OCTAVE, FINEST = 64, 1024
+#: Bins in which medians are looked up, up to which they are broadcast.
+BROADCAST_BINS = 100_000
+
+
+def segments(
+    panel: DataFrame, anomalies: DataFrame, dims: list[str], least: int = MIN_SEGMENT, n: int = BASELINE_TIMES, median: bool = True
+) -> DataFrame:
+    """Each segment's actual sum, baseline mean, deviation, median and their ratio; at least `least` baseline rows.
+
+    Rows are summed up once by time, segment and bin of values; anomalies put
+    together the cells of their times, so the panel is not copied for each of
+    them. Medians are exact: the cells' counts tell the bins that hold the
+    middle ranks, and only the values in those bins are looked at again.
+    """
+    center, size = panel.agg(F.avg("v"), F.avg(F.abs("v"))).first()
+    size = size or 1.0
+    scale = F.floor(BINS_PER_OCTAVE * F.log2(1 + FINEST * F.abs("v") / size))
+    rows = long_dimensions(panel, dims).where("v is not null").withColumn("bin", (F.signum("v") * scale).cast("int"))
+    off = F.col("v") - F.lit(center)
+    cells = rows.groupBy("t", "dimension", "segment", "bin").agg(
+        F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2")
+    )
+    cells = settle(cells, "segment-cells")
+    keys = ["anomaly_id", "dimension", "segment"]
+    times = settle(times_around(panel, anomalies, n), "segment-times")
+    around = cells.join(times, "t")
+    base = lambda c: F.sum(F.when(~F.col("now"), F.col(c)))
+    out = around.groupBy(*keys).agg(
+        F.coalesce(F.sum(F.when(F.col("now"), F.col("total"))), F.lit(0.0)).alias("actual"), base("total").alias("_total"), base("s1").alias("_s1"),
+        base("s2").alias("_s2"), base("n").alias("size"), F.coalesce(F.sum(F.when(F.col("now"), F.col("n"))), F.lit(0)).alias("now_rows"),
     ).where(F.col("size") >= least)
+    spread = F.greatest(F.lit(0.0), F.col("_s2") - F.col("_s1") * F.col("_s1") / F.col("size"))
+    out = out.withColumn("mean", F.col("_total") / F.col("size")).withColumn("sd", F.when(F.col("size") > 1, F.sqrt(spread / (F.col("size") - 1))))
+    if median:
+        ranks = out.select(*keys, F.floor((F.col("size") - 1) / 2).alias("lo"), F.ceil((F.col("size") - 1) / 2).alias("hi"))
+        out = out.join(_medians(rows, around.where(~F.col("now")), ranks, times.where(~F.col("now"))), keys, "left")
     out = out.withColumn("expected", F.col("mean") * F.col("now_rows"))
-    return out.withColumn("deviation", F.col("actual") - F.col("expected")).withColumn(
+    out = out.withColumn("deviation", F.col("actual") - F.col("expected")).withColumn(
         "ratio", F.when(F.col("expected") != 0, F.col("actual") / F.col("expected"))
     )
+    return out.select(*keys, "actual", "mean", "sd", *(["median"] if median else []), "size", "now_rows", "expected", "deviation", "ratio")
 
 
-def long_dimensions_of(rows: DataFrame, dims: list[str]) -> DataFrame:
-    cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dims))
-    return rows.select("anomaly_id", "now", "v", F.explode(cells).alias("x")).select("anomaly_id", "now", "x.dimension", "x.segment", "v")
+def _medians(rows: DataFrame, cells: DataFrame, ranks: DataFrame, times: DataFrame) -> DataFrame:
+    """(anomaly_id, dimension, segment, median) from rows (t, dimension, segment, bin, v) and their counts by anomaly and bin."""
+    keys = ["anomaly_id", "dimension", "segment"]
+    in_order = Window.partitionBy(*keys)
+    upto = lambda c: in_order.orderBy(c).rowsBetween(Window.unboundedPreceding, 0)
+    bins = cells.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).withColumn("end", F.sum("n").over(upto("bin")))
+    bins = bins.join(ranks, keys).where((F.col("end") > F.col("lo")) & (F.col("end") - F.col("n") <= F.col("hi")))
+    bins = bins.withColumn("start", F.min(F.col("end") - F.col("n")).over(in_order)).select(*keys, "bin", "start", "lo", "hi")
+    wanted = settle(bins.join(times.select("anomaly_id", "t"), "anomaly_id"), "segment-bins")
+    places = wanted.select("t", "dimension", "segment", "bin").distinct()
+    few = places.count() <= BROADCAST_BINS
+    met = rows.join(F.broadcast(places) if few else places, ["t", "dimension", "segment", "bin"], "left_semi")
+    counted = met.groupBy("t", "dimension", "segment", "bin", "v").agg(F.count("*").alias("n"))
+    values = counted.join(wanted, ["t", "dimension", "segment", "bin"])
+    values = values.groupBy(*keys, "v", "start", "lo", "hi").agg(F.sum("n").alias("n")).withColumn("end", F.col("start") + F.sum("n").over(upto("v")))
+    at = lambda rank: F.max(F.when((F.col("end") > F.col(rank)) & (F.col("end") - F.col("n") <= F.col(rank)), F.col("v")))
+    return values.groupBy(*keys).agg(((at("lo") + at("hi")) / 2).alias("median"))
 
 
 def contributions(seg: DataFrame) -> DataFrame:
@@ -158,36 +202,115 @@ def all_interactions(rows: DataFrame, dims: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, (interactions(rows, a, b) for a, b in combinations(dims, 2)))
 
 
-def shapley(rows: DataFrame, dims: list[str]) -> DataFrame:
-    """Exact Shapley values of dimensions: (dimension, value), of rows (now, v, dimensions...).
+def impact_cells(panel: DataFrame, anomalies: DataFrame, dims: list[str], n: int = BASELINE_TIMES) -> DataFrame:
+    """(anomaly_id, now, dims, total, n): each anomaly's sums by combination of segments, from one aggregation of the panel by time."""
+    cells = settle(panel.where("v is not null").groupBy("t", *dims).agg(F.sum("v").alias("total"), F.count("*").alias("n")), "impact-cells")
+    around = cells.join(times_around(panel, anomalies, n), "t")
+    return around.groupBy("anomaly_id", "now", *dims).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def impacts(cells: DataFrame) -> DataFrame:
+    """(anomaly_id, impact): the sum at the anomaly's time less what as many baseline rows come to."""
+    part = lambda c, now: F.coalesce(F.sum(F.when(F.col("now") == now, F.col(c))), F.lit(0.0))
+    expected = part("n", True) * F.try_divide(part("total", False), part("n", False))
+    return cells.groupBy("anomaly_id").agg((part("total", True) - F.coalesce(expected, F.lit(0.0))).alias("impact"))
+
+
+#: Dimensions up to which Shapley values are exact; beyond, so many seeded orders of the dimensions are averaged.
+EXACT_DIMS, ORDERS = 5, 64
+
+
+def shapley_steps(dims: list[str], exact: int = EXACT_DIMS, orders: int = ORDERS, seed: int = 7) -> list[tuple[frozenset, str, float]]:
+    """(coalition, dimension that joins it, weight): all of them, or those met in sampled orders; weights of a dimension add up to 1.
+
+    Each sampled order is used backwards, too, which cancels part of the error.
+    """
+    n = len(dims)
+    if n <= exact:
+        return [
+            (frozenset(c), d, factorial(k) * factorial(n - k - 1) / factorial(n))
+            for d in dims for k in range(n) for c in combinations([x for x in dims if x != d], k)
+        ]
+    rng, steps = np.random.default_rng(seed), {}
+    drawn = [list(rng.permutation(n)) for _ in range((orders + 1) // 2)]
+    drawn += [o[::-1] for o in drawn]
+    for order in drawn:
+        for k, i in enumerate(order):
+            step = (frozenset(dims[j] for j in order[:k]), dims[i])
+            steps[step] = steps.get(step, 0.0) + 1 / len(drawn)
+    return [(c, d, w) for (c, d), w in steps.items()]
+
+
+def shapley_of_cells(cells: DataFrame, dims: list[str], exact: int = EXACT_DIMS, orders: int = ORDERS, seed: int = 7) -> DataFrame:
+    """(anomaly_id, dimension, value, percent): Shapley values of the dimensions for every anomaly, and as shares of its impact.
 
     A coalition's value is the sum over the anomaly's rows of the baseline mean
     of their segment in the coalition's dimensions, against the overall mean
-    where it has no baseline. All 2^d coalitions are grouping sets of one
-    aggregation, which holds each segment's baseline mean and rows of the anomaly.
+    where it has no baseline. All coalitions needed are grouping sets of one
+    aggregation over all anomalies' cells (impact_cells). The values are scaled
+    to the anomaly's impact, of which percent is the share; without an impact
+    it is 0, and where the values cancel out they stay as they are.
     """
     n = len(dims)
-    subsets = [c for k in range(n + 1) for c in combinations(dims, k)]
+    steps = shapley_steps(dims, exact, orders, seed)
+    subsets = sorted({c for c, _, _ in steps} | {c | {d} for c, d, _ in steps} | {frozenset()}, key=lambda c: (len(c), sorted(c)))
     # grouping_id has a bit for each dimension that a set leaves out, the last dimension's the lowest
-    names = F.create_map(*(F.lit(x) for c in subsets for x in (sum(2 ** (n - 1 - i) for i, d in enumerate(dims) if d not in c), "|".join(c))))
-    sets = rows.groupingSets([list(c) for c in subsets], *dims).agg(
-        F.avg(F.when(~F.col("now"), F.col("v"))).alias("mean"), F.count_if("now").alias("n"), F.grouping_id(*dims).cast("int").alias("gid")
-    )
-    coalition = sets.groupBy(F.try_element_at(names, F.col("gid")).alias("c"))
+    number = {c: sum(2 ** (n - 1 - i) for i, d in enumerate(dims) if d not in c) for c in subsets}
+    kept = [F.col("anomaly_id"), *(F.col(d) for d in dims)]
+    base, now = ~F.col("now"), F.col("now")
+    sets = cells.groupingSets([["anomaly_id", *(d for d in dims if d in c)] for c in subsets], *kept).agg(
+        F.try_divide(F.sum(F.when(base, F.col("total"))), F.sum(F.when(base, F.col("n")))).alias("mean"),
+        F.coalesce(F.sum(F.when(now, F.col("n"))), F.lit(0)).alias("n"), F.grouping_id(*kept).cast("int").alias("gid"),
+    )
     # rows without a baseline take the overall mean, which is the empty coalition's
-    worth = coalition.agg(F.sum(F.col("n") * F.col("mean")).alias("known"), F.sum(F.when(F.col("mean").isNull(), F.col("n"))).alias("unknown"))
-    overall = sets.where(F.col("gid") == 2**n - 1).select(F.col("mean").alias("_all"))
-    worth = worth.crossJoin(F.broadcast(overall)).select("c", (F.coalesce("known", F.lit(0.0)) + F.coalesce("unknown", F.lit(0)) * F.col("_all")).alias("w"))  # one row
-    steps = [
-        ("|".join(c), "|".join(x for x in dims if x in {*c, d}), d, factorial(len(c)) * factorial(n - len(c) - 1) / factorial(n))
-        for d in dims
-        for c in subsets
-        if d not in c
-    ]
-    weights = rows.sparkSession.createDataFrame(steps, "c string, c_with string, dimension string, weight double")
-    with_d = worth.select(F.col("c").alias("c_with"), F.col("w").alias("w_with"))
-    gains = weights.join(worth, "c").join(with_d, "c_with")
-    return gains.groupBy("dimension").agg(F.sum(F.col("weight") * (F.col("w_with") - F.col("w"))).alias("value"))
+    worth = sets.groupBy("anomaly_id", "gid").agg(
+        F.coalesce(F.sum(F.col("n") * F.col("mean")), F.lit(0.0)).alias("known"), F.coalesce(F.sum(F.when(F.col("mean").isNull(), F.col("n"))), F.lit(0)).alias("unknown"),
+        F.max(F.when(F.col("gid") == 2**n - 1, F.col("mean"))).alias("_all"),
+    )
+    overall = F.max("_all").over(Window.partitionBy("anomaly_id"))
+    worth = settle(worth.select("anomaly_id", "gid", (F.col("known") + F.col("unknown") * F.coalesce(overall, F.lit(0.0))).alias("w")), "shapley-worth")
+    rows = [(number[c], number[c | {d}], d, w) for c, d, w in steps]
+    weights = F.broadcast(cells.sparkSession.createDataFrame(rows, "gid int, gid_with int, dimension string, weight double"))  # a row for each step
+    with_d = worth.select("anomaly_id", F.col("gid").alias("gid_with"), F.col("w").alias("w_with"))
+    gains = worth.join(weights, "gid").join(with_d, ["anomaly_id", "gid_with"])
+    values = gains.groupBy("anomaly_id", "dimension").agg(F.sum(F.col("weight") * (F.col("w_with") - F.col("w"))).alias("value"))
+    whole = F.sum("value").over(Window.partitionBy("anomaly_id"))
+    scaled = F.when(F.abs(whole) > 1e-9, F.col("value") * F.col("impact") / whole).otherwise(F.col("value"))
+    percent = F.when(F.col("impact") != 0, 100 * scaled / F.col("impact")).otherwise(0.0)
+    return values.join(impacts(cells), "anomaly_id").select("anomaly_id", "dimension", "value", percent.alias("percent"))
+
+
+def shapley(rows: DataFrame, dims: list[str], **options) -> DataFrame:
+    """shapley_of_cells for rows (now, v, dimensions...) of one anomaly, or with an anomaly_id of several: (dimension, value, percent)."""
+    one = "anomaly_id" not in rows.columns
+    rows = rows.withColumn("anomaly_id", F.lit(1)) if one else rows
+    cells = rows.where("v is not null").groupBy("anomaly_id", "now", *dims).agg(F.sum("v").alias("total"), F.count("*").alias("n"))
+    out = shapley_of_cells(cells, dims, **options)
+    return out.drop("anomaly_id") if one else out
+
+
+def anomaly_interactions(cells: DataFrame, dims: list[str], least: float = 1.0) -> DataFrame:
+    """(anomaly_id, pair, x, y, value, baseline, effect, percent, kind) of impact_cells: pairs of segments at an anomaly's time.
+
+    value is the pair's sum, baseline the mean of both segments' baseline means;
+    pairs without both and effects up to `least` percent of the anomaly's impact are left out.
+    """
+    total = impacts(cells)
+    now = cells.where("now")
+    out = []
+    for a, b in combinations(dims, 2):
+        means = [
+            cells.where(~F.col("now")).groupBy("anomaly_id", F.col(d).alias(k)).agg((F.sum("total") / F.sum("n")).alias(f"_{k}"))
+            for d, k in ((a, "x"), (b, "y"))
+        ]
+        pair = now.groupBy("anomaly_id", F.col(a).alias("x"), F.col(b).alias("y")).agg(F.sum("total").alias("value"))
+        pair = pair.join(means[0], ["anomaly_id", "x"]).join(means[1], ["anomaly_id", "y"])
+        out.append(pair.select("anomaly_id", F.lit(f"{a} x {b}").alias("pair"), F.col("x").cast("string").alias("x"), F.col("y").cast("string").alias("y"), "value", ((F.col("_x") + F.col("_y")) / 2).alias("baseline")))
+    rows = reduce(DataFrame.unionByName, out).withColumn("effect", F.col("value") - F.col("baseline")).join(total, "anomaly_id")
+    rows = rows.where(F.abs("effect") > F.abs("impact") * least / 100)
+    percent = F.when(F.col("impact") != 0, 100 * F.col("effect") / F.col("impact")).otherwise(0.0)
+    kind = F.when(F.col("effect") > 0, "synergistic").otherwise("diminishing")
+    return rows.select("anomaly_id", "pair", "x", "y", "value", "baseline", "effect", percent.alias("percent"), kind.alias("kind"))
 
 
 def bootstrap_ratios(rows: DataFrame, rounds: int = 1000, level: float = 0.95) -> DataFrame:
@@ -199,37 +322,61 @@ def bootstrap_ratios(rows: DataFrame, rounds: int = 1000, level: float = 0.95) -
     round. Tasks add up all rounds of a segment as arrays before the shuffle.
     """
     keys = ["anomaly_id", "dimension", "segment"]
+    part = F.when(F.col("now"), "now").otherwise("base")
+    sums = _resampled(rows.withColumn("_part", part), [*keys, "_part"], rounds)
+    both = [F.sum(F.when(F.col("_part") == p, F.col(c))).alias(f"{p}_{c}") for p in ("now", "base") for c in ("total", "n")]
+    return _intervals(sums.groupBy(*keys, "round").agg(*both), level)
+
+
+def bootstrap_all(panel: DataFrame, anomalies: DataFrame, dims: list[str], rounds: int = 1000, level: float = 0.95, n: int = BASELINE_TIMES) -> DataFrame:
+    """bootstrap_ratios for all anomalies of a panel (row_id, t, dims, v).
+
+    Rows are resampled once for each time and segment, whatever the number of
+    anomalies; an anomaly adds up the rounds of its times.
+    """
+    cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dims))
+    rows = panel.select("row_id", "t", "v", F.inline(cells))
+    sums = settle(_resampled(rows, ["t", "dimension", "segment"], rounds), "bootstrap-cells")
+    around = sums.join(times_around(panel, anomalies, n), "t")
+    both = [F.sum(F.when(F.col("now") == now, F.col(c))).alias(f"{p}_{c}") for p, now in (("now", True), ("base", False)) for c in ("total", "n")]
+    return _intervals(around.groupBy("anomaly_id", "dimension", "segment", "round").agg(*both), level)
+
+
+def _resampled(rows: DataFrame, keys: list[str], rounds: int) -> DataFrame:
+    """(keys, round, total, n): weighted sums of v and weights in each round; round 0 is the rows as they are."""
     limits = np.cumsum([exp(-1) / factorial(k) for k in range(9)])
-    parts = ["now_sum", "now_n", "base_sum", "base_n"]
 
     def add_up(batches):
         steps = np.arange(rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # the first step is no resampling
         sums: dict[tuple, np.ndarray] = {}
         for batch in batches:
             h = batch.column("_h").to_numpy().astype(np.uint64)
-            now, v = batch.column("now").to_pylist(), batch.column("v").to_numpy()
+            v = batch.column("v").to_numpy()
             for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
                 x = h[i] + steps
                 x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 w = np.searchsorted(limits, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right").astype(float)
                 w[0] = 1.0
-                held = sums.setdefault(key, np.zeros((4, rounds + 1)))
-                at = 0 if now[i] else 2
-                held[at] += w * v[i]
-                held[at + 1] += w
-        out = [(*key, r, *(float(x) for x in held[:, r])) for key, held in sums.items() for r in range(rounds + 1)]
-        cols = list(zip(*out, strict=True)) or [[]] * 8
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], [*keys, "round", *parts])
-
-    types = [to_arrow_type(rows.schema[k].dataType) for k in keys] + [pa.int32()] + [pa.float64()] * 4
-    ddl = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys) + ", round int, " + ", ".join(f"{c} double" for c in parts)
-    known = rows.where("v is not null").select(F.xxhash64("row_id").alias("_h"), *keys, "now", F.col("v").cast("double").alias("v"))
-    sums = known.mapInArrow(add_up, ddl).groupBy(*keys, "round").agg(*(F.sum(c).alias(c) for c in parts))
-    impact = F.col("now_sum") - F.col("now_n") * F.try_divide(F.col("base_sum"), F.col("base_n"))
-    rounds_of = sums.withColumn("impact", impact)
-    own = rounds_of.where("round = 0").select(*keys, F.col("impact").alias("own"))
-    ratios = rounds_of.where("round > 0 and impact is not null").join(own, keys).where("own <> 0")
+                held = sums.setdefault(key, np.zeros((2, rounds + 1)))
+                held[0] += w * v[i]
+                held[1] += w
+        for key, held in sums.items():
+            columns = [pa.array([k] * (rounds + 1), t) for k, t in zip(key, types, strict=True)]
+            columns += [pa.array(np.arange(rounds + 1, dtype=np.int32)), pa.array(held[0]), pa.array(held[1])]
+            yield pa.RecordBatch.from_arrays(columns, [*keys, "round", "total", "n"])
+
+    known = rows.where("v is not null").select(F.xxhash64("row_id").alias("_h"), *keys, F.col("v").cast("double").alias("v"))
+    types = [to_arrow_type(known.schema[k].dataType) for k in keys]
+    ddl = ", ".join(f"{k} {known.schema[k].dataType.simpleString()}" for k in keys) + ", round int, total double, n double"
+    return known.mapInArrow(add_up, ddl).groupBy(*keys, "round").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+def _intervals(sums: DataFrame, level: float) -> DataFrame:
+    keys = ["anomaly_id", "dimension", "segment"]
+    impact = F.col("now_total") - F.col("now_n") * F.try_divide(F.col("base_total"), F.col("base_n"))
+    own = F.max(F.when(F.col("round") == 0, impact)).over(Window.partitionBy(*keys))
+    ratios = sums.withColumn("impact", impact).withColumn("own", own).where("round > 0 and impact is not null and own <> 0")
     q = F.percentile(F.col("impact") / F.col("own"), F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2)))
     return ratios.groupBy(*keys).agg(q.alias("q")).select(*keys, F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 

@@ -96,6 +96,11 @@ def seasonal(s: DataFrame, period: int = 7, threshold: float = 3.5) -> DataFrame
     return _flag(rows, F.when(sd > 0, (F.col("residual") - F.avg("residual").over(by_key())) / sd), threshold)
 
 
+def aligned(s: DataFrame, groups: DataFrame) -> DataFrame:
+    """s with the group (key, idx, grp) of each point; points without a group or value are left out."""
+    return s.join(groups.where(F.col("grp").isNotNull()), ["key", "idx"]).where(F.col("v").isNotNull())
+
+
 def contextual(s: DataFrame, group: Column, threshold: float = 2.0) -> DataFrame:
     """Z-score within each (key, group); groups with fewer than MIN_PERIODS points flag nothing."""
     rows = s.withColumn("grp", group)

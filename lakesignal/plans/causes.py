@@ -29,8 +29,8 @@ def anomalies(spark, sf_dir):
     return p.withColumn("n", n).where("n > 8").select((F.col("n") - 8).alias("anomaly_id"), "t", "value")
 
 
-def seg(spark, sf_dir):
-    return rc.segments(panel(spark, sf_dir), anomalies(spark, sf_dir), DIMS)
+def seg(spark, sf_dir, median=False):
+    return rc.segments(panel(spark, sf_dir), anomalies(spark, sf_dir), DIMS, median=median)
 
 
 def wide(spark, sf_dir):
@@ -54,8 +54,8 @@ def r4(df, *cols):
     return df.withColumns({c: F.round(c, 4) for c in cols})
 
 
-def first_rows(spark, sf_dir):
-    return rc._around(panel(spark, sf_dir), anomalies(spark, sf_dir).where("anomaly_id = 1"), rc.BASELINE_TIMES).select("now", *DIMS, "v")
+def impact_cells(spark, sf_dir):
+    return rc.impact_cells(panel(spark, sf_dir), anomalies(spark, sf_dir), DIMS)
 
 
 def months(spark, sf_dir):
@@ -89,13 +89,11 @@ def methods(spark, sf_dir):
 
 
 def resampled(spark, sf_dir):
-    """Rows of the first anomaly's time and baseline by dimension."""
+    """Intervals of the segments' impacts, for all anomalies."""
     li = load(spark, sf_dir, "lineitem").withColumn("row_id", F.struct("l_orderkey", "l_linenumber"))
     p = li.select("row_id", F.date_trunc("month", "l_shipdate").alias("t"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
                   F.col("l_linenumber").cast("string").alias("line"), F.col("l_extendedprice").alias("v")).where("t is not null and v is not null")
-    rows = rc._around(p, anomalies(spark, sf_dir).where("anomaly_id = 1"), rc.BASELINE_TIMES)
-    cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("segment")) for d in DIMS))
-    return rows.select("row_id", "anomaly_id", "now", "v", F.inline(cells))
+    return rc.bootstrap_all(p, anomalies(spark, sf_dir), DIMS)
 
 
 def pairs(spark, sf_dir):
@@ -143,26 +141,43 @@ SUBSETS = [()] + [c for k in (1, 2, 3) for c in rc.combinations(DIMS, k)]
 
 
 def shapley_sql() -> str:
-    one = f"{PANEL}, b AS (SELECT * FROM ar WHERE anomaly_id = 1 AND NOT now), c AS (SELECT * FROM ar WHERE anomaly_id = 1 AND now)"
-    worth = []
-    for s in SUBSETS:
-        if s:
-            cols = ", ".join(s)
-            worth.append(
-                f"SELECT '{'|'.join(s)}' AS c, sum(coalesce(mean, (SELECT avg(v) FROM b))) AS w FROM c LEFT JOIN"
-                f" (SELECT {cols}, avg(v) AS mean FROM b GROUP BY {cols}) USING ({cols})"
-            )
-        else:
-            worth.append("SELECT '' AS c, count(*) * (SELECT avg(v) FROM b) AS w FROM c")
+    """Three dimensions: a coalition of none or two others weighs 1/3, of one 1/6."""
+    worth = ["SELECT anomaly_id, '' AS c, now_rows * overall AS w FROM tot"]
+    for s in SUBSETS[1:]:
+        cols = ", ".join(s)
+        worth.append(
+            f"SELECT c.anomaly_id, '{'|'.join(s)}' AS c, sum(coalesce(mean, overall)) AS w FROM (SELECT * FROM ar WHERE now) c JOIN tot USING (anomaly_id)"
+            f" LEFT JOIN (SELECT anomaly_id, {cols}, avg(v) AS mean FROM ar WHERE NOT now GROUP BY ALL) USING (anomaly_id, {cols}) GROUP BY 1"
+        )
     weight = {0: 1 / 3, 1: 1 / 6, 2: 1 / 3}
     gains = " UNION ALL ".join(
-        f"SELECT '{d}' AS dimension, {weight[len(s)]} * ((SELECT w FROM worth WHERE c = '{'|'.join(x for x in DIMS if x in {*s, d})}')"
-        f" - (SELECT w FROM worth WHERE c = '{'|'.join(s)}')) AS g"
+        f"SELECT anomaly_id, '{d}' AS dimension, {weight[len(s)]} * (x.w - y.w) AS g FROM (SELECT * FROM worth WHERE c = '{'|'.join(x for x in DIMS if x in {*s, d})}') x"
+        f" JOIN (SELECT * FROM worth WHERE c = '{'|'.join(s)}') y USING (anomaly_id)"
         for d in DIMS
         for s in SUBSETS
         if d not in s
     )
-    return f"WITH {one}, worth AS ({' UNION ALL '.join(worth)}) SELECT dimension, round(sum(g), 2) AS value FROM ({gains}) GROUP BY 1"
+    return (
+        f"WITH {PANEL}, {IMPACT}, worth AS MATERIALIZED ({' UNION ALL '.join(worth)}), sv AS (SELECT anomaly_id, dimension, sum(g) AS value FROM ({gains}) GROUP BY ALL)"
+        " SELECT anomaly_id, dimension, round(value, 2) AS value, round(100 * value / sum(value) OVER (PARTITION BY anomaly_id), 4) AS percent FROM sv"
+    )
+
+
+IMPACT = """tot AS (SELECT anomaly_id, sum(v) FILTER (now) - count(*) FILTER (now) * avg(v) FILTER (NOT now) AS impact, count(*) FILTER (now) AS now_rows,
+  avg(v) FILTER (NOT now) AS overall FROM ar GROUP BY 1)"""
+
+
+def anomaly_interaction_sql() -> str:
+    parts = [
+        f"SELECT anomaly_id, '{a} x {b}' AS pair, {a} AS x, {b} AS y, value, (b1 + b2) / 2 AS baseline FROM (SELECT anomaly_id, {a}, {b}, sum(v) AS value FROM ar WHERE now GROUP BY ALL)"
+        f" JOIN (SELECT anomaly_id, {a}, avg(v) AS b1 FROM ar WHERE NOT now GROUP BY ALL) USING (anomaly_id, {a}) JOIN (SELECT anomaly_id, {b}, avg(v) AS b2 FROM ar WHERE NOT now GROUP BY ALL) USING (anomaly_id, {b})"
+        for a, b in rc.combinations(DIMS, 2)
+    ]
+    return (
+        f"WITH {PANEL}, {IMPACT} SELECT anomaly_id, pair, x, y, round(value + {SHIFT:.7f}, 2) AS value, round(baseline + {SHIFT:.7f}, 2) AS baseline, round(value - baseline + {SHIFT:.7f}, 2) AS effect,"
+        f" round(100 * (value - baseline) / impact, 4) AS percent, CASE WHEN value > baseline THEN 'synergistic' ELSE 'diminishing' END AS kind"
+        f" FROM ({' UNION ALL '.join(parts)}) JOIN tot USING (anomaly_id) WHERE abs(value - baseline) > abs(impact) / 100"
+    )
 
 
 def interaction_sql() -> str:
@@ -226,13 +241,14 @@ QUERIES = {
     "j04_asof_backward": lambda sp, d: rc.asof(*pairs(sp, d), "grp", "ts", ["purchase_id"]).select("event_id", "purchase_id"),
     "w15_baseline_times": lambda sp, d: rc.baseline_times(panel(sp, d), anomalies(sp, d)).groupBy("anomaly_id").agg(F.count("*").alias("n"), F.date_format(F.min("t"), "yyyy-MM").alias("first")),
     "j02_baseline_semi_join": lambda sp, d: panel(sp, d).join(rc.baseline_times(panel(sp, d), anomalies(sp, d)).select("t").distinct(), "t", "left_semi").groupBy("flag").agg(F.count("*").alias("n")),
-    "a24_segments": lambda sp, d: seg(sp, d).withColumns({c: F.round(F.col(c) + SHIFT, 4) for c in ("actual", "mean", "sd", "median", "expected", "deviation", "ratio")}),
+    "a24_segments": lambda sp, d: seg(sp, d, True).withColumns({c: F.round(F.col(c) + SHIFT, 4) for c in ("actual", "mean", "sd", "median", "expected", "deviation", "ratio")}),
     "a25_contributions": lambda sp, d: rc.contributions(seg(sp, d)).select(*ks, F.round("contribution", 4).alias("contribution")),
     "t03_top_segments": lambda sp, d: rc.top_segments(seg(sp, d)).select(*ks, "rank"),
     "a26_segment_t": lambda sp, d: rc.segment_significance(seg(sp, d)).select(*ks, F.round("t_stat", 4).alias("t_stat")),
     "a33_attribution": lambda sp, d: rc.attribution(seg(sp, d)).select(*ks, F.round("pct", 4).alias("pct"), F.round("share", 4).alias("share")),
     "a36_interactions": lambda sp, d: r4(rc.all_interactions(panel(sp, d), DIMS), "value", "effect"),
-    "a38_shapley": lambda sp, d: rc.shapley(first_rows(sp, d), DIMS).withColumn("value", F.round("value", 2)),
+    "a36_anomaly_interactions": lambda sp, d: rc.anomaly_interactions(impact_cells(sp, d), DIMS).withColumns({c: F.round(F.col(c) + SHIFT, 2) for c in ("value", "baseline", "effect")}).withColumn("percent", F.round("percent", 4)),
+    "a38_shapley": lambda sp, d: rc.shapley_of_cells(impact_cells(sp, d), DIMS).withColumns({"value": F.round("value", 2), "percent": F.round("percent", 4)}),
     "j06_correlation_matrix": wide_q(lambda w: rc.correlations(w, METRICS).withColumn("r", F.round("r", 6))),
     "a28_spearman": wide_q(lambda w: rc.correlations(w, METRICS, "spearman").withColumn("r", F.round("r", 6))),
     "a27_pearson_p": wide_q(lambda w: rc.correlation_significance(rc.correlations(w, METRICS)).select("a", "b", F.round("t_stat", 3).alias("t_stat"), F.round("p", 6).alias("p"))),
@@ -248,7 +264,7 @@ QUERIES = {
     "d03_days_since_change": lambda sp, d: change_points(sp, d, 1.1).select("anomaly_id", F.date_format("changed_at", "yyyy-MM-dd").alias("changed_at"), "days"),
     "w14_change_window": lambda sp, d: rc.change_window(months(sp, d).select("t", F.col("revenue").alias("v")), anomalies(sp, d)).groupBy("key").agg(F.count("*").alias("n"), F.date_format(F.min("t"), "yyyy-MM").alias("first"), F.date_format(F.max("t"), "yyyy-MM").alias("last")),
     "k05_insight_json": lambda sp, d: rc.insights(*methods(sp, d)).select("anomaly_id", F.to_json(F.struct("metric", "top_dimension", "top_segment")).alias("json")),
-    "a37_bootstrap": lambda sp, d: rc.bootstrap_ratios(resampled(sp, d)),
+    "a37_bootstrap": resampled,
     "a26_segment_p": lambda sp, d: rc.segment_significance(seg(sp, d)).select(*ks, F.round("p", 6).alias("p")),
 }
 SQL = {
@@ -269,6 +285,7 @@ SQL = {
         round(CASE WHEN sd > 0 AND now_rows > 0 THEN (actual / now_rows - mean) / (sd / sqrt(size)) END, 4) AS t_stat FROM seg""",
     "a33_attribution": f"WITH {ATT} SELECT anomaly_id, dimension, segment, round(pct, 4) AS pct, round(share, 4) AS share FROM att",
     "a36_interactions": interaction_sql(),
+    "a36_anomaly_interactions": anomaly_interaction_sql(),
     "a38_shapley": shapley_sql(),
     "j06_correlation_matrix": f"WITH {WIDE} {corr_sql()}",
     "a28_spearman": f"WITH {WIDE}, {RANKS} {corr_sql('rk')}",

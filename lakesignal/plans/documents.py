@@ -88,11 +88,10 @@ def reranked(spark, sf_dir):
     past = said.select((F.col("query_id") + 20).alias("query_id"), F.col("query").alias("before"))  # the query before is the history
     rows = fused.join(vector_queries(spark, sf_dir), "query_id").join(vectors(spark, sf_dir).drop("label"), "chunk_id")
     rows = rows.join(texts(spark, sf_dir), "chunk_id", "left").join(said, "query_id", "left").join(past, "query_id", "left")
-    low = F.lower(F.coalesce("text", F.lit("")))
-    count = lambda q: F.coalesce(F.size(F.filter(tx.search_tokens(F.col(q)), lambda t: (F.length(t) >= 3) & low.contains(t))), F.lit(0))
+    hits, history = rt.word_hits(F.col("text"), tx.search_tokens(F.col("query")), tx.search_tokens(F.col("before")))
     rows = rows.select(
         "query_id", "chunk_id", F.concat(F.lit("d"), (F.col("chunk_id") % 7).cast("string")).alias("doc"),
-        F.round(cosine(F.col("q"), F.col("e")), 6).alias("cos"), F.greatest(count("query"), F.lit(0)).alias("hits"), F.greatest(count("before"), F.lit(0)).alias("history"),
+        F.round(cosine(F.col("q"), F.col("e")), 6).alias("cos"), hits.alias("hits"), history.alias("history"),
         F.coalesce(F.lower("text").contains("figure"), F.lit(False)).alias("figure"), (F.col("chunk_id") % 97 == F.col("query_id") % 97).alias("on_page"),
     )
     rows = rt.feedback_weight(rows, rt.net_weights(ratings(spark, sf_dir)).withColumn("weight", F.col("weight") / 100))
@@ -101,17 +100,19 @@ def reranked(spark, sf_dir):
 
 
 def answered(spark, sf_dir):
-    """Retrieval, reranking and grounding end to end: each query's best chunks, its confidence and its answer's status."""
-    best = rt.best_of(reranked(spark, sf_dir), "final", TOP, 0.2).select("query_id", "rank", "chunk_id", "final")
-    top = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "final")))
+    """Retrieval, reranking, answering and grounding end to end: each query's best chunks, the answer made of them, how far it holds the query's words, confidence and status."""
+    best = rt.best_of(reranked(spark, sf_dir), "final", TOP, 0.2).select("query_id", "rank", "chunk_id", "final").join(texts(spark, sf_dir), "chunk_id", "left")
+    top = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", F.substring("text", 1, rt.PASSAGE_CHARS).alias("text"))))
     by = best.groupBy("query_id").agg(top.alias("top"), F.avg(F.when(F.col("rank") <= 3, F.col("final"))).alias("mean"))
-    said = answers(spark, sf_dir).where("turn = 1").select((F.col("conv_id") * 20).alias("query_id"), "answer")
-    rows = by.join(said, "query_id", "left")
+    rows = by.join(said_queries(spark, sf_dir), "query_id", "left").withColumn("answer", rt.extractive_answer(F.transform("top", lambda x: x["text"])))
+    overlap = F.coalesce(rt.token_overlap(tx.search_tokens(F.col("query")), tx.search_tokens(F.col("answer"))), F.lit(0.0))
+    rows = rows.withColumn("overlap", F.round(overlap, 6))
     refusal = F.coalesce(tx.is_refusal(F.col("answer")), F.lit(False))
-    conf = rt.grounded_confidence(rt.calibrated_confidence(F.col("mean"), F.lit(0.5)), refusal)
+    conf = rt.grounded_confidence(rt.calibrated_confidence(F.col("mean"), F.col("overlap")), refusal)
     cited = tx.citations(F.col("answer"), F.size("top"))
     chunks = F.array_join(F.transform("top", lambda x: x["chunk_id"].cast("string")), ",")
-    return rows.select("query_id", chunks.alias("chunks"), conf.alias("confidence"), rt.grounding_status(F.col("answer"), refusal, conf, cited).alias("status"))
+    status = rt.grounding_status(F.col("answer"), refusal, conf, cited)
+    return rows.select("query_id", chunks.alias("chunks"), F.sha2("answer", 256).alias("answer"), "overlap", conf.alias("confidence"), status.alias("status"))
 
 
 def grounded(spark, sf_dir):
@@ -419,13 +420,16 @@ SQL = {
     "t07_candidates": f"SELECT query_id, rank, chunk_id FROM ({search_sql(15)})",
     "f14_min_score": f"""WITH {RERANKED} SELECT query_id, chunk_id, final, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS INTEGER) AS rank
         FROM final WHERE final >= 0.4 QUALIFY rank <= 5""",
-    "o28_answers": f"""WITH {RERANKED}, {ANSWERS}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM final WHERE final >= 0.2 QUALIFY rank <= 5),
-        y AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunks, avg(final) FILTER (rank <= 3) AS mean, count(*) AS n FROM top GROUP BY 1),
-        z AS (SELECT y.*, answer, coalesce({REFUSAL}, false) AS refusal, CASE WHEN {REFUSAL} THEN [] ELSE {DISTINCT.format(FOUND.format("n"))} END AS c,
-          round(1 / (1 + exp(-9 * (0.75 * mean + 0.25 * 0.5 - 0.45))), 4) AS raw FROM y LEFT JOIN answers ON turn = 1 AND conv_id * 20 = query_id),
-        k AS (SELECT *, CASE WHEN refusal THEN least(raw, 0.25) ELSE raw END AS confidence FROM z)
-        SELECT query_id, chunks, confidence, CASE WHEN coalesce(answer, '') = '' THEN 'empty_response' WHEN refusal THEN 'refusal_not_in_context' WHEN confidence < 0.4 THEN 'low_confidence'
-          WHEN len(c) > 0 THEN 'verified_with_citations' ELSE 'grounded' END AS status FROM k""",
+    "o28_answers": f"""WITH {RERANKED}, top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY final DESC, chunk_id) AS rank FROM final WHERE final >= 0.2 QUALIFY rank <= 5),
+        y AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS chunks, avg(final) FILTER (rank <= 3) AS mean, count(*) AS n, 'Relevant passages from your local documents:' || chr(10) || chr(10)
+          || string_agg('[' || rank || '] ' || substr(coalesce(text, ''), 1, 500), chr(10) || chr(10) ORDER BY rank) FILTER (rank <= 3) AS answer FROM top LEFT JOIN documents ON doc_id = chunk_id GROUP BY 1),
+        w AS (SELECT y.*, {TOKENS.format("b.text")} AS tokens, {TOKENS.format("answer")} AS words FROM y LEFT JOIN benchmark b ON item_id * 20 = query_id),
+        z AS (SELECT *, {REFUSAL} AS refusal, CASE WHEN {REFUSAL} THEN [] ELSE {DISTINCT.format(FOUND.format("n"))} END AS c,
+          CASE WHEN len(tokens) > 0 THEN round(len(list_filter(tokens, lambda t: list_contains(words, t))) / len(tokens), 6) ELSE 0.0 END AS overlap FROM w),
+        k AS (SELECT *, round(1 / (1 + exp(-9 * (0.75 * mean + 0.25 * overlap - 0.45))), 4) AS raw FROM z),
+        sure AS (SELECT *, CASE WHEN refusal THEN least(raw, 0.25) ELSE raw END AS confidence FROM k)
+        SELECT query_id, chunks, sha256(answer) AS answer, overlap, confidence, CASE WHEN refusal THEN 'refusal_not_in_context' WHEN confidence < 0.4 THEN 'low_confidence'
+          WHEN len(c) > 0 THEN 'verified_with_citations' ELSE 'grounded' END AS status FROM sure""",
     "r08_hashed_embeddings": HASHED.format("doc_id", "text", "documents"),
     "o25_cached_embeddings": HASHED.format("conv_id, turn", "trim(text)", "conversations WHERE role = 'user'"),
     "j13_feedback_weight": f"""WITH {RATINGS} SELECT doc_id % 60 AS chunk_id, 'd' || (doc_id % 9) AS doc, doc_id AS n,

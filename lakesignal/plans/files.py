@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from uuid import uuid4
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunker
@@ -11,6 +13,7 @@ from ..functions import text as tx
 from ..functions.math import clamp01, l2_normalise, norm
 from ..operators import quality, records, scoring
 from ..sources import sinks
+from ..sources.snapshots import Table
 from ..sources.tables import load, pretty_json, read_delimited, shared_folder
 from . import tables as table_plans
 from .detection import SCORED, scored
@@ -68,6 +71,28 @@ def replaced(spark, sf_dir):
     return sinks.read_index(spark, path)
 
 
+def snapshots(spark, sf_dir):
+    """An index of suppliers and customers through replace, append, a failed append, a repeated batch and a roll back, and a reader that stays on its snapshot."""
+    t = Table(spark, new_folder(spark, "snapshots"))
+    keys = lambda name, c: load(spark, sf_dir, name).select(F.lit(name).alias("name"), F.col(c).alias("k"))
+    t.replace(keys("supplier", "s_suppkey"))
+    pinned = t.read()
+    t.append(keys("customer", "c_custkey"), stream="s", batch=0)
+    t.append(keys("customer", "c_custkey"), stream="s", batch=0)
+    try:
+        t.append(keys("part", "p_partkey").withColumn("k", F.expr("if(k > 0, raise_error('broken'), k)")))
+    except Exception as e:  # the task's error, whichever way it comes
+        if "broken" not in str(e):
+            raise
+    after_failure = t.read()
+    t.replace(keys("part", "p_partkey"))
+    newest = t.read()
+    t.roll_back(1)
+    seen = (("pinned", pinned), ("after failure", after_failure), ("newest", newest), ("rolled back", t.read()), ("read as of 2", t.read(2)))
+    parts = [df.groupBy("name").agg(F.count("*").alias("n"), F.sum("k").alias("total")).select(F.lit(w).alias("reader"), "name", "n", "total") for w, df in seen]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def chunked(spark, sf_dir):
     chunker.register(spark)
     load(spark, sf_dir, "documents").createOrReplaceTempView("_texts_to_chunk")
@@ -119,6 +144,7 @@ QUERIES = {
     "k01_cleaned_csv": cleaned_csv,
     "k03_runs": runs,
     "k04_index_replace": replaced,
+    "k04_snapshots": snapshots,
     "k07_append_log": appended,
     "e08_chunk_table_function": chunked,
     "a47_run_stats": lambda sp, d: records.run_stats(load(sp, d, "events").select(F.col("event_type").alias("status"), F.col("value").alias("seconds"))),
@@ -141,6 +167,10 @@ SQL = {
     "k01_cleaned_csv": "SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1",
     "k03_runs": "SELECT n_nationkey, n_regionkey, 'r1' AS run FROM nation",
     "k04_index_replace": "SELECT s_suppkey AS k FROM supplier",
+    "k04_snapshots": """WITH t AS (SELECT 'supplier' AS name, count(*) AS n, CAST(sum(s_suppkey) AS BIGINT) AS total FROM supplier UNION ALL SELECT 'customer', count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer
+          UNION ALL SELECT 'part', count(*), CAST(sum(p_partkey) AS BIGINT) FROM part)
+        SELECT reader, name, n, total FROM t JOIN (VALUES ('pinned', 'supplier'), ('after failure', 'supplier'), ('after failure', 'customer'), ('newest', 'part'), ('rolled back', 'supplier'),
+          ('rolled back', 'customer'), ('read as of 2', 'part')) r(reader, name) USING (name)""",
     "k07_append_log": "SELECT event_type AS action, count(*) AS n FROM events GROUP BY 1",
     "a47_run_stats": "SELECT event_type AS status, count(*) AS runs, round(avg(value), 4) AS mean_seconds, max(value) AS longest FROM events GROUP BY 1",
     "o04_org_rows": "SELECT c_custkey, c_mktsegment AS org_id FROM customer WHERE c_mktsegment = 'BUILDING'",

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import explain as ex
 from ..operators import figures, records
 from ..sources import sinks
 from ..sources.tables import load, shared_folder
-from ..streaming import jobs
+from ..streaming import jobs, stateful
 
 
 def datasets(spark, sf_dir):
@@ -43,15 +44,42 @@ def versions(spark, sf_dir):
 
 
 def found(spark, sf_dir):
-    """Rows to explain: all orders."""
-    return load(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("anomaly_id"), F.lower(F.col("o_orderpriority").substr(3, 20)).alias("metric"), F.col("o_totalprice").alias("value"),
-        F.lit(200000.0).alias("expected"), F.col("o_orderdate").alias("at"), F.when(F.col("o_orderstatus") == "F", "drop").otherwise("spike").alias("kind"),
-        (F.col("o_totalprice") / 524288).alias("severity"), F.when(F.col("o_orderkey") % 2 == 0, "status").alias("dimension"),
-        F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderstatus")).alias("segment"),
+    """All orders as anomalies with causes: drivers are their lines, some have dimensions, correlations, a change point or a hypothesis."""
+    k, c, price = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_totalprice")
+    share = 100 * F.col("l_extendedprice") / F.sum("l_extendedprice").over(Window.partitionBy("l_orderkey"))
+    lines = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("segment"), share.alias("contribution"), (F.col("l_quantity") / 25).alias("baseline_ratio"))
+    first = F.array_sort(F.collect_list(F.struct("l_linenumber", "segment", "contribution", "baseline_ratio")))
+    drivers = lines.groupBy("l_orderkey").agg(F.transform(first, lambda x: F.struct(x["segment"].alias("segment"), x["contribution"].alias("contribution"), x["baseline_ratio"].alias("baseline_ratio"))).alias("d"))
+    related = F.array(*(F.struct(F.lit(n).alias("metric"), r.alias("coefficient"), (c % 50 / 1000).alias("p_value")) for n, r in (("net_revenue", (c % 200 - 100) / 100), ("order_lines", c % 7 / 8), ("discount", c % 11 / 16))))
+    change = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("detected_at"), (k % 100 / 100).alias("confidence"), (price / 2).alias("before_mean"), price.alias("after_mean"))
+    kind = F.when(k % 11 == 0, "contextual_drop").when(F.col("o_orderstatus") == "F", "drop").otherwise("spike")
+    o = load(spark, sf_dir, "orders").join(drivers, k == F.col("l_orderkey"), "left")
+    return o.select(
+        k.alias("anomaly_id"), F.concat(F.lower(F.substring("o_orderpriority", 3, 20)), F.lit("_order_value")).alias("metric"), price.alias("value"), kind.alias("kind"),
+        (F.lit(150000.0) + c % 7 * 1000).alias("expected_min"), F.lit(250000.0).alias("expected_max"), F.lit(200000.0).alias("expected"), F.col("o_orderdate").alias("at"),
+        (price / 524288).alias("severity"), (k % 1000 / 10).alias("confidence"), (c % 100 / 100).alias("cause_confidence"),
+        F.when(k % 2 == 0, F.create_map(F.lit("order_status"), "o_orderstatus", F.lit("priority"), "o_orderpriority")).alias("dimensions"),
+        F.when(k % 3 != 0, F.col("d")).alias("drivers"), F.when(k % 5 != 0, related).alias("correlations"), F.when(k % 4 == 1, change).alias("change_point"),
+        F.when(k % 7 != 0, F.concat(F.lit("Driven by "), "o_orderpriority")).alias("hypothesis"), (k % 13 != 0).alias("wants_recommendations"),
+        F.when(k % 6 == 0, F.array(F.struct(F.lit("Prices rose in spring.").alias("text"), (k % 100 / 100).alias("score")))).alias("context"),
     )
 
 
+def context_queries(spark, sf_dir):
+    asked = F.when(F.col("anomaly_id") % 3 == 0, "Why did it change?")
+    return found(spark, sf_dir).select("anomaly_id", ex.context_query(F.when(F.col("anomaly_id") % 17 != 0, F.col("metric")), F.col("kind"), F.col("dimensions"), asked).alias("query"))
+
+
+def explained(spark, sf_dir):
+    return ex.explain(found(spark, sf_dir)).select("anomaly_id", "explanation", "summary", F.array_join("recommendations", "|").alias("recommendations"), F.array_join("evidence", "|").alias("evidence"))
+
+
+def advice(spark, sf_dir):
+    """Turns of conversations, each with a list of its words ahead of it and after it."""
+    text = F.concat(F.lit("Intro - not an item here\nNext steps:\n1. check the upstream feed\n- short\n"), "text", F.lit("\n* call the owner of the data\n**Notes**\n- not an item either\n**- an item after no opening line"))
+    return load(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(ex.extract_recommendations(text), "|").alias("items"))
+
+
 def prints(spark, sf_dir):
     """Synthetic fingerprints from embeddings."""
     e = load(spark, sf_dir, "embeddings")
@@ -77,7 +105,7 @@ def cascade(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-def streamed(spark, sf_dir, build, mode):
+def streamed(spark, sf_dir, build, mode, empty_batches=True):
     """A job over the events as a stream, its last state as a table."""
     from uuid import uuid4
 
@@ -88,10 +116,21 @@ def streamed(spark, sf_dir, build, mode):
     def sink(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={batch_id}")
 
-    jobs.run_once(build(jobs.read_table(spark, f"{path}/in", 100)), sink, f"{path}/check", mode)
+    jobs.run_once(build(jobs.read_table(spark, f"{path}/in", 100)), sink, f"{path}/check", mode, empty_batches)
     return spark.read.parquet(f"{path}/out").drop("batch")
 
 
+def task_updates(events):
+    """Events as updates of one task a user; few of them are ends."""
+    done, broke = F.expr("event_type = 'purchase' and event_id % 53 = 0"), F.expr("event_type = 'error' and event_id % 31 = 0")
+    return events.select(
+        F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"),
+        F.when(done, "completed").when(broke, "failed").otherwise("processing").alias("status"), (F.col("event_id") % 5).alias("step"),
+        F.when(~broke | (F.col("event_id") % 2 == 0), F.concat(F.lit("stage "), "event_type")).alias("stage"), (F.col("event_id") * 7 % 120).alias("progress"),
+        F.when(broke, F.concat(F.lit("broke at "), F.col("event_id").cast("string"))).alias("error"),
+    )
+
+
 def ratings(events):
     rows = events.where("event_type in ('purchase', 'error')")
     return rows.select(F.array(F.concat(F.lit("c"), F.col("user_id") % 40)).alias("keys"), (F.col("event_type") == "purchase").alias("positive"))
@@ -121,28 +160,35 @@ QUERIES = {
     "u02_distinct": lambda sp, d: load(sp, d, "lineitem").select("l_returnflag", "l_linestatus").distinct(),
     "u03_intersect": lambda sp, d: load(sp, d, "customer").select(F.col("c_nationkey").alias("k")).intersect(load(sp, d, "supplier").select(F.col("s_nationkey").alias("k"))),
     "u05_subset": lambda sp, d: load(sp, d, "orders").groupBy("o_custkey").agg((F.size(F.array_except(F.collect_set("o_orderstatus"), F.array(F.lit("F"), F.lit("O")))) == 0).alias("subset")),
-    "x22_explanations": lambda sp, d: ex.explain(found(sp, d)),
+    "x22_explanations": explained,
     "x25_prompts": lambda sp, d: ex.prompt(found(sp, d)),
-    "x27_context_query": lambda sp, d: found(sp, d).select("anomaly_id", ex.context_query(F.col("metric"), F.col("kind"), F.create_map(F.lit("z"), F.col("kind"), F.lit("b"), F.col("metric"))).alias("query")),
+    "x27_context_query": context_queries,
     "m14_percent_deviation": lambda sp, d: found(sp, d).select("anomaly_id", F.round(ex.percent_deviation(F.col("value"), F.col("expected")), 6).alias("pct")),
     "x14_follow_ups": lambda sp, d: ex.rewrite_follow_ups(load(sp, d, "conversations")),
-    "x24_recommendations": lambda sp, d: load(sp, d, "conversations").select("conv_id", "turn", ex.extract_recommendations(F.concat(F.lit("Recommendations:\n- "), "text")).alias("items")),
+    "x24_recommendations": advice,
+    "o09_usage": lambda sp, d: ex.usage(load(sp, d, "events").select(F.when(F.col("event_type") == "error", "error").when(F.col("event_id") % 3 == 0, "template").otherwise("model").alias("outcome"), (F.col("event_id") % 500).alias("tokens"), F.col("value").alias("millis"))),
     "m12_fingerprint_similarity": best_figures,
-    "m13_figure_class": lambda sp, d: load(sp, d, "part").select("p_partkey", figures.figure_class(F.col("p_size") * 1.0, F.lit(5.0), (F.col("p_partkey") % 60) / 1000.0).alias("kind")),
+    "m13_figure_class": lambda sp, d: load(sp, d, "part").select("p_partkey", figures.figure_class((F.col("p_partkey") % 60) / 1000.0).alias("kind"), figures.aspect(F.col("p_size") * 1.0, F.col("p_partkey") % 23 * 1.0).alias("aspect")),
     "g09_hourly_stream": lambda sp, d: streamed(sp, d, jobs.hourly_totals, "update").select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "total"),
     "g04_feedback_stream": lambda sp, d: streamed(sp, d, lambda e: jobs.feedback_weights(ratings(e)), "update"),
-    "g02_rate_limit": lambda sp, d: streamed(sp, d, lambda e: jobs.rate_limit(e.select((F.col("user_id") % 20).alias("key"), "ts"), 3600.0, 3), "append").select("key", F.round("at", 3).alias("at"), "allowed"),
+    "g02_rate_limit": lambda sp, d: streamed(sp, d, lambda e: stateful.rate_limit(e.select((F.col("user_id") % 20).alias("key"), "ts"), 3600.0, 3), "append").select("key", F.round("at", 3).alias("at"), "allowed", F.round("retry_after", 3).alias("retry_after")),
+    "g03_task_stream": lambda sp, d: streamed(sp, d, lambda e: stateful.task_states(task_updates(e)), "update", False).drop("seq"),
     "g03_task_states": lambda sp, d: jobs.task_states(load(sp, d, "events").select((F.col("user_id") % 50).alias("task_id"), F.element_at(F.array(*map(F.lit, ("queued", "running", "indexing", "failed", "done"))), (F.col("event_id") % 4 + 1).cast("int")).alias("status"), (F.col("event_id") % 100).alias("progress"))),
 }
 
 A = """an AS (SELECT o_orderkey AS anomaly_id, o_custkey AS dataset_id, o_orderpriority AS metric, CASE WHEN o_orderstatus = 'F' THEN 'drop' ELSE 'spike' END AS kind,
   o_totalprice / 524288 AS severity FROM orders),
 ca AS (SELECT l_orderkey AS anomaly_id, max(l_returnflag) AS cause FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"""
-FOUND = """f AS (SELECT o_orderkey AS anomaly_id, lower(substr(o_orderpriority, 3, 20)) AS metric, o_totalprice AS value, 200000.0 AS expected, o_orderdate AS at_time,
-  CASE WHEN o_orderstatus = 'F' THEN 'drop' ELSE 'spike' END AS kind, o_totalprice / 524288 AS severity,
-  CASE WHEN o_orderkey % 2 = 0 THEN 'status' END AS dimension, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS segment FROM orders)"""
-INITCAP = "array_to_string(list_transform(string_split(metric, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+TITLE = "array_to_string(list_transform(regexp_extract_all({}, '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(w[1]) || lower(w[2:])), '')"
 LEVEL = "CASE WHEN severity < 0.2 THEN 'Low' WHEN severity < 0.4 THEN 'Medium' WHEN severity < 0.7 THEN 'High' ELSE 'Critical' END"
+FOUND = f"""ln AS (SELECT l_orderkey, list({{'segment': 'line ' || l_linenumber, 'contribution': share, 'ratio': l_quantity / 25}} ORDER BY l_linenumber, share, l_quantity) AS d
+  FROM (SELECT *, 100 * l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS share FROM lineitem) GROUP BY 1),
+f AS (SELECT *, (value - 0.5 * (low + high)) / abs(0.5 * (low + high)) * 100 AS pct, {TITLE.format("replace(metric, '_', ' ')")} AS shown FROM (
+  SELECT o_orderkey AS anomaly_id, lower(substr(o_orderpriority, 3, 20)) || '_order_value' AS metric, o_totalprice AS value, 200000.0 AS expected, o_orderdate AS at_time,
+  150000.0 + o_custkey % 7 * 1000 AS low, 250000.0 AS high, o_orderstatus, o_orderpriority, o_totalprice / 524288 AS severity, o_orderkey % 1000 / 10 AS confidence, o_custkey % 100 / 100 AS trust,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'contextual_drop' WHEN o_orderstatus = 'F' THEN 'drop' ELSE 'spike' END AS kind,
+  CASE WHEN o_orderkey % 3 <> 0 THEN d END AS drivers, o_custkey AS ck FROM orders LEFT JOIN ln ON l_orderkey = o_orderkey))"""
+AMOUNT = "format('{{:,.2f}}', {})"
 FINGERPRINTS = """fp AS (SELECT vec_id, vec_id * 2654435761 AS dh, vec_id % 7 * 1099511627 AS ah, list_transform(embedding[1:16], lambda x: CAST(x AS DOUBLE)) AS nc,
   list_transform(embedding[1:12], lambda x: 3 * CAST(abs(x) AS DOUBLE) / list_sum(list_transform(embedding[1:12], lambda y: CAST(abs(y) AS DOUBLE)))) AS hi FROM embeddings),
 fs AS (SELECT *, sqrt(list_sum(list_transform(nc, lambda x: x * x))) AS nn FROM fp)"""
@@ -178,19 +224,77 @@ SQL = {
     "u02_distinct": "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem",
     "u03_intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "u05_subset": "SELECT o_custkey, bool_and(o_orderstatus IN ('F', 'O')) AS subset FROM orders GROUP BY 1",
-    "x22_explanations": f"""WITH {FOUND} SELECT anomaly_id, {INITCAP} || ' was ' || printf('%.2f', value) || ' on ' || strftime(at_time, '%B %d, %Y') || ', ' ||
-        printf('%.1f', abs(round(100 * (value - expected) / abs(expected), 1))) || '% ' || CASE WHEN value >= expected THEN 'above' ELSE 'below' END || ' the expected ' || printf('%.2f', expected) || '.' AS what_happened,
-        CASE WHEN dimension IS NOT NULL THEN 'It was strongest in ' || dimension || ' ' || segment || '.' ELSE 'It was not confined to a segment.' END AS where_it_was,
-        concat_ws(' ', CASE WHEN kind = 'drop' THEN 'Check for missing data and outages.' ELSE 'Check for duplicate data and unusual demand.' END,
-          CASE WHEN severity >= 0.7 THEN 'Tell the owner of this metric now.' END, 'Watch the next values.') AS recommendations,
-        {LEVEL} || ' ' || kind || ' in ' || metric AS summary FROM f""",
-    "x25_prompts": f"""WITH {FOUND} SELECT anomaly_id, concat_ws(chr(10), 'Explain this anomaly.', 'metric: ' || metric, 'kind: ' || kind, 'dimension: ' || dimension, 'segment: ' || segment) AS prompt FROM f""",
-    "x27_context_query": f"WITH {FOUND} SELECT anomaly_id, concat_ws(' ', metric, kind, 'b:' || metric || ' z:' || kind) AS query FROM f",
+    "x22_explanations": f"""WITH {FOUND}, p AS (SELECT *,
+        '**What Happened:** On ' || strftime(at_time, '%B %d, %Y at %H:%M') || ', ' || shown || CASE WHEN value > (low + high) / 2 THEN ' increased to ' ELSE ' decreased to ' END || {AMOUNT.format("value")}
+          || ', which is a ' || {LEVEL} || '-severity ' || replace(kind, '_', ' ') || '. This represents a ' || printf('%.1f', abs(pct)) || CASE WHEN value > (low + high) / 2 THEN '% increase' ELSE '% decrease' END
+          || ' from the expected range of ' || {AMOUNT.format("low")} || ' – ' || {AMOUNT.format("high")} || '.' AS what,
+        CASE WHEN anomaly_id % 2 = 0 THEN '**Where:** This anomaly was concentrated in Order Status: ' || o_orderstatus || ', Priority: ' || o_orderpriority || '.' END AS place,
+        CASE WHEN anomaly_id % 7 <> 0 THEN '**Why:** Driven by ' || o_orderpriority END AS hypothesis,
+        '**Primary Drivers:** ' || array_to_string(list_transform(drivers[1:3], lambda d: d.segment || ' (' || printf('%.1f', d.contribution) || '% contribution)'), '; ') || '.' AS driven,
+        CASE WHEN anomaly_id % 5 <> 0 THEN '**Correlated Metrics:** Net Revenue (r=' || printf('%.2f', (ck % 200 - 100) / 100) || '); Order Lines (r=' || printf('%.2f', ck % 7 / 8) || '); Discount (r=' || printf('%.2f', ck % 11 / 16) || ').' END AS related,
+        CASE WHEN anomaly_id % 4 = 1 THEN '**Change Point:** A behavioral shift was detected at ' || strftime(at_time, '%Y-%m-%d') || ' (confidence: ' || (anomaly_id % 100) || '%).' END AS changed,
+        list_filter([CASE kind WHEN 'drop' THEN 'Investigate the cause of the ' || replace(metric, '_', ' ') || ' decline in affected segments.'
+            WHEN 'spike' THEN 'Verify whether the ' || replace(metric, '_', ' ') || ' spike is genuine or caused by data quality issues.' END,
+          'Focus investigation on the ' || drivers[1].segment || ' segment.',
+          CASE WHEN anomaly_id % 5 <> 0 THEN 'Monitor net revenue as it shows strong correlation with this anomaly.' END,
+          CASE WHEN severity > 0.7 THEN 'Set up alerts for this metric to detect recurrence early.' END,
+          'Review this finding with domain experts for business context.'], lambda r: r IS NOT NULL AND anomaly_id % 13 <> 0) AS advice FROM f)
+        SELECT anomaly_id, array_to_string(list_filter([what, place, coalesce(nullif(concat_ws(chr(10), hypothesis, driven, related, changed), ''),
+            '**Why:** Insufficient evidence to determine a definitive root cause. Consider reviewing recent operational changes or external factors.')], lambda x: x IS NOT NULL), chr(10) || chr(10))
+          || CASE WHEN len(advice) > 0 THEN chr(10) || chr(10) || 'Recommended Actions:' || chr(10) || array_to_string(list_transform(advice, lambda r, i: '  ' || i || '. ' || r), chr(10)) ELSE '' END AS explanation,
+        {LEVEL} || '-severity ' || kind || CASE WHEN drivers IS NULL THEN ' detected in ' || shown || '.' ELSE ' in ' || shown || ', primarily driven by ' || drivers[1].segment || '.' END AS summary,
+        array_to_string(advice, '|') AS recommendations,
+        concat_ws('|', 'Observed value: ' || {AMOUNT.format("value")} || ' (expected: ' || {AMOUNT.format("low")} || ' – ' || {AMOUNT.format("high")} || ')',
+          nullif(array_to_string(list_transform(drivers[1:3], lambda d: 'Driver: ' || d.segment || ' contributed ' || printf('%.1f', d.contribution) || '%'), '|'), ''),
+          CASE WHEN anomaly_id % 5 <> 0 THEN 'Correlation: net_revenue (r=' || printf('%.2f', (ck % 200 - 100) / 100) || ')|Correlation: order_lines (r=' || printf('%.2f', ck % 7 / 8) || ')' END) AS evidence FROM p""",
+    "x25_prompts": f"""WITH {FOUND} SELECT anomaly_id, concat_ws(chr(10), 'Please explain this business anomaly:' || chr(10), '## Anomaly Data', '- Metric: ' || metric, '- Timestamp: ' || strftime(at_time, '%Y-%m-%dT%H:%M:%S'),
+        '- Observed Value: ' || {AMOUNT.format("value")}, '- Expected Range: ' || {AMOUNT.format("low")} || ' – ' || {AMOUNT.format("high")}, '- Percentage Deviation: ' || printf('%+.1f', pct) || '%', '- Type: ' || kind,
+        '- Severity: ' || printf('%.2f', severity) || ' (0-1 scale)', '- Confidence: ' || printf('%.1f', confidence) || '%',
+        CASE WHEN anomaly_id % 2 = 0 THEN '- Affected Segments: order_status=' || o_orderstatus || ', priority=' || o_orderpriority END,
+        chr(10) || '## Root Cause Analysis', '- Hypothesis: ' || CASE WHEN anomaly_id % 7 <> 0 THEN 'Driven by ' || o_orderpriority ELSE '' END, '- Analysis Confidence: ' || printf('%.2f', trust),
+        chr(10) || '### Primary Drivers:' || chr(10) || array_to_string(list_transform(drivers[1:5], lambda d: '  - ' || d.segment || ': ' || printf('%.1f', d.contribution) || '% contribution (baseline ratio: ' || printf('%.2f', d.ratio) || ')'), chr(10)),
+        CASE WHEN anomaly_id % 5 <> 0 THEN chr(10) || '### Correlated Metrics:' || chr(10) || array_to_string(list_transform([('net_revenue', (ck % 200 - 100) / 100), ('order_lines', ck % 7 / 8), ('discount', ck % 11 / 16)],
+          lambda x: '  - ' || x[1] || ': correlation=' || printf('%.3f', x[2]) || ', p-value=' || printf('%.4f', ck % 50 / 1000)), chr(10)) END,
+        CASE WHEN anomaly_id % 4 = 1 THEN chr(10) || '### Change Point: Detected at ' || strftime(at_time, '%Y-%m-%d') || chr(10) || '  - Confidence: ' || printf('%.2f', anomaly_id % 100 / 100) || chr(10) || '  - Before mean: '
+          || {AMOUNT.format("value / 2")} || ', After mean: ' || {AMOUNT.format("value")} END,
+        CASE WHEN anomaly_id % 6 = 0 THEN chr(10) || '## Business Context (from knowledge base):' || chr(10) || '  [' || printf('%.2f', anomaly_id % 100 / 100) || '] Prices rose in spring.' END,
+        chr(10) || 'Audience: business stakeholders. ' || CASE WHEN anomaly_id % 13 <> 0 THEN 'Include actionable recommendations.' ELSE '' END) AS prompt FROM f""",
+    "x27_context_query": f"""WITH {FOUND} SELECT anomaly_id, concat_ws(' ', CASE WHEN anomaly_id % 17 <> 0 THEN 'metric: ' || metric END,
+        CASE WHEN anomaly_id % 2 = 0 THEN 'order_status: ' || o_orderstatus || ' priority: ' || o_orderpriority END, 'type: ' || kind, CASE WHEN anomaly_id % 3 = 0 THEN 'Why did it change?' END) AS query FROM f""",
+    "x24_recommendations": r"""WITH c AS (SELECT conv_id, turn, 'Intro - not an item here' || chr(10) || 'Next steps:' || chr(10) || '1. check the upstream feed' || chr(10) || '- short' || chr(10) || text || chr(10)
+          || '* call the owner of the data' || chr(10) || '**Notes**' || chr(10) || '- not an item either' || chr(10) || '**- an item after no opening line' AS t FROM conversations),
+        l AS (SELECT conv_id, turn, i, regexp_replace(string_split(t, chr(10))[i], '^\s+|\s+$', '', 'g') AS line FROM (SELECT *, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS i FROM c)),
+        m AS (SELECT *, CASE WHEN regexp_matches(lower(line), 'recommendation|next step|action') THEN true WHEN starts_with(line, '**') AND NOT starts_with(line, '**-') THEN false END AS mark FROM l),
+        s AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS inside, trim(regexp_replace(line, '^[0-9.\-•*) ]+', '')) AS item FROM m),
+        k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM s WHERE inside AND mark IS NULL AND length(item) > 10)
+        SELECT conv_id, turn, coalesce(string_agg(item, '|' ORDER BY i) FILTER (n <= 5), '') AS items FROM (SELECT DISTINCT conv_id, turn FROM c) LEFT JOIN k USING (conv_id, turn) GROUP BY 1, 2""",
+    "o09_usage": """SELECT count(*) AS total, count(*) FILTER (event_type <> 'error' AND event_id % 3 <> 0) AS answered, count(*) FILTER (event_type <> 'error' AND event_id % 3 = 0) AS fallbacks,
+        count(*) FILTER (event_type = 'error') AS errors, CAST(sum(event_id % 500) AS BIGINT) AS tokens, round(avg(value), 2) AS mean_millis FROM events""",
     "m14_percent_deviation": f"WITH {FOUND} SELECT anomaly_id, round(100 * (value - expected) / abs(expected), 6) AS pct FROM f",
-    "m13_figure_class": """SELECT p_partkey, CASE WHEN p_size / 5.0 > 8 OR p_size / 5.0 < 0.125 THEN 'rule' WHEN (p_partkey % 60) / 1000.0 >= 0.045 THEN 'diagram'
-        WHEN (p_partkey % 60) / 1000.0 >= 0.015 THEN 'photo' ELSE 'blank' END AS kind FROM part""",
+    "m13_figure_class": """SELECT p_partkey, CASE WHEN p_partkey % 60 > 45 THEN 'Technical Schematic / Architectural Diagram / Flowchart' WHEN p_partkey % 60 > 15 THEN 'Chart / Graph / Data Plot'
+        ELSE 'Photographic Image / Illustration' END AS kind, CASE WHEN p_partkey % 23 = 0 THEN '1:1 (Square)' WHEN p_size / (p_partkey % 23) > 1.3 THEN printf('%.1f', p_size / (p_partkey % 23)) || ':1 (Landscape)'
+        WHEN p_size / (p_partkey % 23) < 0.77 THEN '1:' || printf('%.1f', 1 / (p_size / (p_partkey % 23))) || ' (Portrait)' ELSE printf('%.2f', p_size / (p_partkey % 23)) || ':1 (Standard)' END AS aspect FROM part""",
     "g09_hourly_stream": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
     "g04_feedback_stream": """SELECT 'c' || (user_id % 40) AS key, CAST(round(sum(CASE WHEN event_type = 'purchase' THEN 0.12 ELSE -0.15 END), 3) AS DOUBLE) AS weight
         FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1""",
+    "g02_rate_limit": """WITH RECURSIVE q AS (SELECT user_id % 20 AS key, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts) AS n FROM events WHERE ts IS NOT NULL),
+        r AS (SELECT key, 0 AS n, CAST([] AS DOUBLE[]) AS times, CAST(NULL AS DOUBLE) AS t, CAST(NULL AS BOOLEAN) AS allowed, CAST(NULL AS DOUBLE) AS retry_after FROM (SELECT DISTINCT key FROM q)
+          UNION ALL SELECT key, n, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END, t, len(live) < 3, CASE WHEN len(live) < 3 THEN 0.0 ELSE live[1] + 3600 - t END
+          FROM (SELECT q.key, q.n, q.t, list_filter(r.times, lambda x: x > q.t - 3600) AS live FROM r JOIN q ON q.key = r.key AND q.n = r.n + 1))
+        SELECT key, round(t, 3) AS "at", allowed, round(retry_after, 3) AS retry_after FROM r WHERE n > 0""",
+    "g03_task_stream": """WITH u AS (SELECT user_id AS task_id, event_id AS seq, event_id % 5 AS step, 'stage ' || event_type AS stage, event_id * 7 % 120 AS progress,
+          CASE WHEN event_type = 'purchase' AND event_id % 53 = 0 THEN 'completed' WHEN event_type = 'error' AND event_id % 31 = 0 THEN 'failed' ELSE 'processing' END AS status FROM events),
+        e AS (SELECT task_id, min(seq) FILTER (status <> 'processing') AS first_end, max(seq) FILTER (status <> 'processing') AS last_end,
+          max(seq) FILTER (status = 'completed') AS completed FROM u GROUP BY 1),
+        b AS (SELECT task_id, max(least(progress, 99)) AS progress, arg_max(step, seq) AS step, arg_max(stage, seq) AS stage
+          FROM u JOIN e USING (task_id) WHERE status = 'processing' AND seq < coalesce(first_end, 9e18) GROUP BY 1),
+        f AS (SELECT task_id, arg_max(stage, seq) FILTER (seq % 2 = 0) AS named, max(seq) AS last FROM u JOIN e USING (task_id)
+          WHERE status = 'failed' AND seq > coalesce(completed, -1) GROUP BY 1)
+        SELECT e.task_id, CASE WHEN last_end IS NULL THEN 'processing' WHEN completed = last_end THEN 'completed' ELSE 'failed' END AS status,
+          CAST(CASE WHEN completed IS NOT NULL THEN 5 ELSE coalesce(b.step, 0) END AS INTEGER) AS step,
+          coalesce(f.named, CASE WHEN completed IS NOT NULL THEN 'Complete' ELSE coalesce(b.stage, '') END) AS stage,
+          CAST(CASE WHEN completed IS NOT NULL THEN 100 ELSE coalesce(b.progress, 0) END AS INTEGER) AS progress,
+          CASE WHEN last_end IS NOT NULL AND completed IS DISTINCT FROM last_end THEN 'broke at ' || last_end END AS error
+        FROM e LEFT JOIN b USING (task_id) LEFT JOIN f USING (task_id)""",
     "g03_task_states": """SELECT user_id % 50 AS task_id, ['queued', 'running', 'indexing', 'failed'][max(event_id % 4) + 1] AS status, max(event_id % 100) AS progress FROM events GROUP BY 1""",
 }

@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .tables import shared_folder
+
+
+def steps_folder(spark: SparkSession) -> str:
+    """Where this application's operators write what several of their steps read."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-steps"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what settle() has written; results that read it must be written by then."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(steps_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: a short lineage that outlives executors (see clean)."""
+    path = f"{steps_folder(df.sparkSession)}/{name}-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def write_cleaned(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     writer = df.write.mode("overwrite")

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.encoding import encoding_of
+
 PROBE_BYTES = 10_000
+SPARK_ENCODINGS = ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32")
 MAX_DELIMITED_BYTES = 500 * 2**20
 MAX_DOCUMENT_BYTES = 50 * 2**20
 #: Suffixes that the document scan takes.
@@ -39,15 +42,15 @@ def separator_of(path: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """utf-8 if the first PROBE_BYTES of a file decode as it (a cut character at the end aside), else latin-1."""
+    """The encoding of a file (of a folder, of one of its files) by the statistics of its first PROBE_BYTES."""
     head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, PROBE_BYTES)).head()
-    probe = bytes(head[0] or b"") if head else b""
-    try:
-        probe.decode("utf-8")
-    except UnicodeDecodeError as e:
-        if e.start < len(probe) - 3:
-            return "ISO-8859-1"
-    return "UTF-8"
+    return encoding_of(bytes(head[0] or b"")) if head else "UTF-8"
+
+
+def allow_encoding(spark: SparkSession, name: str) -> None:
+    """Let the session read and write an encoding of Java's that Spark refuses by default; the few it knows change nothing."""
+    if name.upper() not in SPARK_ENCODINGS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
 
 
 def read_delimited(
@@ -62,7 +65,9 @@ def read_delimited(
     Without a schema every column is a string: infer types with profile.infer_types and read again.
     """
     reader = spark.read.option("header", True).option("sep", separator_of(path)).option("quote", '"').option("escape", '"')
-    reader = reader.option("encoding", encoding or detect_encoding(spark, path)).option("multiLine", False)
+    encoding = encoding or detect_encoding(spark, path)
+    allow_encoding(spark, encoding)
+    reader = reader.option("encoding", encoding).option("multiLine", encoding.startswith("UTF-16"))
     df = (reader.schema(schema) if schema else reader).csv(path)
     nan = [f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
     df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in nan})
@@ -129,3 +134,24 @@ def admit_documents(docs: DataFrame, id_col: str, text_col: str, most: int = MAX
     """(id, sha256, bytes) of texts that are present and not too long."""
     size = F.octet_length(text_col).cast("long")
     return docs.where(F.col(text_col).isNotNull() & (size <= most)).select(id_col, F.sha2(F.col(text_col), 256).alias("sha256"), size.alias("bytes"))
+
+
+def upload_gate(docs: DataFrame, id_col: str, text_col: str, suffix: Column, most: int = MAX_DOCUMENT_BYTES, at: Column | None = None) -> DataFrame:
+    """(id, status, sha256, bytes, error, completed_at): every upload, admitted ones as 'pending' with their hash, others as 'failed' with the reason.
+
+    Checked in this order: a known suffix, a content, one that is not empty, its
+    size. Failed rows are the records that a run log keeps; repeated ids are uploads each.
+    """
+    size = F.octet_length(text_col).cast("long")
+    error = (
+        F.when(~F.coalesce(F.lower(suffix).isin(*DOCUMENT_SUFFIXES), F.lit(False)), F.concat(F.lit("unsupported type: "), F.coalesce(suffix, F.lit("none"))))
+        .when(F.col(text_col).isNull(), "no content")
+        .when(size == 0, "file is empty")
+        .when(size > most, F.concat(F.lit("larger than "), F.lit(str(most)), F.lit(" bytes")))
+    )
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("_text"), error.alias("error"), size.alias("bytes"))
+    failed = F.col("error").isNotNull()
+    return rows.select(
+        id_col, F.when(failed, "failed").otherwise("pending").alias("status"), F.when(~failed, F.sha2("_text", 256)).alias("sha256"), "bytes", "error",
+        F.when(failed, F.current_timestamp() if at is None else at).alias("completed_at"),
+    )

@@ -1,15 +1,11 @@
-"""Structured Streaming jobs: hourly windows, feedback weights, rate limits, index appends, event topics."""
+"""Structured Streaming jobs: hourly windows, feedback weights, index appends; those with state of their own are in stateful."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-RATE_SECONDS, RATE_MOST = 60, 20
 
 
 def read_table(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
@@ -31,41 +27,22 @@ def feedback_weights(ratings: DataFrame, up: float = 0.12, down: float = 0.15) -
     return rows.groupBy("key").agg(F.round(F.sum("d"), 3).alias("weight"))
 
 
-def allow(times: list[float], new: list[float], window: float = RATE_SECONDS, most: int = RATE_MOST) -> tuple[list[float], list[tuple[float, bool, float]]]:
-    """Sliding-window limit over sorted request times: the times still counted, and (time, allowed, retry after) of each.
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", empty_batches: bool = True) -> None:
+    """All that is there, batch by batch, into an idempotent sink; starts again where the checkpoint ends.
 
-    Refused requests do not count.
+    State that ends by the clock (processing time) always has another empty batch
+    to run: such streams need empty_batches False, or they never come to an end.
     """
-    out = []
-    for t in new:
-        times = [x for x in times if x > t - window]
-        ok = len(times) < most
-        out.append((t, ok, 0.0 if ok else times[0] + window - t))
-        if ok:
-            times.append(t)
-    return times, out
-
-
-def rate_limit(requests: DataFrame, window: float = RATE_SECONDS, most: int = RATE_MOST) -> DataFrame:
-    """Stream (key, ts) to (key, ts, allowed, retry_after); the state of a key is the times that still count."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        new = sorted(t for b in batches for t in b["at"])
-        times, out = allow(times, new, window, most)
-        state.update((times,))
-        yield pd.DataFrame({"key": key[0], "at": [x[0] for x in out], "allowed": [x[1] for x in out], "retry_after": [x[2] for x in out]})
-
-    rows = requests.select("key", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    kind = rows.schema["key"].dataType.simpleString()
-    return rows.groupBy("key").applyInPandasWithState(
-        step, f"key {kind}, at double, allowed boolean, retry_after double", "times array<double>", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """All that is there, batch by batch, into an idempotent sink; starts again where the checkpoint ends."""
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    conf = stream.sparkSession.conf
+    before = conf.get(EMPTY_BATCHES)
+    conf.set(EMPTY_BATCHES, str(empty_batches).lower())
+    try:  # a query keeps the settings it starts with
+        query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
+    finally:
+        conf.set(EMPTY_BATCHES, before)
     query.awaitTermination()
 
 

@@ -1,6 +1,7 @@
 """Scans, sinks, chunking, p-values and streaming jobs on small inputs."""
 
 import random
+import statistics
 
 import pytest
 from hypothesis import given, settings
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lakesignal.functions import chunker
 from lakesignal.functions.math import student_p
-from lakesignal.operators import cleaning, explain, quality
+from lakesignal.operators import cleaning, quality, sketches
 from lakesignal.operators import root_cause as rc
 from lakesignal.sources import sinks
 from lakesignal.sources import tables as src
@@ -160,17 +161,83 @@ def test_chunk_table_function_equals_the_operator(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, chunker.chunk_documents(docs, "doc_id", "text").collect()))
 
 
-def test_recommendation_lines():
-    assert explain.recommendation_lines("Intro\n- no\nRecommendations:\n- one\n2. two\nEnd\n- no") == ["one", "two"]
-
-
-def test_rate_limit_refused_requests_do_not_count():
-    times, out = jobs.allow([], [0.0, 1.0, 2.0, 61.0, 61.5], 60, 2)
-    assert [ok for _, ok, _ in out] == [True, True, False, True, True] and out[2][2] == 58.0
-
-
 def test_stream_appends_once(spark, tmp_path):
     spark.range(5).write.parquet(f"{tmp_path}/in")
     for _ in range(2):
         jobs.run_once(jobs.read_table(spark, f"{tmp_path}/in"), jobs.append_index(f"{tmp_path}/out"), f"{tmp_path}/check")
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_shapley_of_many_dimensions_is_sampled_and_sums_to_the_impact(spark):
+    """Seven dimensions with effects that add up: sampled orders give them exactly."""
+    rng = random.Random(4)
+    dims = [f"d{i}" for i in range(7)]
+    rows = []
+    for anomaly in (1, 2):
+        for _ in range(300):
+            x = [rng.randrange(2) for _ in dims]
+            rows.append((anomaly, False, *x, 100.0))
+        rows += [(anomaly, True, *([1] * 7), 100.0 + 10 * anomaly) for _ in range(5)]
+    df = spark.createDataFrame(rows, "anomaly_id int, now boolean, " + ", ".join(f"{d} int" for d in dims) + ", v double")
+    got = rc.shapley(df, dims, orders=8).collect()
+    assert len(got) == 14 and all(abs(r.value) < 1e-9 for r in got)  # a flat baseline tells no dimension from another
+    steps = rc.shapley_steps(dims, orders=8)
+    assert all(abs(sum(w for _, d, w in steps if d == name) - 1) < 1e-9 for name in dims) and steps == rc.shapley_steps(dims, orders=8)
+    few = spark.createDataFrame([(False, a, b, 10.0 * a + 2.0 * b) for a in (0, 1) for b in (0, 1)] + [(True, 1, 1, 15.0)], "now boolean, a int, b int, v double")
+    got = {r.dimension: r for r in rc.shapley(few, ["a", "b"]).collect()}
+    assert abs(got["a"].value - 5) < 1e-9 and abs(got["b"].value - 1) < 1e-9
+    assert abs(sum(r.percent for r in got.values()) - 100) < 1e-9 and abs(got["a"].percent - 100 * 5 / 6) < 1e-9
+    sampled = {r.dimension: r.value for r in rc.shapley(few, ["a", "b"], exact=0, orders=4).collect()}
+    assert abs(sampled["a"] - 5) < 1e-9 and abs(sampled["b"] - 1) < 1e-9
+
+
+def test_segments_have_exact_medians(spark):
+    """Values of all sizes and signs, ties, one hot value, odd and even numbers of rows."""
+    rng = random.Random(5)
+    rows = []
+    for month in range(1, 11):
+        for _ in range(rng.randint(40, 60)):
+            v = rng.choice([7.0, 7.0, rng.gauss(0, 1e-3), rng.gauss(0, 1e6), rng.randint(-3, 3) * 1.0])
+            rows.append((f"2024-{month:02d}-01 00:00:00", rng.choice("ab"), rng.choice("xyz"), v))
+    rows.append(("2024-03-01 00:00:00", "a", "x", None))
+    panel = spark.createDataFrame(rows, "t string, p string, q string, v double").withColumn("t", F.to_timestamp("t"))
+    anomalies = spark.createDataFrame([(1, "2024-10-01 00:00:00"), (2, "2024-09-01 00:00:00")], "anomaly_id int, t string").withColumn("t", F.to_timestamp("t"))
+    got = {(r.anomaly_id, r.dimension, r.segment): r for r in rc.segments(panel, anomalies, ["p", "q"]).collect()}
+    assert len(got) == 10
+    for anomaly, month in ((1, 10), (2, 9)):
+        for d, place in (("p", 1), ("q", 2)):
+            for s in {r[place] for r in rows}:
+                base = [r[3] for r in rows if month - 7 <= int(r[0][5:7]) < month and r[place] == s and r[3] is not None]
+                now = [r[3] for r in rows if int(r[0][5:7]) == month and r[place] == s]
+                r = got[anomaly, d, s]
+                assert (r.size, r.now_rows) == (len(base), len(now)) and r.median == statistics.median(base)
+                assert abs(r.actual - sum(now)) < 1e-6 and abs(r.mean - statistics.fmean(base)) < 1e-6 and abs(r.sd / statistics.stdev(base) - 1) < 1e-9
+
+
+def test_bootstrap_of_all_anomalies_holds_the_ratio(spark):
+    rows = [(i, f"2024-{1 + i % 9:02d}-01", "ab"[i % 2], float(i % 10) + (40 if i % 9 == 8 else 0)) for i in range(1800)]
+    panel = spark.createDataFrame(rows, "row_id long, t string, s string, v double").withColumn("t", F.to_timestamp("t"))
+    anomalies = spark.createDataFrame([(1, "2024-09-01"), (2, "2024-05-01")], "anomaly_id int, t string").withColumn("t", F.to_timestamp("t"))
+    got = {(r.anomaly_id, r.segment): r for r in rc.bootstrap_all(panel, anomalies, ["s"], 200).collect()}
+    assert set(got) == {(1, "a"), (1, "b")}  # the second anomaly's months are all alike: no impact to resample
+    assert all(0.7 < r.low < 1.0 < r.high < 1.3 for r in got.values())
+
+
+def test_reported_ranges(spark):
+    df = spark.createDataFrame([(100.004, 0.5, 1.0, 2.0), (100.006, None, 3.0, 2.0), (float("nan"), -0.0004, 1.0, 1.0)], "contribution double, p_value double, expected_min double, expected_max double")
+    got = [(r.invalid, r.p_value) for r in quality.checked(df).collect()]
+    assert got == [([], 0.5), (["contribution", "expected_min, expected_max"], None), (["contribution", "p_value"], -0.0004)]
+
+
+def test_sketches_merge_to_the_whole(spark):
+    df = spark.range(20_000).selectExpr("id % 7 as part", "id % 5000 as k", "if(id % 10 = 0, null, double(id)) as v", "concat('s', id % 3) as s", "cast('nan' as double) as bad")
+    whole = {r.column: r for r in sketches.estimates(sketches.sketch(df, ["k", "v", "s", "bad"])).collect()}
+    parts = {r.column: r for r in sketches.estimates(sketches.merge(sketches.sketch(df, ["k", "v", "s", "bad"], ["part"]))).collect()}
+    for found in (whole, parts):
+        assert [found[c].nulls for c in ("k", "v", "s", "bad")] == [0, 2000, 0, 20_000] and found["s"].distinct == 3 and found["s"].quantiles is None
+        assert abs(found["k"].distinct / 5000 - 1) < 3 * sketches.DISTINCT_ERROR and (found["v"].least, found["v"].greatest) == (1.0, 19_999.0)
+        assert all(abs(q - x * 20_000) < 4 * sketches.RANK_ERROR * 20_000 for q, x in zip(found["v"].quantiles, (0.25, 0.5, 0.75), strict=True))
+    assert found["bad"].distinct == 0 and found["bad"].quantiles is None
+    got = {r.column: r["values"] for r in sketches.sample_values(df, ["k", "s"], {"k": 5000, "s": 3}).collect()}
+    assert len(set(got["k"])) == 5 and sorted(got["s"]) == ["s0", "s1", "s2"]
+    assert sketches.sample_values(df.where("k < 0"), ["k"], {"k": 0}).count() == 0

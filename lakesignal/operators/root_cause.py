@@ -115,14 +115,15 @@ def segments(
     center, size = panel.agg(F.avg("v"), F.avg(F.abs("v"))).first()
     size = size or 1.0
     scale = F.floor(BINS_PER_OCTAVE * F.log2(1 + FINEST * F.abs("v") / size))
-    rows = long_dimensions(panel, dims).where("v is not null").withColumn("bin", (F.signum("v") * scale).cast("int"))
+    rows = long_dimensions(panel, dims).withColumn("bin", (F.signum("v") * scale).cast("int"))
     off = F.col("v") - F.lit(center)
-    cells = rows.groupBy("t", "dimension", "segment", "bin").agg(
-        F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2")
+    cells = rows.groupBy("t", "dimension", "segment", "bin").agg(  # rows without a value are a bin of their own: their times count
+        F.count("v").alias("n"), F.sum("v").alias("total"), F.sum(off).alias("s1"), F.sum(off * off).alias("s2")
     )
     cells = settle(cells, "segment-cells")
     keys = ["anomaly_id", "dimension", "segment"]
-    times = settle(times_around(panel, anomalies, n), "segment-times")
+    anomalies = settle(anomalies.select("anomaly_id", "t"), "segment-anomalies")
+    times = settle(times_around(cells, anomalies, n), "segment-times")
     around = cells.join(times, "t")
     base = lambda c: F.sum(F.when(~F.col("now"), F.col(c)))
     out = around.groupBy(*keys).agg(
@@ -204,9 +205,11 @@ def all_interactions(rows: DataFrame, dims: list[str]) -> DataFrame:
 
 def impact_cells(panel: DataFrame, anomalies: DataFrame, dims: list[str], n: int = BASELINE_TIMES) -> DataFrame:
     """(anomaly_id, now, dims, total, n): each anomaly's sums by combination of segments, from one aggregation of the panel by time."""
-    cells = settle(panel.where("v is not null").groupBy("t", *dims).agg(F.sum("v").alias("total"), F.count("*").alias("n")), "impact-cells")
-    around = cells.join(times_around(panel, anomalies, n), "t")
-    return around.groupBy("anomaly_id", "now", *dims).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    cells = settle(panel.groupBy("t", *dims).agg(F.sum("v").alias("total"), F.count("v").alias("n")), "impact-cells")
+    anomalies = settle(anomalies.select("anomaly_id", "t"), "impact-anomalies")
+    around = cells.where("n > 0").join(times_around(cells, anomalies, n), "t")
+    around = around.groupBy("anomaly_id", "now", *dims).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return settle(around, "impact-cells-around")
 
 
 def impacts(cells: DataFrame) -> DataFrame:

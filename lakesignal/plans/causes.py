@@ -175,7 +175,7 @@ def anomaly_interaction_sql() -> str:
     ]
     return (
         f"WITH {PANEL}, {IMPACT} SELECT anomaly_id, pair, x, y, round(value + {SHIFT:.7f}, 2) AS value, round(baseline + {SHIFT:.7f}, 2) AS baseline, round(value - baseline + {SHIFT:.7f}, 2) AS effect,"
-        f" round(100 * (value - baseline) / impact, 4) AS percent, CASE WHEN value > baseline THEN 'synergistic' ELSE 'diminishing' END AS kind"
+        f" round(100 * (value - baseline) / impact + {SHIFT:.7f}, 2) AS percent, CASE WHEN value > baseline THEN 'synergistic' ELSE 'diminishing' END AS kind"
         f" FROM ({' UNION ALL '.join(parts)}) JOIN tot USING (anomaly_id) WHERE abs(value - baseline) > abs(impact) / 100"
     )
 
@@ -247,7 +247,7 @@ QUERIES = {
     "a26_segment_t": lambda sp, d: rc.segment_significance(seg(sp, d)).select(*ks, F.round("t_stat", 4).alias("t_stat")),
     "a33_attribution": lambda sp, d: rc.attribution(seg(sp, d)).select(*ks, F.round("pct", 4).alias("pct"), F.round("share", 4).alias("share")),
     "a36_interactions": lambda sp, d: r4(rc.all_interactions(panel(sp, d), DIMS), "value", "effect"),
-    "a36_anomaly_interactions": lambda sp, d: rc.anomaly_interactions(impact_cells(sp, d), DIMS).withColumns({c: F.round(F.col(c) + SHIFT, 2) for c in ("value", "baseline", "effect")}).withColumn("percent", F.round("percent", 4)),
+    "a36_anomaly_interactions": lambda sp, d: rc.anomaly_interactions(impact_cells(sp, d), DIMS).withColumns({c: F.round(F.col(c) + SHIFT, 2) for c in ("value", "baseline", "effect", "percent")}),
     "a38_shapley": lambda sp, d: rc.shapley_of_cells(impact_cells(sp, d), DIMS).withColumns({"value": F.round("value", 2), "percent": F.round("percent", 4)}),
     "j06_correlation_matrix": wide_q(lambda w: rc.correlations(w, METRICS).withColumn("r", F.round("r", 6))),
     "a28_spearman": wide_q(lambda w: rc.correlations(w, METRICS, "spearman").withColumn("r", F.round("r", 6))),

@@ -247,11 +247,19 @@ def learned_ann(
     for r in sizes:
         count[r.part], asking[r.part] = r.n, r.q
     blocks, groups = np.maximum(1, -(-count // BLOCK_ROWS)), np.maximum(1, -(-asking // GROUP_ROWS))
+    # Query groups: partitions side by side up to GROUP_ROWS; one with more is split by hash.
+    first, at, filled = np.zeros(router.parts, int), -1, GROUP_ROWS
+    for c in np.flatnonzero(asking):
+        if filled + asking[c] > GROUP_ROWS:
+            at, filled = at + 1, 0
+        first[c], filled = at, filled + asking[c]
+        if groups[c] > 1:
+            at, filled = at + int(groups[c]) - 1, GROUP_ROWS
     if report is not None:
         report |= {"partitions": router.parts, "mass": router.mass}
 
     def spread(batches):
-        """A query for each block of the partitions it asks; grp has queries of one partition."""
+        """A query for each block of the partitions it asks; a group has queries of few partitions."""
         for whole in batches:
             for s in range(0, len(whole), SLICE):
                 b = whole.slice(s, SLICE)
@@ -261,12 +269,12 @@ def learned_ann(
                 block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 q_at, part = np.repeat(q_at, times), np.repeat(part, times)
                 home = b.column("part").to_numpy()[q_at]
-                sub = b.column("uid").to_numpy()[q_at] % groups[home]
-                columns = [pa.array(x.astype("int32")) for x in (home, sub, part, block)]
+                grp = first[home] + b.column("uid").to_numpy()[q_at] % groups[home]
+                columns = [pa.array(x.astype("int32")) for x in (grp, part, block)]
                 columns += [b.column(c).take(pa.array(q_at)) for c in ("uid", "id", "vec")]
-                yield pa.RecordBatch.from_arrays(columns, ["home", "sub", "part", "block", "uid", "id", "vec"])
+                yield pa.RecordBatch.from_arrays(columns, ["grp", "part", "block", "uid", "id", "vec"])
 
-    ddl = "home int, sub int, part int, block int, uid long, id long, vec binary"
+    ddl = "grp int, part int, block int, uid long, id long, vec binary"
     asked = settle(placed.where(is_query).select("uid", "id", "vec", "part").mapInArrow(spread, ddl), "ann-asked")
     n_blocks = F.element_at(F.lit([int(x) for x in blocks]), F.col("part") + 1)
     held = placed.select("part", F.pmod(F.xxhash64("uid"), n_blocks).cast("int").alias("block"), "uid", "id", "vec")
@@ -294,7 +302,7 @@ def learned_ann(
                     out += [(uid, q_id, x_id[other[j]], x_uid[other[j]], score[j]) for j in best]
         return pd.DataFrame(out, columns=["uid", "query_id", "id", "other", "score"]).astype({"uid": "int64", "query_id": "int64", "id": "int64", "other": "int64", "score": "float64"})
 
-    keys = ["home", "sub", "part", "block"]
+    keys = ["grp", "part", "block"]
     pairs = asked.select(*(F.col(c).alias(c) for c in keys)).distinct()
     sent = held.join(pairs, ["part", "block"]).select(*keys, "uid", "id", "vec")
     found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(solve, "uid long, query_id long, id long, other long, score double")

@@ -128,7 +128,7 @@ BODIES = {
         "No part of this book may be used or reproduced in any manner whatsoever without written permission except in the case of brief quotations embodied in critical articles and reviews.",
     ],
 }
-#: Paragraphs with the same words that state no licence.
+#: Paragraphs with the same words that state no licence of the families.
 OTHERS = [
     "The driver lost the license after the accident and paid a fine.",
     "You need a fishing licence to go out on the lake.",
@@ -156,6 +156,19 @@ OTHERS = [
     "Software is written, tested and distributed in short cycles.",
     "Rights of way are shown on the map.",
     "The foundation published its report on free trade.",
+    # other licences: none of the families
+    "Licensed under the Mozilla Public License, version 2.0.",
+    "SPDX-License-Identifier: MPL-2.0",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
+    "Licensed under the Eclipse Public License, version 1.0.",
+    "SPDX-License-Identifier: EPL-2.0",
+    "Released under the ISC License.",
+    "SPDX-License-Identifier: ISC",
+    "Licensed under the Boost Software License, Version 1.0.",
+    "Distributed under the terms of the zlib license.",
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This project is licensed under the terms of the Artistic License 2.0.",
 ]
 #: A line with one of these, or with a licence's short name, is unknown if it reaches no family.
 ANCHORS = ("licen", "copyright", "rights reserved", "permission", "redistribut", "public domain", "proprietary")
@@ -460,17 +473,16 @@ def scan(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", te
     table = F.broadcast(weight_table(spark, model))
     parts = grams.join(table, "gram", "left").groupBy(*keys)
     sums = parts.agg(*(F.coalesce(F.sum(F.get("weights", F.lit(k))), F.lit(0.0)).alias(f"s{k}") for k in range(n)))
-    chances = F.array(*(F.round(1 / (1 + F.exp(-(F.col(f"s{k}") + model.bias[k]))), 6) for k in range(n)))
+    chances = F.array(*(F.round(1 / (1 + F.exp(-(F.col(f"s{k}") + model.bias[k]))), 9) for k in range(n)))
     scored = sums.select(*keys, chances.alias("p"))
     best = F.array_max("p")
     at = F.array_position("p", best).cast("int")
     least = F.element_at(F.array(*map(F.lit, model.least)), at)
-    shared = F.lit(0)  # the most words of a notice that confirms
-    for k, f in enumerate(model.families):
-        for notice in NOTICES.get(f, ()):
-            own = sorted(set(ascii_words(notice)))
-            common = F.size(F.array_intersect("words", F.array(*map(F.lit, own))))
-            shared = F.greatest(shared, F.when((at == k + 1) & (common >= TEMPLATE_SHARE * len(own)), common).otherwise(0))
+    own = [(k + 1, sorted(set(ascii_words(notice)))) for k, f in enumerate(model.families) for notice in NOTICES.get(f, ())]
+    templates = F.array(*(F.struct(F.lit(k).alias("at"), F.array(*map(F.lit, w)).alias("words"), F.lit(TEMPLATE_SHARE * len(w)).alias("least")) for k, w in own))
+    mine = F.filter(templates, lambda t: t["at"] == at)
+    common = F.transform(mine, lambda t: let(F.size(F.array_intersect(F.col("words"), t["words"])), lambda c: F.when(c >= t["least"], c).otherwise(0)))
+    shared = F.coalesce(F.array_max(common), F.lit(0))  # the most words of a notice that confirms
     reached = best >= least
     known = reached & ((shared > 0) | (best >= SURE))
     family = F.when(known, F.element_at(F.array(*map(F.lit, model.families)), at)).otherwise("unknown")

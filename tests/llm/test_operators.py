@@ -117,6 +117,16 @@ def test_licences_are_found_and_others_left_alone(spark):
     }
 
 
+def test_other_licences_are_unknown(spark):
+    """Some that the model was trained with, some that it wasn't."""
+    texts = [
+        "Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: EPL-2.0", "Released under the ISC License.",
+        "Licensed under the Common Development and Distribution License, version 1.0.", "Released under the Microsoft Public License.",
+    ]
+    got = {(r.doc_id, r.family, r.confirmed) for r in license_scan.scan(docs_of(spark, texts)).collect()}
+    assert got == {(i, "unknown", False) for i in range(5)}
+
+
 def brute_lines(text, model):
     """(place, family, probability) of the single lines of a text that the model reports, every line looked at."""
     out = set()

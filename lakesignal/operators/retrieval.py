@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.math import clamp01, cosine, dot, sigmoid
+from .nearest import Vectors, best_rows
 
 RRF_K = 60
 #: Query sets up to here, in rows and bytes, are broadcast; larger ones meet the chunks block by block.
@@ -33,22 +36,48 @@ def meet(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("_block", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int")).join(spread, "_block").drop("_block")
 
 
+def _searched(queries: DataFrame, chunks: DataFrame, k: int, cosines: bool, own: bool, ok: Column) -> DataFrame:
+    """(query_id, rank, chunk_id, score, ok): the k best chunks of each query, ties by chunk_id.
+
+    Finite vectors of the commonest length are searched block by block (nearest);
+    any others meet all rows in Spark's own arithmetic.
+    """
+    chunks = chunks.select("chunk_id", "e", F.coalesce(ok, F.lit(False)).alias("ok"))
+    length = chunks.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).where("d > 0").orderBy(F.desc("n"), "d").first()
+    d = length["d"] if length else 0
+    whole = lambda i, v: F.coalesce((F.size(v) == d) & F.col(i).isNotNull() & F.forall(v, lambda x: F.coalesce(F.abs(x) < 1e100, F.lit(False))), F.lit(False))
+    plain_q, plain_e = whole("query_id", "q"), whole("chunk_id", "e")
+    (n_q, odd_q), (n_e, odd_e) = (df.agg(F.count("*"), F.count_if(~p)).first() for df, p in ((queries, plain_q), (chunks, plain_e)))
+    found = best_rows(queries.where(plain_q), chunks.where(plain_e), (n_q, n_e), k, own, partial(Vectors, cosine=cosines))
+    for asked, rows in ((queries.where(~plain_q), chunks),) * bool(odd_q) + ((queries.where(plain_q), chunks.where(~plain_e)),) * bool(odd_e):
+        pairs = meet(asked, rows)
+        pairs = pairs if own else pairs.where(~F.col("query_id").eqNullSafe(F.col("chunk_id")))
+        score = cosine(F.col("q"), F.col("e")) if cosines else clamp01(dot(F.col("q"), F.col("e")))
+        found = found.unionByName(pairs.select("query_id", "chunk_id", F.round(score, 6).alias("score"), "ok"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def similarity_search(queries: DataFrame, chunks: DataFrame, k: int, condition: Column | None = None, post_filter: bool = False) -> DataFrame:
     """(query_id, rank, chunk_id, score): the k chunks of greatest inner product, clamped to 0..1, ties by chunk_id.
 
     queries (query_id, q) is a stated query set that meets all chunks (chunk_id,
-    e) partition by partition; each task keeps k rows a query before the
-    shuffle. The filter holds before the search, or, with post_filter, on its first 2k hits.
+    e) block by block; each block keeps k rows a query before the shuffle. Ids are
+    integers. The filter holds before the search, or, with post_filter, on its first 2k hits.
     """
     if condition is not None and not post_filter:
         chunks = chunks.where(condition)
-    scored = meet(queries, chunks).where(~F.col("query_id").eqNullSafe(F.col("chunk_id")))
-    scored = scored.withColumn("score", F.round(clamp01(dot(F.col("q"), F.col("e"))), 6))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= (2 * k if post_filter else k))
-    if post_filter and condition is not None:
-        top = top.where(condition).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", "chunk_id", "score")
+    if condition is None or not post_filter:
+        return _searched(queries, chunks, k, False, False, F.lit(True)).select("query_id", "rank", "chunk_id", "score")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    top = _searched(queries, chunks, 2 * k, False, False, condition).where("ok").withColumn("rank", F.row_number().over(order))
+    return top.where(F.col("rank") <= k).select("query_id", "rank", "chunk_id", "score")
+
+
+def cosine_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, chunk_id, cosine): the k chunks of greatest cosine, the query's own among them, ties by chunk_id."""
+    found = _searched(queries, chunks, k, True, True, F.lit(True)).where("score is not null")
+    return found.select("query_id", "rank", "chunk_id", F.col("score").alias("cosine"))
 
 
 def cosine_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -122,7 +151,8 @@ def fuse(*lists: DataFrame) -> DataFrame:
 def with_page_hits(fused: DataFrame, pages: DataFrame, wanted: DataFrame) -> DataFrame:
     """Chunks of the pages that queries name, ahead of the fused hits, each once."""
     hits = wanted.join(pages, "page").select("query_id", "chunk_id", F.lit(1.0).alias("rrf"))
-    rest = fused.join(hits, ["query_id", "chunk_id"], "left_anti")
+    named = fused.select("query_id", "chunk_id").join(wanted, "query_id").join(pages, ["chunk_id", "page"])  # hits that are fused, too
+    rest = fused.join(named.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
     return hits.unionByName(rest)
 
 

@@ -5,6 +5,9 @@ tiles double in size; a box goes to the level whose tiles are as large as it is,
 where it meets four tiles at most, however large it is. A point goes to its tile
 on each level that has boxes. So points meet boxes in an equi-join on page, level
 and tile, never all points of a page with all its boxes.
+
+A page of few boxes needs no tiles: its points meet them all, so both sides are
+shuffled once, by page, and nothing is copied. Only the points of fuller pages go to tiles.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Side of a tile on level 0, and levels; greater boxes share the last level.
 TILE, LEVELS = 8.0, 24
+#: Boxes of a page of few.
+FEW_BOXES = 256
 #: A table's block may stick out by so much; words belong to a visual up to here; where captions are looked for: left, top, right, bottom.
 TABLE_MARGIN, VISUAL_MARGIN, CAPTION_REACH = 5.0, 20.0, (30.0, 40.0, 30.0, 60.0)
 #: How a caption begins, and how much of one (or of another line) is kept.
@@ -36,6 +41,12 @@ def _tile(c: Column, level: Column) -> Column:
     return F.floor(c / (TILE * F.pow(F.lit(2.0), level))).cast("long")
 
 
+def _full_pages(boxes: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys of pages with more than FEW_BOXES boxes, one in so many boxes at most; None if there are none."""
+    full = boxes.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW_BOXES).select(*keys)
+    return None if full.isEmpty() else F.broadcast(full)
+
+
 def within(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     """points (keys, x, y, ...) with each box (keys, box, ...) of the same keys that holds them.
 
@@ -43,6 +54,15 @@ def within(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     take no part. Other columns must have different names. Ids are for the
     caller: repeated ones stand for one thing in what is grouped by them.
     """
+    few = lambda p, b: p.join(b, keys).where(holds(F.col("box"), F.col("x"), F.col("y")))
+    full = _full_pages(boxes, keys)
+    if full is None:
+        return few(points, boxes)
+    split = lambda how: (points.join(full, keys, how), boxes.join(full, keys, how))
+    return few(*split("left_anti")).unionByName(_within_tiles(*split("left_semi"), keys))
+
+
+def _within_tiles(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
     side = F.greatest(F.col("box")[2] - F.col("box")[0], F.col("box")[3] - F.col("box")[1])
     level = F.least(F.lit(LEVELS - 1), F.ceil(F.log2(F.greatest(side, F.lit(TILE)) / TILE))).cast("int")
     ends = boxes.where((F.col("box")[0] <= F.col("box")[2]) & (F.col("box")[1] <= F.col("box")[3])).withColumn("_level", level)
@@ -61,10 +81,19 @@ def _middle(low: int, high: int) -> Column:
 
 def outside_tables(blocks: DataFrame, tables: DataFrame, keys: list[str], id_col: str) -> DataFrame:
     """Text blocks (keys, id, block) whose centre is in no table (keys, box), a margin included."""
-    points = blocks.select(*keys, F.col(id_col).alias("_id"), "block", _middle(0, 2).alias("x"), _middle(1, 3).alias("y"))
     wide = tables.select(*keys, grown(F.col("box"), *[TABLE_MARGIN] * 4).alias("box"))
-    inside = within(points, wide, keys).select(*keys, F.col("_id").alias(id_col), "block").distinct()
-    return blocks.join(inside, [*keys, id_col, "block"], "left_anti")
+    full = _full_pages(wide, keys)
+    some = blocks if full is None else blocks.join(full, keys, "left_anti")
+    rest = wide if full is None else wide.join(full, keys, "left_anti")
+    rest = rest.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("box").alias("_box"))
+    same = [F.col(k) == F.col(f"_{k}") for k in keys]
+    out = some.join(rest, [*same, holds(F.col("_box"), _middle(0, 2), _middle(1, 3))], "left_anti")
+    if full is None:
+        return out
+    more = blocks.join(full, keys, "left_semi")
+    points = more.select(*keys, F.col(id_col).alias("_id"), "block", _middle(0, 2).alias("x"), _middle(1, 3).alias("y"))
+    inside = _within_tiles(points, wide.join(full, keys, "left_semi"), keys).select(*keys, F.col("_id").alias(id_col), "block").distinct()
+    return out.unionByName(more.join(inside, [*keys, id_col, "block"], "left_anti"))
 
 
 def words_in_visuals(words: DataFrame, visuals: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,12 +121,28 @@ def captions(visuals: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame
 def nearest_visual(hits: DataFrame, visuals: DataFrame, keys: list[str], reach: float = HIT_REACH) -> DataFrame:
     """(keys, hit_id, visual_id, distance): for each hit (keys, hit_id, x, y) the visual whose top left corner is nearest, nearer than reach.
 
-    Rings of the grid: corners within the tile's size of a hit are found first;
-    only hits without one look in tiles twice as large, up to reach. Ties go to the smaller id.
+    On a page of few visuals a hit meets them all. On fuller pages there are rings
+    of the grid: corners within the tile's size of a hit are found first; only hits
+    without one look in tiles twice as large, up to reach. Ties go to the smaller id.
     """
     corners = visuals.where(F.col("box")[0].isNotNull() & F.col("box")[1].isNotNull())
     corners = corners.select(*keys, "visual_id", F.col("box")[0].alias("_bx"), F.col("box")[1].alias("_by"))
     left = hits.where(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "hit_id", "x", "y")
+    full = _full_pages(corners, keys)
+    if full is None:
+        return _nearest_on_page(left, corners, keys, reach)
+    split = lambda how: (left.join(full, keys, how), corners.join(full, keys, how))
+    return _nearest_on_page(*split("left_anti"), keys, reach).unionByName(_nearest_in_rings(*split("left_semi"), keys, reach))
+
+
+def _nearest_on_page(left: DataFrame, corners: DataFrame, keys: list[str], reach: float) -> DataFrame:
+    gap = F.sqrt((F.col("x") - F.col("_bx")) ** 2 + (F.col("y") - F.col("_by")) ** 2)
+    near = left.join(corners, keys).withColumn("distance", gap).where(F.col("distance") < reach)
+    best = near.groupBy(*keys, "hit_id").agg(F.min(F.struct("distance", "visual_id")).alias("b"))
+    return best.select(*keys, "hit_id", F.col("b.visual_id").alias("visual_id"), F.col("b.distance").alias("distance"))
+
+
+def _nearest_in_rings(left: DataFrame, corners: DataFrame, keys: list[str], reach: float) -> DataFrame:
     gap = F.sqrt((F.col("x") - F.col("_bx")) ** 2 + (F.col("y") - F.col("_by")) ** 2)
     steps = F.array(*(F.lit(k) for k in (-1, 0, 1)))
     out, size = None, TILE

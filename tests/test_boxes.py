@@ -101,3 +101,26 @@ def test_empty_tables(spark):
     v, b = frames(spark, [], [])
     assert boxes.captions(v, b, KEYS).count() == 0 and boxes.outside_tables(frames(spark, [], layout()[1])[1], v, KEYS, "line_id").count() == len(layout()[1])
     assert boxes.nearest_visual(b.selectExpr("doc", "page", "line_id as hit_id", "1.0 as x", "1.0 as y"), v, KEYS).count() == 0
+
+
+def test_few_boxes_need_no_tiles(spark, monkeypatch):
+    """Pages of few boxes are joined by page alone, fuller ones by tiles; together or alone they give the same rows."""
+    rng = random.Random(5)
+    at = lambda page: ("d", page, rng.uniform(0, 300), rng.uniform(0, 300))
+    shapes = [(*at(p), rng.uniform(5, 120)) for p, n in ((1, 3), (2, 30)) for _ in range(n)]
+    v = spark.createDataFrame([(d, p, i, [x, y, x + s, y + s]) for i, (d, p, x, y, s) in enumerate(shapes)], "doc string, page int, visual_id long, box array<double>")
+    spots = [at(p) for p in (1, 2, 3) for _ in range(60)]
+    b = spark.createDataFrame([(d, p, i, [x, y, x + 9, y + 4], f"Fig. {i}" if i % 5 else "x") for i, (d, p, x, y) in enumerate(spots)], "doc string, page int, line_id long, block array<double>, text string")
+    words, hits = b.withColumnRenamed("line_id", "word_id"), b.selectExpr("doc", "page", "line_id as hit_id", "block[0] as x", "block[1] as y")
+    runs = []
+    for few in (0, 5, 10_000):
+        monkeypatch.setattr(boxes, "FEW_BOXES", few)
+        out = (
+            boxes.words_in_visuals(words, v, KEYS), boxes.outside_tables(b, v, KEYS, "line_id").select(*KEYS, "line_id"),
+            boxes.captions(v, b, KEYS), boxes.nearest_visual(hits, v, KEYS, 150.0),
+        )
+        if few > 10:
+            plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in out]
+            assert not any("Generate explode" in p for p in plans)
+        runs.append([sorted(map(tuple, df.collect())) for df in out])
+    assert runs[0] == runs[1] == runs[2] and all(runs[0])

@@ -45,8 +45,9 @@ def middle(low: Column, high: Column) -> Column:
 
 
 def deviation(rows_value: Column, low: Column, high: Column) -> Column:
-    """Percent from the middle of the expected range; 0 where that is 0."""
-    return F.coalesce(percent_deviation(rows_value, middle(low, high)), F.lit(0.0))
+    """Percent from the middle of the expected range, the ratio first, so that halves round alike; 0 where the middle is 0."""
+    mid = middle(low, high)
+    return F.coalesce(F.when(mid != 0, (rows_value - mid) / F.abs(mid) * 100), F.lit(0.0))
 
 
 # --- fixed values: the documented sentences; columns are those of explain() ------------------------------------

@@ -125,3 +125,12 @@ def test_figure_class_and_shape(spark):
         (figures.SCHEMATIC, "1.4:1 (Landscape)"), (figures.CHART, "1:1.3 (Portrait)"), (figures.CHART, "1.05:1 (Standard)"),
         (figures.PHOTO, "1:1 (Square)"), (figures.PHOTO, "1.30:1 (Standard)"),
     ]
+
+
+def test_deviation_takes_the_ratio_first(spark):
+    """-52.45 % of the middle is a little less in doubles if the ratio comes first, as in the documented formula."""
+    from pyspark.sql import functions as F
+
+    low, high = F.lit(156000.0), F.lit(250000.0)
+    got = spark.range(1).select(explain.fixed(explain.deviation(F.lit(96526.5), low, high), 1), explain.deviation(F.lit(1.0), F.lit(0.0), F.lit(0.0))).first()
+    assert tuple(got) == ("-52.4", 0.0)

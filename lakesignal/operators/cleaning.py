@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .quality import metric_columns
+from .quantiles import one_row
 
 TIME_FEATURES = {
     "year": F.year, "month": F.month, "day": F.dayofmonth, "hour": F.hour, "minute": F.minute, "second": F.second,
@@ -49,27 +50,34 @@ def fill_value(column: str, how: str) -> Column:
 
 
 def fill_missing(df: DataFrame, how: dict[str, str]) -> DataFrame:
-    stats = df.agg(*(fill_value(c, h).alias(f"_{c}") for c, h in how.items()))
-    out = df.crossJoin(F.broadcast(stats))  # one row
+    middle = {f"_{c}": (c, 0.5) for c, h in how.items() if h == "median"}
+    others = [fill_value(c, h).alias(f"_{c}") for c, h in how.items() if h != "median"]
+    out = df.crossJoin(F.broadcast(df.agg(*others))) if others else df  # one row
+    out = out.crossJoin(F.broadcast(one_row(df, middle))) if middle else out  # one row
     return out.withColumns({c: F.coalesce(c, f"_{c}") for c in how}).drop(*(f"_{c}" for c in how))
 
 
-def outlier_bounds(column: str, method: str) -> tuple[Column, Column]:
-    """Aggregates: fences at 1.5 IQR, or three population deviations (nulls counted at the median)."""
-    if method == "iqr":
-        a, b = F.percentile(column, F.lit(0.25)), F.percentile(column, F.lit(0.75))
-        return a - 1.5 * (b - a), b + 1.5 * (b - a)
+def outlier_bounds(column: str) -> tuple[Column, Column]:
+    """Aggregates: three population deviations (nulls counted at the median)."""
     return F.avg(column) - 3 * F.stddev_pop(column), F.avg(column) + 3 * F.stddev_pop(column)
 
 
 def outliers(df: DataFrame, column: str, method: str = "iqr", treatment: str = "flag") -> DataFrame:
-    """Outliers of a column flagged (column `outlier`), capped at the bounds, removed, or replaced by the median."""
+    """Outliers of a column flagged (column `outlier`), capped at the bounds, removed, or replaced by the median.
+
+    Bounds are fences at 1.5 IQR, or those of outlier_bounds.
+    """
     base = df
     if method == "zscore":
-        mid = df.agg(F.percentile(column, F.lit(0.5)).alias("_m"))
+        mid = one_row(df, {"_m": (column, 0.5)})
         base = df.crossJoin(F.broadcast(mid)).select(F.coalesce(column, "_m").alias(column))
-    low, high = outlier_bounds(column, method)
-    stats = base.agg(low.alias("_low"), high.alias("_high"), F.percentile(column, F.lit(0.5)).alias("_mid"))
+    stats = one_row(base, {"_a": (column, 0.25), "_b": (column, 0.75), "_mid": (column, 0.5)})
+    if method == "iqr":
+        spread = 1.5 * (F.col("_b") - F.col("_a"))
+        stats = stats.select((F.col("_a") - spread).alias("_low"), (F.col("_b") + spread).alias("_high"), "_mid")
+    else:
+        low, high = outlier_bounds(column)
+        stats = base.agg(low.alias("_low"), high.alias("_high")).crossJoin(F.broadcast(stats.select("_mid")))  # one row each
     out, c = df.crossJoin(F.broadcast(stats)), F.col(column)
     outside = F.coalesce((c < F.col("_low")) | (c > F.col("_high")), F.lit(False))
     if treatment == "flag":
@@ -92,9 +100,14 @@ def normalise(df: DataFrame, columns: list[str], method: str = "standard") -> Da
         elif method == "minmax":
             shift, scale = F.min(c), F.max(c) - F.min(c)
         else:
-            shift, scale = F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+            shift, scale = F.col(f"_m_{c}"), F.col(f"_h_{c}") - F.col(f"_l_{c}")
         facts += [shift.alias(f"_a_{c}"), scale.alias(f"_b_{c}")]
-    out = df.crossJoin(F.broadcast(df.agg(*facts)))
+    if method == "robust" and columns:
+        wanted = {f"_{x}_{c}": (c, q) for c in columns for x, q in (("m", 0.5), ("l", 0.25), ("h", 0.75))}
+        stats = one_row(df, wanted).select(*facts)
+    else:
+        stats = df.agg(*facts) if facts else None
+    out = df if stats is None else df.crossJoin(F.broadcast(stats))
     scaled = {f"{c}_normalized": F.when(F.col(f"_b_{c}") > 0, (F.col(c) - F.col(f"_a_{c}")) / F.col(f"_b_{c}")).otherwise(0.0) for c in columns}
     return out.withColumns(scaled).drop(*(f"_{x}_{c}" for c in columns for x in "ab"))
 

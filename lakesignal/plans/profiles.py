@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import quality, retrieval, series, sketches
+from ..operators.quantiles import percentiles
 from ..sources import tables as src
 from ..sources.snapshots import Table
 from ..sources.tables import load
@@ -26,13 +27,13 @@ def profiled(spark, sf_dir, merged: bool = False):
     by = [] if merged else ["l_returnflag"]
     parts = sketches.sketch(li, PROFILED, ["l_returnflag"])
     est = sketches.estimates(sketches.merge(parts) if merged else parts, QUANTILES)
-    facts = []
-    for c in PROFILED:
-        number = F.col(c).cast("double") if c != "l_linestatus" else F.lit(None).cast("double")
-        facts.append(F.struct(F.lit(c).alias("column"), F.count_distinct(c).alias("exact"), F.percentile(number, F.array(*(F.lit(q) for q in (0.21, 0.46, 0.71)))).alias("low"),
-                              F.percentile(number, F.array(*(F.lit(q) for q in (0.29, 0.54, 0.79)))).alias("high")))
-    exact = li.groupBy(*by).agg(*(f.alias(f"f{i}") for i, f in enumerate(facts))).select(*by, F.inline(F.array(*(F.col(f"f{i}") for i in range(len(facts))))))
-    rows = est.join(exact, [*by, "column"])
+    texts = ["l_linestatus"]
+    exact = percentiles(li, [c for c in PROFILED if c not in texts], (0.21, 0.46, 0.71, 0.29, 0.54, 0.79), by)
+    exact = exact.select(*by, "column", F.col("distinct").alias("exact"), F.slice("at", 1, 3).alias("low"), F.slice("at", 4, 3).alias("high"))
+    for c in texts:
+        different = li.where(F.col(c).isNotNull()).select(*by, c).distinct().groupBy(*by).agg(F.count("*").alias("exact"))
+        exact = exact.unionByName(different.withColumn("column", F.lit(c)), allowMissingColumns=True)
+    rows = est.join(exact, [*by, "column"], "left").withColumn("exact", F.coalesce("exact", F.lit(0)))  # a column without values has none
     near = F.abs(F.col("distinct") - F.col("exact")) <= 4 * sketches.DISTINCT_ERROR * F.col("exact") + 1
     inside = F.forall(F.arrays_zip("quantiles", "low", "high"), lambda x: (x["quantiles"] >= x["low"]) & (x["quantiles"] <= x["high"]))
     return rows.select(*by, "column", "n", "nulls", "least", "greatest", near.alias("distinct_near"), F.coalesce(inside, F.lit(True)).alias("quantiles_near"))

@@ -39,15 +39,16 @@ def asof(left: DataFrame, right: DataFrame, key: str, time: str, values: list[st
     both = both.unionByName(other, allowMissingColumns=True).withColumn("_part", F.date_trunc(part, F.col(time)))
     parts = both.groupBy(F.col(key).alias("_key"), F.col("_part").alias("_of")).agg(F.max("_r").alias("_last"), F.min("_r").alias("_first"))
     order = Window.partitionBy("_key").orderBy("_of")  # a row for each part of a key
+    back = Window.partitionBy("_key").orderBy(F.desc("_of"))  # a frame up to the end would be read again for each row
     parts = parts.select(
         "_key", "_of", F.last("_last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_past"),
-        F.first("_first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_next"),
+        F.last("_first", True).over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_next"),
     )
     within = Window.partitionBy(key, "_part").orderBy(time, "_side").rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumn("_b", F.last("_r", True).over(within))
     if how != "backward":
-        ahead = Window.partitionBy(key, "_part").orderBy(time, F.desc("_side")).rowsBetween(0, Window.unboundedFollowing)
-        both = both.withColumn("_a", F.first("_r", True).over(ahead))
+        ahead = Window.partitionBy(key, "_part").orderBy(F.desc(time), "_side").rowsBetween(Window.unboundedPreceding, 0)
+        both = both.withColumn("_a", F.last("_r", True).over(ahead))
     both = both.where("_side = 1").join(parts, F.col(key).eqNullSafe(F.col("_key")) & F.col("_part").eqNullSafe(F.col("_of")), "left")
     before = F.coalesce("_b", "_past")
     if how == "backward":

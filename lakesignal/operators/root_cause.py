@@ -335,45 +335,125 @@ def bootstrap_ratios(rows: DataFrame, rounds: int = 1000, level: float = 0.95) -
 def bootstrap_all(panel: DataFrame, anomalies: DataFrame, dims: list[str], rounds: int = 1000, level: float = 0.95, n: int = BASELINE_TIMES) -> DataFrame:
     """bootstrap_ratios for all anomalies of a panel (row_id, t, dims, v).
 
-    Rows are resampled once for each time and segment, whatever the number of
-    anomalies; an anomaly adds up the rounds of its times.
+    Rows are resampled once, whatever the number of anomalies and dimensions; an
+    anomaly adds up the rounds of its times.
     """
-    cells = F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("segment")) for d in dims))
-    rows = panel.select("row_id", "t", "v", F.inline(cells))
-    sums = settle(_resampled(rows, ["t", "dimension", "segment"], rounds), "bootstrap-cells")
+    rows = panel.select("row_id", "t", "v", *(F.col(d).cast("string").alias(d) for d in dims))
+    sums = settle(_resampled(rows, ["t"], rounds, dims), "bootstrap-cells")
     around = sums.join(times_around(panel, anomalies, n), "t")
     both = [F.sum(F.when(F.col("now") == now, F.col(c))).alias(f"{p}_{c}") for p, now in (("now", True), ("base", False)) for c in ("total", "n")]
     return _intervals(around.groupBy("anomaly_id", "dimension", "segment", "round").agg(*both), level)
 
 
-def _resampled(rows: DataFrame, keys: list[str], rounds: int) -> DataFrame:
-    """(keys, round, total, n): weighted sums of v and weights in each round; round 0 is the rows as they are."""
-    limits = np.cumsum([exp(-1) / factorial(k) for k in range(9)])
+#: Rows whose rounds are drawn at a time; cells whose sums a task holds (16 kB each at 1,000 rounds) before it passes them on.
+DRAWN_ROWS, HELD_CELLS = 64, 4096
+#: Bits of a draw that nearly always tell the weight.
+TOP_BITS = 12
+
+
+class Draws:
+    """Weights of rows in each round, a Poisson number by hash of row and round; 1 in round 0, which is no resampling."""
+
+    def __init__(self, rounds: int):
+        self.steps = np.arange(rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        self.limits = np.cumsum([exp(-1) / factorial(k) for k in range(9)])
+        starts = np.arange(2**TOP_BITS, dtype=np.uint64) << np.uint64(53 - TOP_BITS)
+        low, high = (self._weigh(x) for x in (starts, starts + np.uint64(2 ** (53 - TOP_BITS) - 1)))
+        self.table = np.where(low == high, low, -1).astype(float)
+        self.x, self.y = (np.empty((DRAWN_ROWS, rounds + 1), np.uint64) for _ in range(2))
+        self.w = np.empty((DRAWN_ROWS, rounds + 1))
+
+    def _weigh(self, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.limits, x / 2.0**53, side="right")
+
+    def weights(self, hashes: np.ndarray) -> np.ndarray:
+        """A row for each of up to DRAWN_ROWS hashes; the next call overwrites it."""
+        x, y, w = (a[: len(hashes)] for a in (self.x, self.y, self.w))
+        np.add(hashes[:, None], self.steps, out=x)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            np.right_shift(x, np.uint64(shift), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint64(factor), out=x)
+        np.right_shift(x, np.uint64(31), out=y)
+        np.bitwise_xor(x, y, out=x)
+        np.right_shift(x, np.uint64(64 - TOP_BITS), out=y)
+        self.table.take(y.view(np.int64), out=w, mode="clip")
+        unsure = w < 0
+        w[unsure] = self._weigh(x[unsure] >> np.uint64(11))
+        w[:, 0] = 1.0
+        return w
+
+
+def _numbered(batch: pa.RecordBatch, keys: list[str]) -> tuple[np.ndarray, list[tuple]]:
+    """Each row's number among the batch's distinct keys, and those."""
+    codes = np.zeros(len(batch), np.int64)
+    for k in keys:
+        column = batch.column(k).dictionary_encode()
+        own = column.indices.fill_null(len(column.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = np.unique(codes * (len(column.dictionary) + 1) + own, return_inverse=True)[1]
+    first = np.unique(codes, return_index=True)[1]
+    return codes, list(zip(*(batch.column(k).take(pa.array(first)).to_pylist() for k in keys), strict=True))
+
+
+def _resampled(rows: DataFrame, keys: list[str], rounds: int, dims: list[str] | None = None) -> DataFrame:
+    """(keys, round, total, n): weighted sums of v and weights in each round; round 0 is the rows as they are.
+
+    With dims, these are summed up by (keys, dimension, segment). A row's
+    weights are drawn once: a task adds up rows by keys and all dims, and those sums by dimension.
+    """
+
+    def cells(key: tuple) -> list[tuple]:
+        if dims is None:
+            return [key]
+        return [(*key[: len(keys)], d, s) for d, s in zip(dims, key[len(keys) :], strict=True)]
+
+    def passed_on(held: dict):
+        for key, sums in held.items():
+            columns = [pa.repeat(pa.scalar(k, t), rounds + 1) for k, t in zip(key, types, strict=True)]
+            columns += [pa.array(np.arange(rounds + 1, dtype=np.int32)), pa.array(sums[0]), pa.array(sums[1])]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "round", "total", "n"])
+        held.clear()
+
+    def rolled_up(fine: dict, coarse: dict):
+        for key, sums in fine.items():
+            for cell in cells(key):
+                if cell in coarse:
+                    coarse[cell] += sums
+                else:
+                    coarse[cell] = sums.copy()
+                    if len(coarse) > HELD_CELLS:
+                        yield from passed_on(coarse)
+        fine.clear()
 
     def add_up(batches):
-        steps = np.arange(rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)  # the first step is no resampling
-        sums: dict[tuple, np.ndarray] = {}
+        draws, fine, coarse = Draws(rounds), {}, {}
         for batch in batches:
-            h = batch.column("_h").to_numpy().astype(np.uint64)
-            v = batch.column("v").to_numpy()
-            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)):
-                x = h[i] + steps
-                x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                w = np.searchsorted(limits, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53, side="right").astype(float)
-                w[0] = 1.0
-                held = sums.setdefault(key, np.zeros((2, rounds + 1)))
-                held[0] += w * v[i]
-                held[1] += w
-        for key, held in sums.items():
-            columns = [pa.array([k] * (rounds + 1), t) for k, t in zip(key, types, strict=True)]
-            columns += [pa.array(np.arange(rounds + 1, dtype=np.int32)), pa.array(held[0]), pa.array(held[1])]
-            yield pa.RecordBatch.from_arrays(columns, [*keys, "round", "total", "n"])
-
-    known = rows.where("v is not null").select(F.xxhash64("row_id").alias("_h"), *keys, F.col("v").cast("double").alias("v"))
-    types = [to_arrow_type(known.schema[k].dataType) for k in keys]
-    ddl = ", ".join(f"{k} {known.schema[k].dataType.simpleString()}" for k in keys) + ", round int, total double, n double"
-    return known.mapInArrow(add_up, ddl).groupBy(*keys, "round").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+            if not len(batch):
+                continue
+            h, v = batch.column("_h").to_numpy().astype(np.uint64), batch.column("v").to_numpy()
+            codes, found = _numbered(batch, [*keys, *(dims or [])])
+            order = np.argsort(codes, kind="stable")
+            for s in range(0, len(order), DRAWN_ROWS):
+                at = order[s : s + DRAWN_ROWS]
+                w, factors = draws.weights(h[at]), np.stack([v[at], np.ones(len(at))])
+                cuts = [0, *(np.nonzero(np.diff(codes[at]))[0] + 1), len(at)]
+                for x, y in zip(cuts, cuts[1:], strict=False):
+                    sums, key = factors[:, x:y] @ w[x:y], found[codes[at[x]]]
+                    if key in fine:
+                        fine[key] += sums
+                    else:
+                        fine[key] = sums
+                        if len(fine) > HELD_CELLS:
+                            yield from rolled_up(fine, coarse)
+        yield from rolled_up(fine, coarse)
+        yield from passed_on(coarse)
+
+    known = rows.where("v is not null").select(F.xxhash64("row_id").alias("_h"), *keys, *(dims or []), F.col("v").cast("double").alias("v"))
+    by_dim = [] if dims is None else ["dimension", "segment"]
+    names = [*keys, *by_dim]
+    types = [*(to_arrow_type(known.schema[k].dataType) for k in keys), *(pa.string() for _ in by_dim)]
+    ddl = ", ".join([*(f"{k} {known.schema[k].dataType.simpleString()}" for k in keys), *(f"{k} string" for k in by_dim)]) + ", round int, total double, n double"
+    return known.mapInArrow(add_up, ddl).groupBy(*names, "round").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def _intervals(sums: DataFrame, level: float) -> DataFrame:

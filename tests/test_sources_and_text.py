@@ -1,8 +1,10 @@
 """Scans, sinks, chunking, p-values and streaming jobs on small inputs."""
 
+import math
 import random
 import statistics
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -223,6 +225,32 @@ def test_bootstrap_of_all_anomalies_holds_the_ratio(spark):
     assert all(0.7 < r.low < 1.0 < r.high < 1.3 for r in got.values())
 
 
+def test_bootstrap_draws_a_row_once_for_all_dimensions(spark):
+    rows = [(i, f"2024-{1 + i % 3:02d}-01", "ab"[i % 2], None if i % 11 == 0 else "xyz"[i // 7 % 3], None if i % 13 == 0 else float(i % 10) + 0.25) for i in range(700)]
+    panel = spark.createDataFrame(rows, "row_id long, t string, p string, q string, v double").repartition(3)
+    drawn = rc._resampled(panel, ["t"], 50, ["p", "q"])
+    assert "Generate" not in drawn._jdf.queryExecution().toString()  # no copy of a row for each dimension
+    got = {(r.t, r.dimension, r.segment, r.round): (r.total, r.n) for r in drawn.collect()}
+    hashes = {r.row_id: r.h for r in panel.selectExpr("row_id", "xxhash64(row_id) as h").collect()}
+    limits = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(9)])
+    expected = {}
+    for i, t, p, q, v in rows:
+        for k in range(51 if v is not None else 0):
+            x = (hashes[i] + k * 0x9E3779B97F4A7C15) % 2**64
+            x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+            x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+            w = int(np.searchsorted(limits, ((x ^ (x >> 31)) >> 11) / 2.0**53, side="right")) if k else 1
+            for cell in ((t, "p", p, k), (t, "q", q, k)):
+                total, n = expected.get(cell, (0.0, 0))
+                expected[cell] = (total + w * v, n + w)
+    assert got.keys() == expected.keys()
+    assert all(got[c][1] == n and abs(got[c][0] - total) < 1e-9 for c, (total, n) in expected.items())
+    high = [(i, "t", f"s{i}", float(i)) for i in range(rc.HELD_CELLS + 200)]  # more cells than a task holds
+    many = spark.createDataFrame(high, "row_id long, t string, s string, v double").coalesce(1)
+    whole = rc._resampled(many, ["t"], 2, ["s"]).where("round = 0").collect()
+    assert len(whole) == len(high) and sum(r.total for r in whole) == sum(r[3] for r in high) and all(r.n == 1 for r in whole)
+
+
 def test_reported_ranges(spark):
     df = spark.createDataFrame([(100.004, 0.5, 1.0, 2.0), (100.006, None, 3.0, 2.0), (float("nan"), -0.0004, 1.0, 1.0)], "contribution double, p_value double, expected_min double, expected_max double")
     got = [(r.invalid, r.p_value) for r in quality.checked(df).collect()]

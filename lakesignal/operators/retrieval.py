@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
+from operator import and_
 
 import ahocorasick
 import numpy as np
@@ -17,6 +18,8 @@ from .nearest import Vectors, best_rows
 RRF_K = 60
 #: Query sets up to here, in rows and bytes, are broadcast; larger ones meet the chunks block by block.
 BROADCAST_QUERIES, BROADCAST_BYTES = 2_000, 64 * 2**20
+#: Repeated keys up to here are broadcast.
+BROADCAST_KEYS = 100_000
 #: Queries of lexical search that one pass over the chunks looks for; chunks scored at a time.
 PASS_QUERIES, SLICE = 2_000, 256
 
@@ -256,21 +259,57 @@ def metadata_filter(rows: DataFrame, equal: dict | None = None, within: dict | N
     return rows
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value worked out once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _word_buckets(text: str, size: int) -> Column:
+    """The text's words by bucket: structs (bucket, n), none for a text without words."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+    bucket = lambda w: (F.conv(F.substring(F.md5(F.encode(w, "UTF-8")), 1, 8), 16, 10).cast("long") % size).cast("int")
+
+    def counted(b: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(b) - 1), lambda i: (i == 0) | (F.get(b, i) != F.get(b, i - 1)))
+        n = lambda at, i, k: (F.coalesce(F.get(at, k + 1), F.size(b)) - i).cast("long")
+        return _let(first, lambda at: F.transform(at, lambda i, k: F.struct(F.get(b, i).alias("bucket"), n(at, i, k).alias("n"))))
+
+    return _let(F.sort_array(F.transform(words, bucket)), lambda b: F.when(F.size(b) > 0, counted(b)))
+
+
+def _weighed(cells: Column) -> Column:
+    """Structs (bucket, weight) of structs (bucket, n), L2-normalised."""
+    length = F.sqrt(F.aggregate(cells, F.lit(0).cast("long"), lambda a, c: a + c["n"] * c["n"]))
+    return _let(length, lambda x: F.transform(cells, lambda c: F.struct(c["bucket"].alias("bucket"), (c["n"] / x).alias("weight"))))
+
+
 def hashed_embeddings(rows: DataFrame, key: list[str], text: str, size: int = 384) -> DataFrame:
     """(key..., bucket, weight): bag of hashed lower-case words of two characters or more, L2-normalised, in sparse form.
 
-    Words are counted by bucket before the shuffle. Texts without such words give no rows.
+    Words are counted by bucket within each row, so a task holds one text at a
+    time. Only rows whose key repeats are put together, by key and bucket.
+    Texts without such words give no rows.
     """
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
-    words = rows.select(*key, F.explode(found).alias("_word"))
-    bucket = F.conv(F.substring(F.md5(F.encode("_word", "UTF-8")), 1, 8), 16, 10).cast("long") % size
-    counted = words.groupBy(*key, bucket.cast("int").alias("bucket")).agg(F.count("*").alias("_n"))
-    length = F.sqrt(F.sum(F.col("_n") * F.col("_n")).over(Window.partitionBy(*key)))
-    return counted.select(*key, "bucket", (F.col("_n") / length).alias("weight"))
+    keys = [f"_key{i}" for i in range(len(key))]
+    rows = rows.select(*(F.col(k).alias(n) for k, n in zip(key, keys, strict=True)), F.col(text).alias("_text"))
+    repeated = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*(F.col(k).alias(f"{k}_") for k in keys))
+    n = repeated.limit(BROADCAST_KEYS + 1).count()
+    single = several = rows
+    if n:  # else no text is shuffled
+        repeated = F.broadcast(repeated) if n <= BROADCAST_KEYS else repeated
+        same = reduce(and_, (F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys))
+        single, several = (rows.join(repeated, same, how) for how in ("left_anti", "left_semi"))
+    single = single.select(*keys, F.explode(F.array(_word_buckets("_text", size))).alias("_cells"))
+    single = single.select(*keys, F.inline(_weighed(F.col("_cells")))).toDF(*key, "bucket", "weight")
+    if not n:
+        return single
+    several = several.select(*keys, F.inline(_word_buckets("_text", size))).groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
+    length = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(*keys)))
+    return single.union(several.select(*keys, "bucket", F.col("n") / length))
 
 
 def cached_embeddings(rows: DataFrame, key: list[str], text: str, size: int = 384) -> DataFrame:
     """hashed_embeddings of texts compared trimmed and in lower case: each distinct one is embedded once and joined back."""
     rows = rows.select(*key, F.lower(F.trim(text)).alias("_text"))
-    once = hashed_embeddings(rows.select("_text").distinct(), ["_text"], "_text", size)
-    return rows.join(once, "_text").select(*key, "bucket", "weight")
+    once = rows.select("_text").distinct().select("_text", F.explode(F.array(_word_buckets("_text", size))).alias("_cells"))
+    return rows.join(once, "_text").select(*key, F.inline(_weighed(F.col("_cells"))))

@@ -1,7 +1,10 @@
 """Scans, sinks, chunking, p-values and streaming jobs on small inputs."""
 
+import collections
+import hashlib
 import math
 import random
+import re
 import statistics
 
 import numpy as np
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lakesignal.functions import chunker
 from lakesignal.functions.math import student_p
-from lakesignal.operators import cleaning, quality, sketches
+from lakesignal.operators import cleaning, quality, retrieval, sketches
 from lakesignal.operators import root_cause as rc
 from lakesignal.sources import sinks
 from lakesignal.sources import tables as src
@@ -269,3 +272,21 @@ def test_sketches_merge_to_the_whole(spark):
     got = {r.column: r["values"] for r in sketches.sample_values(df, ["k", "s"], {"k": 5000, "s": 3}).collect()}
     assert len(set(got["k"])) == 5 and sorted(got["s"]) == ["s0", "s1", "s2"]
     assert sketches.sample_values(df.where("k < 0"), ["k"], {"k": 0}).count() == 0
+
+
+def test_hashed_embeddings_count_words_within_rows(spark):
+    texts = [(1, "One two, two THREE three three äö"), (2, None), (3, " a . "), (4, "one " * 3000 + "two")]
+    again = [(5, "one two"), (5, "two four"), (5, None), (None, "one one"), (None, "two")]
+    expected = {}
+    for k, t in texts + again:
+        for w in re.findall(r"\w{2,}", (t or "").lower()):
+            cells = expected.setdefault(k, collections.Counter())
+            cells[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 384] += 1
+    for rows, plain in ((texts, True), (texts + again, False)):
+        df = spark.createDataFrame(rows, "k long, x string")
+        out = retrieval.hashed_embeddings(df, ["k"], "x")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert not plain or ("Exchange" not in plan and "Aggregate" not in plan)  # a task holds one text, no table of words
+        got = {(r.k, r.bucket): r.weight for r in out.collect()}
+        cells = {(k, b): n / math.sqrt(sum(x * x for x in c.values())) for k, c in expected.items() if k in dict(rows) for b, n in c.items()}
+        assert got.keys() == cells.keys() and all(abs(got[c] - x) < 1e-12 for c, x in cells.items())

@@ -274,7 +274,7 @@ def test_sketches_merge_to_the_whole(spark):
     assert sketches.sample_values(df.where("k < 0"), ["k"], {"k": 0}).count() == 0
 
 
-def test_hashed_embeddings_count_words_within_rows(spark):
+def test_hashed_embeddings_count_words_within_rows(spark, monkeypatch):
     texts = [(1, "One two, two THREE three three äö"), (2, None), (3, " a . "), (4, "one " * 3000 + "two")]
     again = [(5, "one two"), (5, "two four"), (5, None), (None, "one one"), (None, "two")]
     expected = {}
@@ -282,7 +282,8 @@ def test_hashed_embeddings_count_words_within_rows(spark):
         for w in re.findall(r"\w{2,}", (t or "").lower()):
             cells = expected.setdefault(k, collections.Counter())
             cells[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 384] += 1
-    for rows, plain in ((texts, True), (texts + again, False)):
+    for rows, plain, most in ((texts, True, 10), (texts + again, False, 10), (texts + again, False, 1)):
+        monkeypatch.setattr(retrieval, "BROADCAST_KEYS", most)
         df = spark.createDataFrame(rows, "k long, x string")
         out = retrieval.hashed_embeddings(df, ["k"], "x")
         plan = out._jdf.queryExecution().executedPlan().toString()

@@ -11,9 +11,8 @@ candidates, the full sets confirm the rest.
 Direct neighbours in a few trees join most copies into classes; from then on only
 candidates of different classes count. A crowded region that still holds
 several classes may hide links between distant members. There, every member
-outside the largest class meets all members of other classes in blocks, and
-members are checked by falling agreement of their signatures until one link to
-each class is found or none is left.
+outside the largest class meets all members of the region in blocks, which count
+the shingles that two sets share for all pairs at once.
 """
 
 from __future__ import annotations
@@ -37,7 +36,10 @@ FIRST_TREES = 3
 #: (128 values) one in 10^8 is.
 LEAST_AGREEMENT = 0.6
 #: Members of crowded regions in one block: outside the largest class, and of all classes.
-OUTSIDE_ROWS, ALL_ROWS = 256, 1024
+OUTSIDE_ROWS, ALL_ROWS = 512, 1024
+#: Of two blocks, a shingle that more than one in DENSE_SHARE pairs hold goes through matrix products, DENSE_VALUES
+#: at a time; the pairs of the others are added up about PAIR_CELLS at a time.
+DENSE_SHARE, DENSE_VALUES, PAIR_CELLS = 128, 1024, 2_000_000
 SIGNATURE = np.dtype(">u2")
 
 
@@ -256,58 +258,94 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     return both.mapInArrow(check, "a long, b long")
 
 
+def common_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many values each set of left (sorted, distinct) shares with each of right.
+
+    Values that few pairs share are added pair by pair, the others by matrix product, both in bounded parts.
+    """
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared, sides = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right))), []
+    for sets in (left, right):
+        values, rows = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        known = np.isin(values, shared)
+        at, rows = np.searchsorted(shared, values[known]), rows[known]
+        order = np.argsort(at, kind="stable")
+        counts = np.bincount(at, minlength=len(shared))
+        sides.append((rows[order], counts, np.cumsum(counts) - counts))
+    (a, n_a, from_a), (b, n_b, from_b) = sides
+    often = n_a * n_b > out.size // DENSE_SHARE
+    few, many = np.nonzero(~often)[0], np.nonzero(often)[0]
+    for part in _parts(few, n_a[few] * n_b[few], PAIR_CELLS):
+        size = n_a[part] * n_b[part]
+        k = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        x = a[np.repeat(from_a[part], size) + k // np.repeat(n_b[part], size)]
+        y = b[np.repeat(from_b[part], size) + k % np.repeat(n_b[part], size)]
+        out += np.bincount(x * len(right) + y, minlength=out.size).reshape(out.shape)
+    for s in range(0, len(many), DENSE_VALUES):
+        part = many[s : s + DENSE_VALUES]
+        both = []
+        for n, rows, counts, start in ((len(left), a, n_a[part], from_a[part]), (len(right), b, n_b[part], from_b[part])):
+            k = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            cells = np.zeros((n, len(part)), np.float32)
+            cells[rows[np.repeat(start, counts) + k], np.repeat(np.arange(len(part)), counts)] = 1
+            both.append(cells)
+        out += both[0] @ both[1].T
+    return out.astype(np.int64)
+
+
+def _parts(items: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """items cut where the sum of sizes passes a multiple of most."""
+    return np.split(items, np.nonzero(np.diff(np.cumsum(sizes) // most))[0] + 1) if len(items) else []
+
+
+def block_links(left: list, left_labels: np.ndarray, right: list, right_labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Places (in left, in right) of one linked pair for each two labels that have any."""
+    common = common_counts(left, right)
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    i, j = np.nonzero((100 * common >= percent * (sizes - common)) & (left_labels[:, None] != right_labels[None, :]))
+    two = np.stack([np.minimum(left_labels[i], right_labels[j]), np.maximum(left_labels[i], right_labels[j])], axis=1)
+    first = np.unique(two, axis=0, return_index=True)[1]
+    return list(zip(i[first].tolist(), j[first].tolist(), strict=True))
+
+
 def crowded_links(trees: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of crowded regions, whatever lies between them in the order.
 
-    Classes that meet in a crowded region are a group. Its members outside the
-    largest class are asked, in blocks, against blocks of all its members.
+    In each region of several classes the members outside its largest class
+    are asked, in blocks, against blocks of all its members, on full sets. Rows
+    get their texts after they are dealt to blocks, and only regions are
+    compared: classes that other regions join never meet as a whole.
     """
-    rows = trees.withColumn("part", F.substring("key", 1, PREFIX))
-    regions = rows.groupBy("tree", "part").agg(F.count("*").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed = regions.where((F.col("n") > NEIGHBOURS + 1) & (F.col("x") != F.col("y"))).select("tree", "part", "x")
-    inside = settle(rows.join(mixed, ["tree", "part"]).select("id", "label", "x").distinct(), "nd-crowded")
-    meets = components(inside.select(F.col("label").alias("a"), F.col("x").alias("b")).distinct())
-    members = inside.select("id", "label").distinct()
-    # groups are laid out by class, so their members are never dealt by group
-    classes = members.groupBy("label").agg(F.count("*").alias("n")).join(meets.toDF("label", "grp"), "label")
-    sizes = classes.groupBy("grp").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    blocks = sizes.select(
-        "grp", "main",
+    rows = trees.withColumn("part", F.substring("key", 1, PREFIX)).select("tree", "part", "id", "label")
+    classes = rows.groupBy("tree", "part", "label").agg(F.count("*").alias("n"))
+    regions = classes.groupBy("tree", "part").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")
+    )
+    mixed = regions.where((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))).select(
+        "tree", "part", "main",
         F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("n_all"),
-        F.ceil(F.greatest(F.col("n") - F.col("most"), F.lit(1)) / OUTSIDE_ROWS).cast("int").alias("n_out"),
+        F.ceil((F.col("n") - F.col("most")) / OUTSIDE_ROWS).cast("int").alias("n_out"),
     )
-    places = settle(classes.select("label", "grp").join(blocks, "grp"), "nd-places")
-    members = settle(members.join(places, "label").join(texts, "id"), "nd-members")
+    inside = settle(rows.join(mixed, ["tree", "part"]), "nd-crowded")
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    everyone = members.select("grp", of("n_all").alias("blk"), F.explode(upto("n_out")).alias("out_blk"), "id", "label", "text")
-    outside = members.where(F.col("label") != F.col("main"))
-    outside = outside.select("grp", F.explode(upto("n_all")).alias("blk"), of("n_out").alias("out_blk"), "id", "label", "text")
+    keys = ["tree", "part", "blk", "out_blk"]
+
+    def dealt(df: DataFrame, blk, out_blk) -> DataFrame:
+        out = df.select("tree", "part", blk.alias("blk"), out_blk.alias("out_blk"), "id", "label").join(texts, "id")
+        return out.toDF(*out.columns)  # columns of its own, as both sides come from the same table
+
+    everyone = dealt(inside, of("n_all"), F.explode(upto("n_out")))
+    outside = dealt(inside.where(F.col("label") != F.col("main")), F.explode(upto("n_all")), of("n_out"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            sets = [shingles(t, width) for t in right["text"]]
-            sizes = np.array([len(x) for x in sets])
-            sigs = np.stack([np.frombuffer(signature(x), SIGNATURE) for x in sets])
-            ids, labels = right["id"].to_numpy(), right["label"].to_numpy()
-            for i, label, text in zip(left["id"], left["label"], left["text"], strict=True):
-                own = shingles(text, width)
-                least, most = np.minimum(sizes, len(own)), np.maximum(sizes, len(own))
-                near = np.nonzero((labels != label) & (100 * least >= percent * most))[0]
-                share = (sigs[near] == np.frombuffer(signature(own), SIGNATURE)).mean(axis=1)
-                order = np.argsort(-share, kind="stable")
-                linked = set()
-                for k in near[order[: np.count_nonzero(share >= LEAST_AGREEMENT)]]:
-                    if labels[k] in linked:
-                        continue
-                    common = len(np.intersect1d(own, sets[k], assume_unique=True))
-                    if 100 * common >= percent * (len(own) + len(sets[k]) - common):
-                        linked.add(labels[k])
-                        found.append((i, ids[k]))
+            asked, sets = ([shingles(t, width) for t in x["text"]] for x in (left, right))
+            pairs = block_links(asked, left["label"].to_numpy(), sets, right["label"].to_numpy(), percent)
+            found = [(left["id"].iat[i], right["id"].iat[j]) for i, j in pairs]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    keys = ["grp", "blk", "out_blk"]
     return outside.groupBy(*keys).cogroup(everyone.groupBy(*keys)).applyInPandas(search, "a long, b long")
 
 

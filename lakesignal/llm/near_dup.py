@@ -10,15 +10,19 @@ candidates, the full sets confirm the rest.
 
 Direct neighbours in a few trees join most copies into classes; from then on only
 candidates of different classes count. A crowded region that still holds
-several classes may hide links between distant members. There, every member
-outside the largest class meets all members of the region in blocks, which count
-the shingles that two sets share for all pairs at once.
+several classes may hide links between distant members. These are found exactly:
+with shingles ordered from rare to frequent, linked sets share one among the first
+ones of both. Members that share such a shingle and a region meet, few of them as
+pairs, many in blocks, which count the shingles that two sets share for all pairs
+at once.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
+from math import log
 
 import numpy as np
 import pandas as pd
@@ -35,7 +39,14 @@ FIRST_TREES = 3
 #: Candidates whose signatures agree in less than this share are ruled out: at a similarity of 0.8
 #: (128 values) one in 10^8 is.
 LEAST_AGREEMENT = 0.6
-#: Members of crowded regions in one block: outside the largest class, and of all classes.
+#: Sets of crowded regions, about, whose shingles are counted to tell frequent ones, and how many shingles are known
+#: as frequent at most. Both only order the shingles; any order finds the same links.
+ORDER_SETS, ORDER_VALUES = 8192, 200_000
+#: Members that share a shingle are listed as pairs, if there are so many at most, else they meet in blocks.
+FEW_PAIRS = 256
+#: Sizes that differ by this factor at most are of one class of size, or of two.
+SIZE_STEP = 1.05
+#: Members in one block: outside the largest class, and of all classes.
 OUTSIDE_ROWS, ALL_ROWS = 512, 1024
 #: Of two blocks, a shingle that more than one in DENSE_SHARE pairs hold goes through matrix products, DENSE_VALUES
 #: at a time; the pairs of the others are added up about PAIR_CELLS at a time.
@@ -298,51 +309,155 @@ def _parts(items: np.ndarray, sizes: np.ndarray, most: int) -> list[np.ndarray]:
     return np.split(items, np.nonzero(np.diff(np.cumsum(sizes) // most))[0] + 1) if len(items) else []
 
 
-def block_links(left: list, left_labels: np.ndarray, right: list, right_labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Places (in left, in right) of one linked pair for each two labels that have any."""
+def block_links(
+    left: list, left_labels: np.ndarray, right: list, right_labels: np.ndarray, percent: int, meet: Callable | None = None
+) -> list[tuple[int, int]]:
+    """Places (in left, in right) of one linked pair for each two labels that have any; meet tells which pairs count."""
     common = common_counts(left, right)
     sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
     i, j = np.nonzero((100 * common >= percent * (sizes - common)) & (left_labels[:, None] != right_labels[None, :]))
+    if meet:
+        good = meet(i, j)
+        i, j = i[good], j[good]
     two = np.stack([np.minimum(left_labels[i], right_labels[j]), np.maximum(left_labels[i], right_labels[j])], axis=1)
     first = np.unique(two, axis=0, return_index=True)[1]
     return list(zip(i[first].tolist(), j[first].tolist(), strict=True))
 
 
-def crowded_links(trees: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of crowded regions, whatever lies between them in the order.
+def frequent(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles (sorted) that many of texts (id, text) hold, and how often a sample of ORDER_SETS texts holds them."""
+
+    def split(batches):
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(text, width).view(np.int64))], ["h"])
+
+    share = -(-texts.count() // ORDER_SETS)
+    sample = texts.where(F.pmod(F.xxhash64("id"), F.lit(max(1, share))) == 0).select("text")
+    counts = sample.mapInArrow(split, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(ORDER_VALUES).collect()
+    values, n = np.array([r.h for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+    order = np.argsort(values)
+    return values[order], n[order]
+
+
+def rarest(hashes: np.ndarray, values: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
+    """The first shingles of a set, rare ones first. Sets with a similarity of percent / 100 share one of these.
+
+    As they share percent of the larger set at least, only the rest of it can precede the first shared one.
+    """
+    often = np.zeros(len(hashes), np.int64)
+    if len(values):
+        at = np.minimum(np.searchsorted(values, hashes), len(values) - 1)
+        often = np.where(values[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[: len(hashes) + percent * len(hashes) // -100 + 1]]
+
 
-    In each region of several classes the members outside its largest class
-    are asked, in blocks, against blocks of all its members, on full sets. Rows
-    get their texts after they are dealt to blocks, and only regions are
-    compared: classes that other regions join never meet as a whole.
+def crowded_links(trees: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of crowded regions, one for each two classes, whatever lies between them in the order.
+
+    Of the regions of several classes, members that share one of their rarest
+    shingles are compared on full sets, if they share a region, too: those
+    outside the largest class of a shingle with all its members. The place of the
+    first shared shingle also bounds the size of a linked set (reach), as what
+    precedes it isn't shared; every link is found at its first shared shingle.
+    Rows get their texts after they are dealt out.
     """
     rows = trees.withColumn("part", F.substring("key", 1, PREFIX)).select("tree", "part", "id", "label")
     classes = rows.groupBy("tree", "part", "label").agg(F.count("*").alias("n"))
-    regions = classes.groupBy("tree", "part").agg(
-        F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main")
-    )
-    mixed = regions.where((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))).select(
-        "tree", "part", "main",
+    regions = classes.groupBy("tree", "part").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    mixed = regions.where((F.col("n") > NEIGHBOURS + 1) & (F.col("n") > F.col("most"))).select("tree", "part")
+    members = rows.join(mixed, ["tree", "part"]).groupBy("id", "label").agg(F.collect_list(F.xxhash64("tree", "part")).alias("regions"))
+    members = settle(members, "nd-crowded")
+    bodies = settle(texts.join(members.select("id", "label"), "id").select("id", "label", "text"), "nd-bodies")
+    order = texts.sparkSession.sparkContext.broadcast(frequent(bodies, width))
+
+    def first(batches):
+        for b in batches:
+            ids, labels, sizes, reach, values = [], [], [], [], []
+            for i, label, text in zip(*(b.column(c).to_pylist() for c in ("id", "label", "text")), strict=True):
+                own = shingles(text, width)
+                values.append(rarest(own, *order.value, percent).view(np.int64))
+                k = len(values[-1])
+                ids.append(np.full(k, i))
+                labels.append(np.full(k, label))
+                sizes.append(np.full(k, len(own)))
+                reach.append(((100 + percent) * (len(own) - np.arange(k))) // percent - len(own))
+            cols = [np.concatenate([np.empty(0, np.int64), *x]) for x in (values, ids, labels, sizes, reach)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["h", "id", "label", "size", "reach"])
+
+    held = settle(bodies.mapInArrow(first, "h long, id long, label long, size long, reach long"), "nd-first")
+    groups = held.groupBy("h", "label").agg(F.count("*").alias("n")).groupBy("h")
+    groups = groups.agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("label", F.struct("n", "label")).alias("main"))
+    inside = settle(held.join(groups.where("n > most").select("h", "main"), "h"), "nd-shared")
+
+    # Those outside the main class go to the classes of size that they can be linked with, all members to their own.
+    step = lambda c: F.floor(F.log(c) / log(SIZE_STEP)).cast("int")
+    low, high = F.ceil(percent * F.col("size") / 100), F.least("reach", F.floor(100 * F.col("size") / percent))
+    asked = inside.where("label <> main").select("*", F.explode(F.sequence(step(low), step(high))).alias("step"))
+    wanted = asked.groupBy("h", "step").agg(F.count("*").alias("n_asked"), F.min("size").alias("least"))
+    there = inside.withColumn("step", step(F.col("size"))).join(wanted, ["h", "step"]).where("reach >= least")
+    cells = there.groupBy("h", "step").agg(F.count("*").alias("n"), F.max("n_asked").alias("n_asked"), F.max("least").alias("least"))
+    cells = settle(cells.select(
+        "h", "step", "least",
+        (F.col("n_asked") * F.col("n") <= FEW_PAIRS).alias("few"),
         F.ceil(F.col("n") / ALL_ROWS).cast("int").alias("n_all"),
-        F.ceil((F.col("n") - F.col("most")) / OUTSIDE_ROWS).cast("int").alias("n_out"),
+        F.ceil(F.col("n_asked") / OUTSIDE_ROWS).cast("int").alias("n_out"),
+    ), "nd-cells")
+    asked = asked.join(cells, ["h", "step"])
+    there = inside.withColumn("step", step(F.col("size"))).join(cells, ["h", "step"]).where("reach >= least")
+
+    columns = ["id", "label", "size", "reach"]
+    other = there.where("few").select("h", "step", *(F.col(c).alias(f"{c}_b") for c in columns))
+    pairs = asked.where("few").select("h", "step", *columns).join(other, ["h", "step"]).where(
+        (F.col("label") != F.col("label_b"))
+        & (F.col("size_b") <= F.col("reach"))
+        & (F.col("size") <= F.col("reach_b"))
+        & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
     )
-    inside = settle(rows.join(mixed, ["tree", "part"]), "nd-crowded")
+    pairs = pairs.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
+    of = members.select("id", "regions")
+    pairs = pairs.join(of.toDF("a", "of_a"), "a").join(of.toDF("b", "of_b"), "b")
+    pairs = pairs.where(F.arrays_overlap("of_a", "of_b")).select("a", "b")
+    links = confirmed(pairs, bodies.select("id", "text"), width, percent)
+    links = links.union(_block_search(asked.where("not few"), there.where("not few"), bodies, of, width, percent))
+
+    labels = members.select("id", "label")
+    links = links.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b")
+    two = links.groupBy(F.least("label_a", "label_b").alias("low"), F.greatest("label_a", "label_b").alias("high"))
+    return two.agg(F.min(F.struct("a", "b")).alias("link")).select("link.a", "link.b")
+
+
+def _filled(lists: pd.Series) -> np.ndarray:
+    """A row for each list, filled up with its first value."""
+    most = max(map(len, lists))
+    return np.array([[*x, *[x[0]] * (most - len(x))] for x in lists], np.int64)
+
+
+def _block_search(asked: DataFrame, there: DataFrame, bodies: DataFrame, of: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between members of asked and there of one cell (h, step) and a region; their cells have n_all, n_out blocks."""
     upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    of = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    keys = ["tree", "part", "blk", "out_blk"]
+    spread = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    keys = ["h", "step", "blk", "out_blk"]
+    known = bodies.select("id", "text").join(of, "id")
 
     def dealt(df: DataFrame, blk, out_blk) -> DataFrame:
-        out = df.select("tree", "part", blk.alias("blk"), out_blk.alias("out_blk"), "id", "label").join(texts, "id")
+        out = df.select("h", "step", blk.alias("blk"), out_blk.alias("out_blk"), "id", "label").join(known, "id")
         return out.toDF(*out.columns)  # columns of its own, as both sides come from the same table
 
-    everyone = dealt(inside, of("n_all"), F.explode(upto("n_out")))
-    outside = dealt(inside.where(F.col("label") != F.col("main")), F.explode(upto("n_all")), of("n_out"))
+    everyone = dealt(there, spread("n_all"), F.explode(upto("n_out")))
+    outside = dealt(asked, F.explode(upto("n_all")), spread("n_out"))
 
     def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
             asked, sets = ([shingles(t, width) for t in x["text"]] for x in (left, right))
-            pairs = block_links(asked, left["label"].to_numpy(), sets, right["label"].to_numpy(), percent)
+            mine, theirs = (_filled(x["regions"]) for x in (left, right))
+
+            def meet(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                return np.logical_or.reduce([(mine[i] == theirs[j, k][:, None]).any(axis=1) for k in range(theirs.shape[1])])
+
+            pairs = block_links(asked, left["label"].to_numpy(), sets, right["label"].to_numpy(), percent, meet)
             found = [(left["id"].iat[i], right["id"].iat[j]) for i, j in pairs]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
